@@ -64,6 +64,19 @@ def filled(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Bytes that a worker takes on at a time (one row at least), as a batch holds rows of any length.
+SLICE_BYTES = 12_000_000
+
+
+def sliced(batches: Iterator) -> Iterator:
+    """Arrow batches or arrays in slices of about SLICE_BYTES, without empty ones."""
+    for batch in batches:
+        n = len(batch)
+        rows = max(1, int(n * SLICE_BYTES / max(1, batch.nbytes)))
+        for at in range(0, n, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """mapInArrow with per-task state: ``make()`` runs once in a task and its result on each batch."""
     from pyspark.sql.types import StructType
@@ -74,10 +87,9 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
         from pyspark.sql.pandas.types import to_arrow_schema
 
         step, arrow = make(), to_arrow_schema(fields)
-        for batch in batches:
-            if batch.num_rows:
-                got = step(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
+        for batch in sliced(batches):
+            got = step(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, fields)
 
