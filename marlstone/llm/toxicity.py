@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.texts import sliced
+
 
 #: Labelled rows that the model is fitted on, at most; those of the lowest hashes of their ids.
 SAMPLE_ROWS = 4500
@@ -41,13 +43,19 @@ def normal_word(piece: str) -> str:
     return piece if piece.isalnum() else (_EDGES.sub("", piece) or piece)
 
 
+#: Words whose n-grams are listed at a time.
+WORDS_A_TIME = 20_000
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of all words, and how many each word has (one at least)."""
+    """(bucket, number of the word) of each n-gram of the words and of each word itself; in no order."""
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     text = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
     owner = np.repeat(np.arange(len(words)), sizes)
-    ends = np.cumsum(sizes)[owner] if len(words) else np.empty(0, np.int64)
-    place = np.arange(len(text))
+    to = np.cumsum(sizes)
+    ends, place = to[owner], np.arange(len(text))
     hashes, owners = [], []
     h = np.zeros(len(text), np.uint64)
     for n in range(1, LONGEST + 1):
@@ -56,16 +64,13 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if n >= SHORTEST:
             hashes.append(h[live].copy())
             owners.append(owner[live])
-    whole = np.zeros(len(words), np.uint64)  # a word of its own, over all its characters
-    if len(words):
-        power = (text + np.uint64(7)) * (np.uint64(0x9E3779B97F4A7C15) * (place - (ends - sizes[owner]) + 1).astype(np.uint64) | np.uint64(1))
-        whole = np.add.reduceat(power ^ (power >> np.uint64(29)), np.cumsum(sizes) - sizes)
-    hashes.append(whole)
+    # a word of its own, over all its characters
+    power = (text + np.uint64(7)) * (np.uint64(0x9E3779B97F4A7C15) * (place - (ends - sizes[owner]) + 1).astype(np.uint64) | np.uint64(1))
+    hashes.append(np.add.reduceat(power ^ (power >> np.uint64(29)), to - sizes))
     owners.append(np.arange(len(words)))
-    h, owner = np.concatenate(hashes), np.concatenate(owners)
+    h = np.concatenate(hashes)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    order = np.argsort(owner, kind="stable")
-    return (h >> np.uint64(40))[order].astype(np.int64) % BUCKETS, np.bincount(owner, minlength=len(words))
+    return (h >> np.uint64(40)).astype(np.int64) % BUCKETS, np.concatenate(owners)
 
 
 @dataclass
@@ -76,15 +81,23 @@ class SubwordModel:
     bias: float
 
     def word_margins(self, words: list[str]) -> np.ndarray:
-        buckets, counts = subwords(words)
-        return np.add.reduceat(self.margins[buckets], np.cumsum(counts) - counts) / counts if words else np.empty(0)
+        out = [np.empty(0)]
+        for k in range(0, len(words), WORDS_A_TIME):
+            buckets, owner = subwords(words[k : k + WORDS_A_TIME])
+            out.append(np.bincount(owner, self.margins[buckets]) / np.bincount(owner))
+        return np.concatenate(out)
 
 
 def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, weights) of each text; the weights of a text with many words add up to almost 1."""
     known: dict[str, int] = {}
     spots = [np.array([known.setdefault(normal_word(w), len(known)) for w in (x or "").split()], np.int64) for x in texts]
-    buckets, counts = subwords(list(known))
+    words, buckets, counts = list(known), [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for k in range(0, len(words), WORDS_A_TIME):
+        bucket, owner = subwords(words[k : k + WORDS_A_TIME])
+        buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(owner))
+    buckets, counts = np.concatenate(buckets), np.concatenate(counts)
     starts = np.cumsum(counts) - counts
     out = []
     for at in spots:
@@ -94,7 +107,7 @@ def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         pick = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - n), n)
         weight = np.repeat(1 / (len(at) + PADDING) / n, n)
         bucket, inverse = np.unique(buckets[pick], return_inverse=True)
-        out.append((bucket, np.bincount(inverse, weight, len(bucket))))
+        out.append((bucket, np.bincount(inverse, weight, len(bucket)).astype(np.float32)))
     return out
 
 
@@ -209,7 +222,7 @@ def toxicity_score(spark: SparkSession, model: SubwordModel):
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         margins = WordMargins(SubwordModel(*shared.value))
-        for texts in batches:
+        for texts in sliced(batches):
             yield pa.array(margins.scores(texts.to_pylist()), pa.float64())
 
     return score
