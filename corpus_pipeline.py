@@ -37,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts of the mix."""
-    return queries.digested(bpe.bpe_encode(docs, queries.tokenizer_path(), decoded=True))
+    return queries.digested(bpe.bpe_encode(docs, queries.tokenizer_path(), decoded=True, packed=True))
 
 
 STAGES = [

@@ -95,7 +95,7 @@ class Places(dict):
 class PairIndexEncoder:
     """Encodes words, a partition's at a time, and remembers at most ``most`` of them."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 150_000):
         self.v, self.most = vocabulary, most
         self._pattern = regex.compile(vocabulary.words + "|\n")
         self._special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
@@ -262,8 +262,11 @@ def _gather(ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return ids[np.arange(total) + np.repeat(starts[at] - (ends - sizes), sizes)], ends
 
 
-def bpe_encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
-    """doc_id and ``ids`` (array of int) of each row, with ``decoded`` also ``decoded_text``.
+def bpe_encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False, packed: bool = False) -> DataFrame:
+    """doc_id and ``ids`` of each row, with ``decoded`` also ``decoded_text``.
+
+    ``ids`` is an array of int or, with ``packed``, the bytes of a token file: unsigned 32-bit
+    integers, little-endian.
 
     Null and empty texts have no ids and decode to the empty text. Texts are taken whole; rows
     are independent, so repeated rows and ties change nothing. A null doc_id stays null. Other
@@ -277,14 +280,16 @@ def bpe_encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
         def step(batch: pa.RecordBatch) -> dict:
             ids = encoder.encode_batch(batch.column("text").to_pylist())
-            flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-            offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-            out = {"doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}
-            return out | ({"decoded_text": [encoder.decode(x) for x in ids]} if decoded else {})
+            if packed:
+                out = {"ids": [x.astype("<u4").tobytes() for x in ids]}
+            else:
+                offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
+                out = {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))}
+            return out | {"doc_id": batch.column("doc_id")} | ({"decoded_text": [encoder.decode(x) for x in ids]} if decoded else {})
 
         return step
 
-    return map_rows(rows, "doc_id long, ids array<int>" + ", decoded_text string" * decoded, make)
+    return map_rows(rows, f"doc_id long, ids {'binary' if packed else 'array<int>'}" + ", decoded_text string" * decoded, make)
 
 
 def bpe_decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:

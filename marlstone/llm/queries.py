@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,27 +24,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_on(docs, read_table(spark, sf_dir, "labels")))
 
 
-def _ids_digest():
-    @F.arrow_udf("string")
-    def digest(ids: pa.Array) -> pa.Array:
-        flat = ids.flatten().to_numpy().astype("<u4")
-        ends = ids.value_lengths().to_numpy(zero_copy_only=False).cumsum()
-        starts = [0, *ends[:-1].tolist()]
-        return pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(starts, ends.tolist())])
-
-    return digest
-
-
-def digested(rows: DataFrame, *more: str) -> DataFrame:
-    """doc_id, n_tokens and digests of encoded and decoded documents."""
+def digested(rows: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and digests of packed ids and decoded documents."""
     return rows.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), _ids_digest()("ids").alias("ids_sha256"),
-        F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256"), *more,
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digested(bpe.bpe_encode(read_table(spark, sf_dir, "documents"), tokenizer_path(), decoded=True))
+    return digested(bpe.bpe_encode(read_table(spark, sf_dir, "documents"), tokenizer_path(), decoded=True, packed=True))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,3 +127,17 @@ def test_scores_do_not_depend_on_batches():
     texts = ["a b c", None, "b, c! d", "", "c c c c"]
     whole = toxicity.WordMargins(model).scores(texts)
     assert np.allclose(whole, [toxicity.WordMargins(model, most=1).scores([t])[0] for t in texts])
+
+
+def test_token_digests(spark, sf):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    rows = queries.op3_bpe(spark, sf).join(read_table(spark, sf, "documents"), "doc_id").collect()
+    assert len(rows) == 200
+    for x in rows:
+        ids = library.encode(x.text or "", add_special_tokens=False).ids
+        assert x.n_tokens == len(ids) and x.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert x.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
