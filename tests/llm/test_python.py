@@ -39,7 +39,8 @@ def test_toxicity_on_held_out_rows(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
     held = got[got.held_out]
     assert (held.predicted == held.toxic).mean() > 0.93
-    assert held[held.toxic == 1].score.median() > 0.9 and held[held.toxic == 0].score.median() < 0.1
+    # a few hundred toxic rows in four languages: most of them are found, and few others
+    assert held[held.toxic == 1].predicted.mean() > 0.5 and held[held.toxic == 0].predicted.mean() < 0.02
 
 
 def test_toxicity_of_misspellings_and_odd_rows(spark):
