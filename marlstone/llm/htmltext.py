@@ -205,6 +205,9 @@ def main_text(page: str | None) -> str:
         return x.score * (1 - x.linked / x.chars if x.chars else 0)
 
     best = max(scored.values(), key=worth)
+    marked = max((n for n in scored.values() if n.tag in ("article", "main")), key=worth, default=best)
+    if 2 * worth(marked) >= worth(best):  # stray paragraphs about it don't make the whole page the article
+        best = marked
     x = best
     while x is not None and x.tag not in ("article", "main"):
         x = x.parent
