@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, the context's own or a new one.
+
+    The setting can't be changed in a running session, so a new folder is kept in the context: a
+    temporary one in local mode, one below the shared warehouse on a cluster.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        local = context.master.startswith("local")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="marlstone-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_marlstone")
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
