@@ -4,11 +4,16 @@ Each document is its set of word n-gram hashes, in one global order (of the hash
 link when 100 * intersection >= percent * union. Four steps:
 
 1. Documents with equal sets become one class, named by its least doc_id.
-2. Candidates. Sets that link differ in at most d = (a + b)(100 - p) / (100 + p) n-grams, so of
-   d + 1 + SLACK hash ranges at least one holds the same non-empty part of both; a part is a run
-   of the global order, hence one path that both would share in a tree. Each class sends out the
-   hashes of its parts; classes that meet in one are tied to the least of them (a star, no pairs)
-   and connected components of these ties are the clusters. Linked classes never part.
+2. Candidates, by prefixes in an order of rarity. A set's prefix is its first
+   size - ceil(p * size / 100) + 1 n-grams; sets that link share an n-gram of both prefixes, in
+   whatever order all sets are kept. The order here: n-grams with hashes in the counted range
+   (``counted_share`` of all) by the exact number of classes that hold them, then by hash; then the
+   others by hash. So only counted n-grams, and the few others that reach into the prefix of a
+   set with few counted ones, are shuffled. An n-gram of one class ties nothing, so a document
+   takes part only if over 100 - p percent of it, about, is found elsewhere too; common
+   passages come last and tie no one. Classes with a common n-gram in their prefixes are tied
+   to the least of them (a star, no pairs) and connected components of these ties are the
+   clusters. Linked classes never part.
 3. Each cluster's sets are stored in a prefix tree one after another. Before a set is stored it
    traverses the tree: the overlap with a path is counted once for all sets below it, subtrees
    are pruned by the lengths that remain, and subtrees already known to be in the set's own
@@ -31,10 +36,6 @@ from marlstone.llm.texts import WordHashes, map_rows, mixed, shingles, words
 from marlstone.operators.components import connected_components
 from marlstone.plans.stash import Stash
 
-#: Parts beyond those that differences can spoil; a set with more empty parts sends these out, too.
-SLACK = 2
-#: Sizes within a band share a number of parts. Sizes near a band's upper end count to the next as well.
-BAND = 1.5
 #: n-grams of one block of a cluster that is too large for one task.
 BLOCK_TOKENS = 3_000_000
 
@@ -49,33 +50,20 @@ def needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def band_edges(percent: int, most: int = 1 << 40) -> list[int]:
-    edges = [1]
-    while edges[-1] < most:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * BAND)))
-    return edges
-
-
-def part_hashes(tokens: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
-    """Hashes of the parts of a set, for its band and, if its size can link with it, the next band."""
-    size = len(tokens)
-    band = int(np.searchsorted(edges, size, side="right")) - 1
-    out = []
-    bands = [band]
-    while 100 * size >= percent * edges[bands[-1] + 1]:
-        bands.append(bands[-1] + 1)
-    for g in bands:
-        top = edges[g + 1] - 1
-        parts = 2 * top * (100 - percent) // (100 + percent) + 1 + SLACK
-        place = (tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        starts = np.flatnonzero(np.diff(place, prepend=np.uint64(parts + 1)))
-        sums = np.add.reduceat(mixed(tokens), starts)
-        salt = np.uint64(xxhash.xxh3_64_intdigest(f"band {g}"))
-        out.append(mixed(mixed(sums ^ salt) + place[starts]))
-        if parts - len(starts) > SLACK:
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), place)
-            out.append(mixed(mixed(empty + salt) ^ salt))
-    return np.unique(np.concatenate(out))
+def prefix_length(size: int, percent: int) -> int:
+    return size - -(-percent * size // 100) + 1
+
+
+def counted_share(percent: int) -> float:
+    """Share of the hash range whose n-grams are counted: twice what a prefix takes, and some more."""
+    return min(1.0, 2 * (100 - percent) / 100 + 0.05)
+
+
+def sent_tokens(tokens: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """How many n-grams are in the counted range, and these with those others that may be in the prefix."""
+    share = counted_share(percent)
+    counted = len(tokens) if share == 1 else int(np.searchsorted(tokens, np.uint64(int(share * 2.0**64))))
+    return counted, tokens[: max(counted, prefix_length(len(tokens), percent))]
 
 
 class Node:
@@ -194,7 +182,6 @@ def ngram_jaccard_components(
     spark = docs.sparkSession
     stash = Stash(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    edges_of_bands = band_edges(percent)
 
     def sizes():
         hashes = WordHashes()
@@ -209,21 +196,35 @@ def ngram_jaccard_components(
     classes = stash.put(
         base.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     )
-    named = classes.select("rep").distinct()
 
-    def parts():
+    def prefixes():
         hashes = WordHashes()
 
         def step(batch: pa.RecordBatch) -> dict:
-            sets = (ngram_set(x, n, hashes) for x in batch.column("text").to_pylist())
-            return {"doc_id": batch.column("doc_id"), "parts": [part_hashes(x, percent, edges_of_bands).view(np.int64) if len(x) else [] for x in sets]}
+            sets = [ngram_set(x, n, hashes) for x in batch.column("text").to_pylist()]
+            found = [sent_tokens(x, percent) for x in sets]
+            return {
+                "doc_id": batch.column("doc_id"),
+                "counted": [c for c, _ in found],
+                "room": [prefix_length(len(x), percent) for x in sets],
+                "tokens": [t.view(np.int64) for _, t in found],
+            }
 
         return step
 
-    sent = map_rows(docs.where("doc_id is not null"), "doc_id long, parts array<long>", parts)
-    sent = sent.join(named.hint("shuffle_hash"), sent.doc_id == named.rep).select(F.explode("parts").alias("part"), "rep")
-    meet = Window.partitionBy("part")
-    ties = sent.select("rep", F.min("rep").over(meet).alias("least")).where("rep != least").distinct()
+    sent = map_rows(docs.where("doc_id is not null"), "doc_id long, counted int, room int, tokens array<long>", prefixes)
+    sent = sent.join(classes.select("rep").distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
+    sent = sent.select("rep", "counted", "room", F.posexplode("tokens").alias("at", "token"))
+    sent = sent.select("rep", "token", (F.col("at") < F.col("counted")).alias("is_counted"), "counted", "room")
+    holders = F.count("*").over(Window.partitionBy("token"))
+    shared = sent.withColumn("holders", holders).where("holders > 1")
+    # texts with one doc_id and equal lengths are ranked as one, which only lengthens their prefixes
+    own = Window.partitionBy("rep", "counted", "room")
+    rank = F.row_number().over(own.orderBy(F.desc("is_counted"), "holders", "token"))
+    alone = F.col("counted") - F.count(F.when(F.col("is_counted"), 1)).over(own)
+    prefix = shared.withColumn("rank", rank).withColumn("alone", alone).where("not is_counted or rank + alone <= room")
+    meet = Window.partitionBy("token")
+    ties = prefix.select("rep", F.min("rep").over(meet).alias("least")).where("rep != least").distinct()
     clusters = connected_components(ties, "rep", "least").withColumnsRenamed({"node": "rep", "component": "cluster"})
 
     order = Window.partitionBy("cluster").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, -1)

@@ -85,10 +85,9 @@ def test_tree_finds_every_component():
                 assert find(a) == find(b)
 
 
-def test_linked_sets_share_a_part():
+def test_linked_sets_share_an_ngram_of_their_prefixes():
     r, h = random.Random(9), WordHashes()
     for percent in (50, 80, 90):
-        edges = J.band_edges(percent, 10_000)
         for size in (1, 2, 5, 9, 10, 19, 57, 300):
             x = J.ngram_set(" ".join(f"a{r.random()}" for _ in range(size)), 1, h)
             for _ in range(20):
@@ -99,7 +98,22 @@ def test_linked_sets_share_a_part():
                     if 100 * both < percent * (len(x) + len(c) - both):
                         break
                     b = c
-                assert len(np.intersect1d(J.part_hashes(x, percent, edges), J.part_hashes(b, percent, edges)))
+                prefixes = []
+                for tokens in (x, b):
+                    counted, sent = J.sent_tokens(tokens, percent)
+                    weight = {int(t): int(t) % 7 for t in sent[:counted]}
+                    order = sorted(sent.tolist(), key=lambda t: (t not in weight, weight.get(t, 0), t))
+                    prefixes.append(order[: J.prefix_length(len(tokens), percent)])
+                assert set(prefixes[0]) & set(prefixes[1])
+
+
+def test_texts_that_share_a_doc_id_and_repeated_rows(spark):
+    r = random.Random(3)
+    base = [[f"x{r.randrange(10**6)}" for _ in range(60)] for _ in range(2)]
+    near = [" ".join(w[:-1] + ["other"]) for w in base]
+    rows = [(5, " ".join(base[0])), (5, " ".join(base[1])), (5, " ".join(base[1]))] + [(6, near[0]), (7, near[1]), (7, near[1]), (8, "un like")]
+    got = {tuple(x) for x in J.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()}
+    assert {(i, c) for i, _, c in got} == {(5, 5), (6, 5), (7, 5), (8, 8)}
 
 
 def test_odd_rows(spark):
