@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that separate words: space and U+0009 to U+000D. bytes.split() has the same set.
@@ -77,6 +79,27 @@ def sliced(batches: Iterator) -> Iterator:
             yield batch.slice(at, rows)
 
 
+#: Bytes of an Arrow batch between the JVM and a worker; by rows alone a batch of long texts is large on both sides.
+BATCH_BYTES = 16_000_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to BATCH_BYTES where the session has Spark's own bound of 64 MB."""
+    if spark.conf.get(_BATCH_SETTING) == "67108864b":
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system, as Spark keeps a worker for the next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """mapInArrow with per-task state: ``make()`` runs once in a task and its result on each batch."""
     from pyspark.sql.types import StructType
@@ -90,7 +113,10 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
         for batch in sliced(batches):
             got = step(batch)
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
+        step = got = batch = None
+        give_back()
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, fields)
 
 

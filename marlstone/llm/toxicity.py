@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.texts import sliced
+from marlstone.llm.texts import bound_batches, give_back, sliced
 
 
 #: Labelled rows that the model is fitted on, at most; those of the lowest hashes of their ids.
@@ -160,7 +160,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 11) -> SubwordMo
 class WordMargins(dict):
     """Numbers pieces of text as they are first asked for, and keeps the margins of their words."""
 
-    def __init__(self, model: SubwordModel, most: int = 400_000):
+    def __init__(self, model: SubwordModel, most: int = 200_000):
         super().__init__()
         self.model, self.most = model, most
         self._reset()
@@ -224,7 +224,10 @@ def toxicity_score(spark: SparkSession, model: SubwordModel):
         margins = WordMargins(SubwordModel(*shared.value))
         for texts in sliced(batches):
             yield pa.array(margins.scores(texts.to_pylist()), pa.float64())
+        margins = texts = None
+        give_back()
 
+    bound_batches(spark)
     return score
 
 
