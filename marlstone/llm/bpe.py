@@ -95,7 +95,7 @@ class Places(dict):
 class PairIndexEncoder:
     """Encodes words, a partition's at a time, and remembers at most ``most`` of them."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 150_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 60_000):
         self.v, self.most = vocabulary, most
         self._pattern = regex.compile(vocabulary.words + "|\n")
         self._special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None

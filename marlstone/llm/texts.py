@@ -67,7 +67,7 @@ def filled(column: str) -> Column:
 
 
 #: Bytes that a worker takes on at a time (one row at least), as a batch holds rows of any length.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 4_000_000
 
 
 def sliced(batches: Iterator) -> Iterator:
@@ -80,7 +80,7 @@ def sliced(batches: Iterator) -> Iterator:
 
 
 #: Bytes of an Arrow batch between the JVM and a worker; by rows alone a batch of long texts is large on both sides.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 8_000_000
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
