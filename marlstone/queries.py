@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import chunking, graph, relational, search
+from marlstone.operators import chunking, consistency, graph, relational, search
 from marlstone.operators.components import connected_components
 from marlstone.plans import rules
 from marlstone.session import read_table, register_tables
@@ -535,4 +535,34 @@ def stream_counts(spark, d):
     return S.run_to_end(stream, "marlstone_stream_counts")
 
 
+# -- consistency --
+
+
+_STORED = "(select o_orderkey as id, o_orderstatus as status, o_custkey as owner from orders)"
+_INDEXED = "(select o_orderkey as id, case when o_orderkey % 10 = 4 then 'X' else o_orderstatus end as status, o_custkey as owner from orders where o_orderkey % 10 <> 3 union all select -o_orderkey, 'X', 0 from orders where o_orderkey % 100 = 7)"
+
+
+def stored_and_indexed(spark, d):
+    o = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("owner"))
+    old = o.where("id % 10 <> 3").withColumn("status", F.when(F.col("id") % 10 == 4, "X").otherwise(F.col("status")))
+    gone = o.where("id % 100 = 7").select((-F.col("id")).alias("id"), F.lit("X").alias("status"), F.lit(0).cast("long").alias("owner"))
+    return o, old.unionByName(gone)
+
+
+@query(f"select * from (select coalesce(t.id, i.id) as id, case when i.id is null then 'missing' when t.id is null then 'orphan' when t.status is distinct from i.status or t.owner is distinct from i.owner then 'stale' end as problem from {_STORED} t full join {_INDEXED} i on t.id = i.id) where problem is not null")
+def consistency_check(spark, d):
+    return consistency.differences(*stored_and_indexed(spark, d), "id", "status", "owner")
+
+
+@query(f"select id, status, owner from {_STORED}")
+def consistency_repair(spark, d):
+    return consistency.repaired(*stored_and_indexed(spark, d), "id", "status", "owner")
+
+
+@query(f"select distinct s.a as src, e.dst from (select src, case when src % 3 = 0 and src > 3 then 3 else src end as a, dst from {_EDGES}) e join (select src, case when src % 3 = 0 and src > 3 then 3 else src end as a from {_EDGES} group by 1) s on s.src = e.src where s.a <> e.dst")
+def merge_entities(spark, d):
+    merges = read_table(spark, d, "supplier").where("s_suppkey % 3 = 0 and s_suppkey > 3").select(F.col("s_suppkey").alias("merged"), F.lit(3).cast("long").alias("survivor"))
+    return consistency.repointed(edges(spark, d).select("src", "dst"), merges)
+
+
 del Window
