@@ -1,15 +1,18 @@
 """License scans by conditional compression.
 
-A candidate block (a line with a cue word) is compressed by zstandard alone and with each license
-wording as a raw-content dictionary. The wording that shrinks it most explains it best; the
-winners, in this order, are confirmed by the exact differences between their words and the block's.
+A candidate block (the words around a cue, over line ends and comment marks) is compressed by
+zstandard alone and with each license wording as a raw-content dictionary. Every place of a wording
+is confirmed by the exact differences between its words and the block's. Of places that overlap the
+least different stays; of equal ones that of the wording which shrinks the block most, and so
+explains it best.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from dataclasses import dataclass
-from difflib import SequenceMatcher
+from itertools import accumulate, islice
 
 import pyarrow as pa
 import zstandard
@@ -41,7 +44,15 @@ CUES = ("licens", "licenc", "permission is hereby", "redistribution and use", "p
 #: Share of a wording's words that may be missing, changed or broken up by others, in hundredths.
 MOST_DIFFERENT = 10
 
+#: Words that open a line of a comment; marks without letters or digits are no words.
+MARKS = frozenset(("rem", "dnl", "c"))
+
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_GAP = rf"[\W_]++(?:(?:{'|'.join(sorted(MARKS))})\b[\W_]*+)?"
+_CUE = re.compile("|".join(_GAP.join(c.split()) for c in CUES), re.I)
+_RARE = tuple({c.split()[0]: 1 for c in CUES})
+#: Words of a block on either side of a cue: twice the longest wording, as there may be marks between.
+REACH = 2 * max(len(_WORD.findall(w)) for _, w in TEMPLATES)
 
 
 @dataclass(frozen=True)
@@ -70,57 +81,103 @@ class LicenseMatcher:
         raw = block.lower().encode("utf-8", "replace")
         alone = len(self.plain.compress(raw))
         saved = [(alone - len(packer.compress(raw)), k) for k, (_, packer, _) in enumerate(self.each)]
-        return sorted((x for x in saved if x[0] > 0), key=lambda x: (-x[0], x[1]))
+        return sorted(saved, key=lambda x: (-x[0], x[1]))
+
+    def confirm(self, have: list[str], k: int) -> list[tuple[int, int, int]]:
+        """(different words, first, end) of every place of the words where the template's are near enough.
 
-    def confirm(self, block: str, k: int) -> tuple[int, int, int] | None:
-        """(start, end, different words) of the template's words in the block, if near enough."""
+        Places may overlap. Exact: a place has ``max(wording, place) - common`` different words, where
+        common is the longest common subsequence, and starts and ends with a word of the wording.
+        """
         wanted = self.each[k][2]
-        spots = list(_WORD.finditer(block.lower()) if len(block.lower()) == len(block) else _WORD.finditer(block))
-        have = [m[0].lower() for m in spots]
-        runs = [r for r in SequenceMatcher(None, wanted, have, autojunk=False).get_matching_blocks() if r.size]
-        # drop stray words at either end that stand far from the rest
-        while len(runs) > 1 and runs[1].b - (runs[0].b + runs[0].size) > len(wanted):
-            runs = runs[1:] if runs[0].size <= runs[-1].size else runs[:1]
-        if not runs:
-            return None
-        first, last = runs[0].b, runs[-1].b + runs[-1].size
-        common = sum(r.size for r in runs)
-        different = max(len(wanted), last - first) - common
-        if 100 * different > MOST_DIFFERENT * len(wanted):
-            return None
-        return spots[first].start(), spots[last - 1].end(), different
+        n, most = len(wanted), MOST_DIFFERENT * len(wanted) // 100
+        first, known = set(wanted[: most + 1]), set(wanted)
+        before = list(accumulate((w in known for w in have), initial=0))
+        out = []
+        for i, w in enumerate(have):
+            end = min(i + n + most, len(have))
+            if w not in first or before[end] - before[i] < n - most:
+                continue
+            best, row = None, [0] * (n + 1)
+            for size, x in enumerate(have[i:end], 1):
+                old, row = row, [0]
+                for j, y in enumerate(wanted):
+                    row.append(old[j] + 1 if x == y else max(old[j + 1], row[j]))
+                different = max(n, size) - row[n]
+                if row[n] > old[n] and different <= most and (best is None or different < best[0]):
+                    best = (different, i, i + size)
+            if best:
+                out.append(best)
+        return out
 
     def match(self, block: str) -> list[Match]:
-        """Confirmed matches that don't overlap, those that save most first served, by place."""
+        """Confirmed matches that don't overlap, by place: least different first, then those that save most."""
         if block not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
-            found: list[Match] = []
-            for saved, k in self.ranked(block):
-                got = self.confirm(block, k)
-                if got and not any(got[0] < m.end and m.start < got[1] for m in found if m.different <= got[2]):
-                    found = [m for m in found if not (got[0] < m.end and m.start < got[1])]
-                    found.append(Match(self.each[k][0], got[0], got[1], saved, got[2]))
-            self.known[block] = sorted(found, key=lambda m: m.start)
+            spots = [m for m in _WORD.finditer(block) if not is_mark(block, m)]
+            have = [m[0].lower() for m in spots]
+            places = {k: got for k in range(len(self.each)) if (got := self.confirm(have, k))}
+            order = self.ranked(block) if places else []
+            all_places = [(d, rank, b - a, a, b, saved, k) for rank, (saved, k) in enumerate(order) for d, a, b in places.get(k, ())]
+            found: list[tuple] = []  # (first, end, match), by place
+            for d, _, _, a, b, saved, k in sorted(all_places):
+                at = bisect(found, a, key=lambda x: x[0])
+                if (at == 0 or found[at - 1][1] <= a) and (at == len(found) or b <= found[at][0]):
+                    found.insert(at, (a, b, Match(self.each[k][0], spots[a].start(), spots[b - 1].end(), saved, d)))
+            self.known[block] = [x[2] for x in found]
         return self.known[block]
 
 
-def blocks(text: str | None):
-    """(start, line) of the lines that have a cue word."""
-    if not text:
-        return
-    low = text.lower()
-    if not any(c in low for c in CUES):
-        return
-    at = 0
-    for line in text.split("\n"):
-        if any(c in line.lower() for c in CUES):
-            yield at, line
-        at += len(line) + 1
+def is_mark(text: str, word: re.Match) -> bool:
+    """Whether a word is a comment mark at the start of its line."""
+    return word[0].lower() in MARKS and not text[text.rfind("\n", 0, word.start()) + 1 : word.start()].strip()
+
+
+def start_before(text: str, at: int, words: int) -> int:
+    """The start of the word that stands so many words before a place, or of the text."""
+    size = 16 * words
+    while size < at:
+        found = list(_WORD.finditer(text, at - size, at))
+        if len(found) > words:  # the first may be cut
+            return found[-words].start()
+        size *= 2
+    found = list(_WORD.finditer(text, 0, at))
+    return found[-words].start() if len(found) > words else 0
+
+
+def blocks(text: str | None) -> tuple[int, list[tuple[int, str]]]:
+    """The number of lines where a cue begins, and (start, text) of the blocks around the cues.
+
+    A block goes REACH words to both sides of a cue, over line ends; those that meet are one.
+    """
+    low = text.lower() if text else ""
+    if not any(c in low for c in _RARE):
+        return 0, []
+    lines, line_end, spans = 0, -1, []
+    for cue in _CUE.finditer(text):
+        if cue.start() > line_end:
+            lines += 1
+            line_end = text.find("\n", cue.start())
+            line_end = len(text) if line_end < 0 else line_end
+        if spans and cue.start() <= spans[-1][1] + REACH:  # so many characters hold no more words
+            spans[-1][1] = cue.end()
+        else:
+            spans.append([cue.start(), cue.end()])
+    out: list[list[int]] = []
+    for first, last in spans:
+        a, b = start_before(text, first, REACH), last
+        for word in islice(_WORD.finditer(text, last), REACH + 1):  # the first may be the cue's rest
+            b = word.end()
+        if out and a <= out[-1][1]:
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    return lines, [(a, text[a:b]) for a, b in out]
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_blocks, n_licenses, licenses (id:start:end, comma-joined) and n_different of each row.
+    """doc_id, n_blocks (lines where a cue begins), n_licenses, licenses (id:start:end, comma-joined) and n_different of each row.
 
     Null and empty texts have no blocks. Offsets are code points, ends exclusive. A null doc_id
     stays null; repeated rows get equal results; whole texts are read, other columns are not.
@@ -132,10 +189,8 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         def step(batch: pa.RecordBatch) -> dict:
             out = {"doc_id": batch.column("doc_id"), "n_blocks": [], "n_licenses": [], "licenses": [], "n_different": []}
             for x in batch.column("text").to_pylist():
-                found, n = [], 0
-                for at, line in blocks(x):
-                    n += 1
-                    found += [(m, at) for m in matcher.match(line)]
+                n, around = blocks(x)
+                found = [(m, at) for at, block in around for m in matcher.match(block)]
                 out["n_blocks"].append(n)
                 out["n_licenses"].append(len(found))
                 out["licenses"].append(",".join(f"{m.license}:{at + m.start}:{at + m.end}" for m, at in found))

@@ -123,6 +123,34 @@ def test_licenses(spark):
     assert [got[i].n_licenses for i in (100, 101, 102, 103)] == [0, 0, 0, 0] and got[102].n_blocks == 1
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "REM ", "dnl ", "C     "])
+@pytest.mark.parametrize("width", [14, 40, 72])
+def test_wrapped_and_repeated_licenses(mark, width):
+    import textwrap
+
+    matcher = licenses.LicenseMatcher()
+    for name, wording in licenses.TEMPLATES:
+        notice = "\n".join(mark + x for x in textwrap.wrap(wording, width, break_long_words=False, break_on_hyphens=False))
+        text = f"def é():\n{notice}\n" + "\nx = 1" * 3 + f"\n{notice}\n{wording} {wording}\n" + "word " * 200 + notice
+        _, around = licenses.blocks(text)
+        found = [(m.license, text[at + m.start : at + m.end], m.different) for at, block in around for m in matcher.match(block)]
+        words = [w.lower() for w in licenses._WORD.findall(wording)]
+        assert [(n, d) for n, _, d in found] == [(name, 0)] * 5
+        assert all([w[0].lower() for w in licenses._WORD.finditer(x) if not licenses.is_mark(x, w)] == words for _, x, _ in found)
+
+
+def test_license_places_are_exact():
+    matcher = licenses.LicenseMatcher()
+    for k, (_, _, wanted) in enumerate(matcher.each):
+        most = licenses.MOST_DIFFERENT * len(wanted) // 100
+        for d in range(most + 2):
+            half = len(wanted) // 2
+            got = matcher.confirm(["x"] * 9 + wanted[:half] + ["y"] * d + wanted[half:] + ["x"], k)
+            assert (min(got)[0] == d) if d <= most else not got
+            got = matcher.confirm(wanted[: half - d] + wanted[half:], k)
+            assert (min(got)[0] == d) if d <= most else not got
+
+
 def test_scores_do_not_depend_on_batches():
     model = toxicity.SubwordModel(np.random.default_rng(1).normal(size=toxicity.BUCKETS), 0.1)
     texts = ["a b c", None, "b, c! d", "", "c c c c"]
