@@ -1,11 +1,12 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the average of the vectors of its character n-grams (with marks at its ends) and of
-itself, a text the average of its distinct words; two linear outputs and a softmax follow. Vectors and
+itself, a text the average of its words, each weighted by the square root of its count, so that what
+is said again and again in a long text counts; two linear outputs and a softmax follow. Vectors and
 outputs are trained together, in numpy, on the driver, from a bounded sample of labelled rows.
 A misspelled or inflected word shares most n-grams with its source, and so its vector.
 
-As all but the softmax is linear, a text's margin is the average of its words' margins; scoring
+As all but the softmax is linear, a text's margin is that average of its words' margins; scoring
 works out each distinct word of a batch once.
 """
 
@@ -31,7 +32,7 @@ EPOCHS, RATE, BATCH, DECAY = 7, 0.05, 64, 1e-5
 LEAST_STEPS = 700
 #: Vectors of n-grams in fewer texts of the sample stay zero.
 LEAST_TEXTS = 6
-#: Zero vectors that are averaged with a text's distinct words, so that a few words decide little.
+#: Zero vectors that are averaged with a text's words, so that a few words decide little.
 PADDING = 12
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -88,6 +89,12 @@ class SubwordModel:
         return np.concatenate(out)
 
 
+def rooted(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of words and the square roots of their counts."""
+    at, n = np.unique(at, return_counts=True)
+    return at, np.sqrt(n)
+
+
 def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, weights) of each text; the weights of a text with many words add up to almost 1."""
     known: dict[str, int] = {}
@@ -101,11 +108,11 @@ def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     starts = np.cumsum(counts) - counts
     out = []
     for at in spots:
-        at = np.unique(at)
+        at, root = rooted(at)
         n = counts[at]
         ends = np.cumsum(n)
         pick = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - n), n)
-        weight = np.repeat(1 / (len(at) + PADDING) / n, n)
+        weight = np.repeat(root / (root.sum() + PADDING) / n, n)
         bucket, inverse = np.unique(buckets[pick], return_inverse=True)
         out.append((bucket, np.bincount(inverse, weight, len(bucket)).astype(np.float32)))
     return out
@@ -189,8 +196,8 @@ class WordMargins(dict):
             self.word = np.append(self.word, [self.number.setdefault(w, len(self.number)) for w in words])
             self.values = np.append(self.values, self.model.word_margins(list(self.number)[known:]))
             self.fresh = []
-        places = [np.unique(self.word[at]) for at in places]
-        margin = np.array([self.values[at].sum() / (len(at) + PADDING) for at in places]) + self.model.bias
+        places = [rooted(self.word[at]) for at in places]
+        margin = np.array([self.values[at] @ root / (root.sum() + PADDING) for at, root in places]) + self.model.bias
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 

@@ -43,6 +43,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert held[held.toxic == 1].predicted.mean() > 0.5 and held[held.toxic == 0].predicted.mean() < 0.02
 
 
+def test_held_out_scores_and_long_texts(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    rows = docs.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id")))
+    got = toxicity.score_toxicity(rows.select(docs["*"]), toxicity.fit_on(docs, labels)).join(rows.select("doc_id", "toxic", F.size(F.split(F.trim("text"), r"\s+")).alias("n_words")), "doc_id").toPandas()
+    toxic, clean = got[got.toxic == 1], got[got.toxic == 0]
+    assert toxic.predicted.mean() > 0.7 and clean.predicted.mean() < 0.02 and clean.score.median() < 0.1
+    assert toxic[toxic.n_words > 1000].predicted.mean() > 0.8
+    # a word said again in a long text weighs more than one said once, as in training
+    model = toxicity.SubwordModel(np.random.default_rng(1).normal(size=toxicity.BUCKETS), 0.1)
+    rest = [f"w{i}" for i in range(1000)]
+    for text in (" ".join(rest + ["bad"]), " ".join(rest + ["bad"] * 100)):
+        (bucket, weight), score = toxicity.bags([text])[0], toxicity.WordMargins(model).scores([text])[0]
+        assert np.isclose(np.log(score / (1 - score)), model.margins[bucket] @ weight + model.bias, atol=1e-4)
+    once, often = (toxicity.WordMargins(model).scores([" ".join(rest + ["bad"] * n)])[0] for n in (1, 100))
+    assert once != often
+
+
 def test_toxicity_of_misspellings_and_odd_rows(spark):
     plain = ["ordinary words about houses and gardens number %d" % i for i in range(300)]
     nasty = [f"you {w} of a gardener number {i}" for i, w in enumerate(["blockhead", "blockheads", "nitwit", "nitwits"] * 75)]
