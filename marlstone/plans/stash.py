@@ -24,12 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stash:
-    """Writes frames as Parquet below the shared folder; ``drop`` removes what is no longer read."""
+    """Writes frames as Parquet below the shared folder; ``drop`` removes what is no longer read.
+
+    What a lazy result still reads can't be dropped by the operator that returns it: the driver
+    removes the rest when it ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/marlstone-{uuid.uuid4().hex}"
         self._n = 0
+        path, files = self._hadoop(self.root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _hadoop(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop, hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def put(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -42,6 +54,5 @@ class Stash:
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "stash_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            hadoop, files = self._hadoop(path)
+            files.delete(hadoop, True)
