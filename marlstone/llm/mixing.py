@@ -18,7 +18,7 @@ from marlstone.plans.stash import Stash
 
 BLOCK_WORDS = 16
 #: Rows of the whole table for each shard of a source.
-ROWS_A_SHARD = 6000
+ROWS_A_SHARD = 1500
 #: Quotients ranked on either side of the ideal number.
 MARGIN = 3
 WEIGHTS = (5, 2, 1)
@@ -72,14 +72,26 @@ def mix_sources(
 
     Null and blank texts have size 0 and are taken 0 words. A null source is a source of its own,
     the last; a null doc_id is a document like others. Rows that repeat are taken independently.
-    Other columns are not read; an empty table gives an empty result. Reruns agree: the order is
-    by hashes of the seed and the id, ties by id and size.
+    Other columns are not read; an empty table gives an empty result. Reruns agree: shards and
+    order are by hashes of the seed, the id and the text, ties by id and size.
     """
-    stash = Stash(docs.sparkSession)
-    thin = stash.put(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")))
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
+        F.xxhash64(F.col(text).cast("string")).alias("mark"),
+    )
+    return _mixed(rows, weights, most, block_words, seed, rows_a_shard).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mixed(rows: DataFrame, weights, most: int, block_words: int, seed: int, rows_a_shard: int) -> DataFrame:
+    """``rows`` (doc_id, source, size, mark and others) with source_size, target and taken.
+
+    The mark, a hash of what a row holds, deals out rows whose id is null or repeated.
+    """
+    stash = Stash(rows.sparkSession)
+    thin = stash.put(rows)
     n = thin.agg(F.count("*")).first()[0]
     shards = max(1, -(-n // rows_a_shard))
-    rows = thin.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)).cast("int"))
+    rows = thin.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "mark"), F.lit(shards)).cast("int"))
     by_shard = stash.put(rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")))
     goal = targets(by_shard.groupBy("source").agg(F.sum("shard_size").alias("source_size")), weights, most)
     total = F.sum("source_size").over(Window.partitionBy())
@@ -95,7 +107,7 @@ def mix_sources(
         "rest": F.when(F.col("shard_size") > 0, F.col("words") % F.col("shard_size")).otherwise(0).cast("long"),
         "start": F.when(run > 0, F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), run) * block_words).otherwise(0).cast("long"),
     }).withColumnsRenamed({"source": "_s", "shard": "_n"}).drop("blocks", "source_blocks", "words")
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id"), F.lit("order")), "doc_id", "size")
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id", "mark", F.lit("order")), "doc_id", "size", "mark")
     rows = rows.withColumn("to", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.col("to") - F.col("size"))
     rows = rows.join(quota, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_n")))
 
@@ -104,18 +116,28 @@ def mix_sources(
 
     end = F.col("start") + F.col("rest")
     extra = overlap(F.col("start"), F.least(end, F.col("shard_size"))) + overlap(F.lit(0).cast("long"), end - F.col("shard_size"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + extra).alias("taken"))
+    return rows.select(*thin.columns, "source_size", "target", (F.col("passes") * F.col("size") + extra).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most: int = 3,
+    block_words: int = BLOCK_WORDS, seed: int = 17, rows_a_shard: int = ROWS_A_SHARD,
+) -> DataFrame:
     """Whole documents of the mix: each row as often as what is taken of it, rounded, counts.
 
-    Rows whose rounded number is 0 go, others may come two or three times. Rows with a null
-    doc_id, which no row of the mix can be matched with, go. All columns of ``docs`` are kept.
+    Rows whose rounded number is 0 go, null and blank texts among them; others may come two or
+    three times. All columns of ``docs`` are kept, whatever their names. Rows are matched by two
+    hashes over all their columns, so a null or repeated doc_id is a row like others; rows equal in
+    every column come equally often. An empty table gives an empty result.
     """
-    column = options.get("doc_id", "doc_id")
-    taken = mix_sources(docs, **options).where("size > 0 and doc_id is not null")
-    copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    taken = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max(copies).alias("_copies")).where("_copies > 0")
-    out = docs.join(taken.hint("shuffle_hash"), F.col(column).cast("long") == F.col("_id"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    plain = [F.col(f"`{c}`").cast("string") if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    key = F.struct(F.xxhash64(*plain).alias("a"), F.xxhash64(F.lit(seed), *plain).alias("b"))
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
+        F.xxhash64(F.col(text).cast("string")).alias("mark"), key.alias("key"),
+    )
+    taken = _mixed(rows, weights, most, block_words, seed, rows_a_shard).where("size > 0")
+    taken = taken.groupBy("key").agg(F.floor(F.avg("taken") / F.max("size") + F.lit(0.5)).cast("int").alias("copies")).where("copies > 0")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    out = whole.join(taken.hint("shuffle_hash"), "key").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
