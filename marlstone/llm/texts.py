@@ -130,24 +130,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running_sums(values: Column, block: int = 256) -> Column:
-    """Sums of the values before each value of an array of long.
+def running(values: Column, merge: Callable[[Column, Column], Column], zero: Column, block: int = 256) -> Column:
+    """``merge`` of ``zero`` and the values before each value of an array of long.
 
     In blocks, so that the arrays that grow stay short: n * block + (n / block) ** 2 copies, not n ** 2.
     """
-    zero = F.lit(0).cast("long")
 
     def short(v: Column, first: Column) -> Column:
-        start = F.struct(F.array().cast("array<bigint>").alias("sums"), first.alias("now"))
-        step = lambda a, x: F.struct(F.concat(a["sums"], F.array(a["now"])).alias("sums"), (a["now"] + x).alias("now"))
-        return F.aggregate(v, start, step)["sums"]
+        start = F.struct(F.array().cast("array<bigint>").alias("out"), first.alias("now"))
+        step = lambda a, x: F.struct(F.concat(a["out"], F.array(a["now"])).alias("out"), merge(a["now"], x).alias("now"))
+        return F.aggregate(v, start, step)["out"]
 
     def blocks(v: Column) -> Column:
         many = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / block).cast("int") - 1, F.lit(0)))
         return F.transform(many, lambda i: F.slice(v, i * block + 1, block))
 
     def of_blocks(parts: Column) -> Column:
-        whole = F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: a + x))
+        whole = F.transform(parts, lambda p: F.aggregate(p, zero, merge))
         return let(short(whole, zero), lambda firsts: F.flatten(F.transform(parts, lambda p, i: short(p, F.element_at(firsts, i + 1)))))
 
     return let(values, lambda v: let(blocks(v), of_blocks))
+
+
+def running_sums(values: Column, block: int = 256) -> Column:
+    """Sums of the values before each value of an array of long."""
+    return running(values, lambda a, x: a + x, F.lit(0).cast("long"), block)
