@@ -18,8 +18,8 @@ link when 100 * intersection >= percent * union. Four steps:
    traverses the tree: the overlap with a path is counted once for all sets below it, subtrees
    are pruned by the lengths that remain, and subtrees already known to be in the set's own
    component are skipped. A cluster of more than ``block_tokens`` n-grams is cut into blocks by
-   set size, and every pair of blocks whose sizes can link is a task of its own; so no task is
-   unbounded and no link between components is lost.
+   set size, and within one size by hash, and every pair of blocks whose sizes can link is a task of
+   its own; so no task is unbounded and no link between components is lost.
 4. Connected components of the links found give the result.
 """
 
@@ -36,8 +36,11 @@ from marlstone.llm.texts import WordHashes, map_rows, mixed, shingles, words
 from marlstone.operators.components import connected_components
 from marlstone.plans.stash import Stash
 
-#: n-grams of one block of a cluster that is too large for one task.
-BLOCK_TOKENS = 3_000_000
+#: n-grams of one block of a cluster that is too large for one task, about.
+BLOCK_TOKENS = 500_000
+#: One class in so many shows which n-grams are frequent; those above FREQUENT in that sample, or above
+#: its n-grams divided by MOST_FREQUENT, which bounds their number, are dealt out in SALTS parts.
+SAMPLED_CLASSES, FREQUENT, MOST_FREQUENT, SALTS = 32, 12, 50_000, 64
 
 
 def ngram_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
@@ -188,14 +191,25 @@ def ngram_jaccard_components(
 
         def step(batch: pa.RecordBatch) -> dict:
             sets = [ngram_set(x, n, hashes) for x in batch.column("text").to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "n_shingles": [len(x) for x in sets], "key": [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]}
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+            some = [k is not None and k[0] % SAMPLED_CLASSES == 0 for k in keys]
+            return {
+                "doc_id": batch.column("doc_id"),
+                "n_shingles": [len(x) for x in sets],
+                "key": keys,
+                "sample": [sent_tokens(x, percent)[1].view(np.int64) if shown else None for x, shown in zip(sets, some)],
+            }
 
         return step
 
-    base = stash.put(map_rows(docs, "doc_id long, n_shingles long, key binary", sizes))
+    base = stash.put(map_rows(docs, "doc_id long, n_shingles long, key binary, sample array<long>", sizes))
     classes = stash.put(
         base.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     )
+    sampled = base.where("sample is not null").groupBy("key").agg(F.first("sample").alias("sample"))
+    seen = stash.put(sampled.select(F.explode("sample").alias("token")).groupBy("token").agg(F.count("*").alias("seen")))
+    least = max(FREQUENT, -(-(seen.agg(F.sum("seen")).first()[0] or 0) // MOST_FREQUENT))
+    frequent = seen.where(F.col("seen") >= least).select("token", (F.col("seen") * SAMPLED_CLASSES).alias("often"))  # MOST_FREQUENT rows at most
 
     def prefixes():
         hashes = WordHashes()
@@ -216,22 +230,32 @@ def ngram_jaccard_components(
     sent = sent.join(classes.select("rep").distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
     sent = sent.select("rep", "counted", "room", F.posexplode("tokens").alias("at", "token"))
     sent = sent.select("rep", "token", (F.col("at") < F.col("counted")).alias("is_counted"), "counted", "room")
-    holders = F.count("*").over(Window.partitionBy("token"))
-    shared = sent.withColumn("holders", holders).where("holders > 1")
+    sent = sent.join(F.broadcast(frequent), "token", "left").withColumn("salt", F.when(F.col("often").isNotNull(), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0))
+    part = Window.partitionBy("token", "salt")
+    shared = sent.withColumn("holders", F.coalesce("often", F.count("*").over(part))).where("holders > 1")
     # texts with one doc_id and equal lengths are ranked as one, which only lengthens their prefixes
     own = Window.partitionBy("rep", "counted", "room")
     rank = F.row_number().over(own.orderBy(F.desc("is_counted"), "holders", "token"))
     alone = F.col("counted") - F.count(F.when(F.col("is_counted"), 1)).over(own)
     prefix = shared.withColumn("rank", rank).withColumn("alone", alone).where("not is_counted or rank + alone <= room")
-    meet = Window.partitionBy("token")
-    ties = prefix.select("rep", F.min("rep").over(meet).alias("least")).where("rep != least").distinct()
+    met = prefix.select("rep", "token", "often", F.min("rep").over(part).alias("least"))
+    met = stash.put(met.where("rep != least or often is not null"))
+    firsts = met.where("often is not null").groupBy("token", "least").count()  # SALTS rows of a token at most
+    firsts = firsts.select(F.col("least").alias("rep"), F.min("least").over(Window.partitionBy("token")).alias("least"))
+    ties = met.select("rep", "least").unionByName(firsts).where("rep != least").distinct()
     clusters = connected_components(ties, "rep", "least").withColumnsRenamed({"node": "rep", "component": "cluster"})
+    stash.drop(met)
+    stash.drop(seen)
 
-    order = Window.partitionBy("cluster").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, -1)
     largest = classes.groupBy("rep").agg(F.max("n").alias("n"))
-    placed = stash.put(
-        clusters.join(largest, "rep").withColumn("block", F.floor(F.coalesce(F.sum("n").over(order), F.lit(0)) / block_tokens).cast("int"))
-    )
+    members = stash.put(clusters.join(largest, "rep"))
+    # a block is a run of n-grams in order of size; sets of one size are dealt along their part of it by hash
+    of_size = members.groupBy("cluster", "n").agg(F.sum("n").alias("long"))
+    order = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    of_size = of_size.withColumn("before", F.coalesce(F.sum("long").over(order), F.lit(0)))
+    at = F.col("before") + F.pmod(F.xxhash64("rep"), F.col("long"))
+    placed = stash.put(members.join(of_size, ["cluster", "n"]).select("rep", "cluster", "n", F.floor(at / block_tokens).cast("int").alias("block")))
+    stash.drop(members)
     block = placed.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = block.select("cluster", F.col("block").alias("block2"), F.col("low").alias("low2"))
     # (block, block2): the sets of block2 are no smaller, and a pair may link
@@ -247,7 +271,10 @@ def ngram_jaccard_components(
         .groupBy("cluster", "a", "b")
         .applyInArrow(_cluster_links(n, percent), "src long, dst long")
     )
-    joined = connected_components(stash.put(links), "src", "dst").withColumnsRenamed({"node": "rep"})
+    links = stash.put(links)
+    joined = connected_components(links, "src", "dst").withColumnsRenamed({"node": "rep"})
+    stash.drop(links)
+    stash.drop(placed)
     known = classes.join(joined, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     found = base.join(known, "key", "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
@@ -277,9 +304,12 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", **options) -> Dat
     """
     stash = Stash(docs.sparkSession)
     found = ngram_jaccard_components(docs, doc_id=doc_id, **options)
-    stay = stash.put(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_id"))
-    kept = docs.join(stay.hint("shuffle_hash"), F.col(doc_id).cast("long") == F.col("_id"))
-    if not stay.where("_n > 1").isEmpty():
-        same = Window.partitionBy("_id").orderBy(*[c for c, kind in docs.dtypes if not kind.startswith("map")])
-        kept = kept.withColumn("_n", F.row_number().over(same)).where("_n = 1")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+    stay = stash.put(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
+    kept = whole.join(stay.hint("shuffle_hash"), "doc_id")
+    if not stay.where("n > 1").isEmpty():
+        plain = [F.col("row").getField(c).cast("string") if "map<" in kind else F.col("row").getField(c) for c, kind in docs.dtypes]
+        same = Window.partitionBy("doc_id").orderBy(*plain)
+        kept = kept.withColumn("n", F.row_number().over(same)).where("n = 1")
+    kept = kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.unionByName(docs.where(F.col(doc_id).isNull()))

@@ -122,3 +122,20 @@ def test_odd_rows(spark):
     assert sorted((x.doc_id or -1, x.n_shingles, x.component_id or -1) for x in got) == [(-1, 2, -1), (2, 2, 2), (4, 2, 2), (4, 2, 2)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert J.ngram_jaccard_components(empty).count() == 0
+
+
+def test_frequent_ngrams_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(J, "FREQUENT", 1)
+    monkeypatch.setattr(J, "SALTS", 3)
+    rows = corpus(77, 500)
+    got = J.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=2, percent=60, block_tokens=300)
+    assert {tuple(x) for x in got.collect()} == brute(rows, 2, 60)
+
+
+def test_very_long_text_and_its_near_copy(spark):
+    r = random.Random(12)
+    long = [f"l{r.randrange(5000)}" for _ in range(150_000)]
+    near = long[:75_000] + ["new"] + long[75_000:]
+    rows = [(9, " ".join(long)), (4, " ".join(near)), (6, " ".join(long[:70_000])), (7, "short")]
+    got = J.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {x.doc_id: x.component_id for x in got} == {9: 4, 4: 4, 6: 6, 7: 7}
