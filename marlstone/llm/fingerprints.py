@@ -1,14 +1,21 @@
-"""Document fingerprints: a Merkle tree over phrases, paragraphs and sections, in Spark expressions.
-
-A paragraph is a line; its hash is the SHA-256 of its text. Paragraphs are gathered into sections,
-which end at a blank paragraph or where a paragraph's own hash says so, so an edit moves no
-boundary but its own. A section's hash covers the hashes of its paragraphs, the root those of the
-sections: equal roots mean equal texts, and where roots differ, the sections and paragraphs that
-differ locate the edits. Below the paragraphs, phrases (runs of words that end after a word with
-certain last characters) give leaves so small that likeness can be told for short texts, too.
-
-A fingerprint is the string root:sections:paragraphs:phrases, each list joined by dots. Sections
-have 16, paragraphs 8 hex digits of their hashes; phrases have 24 bits of theirs.
+"""Document fingerprints: a Merkle tree over words, paragraphs and sections, in Spark expressions.
+
+A paragraph is a line; its hash covers the hashes of its words (with the white space after them; long
+ones in pieces). Paragraphs are gathered into sections, which end at a blank paragraph or where a
+paragraph's own hash says so, so an edit moves no boundary but its own. A section's hash covers those
+of its paragraphs, the root those of the sections and the SHA-256 of the text: equal roots mean
+equal texts, and where roots differ, the sections and paragraphs that differ locate the edits.
+
+Words are too many to keep. Below each paragraph stand the hashes of its pieces: runs of words that
+end where the hash of two neighbouring words says so, after 64 words at the latest. How long pieces
+are goes by the length of the text, in three levels: four characters (``f``, texts of up to 300), some 4
+words (``m``, 150 to 1600) and some 12 words (``c``, 800 and more). The ranges overlap, so two texts share
+a level unless one has more than twice the characters of the other, about; where they share none their
+likeness is 0. Likeness goes down from the root and looks only into the branches that differ.
+
+A fingerprint is the string root:levels|section|section..., a section hash;paragraph;paragraph..., a
+paragraph hash,pieces,pieces,pieces (by level, joined by dots). Hashes are kept whole: 256 bits for the root
+(hex), 128 for sections and paragraphs, 64 for pieces (base64).
 """
 
 from __future__ import annotations
@@ -20,50 +27,132 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.texts import constant, let
 
-#: A phrase ends after a word that ends in one of these.
-PHRASE_END = "[.,;:!?*%&#|0-4dgnsty]"
-_PHRASES = f"(?<={PHRASE_END})[\\x20\\x09-\\x0D]+"
+#: (letter, least and most code points of the texts, neighbouring words that end a piece: one in so many)
+LEVELS = (("f", 0, 300, 1), ("m", 150, 1600, 4), ("c", 800, 2**31 - 1, 12))
+#: Words and, in scripts without spaces, pieces of them.
+_WORDS = r"\S{1,16}\s*|\s+"
+_PIECES = r"(?:[^.|]{11}\.){0,63}[^.|]{11}[.|]"
+#: A section ends after a paragraph whose hash begins with one of these: one in eight.
+_SECTION_ENDS = "ABCDEFGH"
 #: Buckets of neighbouring documents for each shuffle partition.
 BUCKETS_A_PARTITION = 8
 _LEAST = -(2**63)
 
 
+def _hash64(x: Column) -> Column:
+    return F.substring(F.base64(F.unhex(F.lpad(F.hex(F.xxhash64(x)), 16, "0"))), 1, 11)
+
+
+def _hash128(x: Column) -> Column:
+    return F.substring(F.base64(F.unhex(F.md5(x.cast("binary")))), 1, 22)
+
+
+def _paragraph(paragraph: Column, size: Column) -> Column:
+    """hash,pieces,pieces,pieces of a paragraph of a text of ``size`` code points; ends in | if it ends its section."""
+
+    def of_words(words: Column) -> Column:
+        def of_hashes(hashes: Column) -> Column:
+            def pieces(least: int, most: int, one_in: int) -> Column:
+                if one_in == 1:
+                    found = F.regexp_extract_all(paragraph, F.lit("(?s).{1,4}"), F.lit(0))
+                else:
+                    before = lambda i: F.when(i > 0, F.element_at(words, i)).otherwise("")
+                    end = lambda i: F.when(F.pmod(F.xxhash64(before(i), F.element_at(words, i + 1)), F.lit(one_in)) == 0, "|").otherwise(".")
+                    found = F.regexp_extract_all(F.array_join(F.transform(hashes, lambda h, i: F.concat(h, end(i))), ""), F.lit(_PIECES), F.lit(0))
+                return F.when((size >= least) & (size <= most), F.array_join(F.transform(found, _hash64), ".")).otherwise("")
+
+            name = _hash128(F.array_join(hashes, "."))
+            ends = (F.size(words) == 0) | F.lit(_SECTION_ENDS).contains(F.substring(name, 1, 1))
+            return F.concat(F.concat_ws(",", name, *[pieces(*x[1:]) for x in LEVELS]), F.when(ends, "|").otherwise(""))
+
+        return let(F.transform(words, _hash64), of_hashes)
+
+    return let(F.regexp_extract_all(paragraph, F.lit(_WORDS), F.lit(0)), of_words)
+
+
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text; null counts as the empty text."""
-    text = F.coalesce(text, F.lit(""))
-    blank = F.sha2(F.lit("").cast("binary"), 256)
-    hashes = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p.cast("binary"), 256))
-    phrases = F.transform(
-        F.split(text, _PHRASES), lambda p: F.hex(F.xxhash64(p).bitwiseAND(F.lit(0xFFFFFF)).bitwiseOR(F.lit(0x1000000)))
-    )
-
-    def levels(h: Column) -> Column:
-        ended = F.transform(h, lambda x: F.when((F.substring(x, 1, 1) < "2") | (x == blank), F.concat(x, F.lit("|"))).otherwise(x))
-        sections = F.transform(F.split(F.array_join(ended, "."), r"\|\.?"), lambda s: F.sha2(s.cast("binary"), 256))
-        paragraphs = F.array_join(F.transform(h, lambda x: F.substring(x, 1, 8)), ".")
+
+    def of_text(x: Column) -> Column:
+        size = F.length(x)
+        paragraphs = let(size, lambda n: F.transform(F.split(x, "\n", -1), lambda p: _paragraph(p, n)))
+        joined = F.filter(F.split(F.array_join(paragraphs, ";"), r"\|;?"), lambda s: s != "")
+        sections = F.transform(joined, lambda s: F.concat_ws(";", _hash128(F.regexp_replace(s, ",[^;]*", "")), s))
+        names = lambda found: F.array_join(F.transform(found, lambda s: F.substring(s, 1, 22)), ".")
+        levels = F.concat(*[F.when((size >= a) & (size <= b), name).otherwise("") for name, a, b, _ in LEVELS])
         return let(
             sections,
-            lambda s: F.concat_ws(
-                ":", F.sha2(F.array_join(s, ".").cast("binary"), 256), F.array_join(F.transform(s, lambda x: F.substring(x, 1, 16)), "."), paragraphs
+            lambda found: F.concat(
+                F.sha2(F.concat_ws(":", F.sha2(x.cast("binary"), 256), names(found)).cast("binary"), 256), F.lit(":"), levels, F.lit("|"), F.array_join(found, "|")
             ),
         )
 
-    return F.concat_ws(":", let(hashes, levels), F.array_join(phrases, "."))
+    return let(F.coalesce(text, F.lit("")), of_text)
+
+
+def _sections(fingerprint: Column) -> Column:
+    return F.slice(F.split(fingerprint, r"\|"), 2, F.lit(2**30))
+
+
+def _paragraphs(section: Column) -> Column:
+    return F.slice(F.split(section, ";"), 2, F.lit(2**30))
+
+
+def _at_level(fingerprint: Column, level: int) -> Column:
+    """Sections as hash,pieces;hash,pieces... with the pieces of one level."""
+    one = lambda p: F.concat_ws(",", F.split_part(p, F.lit(","), F.lit(1)), F.split_part(p, F.lit(","), F.lit(level + 2)))
+    return F.transform(_sections(fingerprint), lambda s: F.array_join(F.transform(_paragraphs(s), one), ";"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared phrases of two fingerprints as a share of all (Dice); 1 for equal roots, null if either is null."""
-    x, y = (F.array_distinct(F.split(F.substring_index(c, ":", -1), r"\.")) for c in (a, b))
-    shared = let(F.struct(x.alias("x"), y.alias("y")), lambda s: F.size(F.array_intersect(s["x"], s["y"])) * 2.0 / (F.size(s["x"]) + F.size(s["y"])))
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.lit(1.0)).otherwise(shared)
+    """Shared pieces of two fingerprints as a share of all (Dice); 1 for equal roots, null if either is null.
+
+    Equal sections count whole, then equal paragraphs of the sections that differ, then equal pieces of
+    the paragraphs that differ, each once however often it stands there.
+    """
+
+    def apart(s: Column, then) -> Column:
+        """``then`` of what is equal in s.x and s.y, and of a struct x, y of the rest."""
+        rest = F.struct(F.array_except(s["x"], s["y"]).alias("x"), F.array_except(s["y"], s["x"]).alias("y"))
+        return let(F.struct(F.array_intersect(s["x"], s["y"]).alias("same"), rest.alias("rest")), lambda r: then(r["same"], r["rest"]))
+
+    def down(rest: Column, of) -> Column:
+        return F.struct(of(rest["x"]).alias("x"), of(rest["y"]).alias("y"))
+
+    def paragraphs(sections: Column) -> Column:
+        return F.flatten(F.transform(sections, lambda s: F.split(s, ";")))
+
+    def pieces(found: Column) -> Column:
+        return F.flatten(F.transform(found, lambda p: F.filter(F.split(F.split_part(p, F.lit(","), F.lit(2)), r"\."), lambda x: x != "")))
+
+    def share(n: Column, same: Column, rest: Column) -> Column:
+        shared = 2.0 * (n + F.size(same))
+        return F.when(shared > 0, shared / (shared + F.size(rest["x"]) + F.size(rest["y"]))).otherwise(0.0)
+
+    def at(level: int) -> Column:
+        return let(
+            F.struct(_at_level(a, level).alias("x"), _at_level(b, level).alias("y")),
+            lambda s: apart(s, lambda same1, rest1: let(
+                down(rest1, paragraphs),
+                lambda p: apart(p, lambda same2, rest2: let(
+                    down(rest2, pieces),
+                    lambda q: apart(q, lambda same3, rest3: share(F.size(pieces(paragraphs(same1))) + F.size(pieces(same2)), same3, rest3)),
+                )),
+            )),
+        )
+
+    has = lambda x, name: F.substring_index(F.substring(x, 66, len(LEVELS) + 1), "|", 1).contains(name)
+    out = F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.lit(1.0))
+    for level in reversed(range(len(LEVELS))):
+        out = out.when(has(a, LEVELS[level][0]) & has(b, LEVELS[level][0]), at(level))
+    return F.when(a.isNotNull() & b.isNotNull(), out.otherwise(0.0))
 
 
 def changed(a: Column, b: Column, level: str = "paragraphs") -> Column:
     """0-based places of the sections or paragraphs of ``b`` that ``a`` doesn't hold."""
-    k = F.lit({"sections": 2, "paragraphs": 3}[level])
-    x, y = (F.split(F.split_part(c, F.lit(":"), k), r"\.") for c in (a, b))
-    at = F.transform(y, lambda h, i: F.when(~F.array_contains(x, h), i))
-    return F.filter(at, lambda i: i.isNotNull())
+    name = {"sections": _sections, "paragraphs": lambda c: F.flatten(F.transform(_sections(c), _paragraphs))}[level]
+    x, y = (F.transform(name(c), lambda s: F.substring(s, 1, 22)) for c in (a, b))
+    return let(x, lambda held: F.filter(F.transform(y, lambda h, i: F.when(~F.array_contains(held, h), i)), lambda i: i.isNotNull()))
 
 
 def _firsts(rows: DataFrame, buckets: int) -> list[int]:
@@ -119,7 +208,7 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Null counts as the empty text, whose edit is itself. A null doc_id stands before all others.
     Rows that repeat a doc_id follow each other by text; repeated rows are each other's next.
-    Other columns are not read. Texts are taken whole.
+    Other columns are not read; an empty table gives an empty result. Texts are taken whole.
     """
     rows = with_next(docs, doc_id, text, {"fingerprint": fingerprint(F.col("text"))})
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
