@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
-A candidate block (the words around a cue, over line ends and comment marks) is compressed by
-zstandard alone and with each license wording as a raw-content dictionary. Every place of a wording
-is confirmed by the exact differences between its words and the block's. Of places that overlap the
-least different stays; of equal ones that of the wording which shrinks the block most, and so
-explains it best.
+A candidate block is what stands around a cue, over line ends and comment marks. Its words are cut into
+windows about twice as long as the wordings of a size; each window is compressed by zstandard alone and
+with each of these wordings as a raw-content dictionary. Wordings are ranked by the bytes they save, as a
+share of their own, and the best of each window are confirmed by the exact differences between their
+words and the window's, at every place. Of places that overlap the one with most words in common, less
+three for each difference, stays.
 """
 
 from __future__ import annotations
@@ -39,10 +40,28 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "Released under CC0 1.0 Universal, public domain dedication."),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+        "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
 )
-CUES = ("licens", "licenc", "permission is hereby", "redistribution and use", "public license", "creative commons", "public domain", "terms of the")
+CUES = ("licens", "licenc", "permission is hereby", "redistribution and use", "public license", "creative commons", "public domain", "terms of the", "permission to use", "software is provided", "redistributions of source")
 #: Share of a wording's words that may be missing, changed or broken up by others, in hundredths.
 MOST_DIFFERENT = 10
+#: Wordings of a window that are confirmed: so many, and all that save as much as this share of the best.
+FEW, GOOD = 5, 0.5
 
 #: Words that open a line of a comment; marks without letters or digits are no words.
 MARKS = frozenset(("rem", "dnl", "c"))
@@ -60,7 +79,7 @@ class Match:
     license: str
     start: int  # code points within the block
     end: int
-    saved: int  # bytes that the dictionary saved
+    saved: float  # bytes that the dictionary saved, as a share of the wording
     different: int  # words
 
 
@@ -72,17 +91,33 @@ class LicenseMatcher:
         self.plain = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
         self.each = []
         for name, wording in templates:
-            raw = zstandard.ZstdCompressionDict(wording.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words = [m[0] for m in _WORD.finditer(wording.lower())]
+            raw = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             packer = zstandard.ZstdCompressor(level=3, dict_data=raw, write_checksum=False, write_content_size=False, write_dict_id=False)
-            self.each.append((name, packer, [m[0] for m in _WORD.finditer(wording.lower())]))
-
-    def ranked(self, block: str) -> list[tuple[int, int]]:
-        """(bytes saved, number of the template), best first; ties by the order of templates."""
-        raw = block.lower().encode("utf-8", "replace")
+            self.each.append((name, packer, words))
+        sizes: dict[int, list[int]] = {}
+        for k, (_, _, words) in enumerate(self.each):
+            sizes.setdefault(len(words).bit_length(), []).append(k)
+        self.groups = list(sizes.values())
+
+    def ranked(self, words: list[str], group: list[int]) -> list[tuple[float, int]]:
+        """(bytes saved as a share of the wording's, number of the wording), best first; ties by the order of wordings."""
+        raw = " ".join(words).encode("utf-8", "replace")
         alone = len(self.plain.compress(raw))
-        saved = [(alone - len(packer.compress(raw)), k) for k, (_, packer, _) in enumerate(self.each)]
+        saved = [((alone - len(self.each[k][1].compress(raw))) / len(" ".join(self.each[k][2])), k) for k in group]
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
+    def winners(self, words: list[str], group: list[int]) -> list[tuple[float, int]]:
+        order = self.ranked(words, group)
+        return [x for i, x in enumerate(order) if i < FEW or x[0] >= GOOD * order[0][0]]
+
+    def windows(self, have: list[str], group: list[int]):
+        """(first word, words) of windows that overlap so far that every place of a wording lies in one."""
+        longest = max(len(self.each[k][2]) for k in group)
+        longest += MOST_DIFFERENT * longest // 100
+        for at in range(0, max(1, len(have) - longest), longest):
+            yield at, have[at : at + 2 * longest]
+
     def confirm(self, have: list[str], k: int) -> list[tuple[int, int, int]]:
         """(different words, first, end) of every place of the words where the template's are near enough.
 
@@ -111,17 +146,22 @@ class LicenseMatcher:
         return out
 
     def match(self, block: str) -> list[Match]:
-        """Confirmed matches that don't overlap, by place: least different first, then those that save most."""
+        """Confirmed matches that don't overlap, by place."""
         if block not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
             spots = [m for m in _WORD.finditer(block) if not is_mark(block, m)]
             have = [m[0].lower() for m in spots]
-            places = {k: got for k in range(len(self.each)) if (got := self.confirm(have, k))}
-            order = self.ranked(block) if places else []
-            all_places = [(d, rank, b - a, a, b, saved, k) for rank, (saved, k) in enumerate(order) for d, a, b in places.get(k, ())]
+            places: dict[tuple, float] = {}
+            for group in self.groups:
+                for at, part in self.windows(have, group):
+                    for saved, k in self.winners(part, group):
+                        for d, a, b in self.confirm(part, k):
+                            key = (at + a, at + b, k, d)
+                            places[key] = max(saved, places.get(key, saved))
             found: list[tuple] = []  # (first, end, match), by place
-            for d, _, _, a, b, saved, k in sorted(all_places):
+            worth = lambda x: (4 * x[0][3] - len(self.each[x[0][2]][2]), x[0][3], -x[1], x[0])
+            for (a, b, k, d), saved in sorted(places.items(), key=worth):
                 at = bisect(found, a, key=lambda x: x[0])
                 if (at == 0 or found[at - 1][1] <= a) and (at == len(found) or b <= found[at][0]):
                     found.insert(at, (a, b, Match(self.each[k][0], spots[a].start(), spots[b - 1].end(), saved, d)))
@@ -180,7 +220,8 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """doc_id, n_blocks (lines where a cue begins), n_licenses, licenses (id:start:end, comma-joined) and n_different of each row.
 
     Null and empty texts have no blocks. Offsets are code points, ends exclusive. A null doc_id
-    stays null; repeated rows get equal results; whole texts are read, other columns are not.
+    stays null; repeated rows get equal results; an empty table gives an empty result. Of wordings
+    that tie the first listed counts. Whole texts are read, other columns are not.
     """
 
     def make():
