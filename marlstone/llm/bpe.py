@@ -1,8 +1,8 @@
 """BPE encoding and decoding with a public vocabulary, by a pair occurrence index.
 
-The distinct words of a partition are laid out as one array of symbols linked to their
-neighbours. An index maps the rank of each mergeable pair to all its positions in the whole
-partition; the active ranks are applied in ascending order, each at all its positions at once,
+A partition is taken on in slices of bounded size, so that memory is. The distinct words of a
+slice that are not remembered from earlier ones are laid out as one array of symbols linked to
+their neighbours. An index maps the rank of each mergeable pair to all its positions in it; the active ranks are applied in ascending order, each at all its positions at once,
 and the lists of the pairs at either side of a merge are updated. A pair that a merge makes can
 only be applied later, so this gives what merging each word on its own by least rank gives.
 """
