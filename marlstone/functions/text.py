@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
+
 # Words that carry no subject.
-STOP_WORDS = "the a an and or but in on at to for of with by is are was were be been this that it as from".split()
+STOP_WORDS = (
+    "the a an and or but in on at to for of with by is are was were be been being have has had do does did will would could should may "
+    "might must can this that these those i you he she it we they me him her us them"
+).split()
+# The shorter list of content checks.
+CONTENT_STOP_WORDS = "the a an and or but in on at to for of with by is are was were be been have has had do does did will would could should".split()
+# The lists of question histories and of code questions, with their limits.
+HISTORY_STOP_WORDS = "的 是 在 有 和 the is in and a an".split()
+CODE_STOP_WORDS = "是 的 在 了 和 有 这 个 我 你 他 is the in of and a to how what where 什么 如何 怎么 哪里 为什么".split()
 
 
 def tokens(text: Column) -> Column:
@@ -15,18 +26,96 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def keywords(text: Column, most: int = 10, least_length: int = 3) -> Column:
-    """The first distinct tokens that are long enough and no stop words."""
-    kept = F.filter(F.array_distinct(tokens(text)), lambda t: (F.length(t) >= least_length) & ~t.isin(STOP_WORDS))
+def stripped(text: Column) -> Column:
+    """Without white space at either end; trim alone takes blanks only."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def first_words(text: Column, stop: list[str], longer_than: int, most: int) -> Column:
+    """The first words, parted by white space, that are long enough and no stop words."""
+    kept = F.filter(F.split(stripped(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: (F.length(w) > longer_than) & ~w.isin(stop))
     return F.slice(kept, 1, most)
 
 
+def top_terms(docs: DataFrame, key: str, terms: Column, most: int = 10, least_count: int = 1) -> DataFrame:
+    """(key, terms): the most frequent terms of each row's array, ties by first place; rows without any have an empty array."""
+    rows = docs.select(key, F.posexplode(terms).alias("place", "term"))
+    counts = rows.groupBy(key, "term").agg(F.count("*").alias("n"), F.min("place").alias("place")).where(F.col("n") >= least_count)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "place"))
+    best = counts.withColumn("rank", rank).where(F.col("rank") <= most)
+    best = best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("best"))
+    found = docs.select(key).distinct().join(best, key, "left")
+    return found.select(key, F.coalesce(F.col("best.term"), F.array().cast("array<string>")).alias("terms"))
+
+
+def keyword_tokens(text: Column, stop: list[str] = STOP_WORDS, least_length: int = 3) -> Column:
+    return F.filter(tokens(text), lambda t: (F.length(t) >= least_length) & ~t.isin(stop))
+
+
+def content_tokens(text: Column, lang: str) -> Column:
+    """What content checks count: runs of two to four Chinese characters, or Latin words of two to ten letters."""
+    if lang == "zh":
+        return F.regexp_extract_all(text, F.lit(r"[\x{4e00}-\x{9fff}]{2,4}"), F.lit(0))
+    return F.filter(tokens(text), lambda t: t.rlike("^[a-z]{2,10}$") & ~t.isin(CONTENT_STOP_WORDS))
+
+
 def clean_text(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}\s.,!?;:()'\"-]", ""), r"\s+", " "))
+    """White space collapsed; letters, digits, _ and common punctuation stay. Null gives the empty text."""
+    kept = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"[^\p{L}\p{N}_ .,!?;:()\[\]{}\"'-]", "")
+    return F.coalesce(stripped(kept), F.lit(""))
+
+
+def bare_text(text: Column) -> Column:
+    """Letters, digits, _ and single blanks only."""
+    return stripped(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"[.!?]+"), F.trim), lambda s: s != "")
+    """What stands between full stops, exclamation and question marks; blank pieces go, null has none."""
+    parts = F.transform(F.split(text, r"[.!?]+"), lambda s: stripped(s))
+    return F.coalesce(F.filter(parts, lambda s: s != ""), F.array().cast("array<string>"))
+
+
+def noise_key(text: Column) -> Column:
+    """Without digits, white space collapsed, lower case: headers and footers of pages agree in it."""
+    return F.lower(stripped(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\d+", ""), r"\s+", " ")))
+
+
+def is_decorative(text: Column) -> Column:
+    """Blank, of two characters at most, or of two different characters at most."""
+    t = stripped(F.coalesce(text, F.lit("")))
+    return (F.length(t) <= 2) | (F.size(F.array_distinct(F.split(t, ""))) <= 2)
+
+
+# How a table of contents begins, and its lines with leaders.
+CONTENTS_PREFIXES = ("目录", "tableofcontents")
+CONTENTS_LINE = r"[.·…]{2,}\s*\d+"
+
+
+def is_contents(text: Column) -> Column:
+    """Whether a text is a table of contents: by its first line, or two lines with leaders."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: stripped(x)), lambda x: x != "")
+    first = F.coalesce(F.get(lines, 0), F.lit(""))
+    named = F.lower(F.replace(first, F.lit(" "), F.lit(""))).rlike("^(" + "|".join(CONTENTS_PREFIXES) + ")")
+    return named | first.rlike(CONTENTS_LINE) | (F.size(F.filter(lines, lambda x: x.rlike(CONTENTS_LINE))) >= 2)
+
+
+def entity_name(name: Column) -> Column:
+    """Trimmed, without characters other than letters, digits, white space, _, - and full stops."""
+    return F.regexp_replace(stripped(name), r"[^\p{L}\p{N}_\s.-]", "")
+
+
+def search_text(text: Column, most: int = 100) -> Column:
+    """A query as the text encoder takes it: white space collapsed, cut, lower case."""
+    t = F.regexp_replace(stripped(F.coalesce(text, F.lit(""))), r"\s+", " ")
+    return F.lower(F.regexp_replace(F.substring(t, 1, most), r"\s+$", ""))
+
+
+def masked(text: Column, words: list[str]) -> Column:
+    """Each listed word as so many asterisks."""
+    for w in words:
+        text = F.replace(text, F.lit(w), F.lit("*" * len(w)))
+    return text
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -41,16 +130,26 @@ def match_share(question: Column, content: Column) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, tokens(content))) / F.size(q))
 
 
+def _letters(text: Column) -> tuple[Column, Column]:
+    return F.regexp_count(text, F.lit(r"[\x{4e00}-\x{9fff}]")), F.regexp_count(text, F.lit("[a-zA-Z]"))
+
+
 def language(text: Column) -> Column:
-    """zh, en, mixed or unknown, by the share of CJK and Latin letters among both."""
-    cjk = F.regexp_count(text, F.lit(r"[\x{4e00}-\x{9fff}]"))
-    latin = F.regexp_count(text, F.lit("[a-zA-Z]"))
-    total = F.length(text)
+    """zh, en, mixed or unknown, by the shares of Chinese and Latin letters among letters, digits and _."""
+    cjk, latin = _letters(text)
+    total = F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]"))
     return F.when(total == 0, "unknown").when(cjk / total > 0.3, "zh").when(latin / total > 0.3, "en").otherwise("mixed")
 
 
+def dominant_script(text: Column) -> Column:
+    """zh or en, whichever has more letters; mixed if neither."""
+    cjk, latin = _letters(text)
+    return F.when(cjk > latin, "zh").when(latin > cjk, "en").otherwise("mixed")
+
+
 def section_hint(line: Column) -> Column:
-    t = F.trim(line)
+    """heading, divider or paragraph; the patterns and lengths are fixed values."""
+    t = stripped(line)
     return (
         F.when(t.startswith("#"), "heading").when(t.rlike(r"^[=\-]{3,}\s*$"), "divider").when(t.rlike(r"^\d+(\.\d+)*\s"), "heading")
         .when((F.length(t) <= 80) & (t == F.upper(t)) & (t != F.lower(t)), "heading").when(t.endswith(":") & (F.length(t) <= 60), "heading").otherwise("paragraph")
@@ -76,12 +175,20 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
-def highlight(text: Column, terms: list[str], width: int = 150) -> Column:
-    """A fragment about the first hit, hits marked; null without one."""
-    pattern = "(?i)(" + "|".join(terms) + ")"
-    at = F.regexp_instr(text, F.lit(pattern))
-    piece = F.substring(text, F.greatest(at - width // 2, F.lit(1)), F.lit(width))
-    return F.when(at > 0, F.regexp_replace(piece, pattern, "<mark>$1</mark>"))
+def highlight(text: Column, terms: list[str], width: int = 150, most: int = 1) -> Column:
+    """Up to ``most`` fragments about hits, hits marked, in order; a fragment begins where the one before ends. Null without a hit."""
+    literal = "|".join(re.sub(r"([^\w\s])", r"\\\1", t) for t in sorted(terms, key=len, reverse=True))
+    pattern = f"(?i)({literal})"
+    rest, found = text, []
+    for _ in range(most):
+        at = F.regexp_instr(rest, F.lit(pattern))
+        start = F.greatest(at - width // 2, F.lit(1))
+        found.append(F.when(at > 0, F.regexp_replace(F.substring(rest, start, F.lit(width)), pattern, "<mark>$1</mark>")))
+        rest = F.when(at > 0, F.substring(rest, start + width, F.length(rest))).otherwise("")
+    if most == 1:
+        return found[0]
+    kept = F.array_compact(F.array(*found))
+    return F.when(F.size(kept) > 0, kept)
 
 
 def file_size(size: Column) -> Column:

@@ -2,50 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import chunking, consistency, graph, relational, search
 from marlstone.operators.components import connected_components
 from marlstone.plans import rules
-from marlstone.session import read_table, register_tables
+from marlstone.registry import ORACLES, QUERIES, TOKENS, W, both, docs, events, pages, query, turns, vectors  # noqa: F401
+from marlstone.session import read_table
 from marlstone.sources import files
 from marlstone.streaming import events as S
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-W = r"[\p{L}\p{N}_]+"
-TOKENS = rf"regexp_extract_all(lower(text), '{W}')"
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def both(name: str, tables: str, sql: str, oracle: str | None = None) -> None:
-    """A query that SQL says the same way for both engines."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_tables(spark, sf_dir, tables.split())
-        return spark.sql(sql)
-
-    run.__name__ = name
-    QUERIES[name], ORACLES[name] = run, oracle or sql
-
-
-def _t(name):
-    return lambda spark, d: read_table(spark, d, name)
-
-
-docs, vectors, events, pages, turns = map(_t, ("documents", "embeddings", "events", "pages", "conversations"))
-
 # -- retrieval --
 
 
@@ -313,9 +281,13 @@ def keyword_topn(spark, d):
     return words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(25)
 
 
-@query("select doc_id, len(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: trim(s)), lambda s: s <> '')) as n_sentences from documents".replace("select doc_id, len", "select doc_id, cast(len").replace(") as n_sentences", ") as integer) as n_sentences"))
+_SENTENCES = "list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
+
+
+@query(f"select doc_id, cast(len(s) as integer) as n_sentences, md5(array_to_string(s, '|')) as digest from (select doc_id, {_SENTENCES} as s from documents)")
 def sentence_split(spark, d):
-    return docs(spark, d).select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
+    """The sentences themselves, by their digest."""
+    return docs(spark, d).select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"))
 
 
 @query("select doc_id, unnest(regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9.]+[a-z]')) as entity from documents")
@@ -634,3 +606,6 @@ def merge_entities(spark, d):
 def merge_entities_whole(spark, d):
     merges = read_table(spark, d, "supplier").where("s_suppkey % 3 = 0 and s_suppkey > 3").select(F.col("s_suppkey").alias("merged"), F.lit(3).cast("long").alias("survivor"))
     return consistency.repointed(whole_edges(spark, d).select("src", "dst"), merges)
+
+
+from marlstone import catalog  # noqa: E402, F401
