@@ -1,3 +1,3 @@
 """Queries by family; importing the package registers them."""
 
-from marlstone.catalog import scalars  # noqa: F401
+from marlstone.catalog import scalars, texts  # noqa: F401
