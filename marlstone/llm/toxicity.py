@@ -3,7 +3,8 @@
 A word is the average of the vectors of its character n-grams (with marks at its ends) and of
 itself, a text the average of its words, each weighted by the square root of its count, so that what
 is said again and again in a long text counts; two linear outputs and a softmax follow. Vectors and
-outputs are trained together, in numpy, on the driver, from a bounded sample of labelled rows.
+outputs are trained together, in numpy, in one task, from a sample of labelled rows that is bounded in
+rows and in characters, so the driver holds only the model.
 A misspelled or inflected word shares most n-grams with its source, and so its vector.
 
 As all but the softmax is linear, a text's margin is that average of its words' margins; scoring
@@ -16,14 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.texts import bound_batches, give_back, sliced
+from marlstone.llm.texts import bound_batches, give_back, held_out, sliced
 
 
 #: Labelled rows that the model is fitted on, at most; those of the lowest hashes of their ids.
 SAMPLE_ROWS = 4500
+#: Characters of all of their texts, at most; rows beyond are left out of the fit.
+SAMPLE_CHARS = 40_000_000
 BUCKETS = 1 << 18
 DIMENSIONS = 4
 SHORTEST, LONGEST = 3, 5
@@ -45,7 +48,7 @@ def normal_word(piece: str) -> str:
 
 
 #: Words whose n-grams are listed at a time.
-WORDS_A_TIME = 20_000
+WORDS_A_TIME = 4_000
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,68 +98,92 @@ def rooted(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.sqrt(n)
 
 
-def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, weights) of each text; the weights of a text with many words add up to almost 1."""
-    known: dict[str, int] = {}
-    spots = [np.array([known.setdefault(normal_word(w), len(known)) for w in (x or "").split()], np.int64) for x in texts]
-    words, buckets, counts = list(known), [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-    for k in range(0, len(words), WORDS_A_TIME):
-        bucket, owner = subwords(words[k : k + WORDS_A_TIME])
-        buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
-        counts.append(np.bincount(owner))
-    buckets, counts = np.concatenate(buckets), np.concatenate(counts)
-    starts = np.cumsum(counts) - counts
-    out = []
-    for at in spots:
-        at, root = rooted(at)
-        n = counts[at]
-        ends = np.cumsum(n)
-        pick = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - n), n)
-        weight = np.repeat(root / (root.sum() + PADDING) / n, n)
-        bucket, inverse = np.unique(buckets[pick], return_inverse=True)
-        out.append((bucket, np.bincount(inverse, weight, len(bucket)).astype(np.float32)))
-    return out
+class Sample:
+    """Labelled texts as numbers of words and weights, added one at a time; no text is kept.
 
+    The weights of a text with many words add up to almost 1.
+    """
 
-def fit(texts: list[str | None], labels: list[int], seed: int = 11) -> SubwordModel:
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.texts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.labels: list[int] = []
+
+    def add(self, text: str | None, label: int) -> None:
+        known = self.known
+        at, root = rooted(np.array([known.setdefault(normal_word(w), len(known)) for w in (text or "").split()], np.int64))
+        self.texts.append((at.astype(np.int32), (root / (root.sum() + PADDING)).astype(np.float32)))
+        self.labels.append(int(label))
+
+    def buckets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the n-grams of all words, word by word, and how many each word has."""
+        words, buckets, counts = list(self.known), [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for k in range(0, len(words), WORDS_A_TIME):
+            bucket, owner = subwords(words[k : k + WORDS_A_TIME])
+            buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+            counts.append(np.bincount(owner))
+        return np.concatenate(buckets), np.concatenate(counts)
+
+
+def spread(at: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of what the words ``at`` have in a list word by word, and the place in ``at`` of each one's word."""
+    n = counts[at]
+    ends = np.cumsum(n)
+    pick = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - n), n)
+    return pick, np.repeat(np.arange(len(at)), n)
+
+
+def fit_sample(sample: Sample, seed: int = 11) -> SubwordModel:
     """Train vectors and softmax outputs together by Adam on the cross-entropy."""
-    if not texts or len(set(labels)) < 2:
-        share = float(np.mean(labels)) if len(labels) else 0.0
+    y = np.asarray(sample.labels, np.int64)
+    if len(set(sample.labels)) < 2:
+        share = float(np.mean(y)) if len(y) else 0.0
         share = min(max(share, 1e-3), 1 - 1e-3)
         return SubwordModel(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
-    rows, y = bags(texts), np.asarray(labels, np.int64)
-    vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
-    common = np.bincount(np.concatenate([b for b, _ in rows]), minlength=BUCKETS) >= LEAST_TEXTS
+    buckets, counts = sample.buckets()
+    starts = np.cumsum(counts) - counts
+    vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    texts_with = np.zeros(BUCKETS, np.int32)
+    for at, _ in sample.texts:
+        texts_with[np.unique(buckets[spread(at, starts, counts)[0]])] += 1
+    common = texts_with >= LEAST_TEXTS
     vectors[~common] = 0
-    rows = [(b[common[b]], w[common[b]]) for b, w in rows]
+    share = 1 / counts  # of an n-gram in its word
+    live = np.append(0, np.cumsum(common[buckets]))
+    buckets, counts = buckets[common[buckets]], np.diff(live[np.append(starts, live.size - 1)])
+    starts = np.cumsum(counts) - counts
     outputs = rng.normal(0, 0.1, (DIMENSIONS, 2))
     bias = np.log(np.bincount(y, minlength=2) / len(y))
     scale = 30.0  # averages over hundreds of words are small
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, outputs, bias)]
     t = 0
-    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(rows)))
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(y)))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(y))
         for k in range(0, len(order), BATCH):
             t += 1
             batch = order[k : k + BATCH]
-            sizes = np.array([len(rows[i][0]) for i in batch])
-            bucket = np.concatenate([rows[i][0] for i in batch])
-            weight = np.concatenate([rows[i][1] for i in batch]) * scale
+            sizes = np.array([len(sample.texts[i][0]) for i in batch])
+            words, word = np.unique(np.concatenate([sample.texts[i][0] for i in batch]), return_inverse=True)
+            weight = np.concatenate([sample.texts[i][1] for i in batch]) * scale
             owner = np.repeat(np.arange(len(batch)), sizes)
-            own = vectors[bucket] * weight[:, None]
-            hidden = np.stack([np.bincount(owner, own[:, d], len(batch)) for d in range(DIMENSIONS)], 1)
+            pick, in_word = spread(words, starts, counts)
+            used, bucket = np.unique(buckets[pick], return_inverse=True)
+            part = share[words][in_word]
+            now = vectors[used]
+            of_word = [np.bincount(in_word, now[bucket, d] * part, len(words)) for d in range(DIMENSIONS)]
+            hidden = np.stack([np.bincount(owner, x[word] * weight, len(batch)) for x in of_word], 1)
             logits = hidden @ outputs + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(batch)), y[batch]] -= 1
             p /= len(batch)
             back = p @ outputs.T
-            used, inverse = np.unique(bucket, return_inverse=True)
-            gradient = np.stack([np.bincount(inverse, back[owner, d] * weight, len(used)) for d in range(DIMENSIONS)], 1)
-            gradient += DECAY * vectors[used]
+            to_word = [np.bincount(word, back[owner, d] * weight, len(words)) for d in range(DIMENSIONS)]
+            gradient = np.stack([np.bincount(bucket, x[in_word] * part, len(used)) for x in to_word], 1)
+            gradient += DECAY * now
             for p_, g, (m, v), at in ((vectors, gradient, state[0], used), (outputs, hidden.T @ p, state[1], ...), (bias, p.sum(0), state[2], ...)):
                 m[at] = 0.9 * m[at] + 0.1 * g
                 v[at] = 0.99 * v[at] + 0.01 * g * g
@@ -164,6 +191,14 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 11) -> SubwordMo
     return SubwordModel(vectors @ (outputs[:, 1] - outputs[:, 0]) * scale, float(bias[1] - bias[0]))
 
 
+def fit(texts: list[str | None], labels: list[int], seed: int = 11) -> SubwordModel:
+    """A model from texts and their labels."""
+    sample = Sample()
+    for text, label in zip(texts, labels):
+        sample.add(text, label)
+    return fit_sample(sample, seed)
+
+
 class WordMargins(dict):
     """Numbers pieces of text as they are first asked for, and keeps the margins of their words."""
 
@@ -201,25 +236,38 @@ class WordMargins(dict):
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def held_out(doc_id: Column, folds: int = 5) -> Column:
-    """Whether crc32 of the id as text leaves no remainder; never true for a null id."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
-
-
-def fit_on(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> SubwordModel:
-    """A model from ``rows`` labelled rows at most, none of them held out.
+def fit_on(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS
+) -> SubwordModel:
+    """A model from ``rows`` labelled rows and ``chars`` characters of text at most, none of them held out.
 
     The sample is by least hash of the id, the same at every run. Rows without a label, with
     labels other than 0 and 1 or without a document are left out; an id labelled more than once
-    counts with its largest label.
+    counts with its largest label, one with several documents with the least text.
     """
     mark = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).cast("long").alias("_id"))
     mark = mark.agg(F.max(label).cast("int").alias("_y"))
     mark = mark.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     text_of = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    got = text_of.join(F.broadcast(mark), "_id").select("_id", "_y", "_text").toPandas()  # ``rows`` is the proven bound
-    got = got.drop_duplicates("_id").sort_values("_id")
-    return fit(got["_text"].tolist(), got["_y"].tolist())
+    got = text_of.join(F.broadcast(mark), "_id").groupBy("_id").agg(F.first("_y").alias("_y"), F.min("_text").alias("_text"))  # ``rows`` is the proven bound
+    before = F.sum(F.coalesce(F.length("_text"), F.lit(0))).over(Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0))
+    got = got.withColumn("_to", before).where(F.col("_to") <= chars).select("_id", "_y", "_text").sortWithinPartitions("_id")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = Sample()
+        for part in sliced(batches):
+            for x, y in zip(part.column("_text"), part.column("_y")):
+                sample.add(x.as_py(), y.as_py())
+        part, model = None, fit_sample(sample)
+        yield pa.RecordBatch.from_pydict({"margins": [model.margins.astype(np.float32).tobytes()], "bias": [model.bias]})
+        sample = model = None
+        give_back()
+
+    bound_batches(docs.sparkSession)
+    found = got.mapInArrow(train, "margins binary, bias double").collect()  # one row of fixed size: the window leaves one partition
+    if not found:
+        return fit_sample(Sample())
+    return SubwordModel(np.frombuffer(found[0].margins, np.float32), found[0].bias)
 
 
 def toxicity_score(spark: SparkSession, model: SubwordModel):
