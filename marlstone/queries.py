@@ -11,7 +11,7 @@ from marlstone.operators.components import connected_components
 from marlstone.plans import rules
 from marlstone.registry import ORACLES, QUERIES, TOKENS, W, both, docs, events, pages, query, turns, vectors  # noqa: F401
 from marlstone.session import read_table
-from marlstone.sources import files
+from marlstone.sources import files, markup
 from marlstone.streaming import events as S
 
 # -- retrieval --
@@ -323,9 +323,11 @@ def html_title(spark, d):
     return pages(spark, d).select("page_id", files.page_title(F.col("html")).alias("title"))
 
 
-@query("""select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as href from pages""")
+@query("""select page_id, href, label from (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as href, replace(unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)), '&amp;', '&') as label from pages)""")
 def html_links(spark, d):
-    return files.page_links(pages(spark, d)).select("page_id", "href")
+    """Links as they are written, with their text."""
+    rows = pages(spark, d).withColumn("none", F.lit(""))
+    return markup.html_blocks(rows, url="none").where("kind = 'link'").select("page_id", F.col("url").alias("href"), F.col("text").alias("label"))
 
 
 @query("select page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) as host from pages")

@@ -1,24 +1,38 @@
-"""Files in and out: text, delimited rows with a header test, chunk archives, page parts."""
+"""Files in and out: texts in several encodings, delimited rows, chunk archives, page parts."""
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """(path, text): line ends and a byte-order mark are made uniform."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    text = F.regexp_replace(F.regexp_replace(F.decode("content", F.lit("UTF-8")), "^﻿", ""), "\r\n?", "\n")
-    return rows.select("path", text.alias("text"))
+# Encodings that are tried in this order; the last takes any bytes.
+ENCODINGS = ("utf-8-sig", "gb18030", "latin-1")
+
+
+def decode(content: bytes | None) -> str:
+    """Text of the first encoding that fits, without a byte-order mark, line ends made uniform."""
+    for name in ENCODINGS:
+        try:
+            return (content or b"").decode(name).replace("\r\n", "\n").replace("\r", "\n")
+        except UnicodeDecodeError:
+            pass
+    raise AssertionError("latin-1 takes any bytes")
 
 
-def header_score(cells: Column) -> Column:
-    """How much a row looks like a header: filled cells count 0.6, cells that are no numbers 0.4."""
-    n = F.greatest(F.size(cells), F.lit(1))
-    filled = F.size(F.filter(cells, lambda c: F.trim(c) != ""))
-    words = F.size(F.filter(cells, lambda c: (F.trim(c) != "") & F.try_to_number(c, F.lit("999999999.999")).isNull()))
-    return 0.6 * filled / n + 0.4 * words / n
+def _decoded(content: pd.Series) -> pd.Series:
+    return content.map(decode)
+
+
+def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
+    """(path, text) of whole files of any depth, in the first encoding that fits."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return rows.select("path", F.pandas_udf(_decoded, "string")("content").alias("text"))
 
 
 def read_rows(spark: SparkSession, path: str, sep: str = ",", header: bool = True) -> DataFrame:
@@ -27,6 +41,29 @@ def read_rows(spark: SparkSession, path: str, sep: str = ",", header: bool = Tru
     return rows.na.drop("all")
 
 
+def read_cells(spark: SparkSession, path: str, sep: str = ",", most: int | None = None) -> DataFrame:
+    """(path, row, cells) of delimited files whose header is not known; blank rows go, the others are numbered from 0.
+
+    Cells with quotes may hold separators and line ends. ``most`` bounds the rows of a file.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                rows = (r for r in csv.reader(io.StringIO(decode(content), newline=""), delimiter=sep) if any(c.strip() for c in r))
+                out = []
+                for n, cells in enumerate(rows):
+                    if most is not None and n >= most:
+                        break
+                    out.append((name, n, cells))
+                    if len(out) == 5000:
+                        yield pd.DataFrame(out, columns=["path", "row", "cells"])
+                        out = []
+                yield pd.DataFrame(out, columns=["path", "row", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, cells array<string>")
+
+
 def write_chunks(chunks: DataFrame, path: str, *parts: str) -> None:
     """A chunk archive: gzip JSON lines, partitioned for pruning."""
     writer = chunks.write.mode("overwrite").option("compression", "gzip")
@@ -53,19 +90,3 @@ def merged(rows: DataFrame, news: DataFrame, key: str) -> DataFrame:
 
 def page_title(html: Column) -> Column:
     return F.regexp_extract(html, "<title>([^<]*)</title>", 1)
-
-
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, href, label) of each link, in page order."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("html", F.lit('<a href="([^"]*)">([^<]*)</a>'), F.lit(1)).alias("href"),
-        F.regexp_extract_all("html", F.lit('<a href="([^"]*)">([^<]*)</a>'), F.lit(2)).alias("label"),
-    )
-    rows = pages.select("page_id", F.posexplode(pairs).alias("place", "p"))
-    return rows.select("page_id", "place", F.col("p")["href"].alias("href"), F.col("p")["label"].alias("label"))
-
-
-def markdown_headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line, level, title) of lines that start with one to six #."""
-    rows = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "t")).where(F.col("t").rlike(r"^#{1,6}\s"))
-    return rows.select(key, "line", F.length(F.regexp_extract("t", "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("t", r"^#+\s", "")).alias("title"))
