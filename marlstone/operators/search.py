@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import cosine, tokens
+from marlstone.functions.text import WORD, dot, tokens
+from marlstone.plans.stash import Stash
 
 
 def compile_filters(filters: dict | None) -> Column:
@@ -27,7 +29,9 @@ def compile_filters(filters: dict | None) -> Column:
 def phrase(text: Column, words: str) -> Column:
     """Whether the tokens of ``words`` stand next to each other in the text."""
     found = [w.lower() for w in re.findall(r"\w+", words)]
-    return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" ")).contains(f" {' '.join(found)} ")
+    # most texts lack the longest word; only the others are taken apart
+    may = F.lower(text).contains(max(found, key=len)) if found else F.lit(True)
+    return may & F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" ")).contains(f" {' '.join(found)} ")
 
 
 def boolean(text: Column, query: str) -> Column:
@@ -75,18 +79,28 @@ def wildcard(text: Column, pattern: str) -> Column:
     return F.exists(tokens(text), lambda t: t.rlike(f"^{rx}$"))
 
 
-def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of the documents with a query term.
+def occurrences(low: Column, term: str) -> Column:
+    """How often a token stands in a lower-case text; the texts that lack its letters are not searched."""
+    edge = r"[\p{L}\p{N}_]"
+    return F.when(low.contains(term), F.regexp_count(low, F.lit(f"(?<!{edge}){re.escape(term)}(?!{edge})"))).otherwise(0)
 
-    One scan: the query is a few terms, so term counts of a document are a fixed set of columns
-    and no postings are shuffled. Corpus statistics are one aggregate row, joined as such.
+
+def bm25(
+    docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, score) and the kept columns of the documents with a query term.
+
+    One scan: the query is a few terms, so a document's counts are a fixed set of columns and no
+    postings are shuffled. The counts are written once; the corpus statistics, one row, and the
+    scores come from there.
     """
     terms = sorted({w.lower() for w in query})
-    toks = tokens(F.col(text))
-    rows = docs.select(F.col(key), toks.alias("t")).select(key, F.size("t").alias("dl"), *[F.size(F.filter("t", F.lit(w).__eq__)).alias(f"tf{i}") for i, w in enumerate(terms)])
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(key, *keep, F.regexp_count(low, F.lit(WORD)).alias("dl"), *[occurrences(low, w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    rows = Stash(docs.sparkSession).put(rows)
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
-    if not stats.n:
-        return rows.select(key, F.lit(0.0).alias("score"))
+    if not stats.n or not terms:
+        return rows.select(key, *keep, F.lit(0.0).alias("score")).where("false")
     score = F.lit(0.0)
     for i in range(len(terms)):
         df = stats[f"df{i}"]
@@ -94,32 +108,44 @@ def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "te
         tf = F.col(f"tf{i}")
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(float(stats.avgdl or 1))))
     hit = reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
-    return rows.where(hit).select(key, score.alias("score"))
+    return rows.where(hit).select(key, *keep, score.alias("score"))
 
 
 def top(rows: DataFrame, k: int, score: str = "score", key: str = "doc_id") -> DataFrame:
     return rows.orderBy(F.col(score).desc(), key).limit(k)
 
 
-def knn(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", column: str = "embedding", least: float | None = None, without: int | None = None) -> DataFrame:
-    """(key, score) of the k nearest by cosine; the threshold is applied after the limit."""
+def knn(vectors: DataFrame, query: list[float] | None, k: int, key: str = "vec_id", column: str = "embedding", least: float | None = None, without: int | None = None) -> DataFrame:
+    """(key, score) of the k nearest by cosine; the threshold is applied after the limit. Without a query vector there are none."""
+    if query is None:
+        return vectors.select(key, F.lit(0.0).alias("score")).where("false")
+    norm = math.sqrt(sum(float(x) ** 2 for x in query))
+    v = F.col(column)
+    length = F.sqrt(dot(v, v))
     q = F.array(*[F.lit(float(x)) for x in query])
     rows = vectors if without is None else vectors.where(F.col(key) != without)
-    out = top(rows.select(key, cosine(F.col(column), q).alias("score")), k, key=key)
+    score = F.when((F.size(v) != len(query)) | (length == 0) | F.lit(norm == 0), 0.0).otherwise(dot(v, q) / (length * F.lit(norm or 1.0)))
+    out = top(rows.select(key, score.alias("score")), k, key=key)
     return out if least is None else out.where(F.col("score") >= least)
 
 
-def fuse(left: DataFrame, right: DataFrame, key: str, how: str = "linear", alpha: float = 0.5) -> DataFrame:
-    """(key, score) of a full outer join: alpha * left + (1 - alpha) * right, raw, scaled to 0..1, or by ranks (rrf)."""
+def fuse(left: DataFrame, right: DataFrame, key: str, how: str = "linear", alpha: float = 0.5, most: int = 1000) -> DataFrame:
+    """(key, score) of a full outer join: alpha * left + (1 - alpha) * right, raw, scaled to 0..1, or by ranks (rrf).
+
+    Ranks are of the ``most`` best of either side, so the window over all of them is bounded.
+    """
+    wa, wb = alpha, 1 - alpha
     if how == "rrf":
-        ranked = [d.select(key, (1.0 / (60 + F.row_number().over(Window.orderBy(F.col("score").desc(), key)))).alias("score")) for d in (left, right)]
+        order = Window.orderBy(F.col("score").desc(), key)
+        ranked = [top(d.select(key, "score"), most, key=key).select(key, (1.0 / (60 + F.row_number().over(order))).alias("score")) for d in (left, right)]
         left, right, wa, wb = *ranked, 1.0, 1.0
-    else:
-        wa, wb = alpha, 1 - alpha
-        if how == "minmax":
-            everything = Window.partitionBy()
-            low, high = F.min("score").over(everything), F.max("score").over(everything)
-            left, right = (d.select(key, F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0).alias("score")) for d in (left, right))
+    elif how == "minmax":
+        scaled = []
+        for d in (left, right):
+            ends = d.agg(F.min("score").alias("low"), F.max("score").alias("high"))  # one row
+            rows = d.select(key, "score").join(F.broadcast(ends))
+            scaled.append(rows.select(key, F.when(F.col("high") > F.col("low"), (F.col("score") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(1.0).alias("score")))
+        left, right = scaled
     a, b = left.withColumnRenamed("score", "a"), right.withColumnRenamed("score", "b")
     return a.join(b, key, "full_outer").select(key, (F.coalesce("a", F.lit(0.0)) * wa + F.coalesce("b", F.lit(0.0)) * wb).alias("score"))
 

@@ -42,7 +42,7 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 @query(bm25_sql(TERMS) + " and lang = 'en' order by score desc, doc_id limit 10")
 def kw_search_topk(spark, d):
     """BM25 over all documents, filtered by language, ten best."""
-    hits = search.bm25(docs(spark, d), TERMS).join(docs(spark, d).where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
+    hits = search.bm25(docs(spark, d), TERMS, keep=("lang",)).where("lang = 'en'").drop("lang")
     return search.top(rounded(hits), 10)
 
 
@@ -75,8 +75,9 @@ def filter_compiler(spark, d):
     return docs(spark, d).where(search.compile_filters(f)).select("doc_id", "lang", "n_chars")
 
 
-def _seed(spark, d) -> list[float]:
-    return vectors(spark, d).where("vec_id = 0").first().embedding
+def _seed(spark, d) -> list[float] | None:
+    found = vectors(spark, d).where("vec_id = 0").first()
+    return found and found.embedding
 
 
 _COS = "list_cosine_similarity(e.embedding::double[], q.embedding::double[])"

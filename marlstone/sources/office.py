@@ -42,7 +42,8 @@ def parse_docx(data: bytes) -> list[dict]:
         if x.tag == _W + "tbl":
             cells = [[_words(c) for c in row.findall(_W + "tc")] for row in x.findall(_W + "tr")]
             width = max(map(len, cells), default=0)
-            out.append({"kind": "Table", "cells": [r + [""] * (width - len(r)) for r in cells], "text": "\n".join(" | ".join(r) for r in cells)})
+            cells = [r + [""] * (width - len(r)) for r in cells]
+            out.append({"kind": "Table", "cells": cells, "text": "\n".join(" | ".join(r) for r in cells)})
         elif x.tag == _W + "p" and (text := _words(x)):
             style = x.find(f"{_W}pPr/{_W}pStyle")
             name = style.get(_W + "val", "") if style is not None else ""
