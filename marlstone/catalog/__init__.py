@@ -1,3 +1,3 @@
 """Queries by family; importing the package registers them."""
 
-from marlstone.catalog import documents, retrieval, scalars, texts  # noqa: F401
+from marlstone.catalog import documents, retrieval, scalars, texts, writes  # noqa: F401

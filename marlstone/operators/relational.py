@@ -91,3 +91,19 @@ def duplicate_classes(files: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     action = F.when(kind == "exact_match", "reject").when(kind == "new", "proceed").otherwise("warn")
     return rows.select(*files.columns, kind.alias("kind"), action.alias("action"))
+
+
+def suggested(tags: DataFrame, key: str, tag: str, most: int = 5, spare: int = 64) -> DataFrame:
+    """(key, tags): the most used tags that each key hasn't, of equals the least.
+
+    A key with at most ``spare`` tags can lack no more than those among the first ``most`` + ``spare``, so only
+    so many are looked at and broadcast; keys with more tags look at as many more as they have.
+    """
+    rows = tags.select(key, tag).distinct()
+    used = rows.groupBy(tag).agg(F.count("*").alias("_n"))
+    own = rows.groupBy(key).agg(F.collect_set(tag).alias("_own"))
+    widest = own.agg(F.coalesce(F.max(F.size("_own")), F.lit(0))).first()[0]
+    first = used.orderBy(F.desc("_n"), tag).limit(most + max(spare, widest))
+    listed = first.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col(tag).alias("t")))), lambda x: x["t"]).alias("_first"))  # one row
+    out = own.join(F.broadcast(listed))
+    return out.select(key, F.slice(F.array_except("_first", "_own"), 1, most).alias("tags"))
