@@ -18,9 +18,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component): component is the least node that undirected edges reach.
 
     Loops and rows with a null end are ignored, so only nodes with a real edge are returned.
-    Each round joins the edges with a per-node minimum (a partial aggregate, so a hub costs no
-    more than its rows) and is written to the shared folder; the rounds grow with the logarithm
-    of the graph's diameter.
+    Each round joins the edges with a per-node minimum, a partial aggregate. A hub's edges meet in
+    one partition of that join, which adaptive execution splits (the other side is one row a node);
+    stars shrink to their least node at once, so this is so in the first round only. Each
+    round is written to the shared folder; the rounds grow with the logarithm of the graph's
+    diameter.
     """
     stash = Stash(edges.sparkSession)
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.components import connected_components
+from marlstone.plans.stash import Stash
 
 
 def simple_paths(edges: DataFrame, source, target, hops: int, kinds: list[str] | None = None) -> DataFrame:
@@ -33,26 +34,132 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, density, mean degree of touched nodes, size of the largest component."""
+    """One row: nodes, edges, density, mean degree of touched nodes, size of the largest component.
+
+    One pass over the edges gives degrees, and from them edges and touched nodes; components need their own.
+    """
     n = nodes.agg(F.count("*").alias("n_nodes"))
-    m = edges.agg(F.count("*").alias("n_edges"))
-    touched = degrees(edges).agg(F.count("*").alias("touched"))
+    touched = degrees(edges).agg(F.count("*").alias("touched"), F.coalesce(F.sum("fan_out"), F.lit(0)).alias("n_edges"))
     largest = connected_components(edges).groupBy("component").agg(F.count("*").alias("size")).agg(F.coalesce(F.max("size"), F.lit(1)).alias("largest_component"))
-    one = n.join(m).join(touched).join(largest)  # one row each
+    one = n.join(F.broadcast(touched)).join(F.broadcast(largest))  # one row each
     return one.select(
         "n_nodes", "n_edges", F.round(F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)), 4).alias("density"),
         F.round(2.0 * F.col("n_edges") / F.col("touched"), 2).alias("avg_degree"), "largest_component",
     )
 
 
-def descendants(tree: DataFrame, root, hops: int = 3) -> DataFrame:
-    """(id, depth) below a root of an (id, parent_id) table."""
-    front = tree.where(F.col("parent_id") == root).select("id", F.lit(1).alias("depth"))
-    out = front
-    for d in range(2, hops + 1):
-        front = tree.join(front.select(F.col("id").alias("_p")), F.col("parent_id") == F.col("_p")).select("id", F.lit(d).alias("depth"))
-        out = out.unionByName(front)
-    return out
+def _levels(front: DataFrame, step, hops: int | None) -> DataFrame:
+    """Rows of ``front`` (id, of, depth) and all that ``step`` reaches, each pair once, at its least depth.
+
+    Every level is written; the search ends with an empty one, which pairs that were seen keep from coming again.
+    """
+    stash = Stash(front.sparkSession)
+    seen = front = stash.put(front)
+    depth = 1
+    while (hops is None or depth < hops) and not front.isEmpty():
+        depth += 1
+        found = step(front).withColumn("depth", F.lit(depth)).distinct()
+        front = stash.put(found.join(seen.select("id", "of"), ["id", "of"], "left_anti").select("id", "of", "depth"))
+        seen = seen.unionByName(front)
+    return seen
+
+
+def descendants(tree: DataFrame, root, hops: int | None = None) -> DataFrame:
+    """(id, depth) below a root of an (id, parent_id) table, of any depth or so many levels; loops end."""
+    t = tree.where("id is not null and parent_id is not null and id != parent_id").select("id", "parent_id")
+    front = t.where(F.col("parent_id") == root).select("id", F.lit(root).cast(t.schema["id"].dataType).alias("of"), F.lit(1).alias("depth"))
+    step = lambda f: f.select(F.col("id").alias("parent_id"), "of").join(t, "parent_id").select("id", "of")
+    return _levels(front, step, hops).where(F.col("id") != F.col("of")).select("id", "depth")
+
+
+def ancestors(tree: DataFrame, hops: int | None = None) -> DataFrame:
+    """(id, ancestor, depth) of every node of an (id, parent_id) table, up to its root."""
+    t = tree.where("id is not null and parent_id is not null and id != parent_id").select("id", "parent_id")
+    front = t.select(F.col("parent_id").alias("id"), F.col("id").alias("of"), F.lit(1).alias("depth"))
+    step = lambda f: f.select("id", "of").join(t, "id").select(F.col("parent_id").alias("id"), "of")
+    return _levels(front, step, hops).select(F.col("of").alias("id"), F.col("id").alias("ancestor"), "depth")
+
+
+def tree_levels(tree: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, level): 1 for roots, one more for each ancestor, ``most`` at most."""
+    above = ancestors(tree).groupBy("id").agg(F.count("*").alias("n"))
+    level = F.coalesce(F.col("n"), F.lit(0)) + 1
+    level = F.least(level, F.lit(most)) if most else level
+    return tree.select("id").distinct().join(above, "id", "left").select("id", level.cast("int").alias("level"))
+
+
+def category_tree(tree: DataFrame, counts: DataFrame, order: str = "sort_order") -> DataFrame:
+    """(id, children, count) of (id, parent_id, order): children in order, with how many items (id, n) are in the node and below it."""
+    below = ancestors(tree).select(F.col("ancestor").alias("id"), F.col("id").alias("of")).unionByName(tree.select("id", F.col("id").alias("of")))
+    total = below.join(counts.select(F.col("id").alias("of"), "n"), "of", "left").groupBy("id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
+    kids = tree.where("parent_id is not null and parent_id != id").groupBy(F.col("parent_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(order, "id"))).alias("k"))
+    out = tree.select("id").join(kids, "id", "left").join(total, "id", "left")
+    return out.select("id", F.coalesce(F.col("k.id"), F.array().cast(f"array<{dict(tree.dtypes)['id']}>")).alias("children"), "count")
+
+
+def neighbours(edges: DataFrame, node, kinds: list[str] | None = None, direction: str = "both", most: int = 100) -> DataFrame:
+    """(node, kind, direction) of what an edge of the kinds leads to or from, each once; ``most`` is the page."""
+    e = edges if kinds is None else edges.where(F.col("kind").isin(kinds))
+    out = e.where(F.col("src") == node).select(F.col("dst").alias("node"), "kind", F.lit("out").alias("direction"))
+    back = e.where(F.col("dst") == node).select(F.col("src").alias("node"), "kind", F.lit("in").alias("direction"))
+    rows = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
+    return rows.distinct().orderBy("node", "kind", "direction").limit(most)
+
+
+def best_paths(edges: DataFrame, source, target, hops: int, kinds: list[str] | None = None, most: int = 10) -> DataFrame:
+    """The first simple paths: the shortest, of equals the heaviest, then in order of their nodes."""
+    return simple_paths(edges, source, target, hops, kinds).orderBy("hops", F.desc("weight"), "path").limit(most)
+
+
+def call_chain(edges: DataFrame, symbols: DataFrame, source: str, target: str, hops: int, kinds: list[str]) -> DataFrame:
+    """Shortest paths between two names: symbols (id, name, file) by their name, else files by their path. Bounded by the names' own rows."""
+
+    def ends(name: str) -> DataFrame:
+        as_symbol = symbols.where(F.col("name") == name).select("id", F.lit(1).alias("tier"))
+        as_file = symbols.where(F.col("file") == name).select("id", F.lit(2).alias("tier"))
+        both = as_symbol.unionByName(as_file)
+        return both.join(F.broadcast(both.agg(F.min("tier").alias("_t"))), F.col("tier") == F.col("_t")).select("id").distinct()
+
+    starts = sorted(x.id for x in ends(source).limit(100).collect())
+    stops = sorted(x.id for x in ends(target).limit(100).collect())
+    found = None
+    for a in starts:
+        for b in stops:
+            if a != b:
+                one = simple_paths(edges, a, b, hops, kinds)
+                found = one if found is None else found.unionByName(one)
+    if found is None:
+        return edges.select(F.array("src").alias("path"), F.lit(0).alias("hops"), F.col("weight")).where("false")
+    return found.join(F.broadcast(found.agg(F.min("hops").alias("_m"))), F.col("hops") == F.col("_m")).drop("_m")
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among the nodes (id)."""
+    ids = nodes.select("id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
+def picture(nodes: DataFrame, edges: DataFrame, counts: DataFrame, kind: str | None = None, most: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(nodes with a size of 5 to 50 by their documents, edges between them): the least ids of a kind, ``most`` of them. Nothing is deleted."""
+    some = (nodes if kind is None else nodes.where(F.col("kind") == kind)).orderBy("id").limit(most)
+    sized = some.join(counts.select("id", F.col("n").alias("_n")), "id", "left")
+    size = F.least(F.greatest(F.coalesce("_n", F.lit(0)), F.lit(5)), F.lit(50))
+    return sized.withColumn("size", size).drop("_n"), induced(edges, some)
+
+
+def entity_hits(nodes: DataFrame, words: str, kind: str | None = None, most: int = 50) -> DataFrame:
+    """(id, score): 1 where the name holds the words, .8 where only the description does, in any case."""
+    low = words.lower()
+    name, text = F.lower("name").contains(low), F.lower(F.coalesce("description", F.lit(""))).contains(low)
+    rows = nodes if kind is None else nodes.where(F.col("kind") == kind)
+    return rows.where(name | text).select("id", F.when(name, 1.0).otherwise(0.8).alias("score")).orderBy(F.desc("score"), "id").limit(most)
+
+
+def entity_detail(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, other, kind, direction, name) of every node's edges with the name of the other end; two equi-joins, no OR."""
+    out = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "kind", F.lit("out").alias("direction"))
+    back = edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "kind", F.lit("in").alias("direction"))
+    return out.unionByName(back).join(nodes.select(F.col("id").alias("other"), "name"), "other", "left").select("id", "other", "kind", "direction", "name")
 
 
 def cycles(edges: DataFrame, hops: int = 3) -> DataFrame:

@@ -169,21 +169,21 @@ from nation n left join region r on r.r_regionkey = n.n_regionkey
 left join (select c_nationkey, count(*) as customers from customer group by c_nationkey) c on c.c_nationkey = n.n_nationkey
 left join (select c_nationkey, count(distinct o_orderkey) as orders from orders join customer on c_custkey = o_custkey group by c_nationkey) o on o.c_nationkey = n.n_nationkey""")
 both("semi_join_in", "customer orders", "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
-both("anti_join_absent", "customer orders", "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+both("anti_join_absent", "customer orders", "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT' and o_orderstatus = 'F')")
 both("union_all_semi", "customer supplier nation", "select n_name from nation where n_nationkey in (select c_nationkey from customer where c_acctbal > 9000 union all select s_nationkey from supplier where s_acctbal > 9000)")
 both("full_outer_merge", "customer orders", "select coalesce(c.c_custkey, o.o_custkey) as custkey, coalesce(o.n, 0) as n from (select c_custkey from customer where c_acctbal > 5000) c full join (select o_custkey, count(*) as n from orders group by o_custkey) o on c.c_custkey = o.o_custkey")
 both("paging", "orders", "select o_orderkey, o_orderdate from orders order by o_orderdate desc, o_orderkey limit 20 offset 40")
 both("hotwords", "events", "select event_type, count(*) as n, max(ts) as last_seen from events where ts >= timestamp '2024-01-15 00:00:00' group by event_type order by n desc, event_type limit 10".replace("timestamp '", "timestamp '"),)
 both("failure_view", "orders customer", "select 'order' as kind, o_orderkey as id, coalesce(o_orderpriority, 'none') as detail from orders where o_orderstatus = 'F' union all select 'customer', c_custkey, c_mktsegment from customer where c_acctbal < 0")
 both("distinct_names", "part", "select distinct p_brand from part")
-both("set_difference", "customer orders", "select c_custkey from customer except select o_custkey from orders")
+both("set_difference", "customer orders", "select c_custkey from customer except select o_custkey from orders where o_totalprice > 400000")
 both("intersect_keys", "customer orders", "select c_custkey from customer where c_acctbal > 0 intersect select o_custkey from orders")
 both("cube_rollup", "lineitem", "select l_returnflag, l_linestatus, count(*) as n, cast(sum(l_quantity) as bigint) as quantity from lineitem group by cube (l_returnflag, l_linestatus)")
 both("rank_family", "customer", "select c_custkey, rank() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as r, dense_rank() over (partition by c_nationkey order by c_mktsegment) as dr, ntile(4) over (partition by c_nationkey order by c_acctbal, c_custkey) as quarter from customer")
 both("group_by_language", "documents", "select coalesce(lang, 'unknown') as lang, count(*) as n, cast(sum(n_chars) as bigint) as chars from documents group by 1")
 both("complexity_stats", "part", "select p_type, count(*) as n, round(avg(p_size), 2) as mean_size, max(p_size) as largest from part group by p_type")
 both("argmax_per_group", "part", "select p_brand, p_partkey, p_size from (select *, row_number() over (partition by p_brand order by p_size desc, p_partkey) as rn from part) as x where rn = 1")
-both("order_revenue", "lineitem orders customer", "select c_mktsegment, count(distinct o_orderkey) as orders, round(sum(l_extendedprice * (1 - l_discount)), 0) as revenue from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey where l_shipdate < timestamp '2000-01-01 00:00:00' group by c_mktsegment".replace(", round(sum(l_extendedprice * (1 - l_discount)), 0) as revenue", ", count(*) as lines"))
+both("order_revenue", "lineitem orders customer", "select c_mktsegment, count(distinct o_orderkey) as orders, count(*) as lines, round(sum(l_extendedprice * (1 - l_discount)), 0) as revenue from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey where l_shipdate < timestamp '2000-01-01 00:00:00' group by c_mktsegment")
 both("heatmap", "events", "select user_id, count(*) as used, max(ts) as last_used from events group by user_id")
 both("personal_stats", "events", "select user_id, count(*) as n, count(distinct event_type) as kinds, sum(case when event_type = 'purchase' then 1 else 0 end) as purchases, max(ts) as last_ts from events group by user_id", "select user_id, count(*) as n, count(distinct event_type) as kinds, cast(sum(case when event_type = 'purchase' then 1 else 0 end) as bigint) as purchases, max(ts) as last_ts from events group by user_id")
 
