@@ -178,10 +178,9 @@ def code_file_page(spark, d):
     return relational.page(files.where("language = 'python'"), ["path"], 2, 20).select("path", "language")
 
 
-@query(f"""select p_partkey, 'run' as found from part where p_partkey % 10 = 0 order by 1 limit 15""")
+@query(f"""select {_PATH} as path, 'run' as found from part order by 1 limit 15""")
 def symbol_search(spark, d):
-    """Symbols by a part of their names, signatures or documentation, of some files and kinds."""
-    files = code_files(spark, d)
-    found = K.symbols(files.where("p_partkey % 10 = 0")).join(files.select("path", "p_partkey"), "path")
-    low = [F.lower(F.coalesce(c, F.lit(""))).contains("un(") | F.lower(F.coalesce(c, F.lit(""))).contains("c0.ru") for c in ("qualified", "signature", "doc")]
-    return found.where((low[0] | low[1] | low[2]) & (F.col("kind") == "method")).orderBy("p_partkey").limit(15).select("p_partkey", F.col("name").alias("found"))
+    """Symbols by a part of their names, signatures or documentation, of a kind."""
+    found = K.symbols(code_files(spark, d))
+    low = [F.lower(F.coalesce(c, F.lit(""))).contains("un(") for c in ("qualified", "signature", "doc")]
+    return found.where((low[0] | low[1] | low[2]) & (F.col("kind") == "method")).orderBy("path").limit(15).select("path", F.col("name").alias("found"))

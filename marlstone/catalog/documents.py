@@ -165,15 +165,15 @@ def layout_texts(spark, d):
 
 
 def _places(spark, d):
-    o, li = orders(spark, d), lineitem(spark, d)
+    o, p = orders(spark, d), part(spark, d)
     k = F.col("o_orderkey") % 50
     chunks = o.select((F.col("o_custkey") % 40).alias("doc"), F.col("o_orderkey").alias("chunk"), (k * 4).alias("start"), (k * 4 + F.col("o_orderkey") % 3 * 30).alias("end"), F.floor(k / 10).alias("page"))
-    images = li.where("l_linenumber = 1").select((F.col("l_orderkey") % 40).alias("doc"), F.col("l_partkey").alias("image")).distinct()
+    images = p.select((F.col("p_partkey") % 40).alias("doc"), F.floor(F.col("p_partkey") / 7).alias("image")).distinct()
     return chunks, images.select("doc", "image", (F.col("image") % 220).alias("element"), F.floor(F.col("image") % 220 / 40).alias("image_page"))
 
 
 _C = "(select o_custkey % 40 as doc, o_orderkey as chunk, o_orderkey % 50 * 4 as s, o_orderkey % 50 * 4 + o_orderkey % 3 * 30 as e, o_orderkey % 50 // 10 as page, case when o_orderkey % 3 * 30 > 50 then 15 when o_orderkey % 3 * 30 < 10 then 7 else 10 end as reach from orders)"
-_I = "(select distinct l_orderkey % 40 as doc, l_partkey as image, l_partkey % 220 as el, l_partkey % 220 // 40 as ipage from lineitem where l_linenumber = 1)"
+_I = "(select distinct p_partkey % 40 as doc, p_partkey // 7 as image, p_partkey // 7 % 220 as el, p_partkey // 7 % 220 // 40 as ipage from part)"
 _NEAR = "case when x <= 3 then 0.85 when x <= 5 then 0.75 when x <= 10 then 0.65 else 0.55 end"
 _SURE = f"least(1.0, case strategy when 'within_range' then 0.95 when 'nearby_same_page' then {_NEAR} when 'adjacent_page' then 0.6 else 0.4 end * case when page = ipage then 1.1 else 1.0 end)"
 

@@ -50,10 +50,10 @@ def created_and_deleted(spark, d):
     return W.soft_deleted(after, gone)
 
 
-@query("select p_partkey, case when p_size > 40 then 0 else p_size end as p_size from part where p_partkey % 5 <> 0 and p_partkey % 2 = 0 and p_partkey <> 8 union all select p_partkey, 1 from part where p_partkey = 8")
+@query("select p_partkey, case when p_size > 40 then 0 else p_size end as p_size from part where p_partkey % 5 <> 0 and p_partkey <> 8 union all select p_partkey, 1 from part where p_partkey = 8")
 def updated_and_purged(spark, d):
     """Rows changed where a condition holds, one by its key, and soft-deleted ones gone for good."""
-    rows = W.hard_deleted(_files(spark, d)).where("p_partkey % 2 = 0").select("p_partkey", "p_size")
+    rows = W.hard_deleted(_files(spark, d)).select("p_partkey", "p_size")
     rows = W.updated(rows, F.col("p_size") > 40, {"p_size": 0})
     return W.updated(rows, F.col("p_partkey") == 8, {"p_size": 1})
 
@@ -102,11 +102,11 @@ def entities_deleted(spark, d):
     return marked.where("is_deleted").select(F.lit("vertex").alias("kind"), "id", F.lit(1).cast("long").alias("n")).unionByName(left.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "id", "n"))
 
 
-@query("select o_orderkey as id, o_custkey % 5 = 0 or o_custkey % 5 = 1 as orphan from orders where o_orderkey % 2 = 0")
+@query("select o_orderkey as id, o_custkey % 5 = 0 or o_custkey % 5 = 1 as orphan from orders")
 def orphan_cleanup(spark, d):
     """Vertices whose entity is null, 0 or unknown go."""
     entity = F.when(F.col("o_custkey") % 5 == 0, F.lit(None)).when(F.col("o_custkey") % 5 == 1, 0).otherwise(F.col("o_custkey"))
-    vertices = orders(spark, d).where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), entity.cast("long").alias("entity_id"))
+    vertices = orders(spark, d).select(F.col("o_orderkey").alias("id"), entity.cast("long").alias("entity_id"))
     kept, orphans = W.without_orphans(vertices, customer(spark, d).select(F.col("c_custkey").alias("id")).unionByName(spark.sql("select cast(0 as bigint) as id")))
     return kept.select("id", F.lit(False).alias("orphan")).unionByName(orphans.withColumn("orphan", F.lit(True)))
 
@@ -161,9 +161,9 @@ def export_kb_json(spark, d):
     return W.kb_json(_bases(spark, d), documents, chunks)
 
 
-@query("""select n_nationkey as kb_id, '# ' || n_name || chr(10) || chr(10) || 'Documents: ' || count(*) || chr(10) || chr(10) || string_agg('## ' || c_name || chr(10) || chr(10) || '- ID: ' || c_custkey || chr(10) || '- Size: ' || c_custkey || ' B' || chr(10), chr(10) order by c_custkey) as markdown from nation join customer on c_nationkey = n_nationkey where c_custkey < 1024 group by n_nationkey, n_name""")
+@query("""select n_nationkey as kb_id, '# ' || n_name || chr(10) || chr(10) || 'Documents: ' || count(*) || chr(10) || chr(10) || string_agg('## ' || c_name || chr(10) || chr(10) || '- ID: ' || c_custkey || chr(10) || '- Size: ' || case when c_custkey < 1024 then c_custkey || ' B' else printf('%.2f', c_custkey / 1024.0) || ' KB' end || chr(10), chr(10) order by c_custkey) as markdown from nation join customer on c_nationkey = n_nationkey group by n_nationkey, n_name""")
 def export_kb_markdown(spark, d):
-    documents = customer(spark, d).where("c_custkey < 1024").select(F.col("c_nationkey").alias("kb_id"), F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("title"), file_size(F.col("c_custkey")).alias("size"))
+    documents = customer(spark, d).select(F.col("c_nationkey").alias("kb_id"), F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("title"), file_size(F.col("c_custkey")).alias("size"))
     return W.kb_markdown(_bases(spark, d), documents)
 
 

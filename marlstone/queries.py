@@ -359,15 +359,7 @@ def chunk_structure(spark, d):
     return chunking.paragraphs(docs(spark, d))
 
 
-# -- graph: suppliers and nations that share parts and regions --
-
-_EDGES = "(select distinct l_suppkey as src, 1000000 + l_partkey as dst from lineitem where l_quantity >= 49)"
-
-
-def edges(spark, d):
-    rows = read_table(spark, d, "lineitem").where("l_quantity >= 49")
-    return rows.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst"), F.lit("supplies").alias("kind"), F.lit(0.5).alias("weight")).distinct()
-
+# -- graph: suppliers and parts, parts that follow each other in an order, customers and hubs of orders --
 
 def tree(spark, d):
     n = read_table(spark, d, "nation").select((F.col("n_nationkey") + 100).alias("id"), (F.col("n_regionkey") + 10).alias("parent_id"))
@@ -379,68 +371,11 @@ def tree_levels(spark, d):
     return graph.descendants(tree(spark, d), 1)
 
 
-@query(f"select src as node, count(*) as fan_out from {_EDGES} group by src having count(*) > 5")
-def coupling(spark, d):
-    return graph.degrees(edges(spark, d)).where("fan_out > 5").select("node", "fan_out")
-
-
-@query(f"select dst as node, count(*) as fan_in from {_EDGES} group by dst having count(*) >= 3")
-def critical_nodes(spark, d):
-    return graph.degrees(edges(spark, d)).where("fan_in >= 3").select("node", "fan_in")
-
-
-@query(f"select dst from {_EDGES} where src = 1 order by dst limit 100")
-def neighbors(spark, d):
-    return edges(spark, d).where("src = 1").select("dst").orderBy("dst").limit(100)
-
-
-def small_edges(spark, d):
-    e = read_table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("src"), (F.col("o_orderkey") % 37).alias("dst"), F.lit("calls").alias("kind"), F.lit(0.5).alias("weight"))
-    return e.where("src < 12 and dst < 12").distinct()
-
-
-_SMALL = "(select distinct o_custkey % 40 as src, o_orderkey % 37 as dst from orders where o_custkey % 40 < 12 and o_orderkey % 37 < 12)"
-_PATHS = f"""with recursive e as {_SMALL}, p(path, node, hops) as (select [src, dst], dst, 1 from e where src = 1 and dst <> 1
-union all select list_append(p.path, e.dst), e.dst, hops + 1 from p join e on e.src = p.node where p.node <> 5 and hops < 3 and not list_contains(p.path, e.dst))"""
-
-
-@query(_PATHS + " select array_to_string(path, '>') as path, hops from p where node = 5")
-def paths_k_hops(spark, d):
-    return graph.simple_paths(small_edges(spark, d), 1, 5, 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops")
-
-
-@query(_PATHS + " select array_to_string(path, '>') as path, hops from p where node = 5 and hops = (select min(hops) from p where node = 5)")
-def shortest_path(spark, d):
-    return graph.shortest_paths(small_edges(spark, d), 1, 5, 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops")
-
-
-@query(f"with e as {_SMALL} select src || '>' || dst as path from e where src < dst and exists (select 1 from e f where f.src = e.dst and f.dst = e.src) union all select a.src || '>' || b.src || '>' || c.src from e a join e b on a.dst = b.src join e c on b.dst = c.src and c.dst = a.src where a.src < b.src and a.src < c.src and b.src <> c.src")
-def cycles(spark, d):
-    return graph.cycles(small_edges(spark, d), 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
-
-
-_UNDIRECTED = "(select o_custkey as a, 1000000 + o_orderkey % 997 as b from orders where o_orderkey % 11 = 0)"
-
-
-@query(f"with recursive e as (select a, b from {_UNDIRECTED} union select b, a from {_UNDIRECTED}), r(node, root) as (select a, a from e union select e.b, r.root from r join e on e.a = r.node where r.root < e.b) select node, min(root) as component from r group by node")
-def components(spark, d):
-    o = read_table(spark, d, "orders").where("o_orderkey % 11 = 0")
-    return connected_components(o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 997 + 1000000).alias("dst")))
-
-
-@query()
-def graph_stats(spark, d):
-    nodes = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")).unionByName(read_table(spark, d, "part").select((F.col("p_partkey") + 1000000).alias("id")))
-    return graph.graph_stats(nodes, edges(spark, d))
-
-
-# -- the same over whole tables: every row makes an edge. The queries above read filtered tables, as their SQL does. --
-
-_WHOLE = "(select distinct l_suppkey as src, 1000000 + l_partkey as dst from lineitem)"
+_EDGES = "(select distinct l_suppkey as src, 1000000 + l_partkey as dst from lineitem)"
 _FOLLOWS = """(select distinct src, dst from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem) where src <> dst)"""
 
 
-def whole_edges(spark, d):
+def edges(spark, d):
     rows = read_table(spark, d, "lineitem")
     return rows.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst"), F.lit("supplies").alias("kind"), F.lit(0.5).alias("weight")).distinct()
 
@@ -452,51 +387,51 @@ def following_parts(spark, d):
     return rows.distinct().select("src", "dst", F.lit("follows").alias("kind"), F.lit(0.5).alias("weight"))
 
 
-@query(f"select src as node, count(*) as fan_out from {_WHOLE} group by src having count(*) > 5")
-def coupling_whole(spark, d):
-    return graph.degrees(whole_edges(spark, d)).where("fan_out > 5").select("node", "fan_out")
+@query(f"select src as node, count(*) as fan_out from {_EDGES} group by src having count(*) > 5")
+def coupling(spark, d):
+    return graph.degrees(edges(spark, d)).where("fan_out > 5").select("node", "fan_out")
 
 
-@query(f"select dst as node, count(*) as fan_in from {_WHOLE} group by dst having count(*) >= 3")
-def critical_nodes_whole(spark, d):
-    return graph.degrees(whole_edges(spark, d)).where("fan_in >= 3").select("node", "fan_in")
+@query(f"select dst as node, count(*) as fan_in from {_EDGES} group by dst having count(*) >= 3")
+def critical_nodes(spark, d):
+    return graph.degrees(edges(spark, d)).where("fan_in >= 3").select("node", "fan_in")
 
 
-@query(f"select dst from {_WHOLE} where src = 1")
-def neighbors_whole(spark, d):
-    return whole_edges(spark, d).where("src = 1").select("dst")
+@query(f"select dst from {_EDGES} where src = 1")
+def neighbors(spark, d):
+    return edges(spark, d).where("src = 1").select("dst")
 
 
-_WHOLE_PATHS = f"""with recursive e as {_FOLLOWS}, p(path, node, hops) as (select [src, dst], dst, 1 from e where src = 1 and dst <> 1
+_PATHS = f"""with recursive e as {_FOLLOWS}, p(path, node, hops) as (select [src, dst], dst, 1 from e where src = 1 and dst <> 1
 union all select list_append(p.path, e.dst), e.dst, hops + 1 from p join e on e.src = p.node where p.node <> 5 and hops < 3 and not list_contains(p.path, e.dst))"""
 
 
-@query(_WHOLE_PATHS + " select array_to_string(path, '>') as path, hops from p where node = 5")
-def paths_k_hops_whole(spark, d):
+@query(_PATHS + " select array_to_string(path, '>') as path, hops from p where node = 5")
+def paths_k_hops(spark, d):
     return graph.simple_paths(following_parts(spark, d), 1, 5, 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops")
 
 
-@query(_WHOLE_PATHS + " select array_to_string(path, '>') as path, hops from p where node = 5 and hops = (select min(hops) from p where node = 5)")
-def shortest_path_whole(spark, d):
+@query(_PATHS + " select array_to_string(path, '>') as path, hops from p where node = 5 and hops = (select min(hops) from p where node = 5)")
+def shortest_path(spark, d):
     return graph.shortest_paths(following_parts(spark, d), 1, 5, 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops")
 
 
 @query(f"with e as {_FOLLOWS} select src || '>' || dst as path from e where src < dst and exists (select 1 from e f where f.src = e.dst and f.dst = e.src) union all select a.src || '>' || b.src || '>' || c.src from e a join e b on a.dst = b.src join e c on b.dst = c.src and c.dst = a.src where a.src < b.src and a.src < c.src and b.src <> c.src")
-def cycles_whole(spark, d):
+def cycles(spark, d):
     return graph.cycles(following_parts(spark, d), 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @query()
-def components_whole(spark, d):
+def components(spark, d):
     """Customers and 997 hubs of orders; without an oracle, as recursive SQL is too slow for all orders."""
     o = read_table(spark, d, "orders")
     return connected_components(o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 997 + 1000000).alias("dst")))
 
 
 @query()
-def graph_stats_whole(spark, d):
+def graph_stats(spark, d):
     nodes = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")).unionByName(read_table(spark, d, "part").select((F.col("p_partkey") + 1000000).alias("id")))
-    return graph.graph_stats(nodes, whole_edges(spark, d))
+    return graph.graph_stats(nodes, edges(spark, d))
 
 
 # -- events --
@@ -605,10 +540,4 @@ def merge_entities(spark, d):
     return consistency.repointed(edges(spark, d).select("src", "dst"), merges)
 
 
-@query(f"select distinct s.a as src, e.dst from (select src, case when src % 3 = 0 and src > 3 then 3 else src end as a, dst from {_WHOLE}) e join (select src, case when src % 3 = 0 and src > 3 then 3 else src end as a from {_WHOLE} group by 1) s on s.src = e.src where s.a <> e.dst")
-def merge_entities_whole(spark, d):
-    merges = read_table(spark, d, "supplier").where("s_suppkey % 3 = 0 and s_suppkey > 3").select(F.col("s_suppkey").alias("merged"), F.lit(3).cast("long").alias("survivor"))
-    return consistency.repointed(whole_edges(spark, d).select("src", "dst"), merges)
-
-
 from marlstone import catalog  # noqa: E402, F401
