@@ -18,8 +18,11 @@ link when 100 * intersection >= percent * union. Four steps:
    traverses the tree: the overlap with a path is counted once for all sets below it, subtrees
    are pruned by the lengths that remain, and subtrees already known to be in the set's own
    component are skipped. A cluster of more than ``block_tokens`` n-grams is cut into blocks by
-   set size, and within one size by hash, and every pair of blocks whose sizes can link is a task of
-   its own; so no task is unbounded and no link between components is lost.
+   set size, and within one size by hash, and pairs of blocks whose sizes can link are tasks of
+   their own; so no task is unbounded and no link between components is lost. Each block is first
+   joined with itself and the next one. The components known then are given to the other pairs;
+   of these, blocks that lie whole in one component are not compared, which spares large groups
+   of near copies the square of their number of blocks.
 4. Connected components of the links found give the result.
 """
 
@@ -37,7 +40,7 @@ from marlstone.operators.components import connected_components
 from marlstone.plans.stash import Stash
 
 #: n-grams of one block of a cluster that is too large for one task, about.
-BLOCK_TOKENS = 500_000
+BLOCK_TOKENS = 200_000
 #: One class in so many shows which n-grams are frequent; those above FREQUENT in that sample, or above
 #: its n-grams divided by MOST_FREQUENT, which bounds their number, are dealt out in SALTS parts.
 SAMPLED_CLASSES, FREQUENT, MOST_FREQUENT, SALTS = 32, 12, 50_000, 64
@@ -91,6 +94,11 @@ class PrefixTree:
             parent[x] = x = parent[parent[x]]
         return x
 
+    def know(self, name, component) -> None:
+        """``name`` is in a component already, which is called by its least name."""
+        self.parent.setdefault(component, component)
+        self.parent[name] = component
+
     def _below(self, node: Node) -> set:
         if len(node.members) > 1:
             node.members = {self.find(x) for x in node.members}
@@ -157,9 +165,11 @@ class PrefixTree:
             node = child
 
 
-def tree_links(left: list[tuple], right: list[tuple] | None, percent: int) -> list[tuple]:
-    """Links that join components: among ``left`` or, with ``right``, from right to left."""
+def tree_links(left: list[tuple], right: list[tuple] | None, percent: int, known: dict | None = None) -> list[tuple]:
+    """Links that join components: among ``left`` or, with ``right``, from right to left; ``known`` are components there are already."""
     tree = PrefixTree(percent)
+    for name, component in (known or {}).items():
+        tree.know(name, component)
     for name, tokens in left:
         if right is None:
             tree.probe(name, tokens)
@@ -260,20 +270,34 @@ def ngram_jaccard_components(
     other = block.select("cluster", F.col("block").alias("block2"), F.col("low").alias("low2"))
     # (block, block2): the sets of block2 are no smaller, and a pair may link
     pairs = block.join(other, "cluster").where(f"block2 = block or (block2 > block and 100 * high >= {percent} * low2)")
-    pairs = pairs.select("cluster", "block", "block2")
-    roles = pairs.select(
-        "cluster", F.col("block").alias("a"), F.col("block2").alias("b"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("own")
-    )
-    tasks = placed.select("rep", "cluster", F.col("block").alias("own")).join(roles, ["cluster", "own"])
-    texts = docs.where("doc_id is not null and text is not null").join(tasks.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
-    links = (
-        texts.select("cluster", "a", "b", "own", "rep", "text")
-        .groupBy("cluster", "a", "b")
-        .applyInArrow(_cluster_links(n, percent), "src long, dst long")
-    )
-    links = stash.put(links)
+    pairs = stash.put(pairs.select("cluster", "block", "block2"))
+    texts = docs.where("doc_id is not null and text is not null")
+
+    def compared(some: DataFrame, members: DataFrame) -> DataFrame:
+        """Links of the given pairs of blocks; ``members`` are (rep, cluster, block, component)."""
+        roles = some.select(
+            "cluster", F.col("block").alias("a"), F.col("block2").alias("b"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("own")
+        )
+        tasks = members.withColumnRenamed("block", "own").join(roles, ["cluster", "own"])
+        rows = texts.join(tasks.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
+        rows = rows.select("cluster", "a", "b", "own", "rep", "component", "text")
+        return stash.put(rows.groupBy("cluster", "a", "b").applyInArrow(_cluster_links(n, percent), "src long, dst long"))
+
+    members = placed.select("rep", "cluster", "block", F.col("rep").alias("component"))
+    links = compared(pairs.where("block2 - block <= 1"), members)
     joined = connected_components(links, "src", "dst").withColumnsRenamed({"node": "rep"})
+    if (placed.agg(F.max("block")).first()[0] or 0) > 1:
+        members = stash.put(placed.join(joined, "rep", "left").select("rep", "cluster", "block", F.coalesce("component", "rep").alias("component")))
+        whole = members.groupBy("cluster", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        first = whole.select("cluster", "block", F.when(F.col("low") == F.col("high"), F.col("low")).alias("one"))
+        second = first.withColumnsRenamed({"block": "block2", "one": "one2"})
+        far = pairs.where("block2 - block > 1").join(first, ["cluster", "block"]).join(second, ["cluster", "block2"])
+        more = compared(far.where("one is null or one2 is null or one != one2").select("cluster", "block", "block2"), members)
+        joined = connected_components(links.unionByName(more), "src", "dst").withColumnsRenamed({"node": "rep"})
+        stash.drop(more)
+        stash.drop(members)
     stash.drop(links)
+    stash.drop(pairs)
     stash.drop(placed)
     known = classes.join(joined, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     found = base.join(known, "key", "left")
@@ -285,12 +309,13 @@ def _cluster_links(n: int, percent: int):
         hashes, sides = WordHashes(), ([], [])
         own, a = table.column("own").to_numpy(), table.column("a").to_numpy()
         b = table.column("b").to_numpy()
-        for name, is_right, text in zip(table.column("rep").to_pylist(), (own != a).tolist(), table.column("text").to_pylist()):
+        reps, components = table.column("rep").to_pylist(), table.column("component").to_pylist()
+        for name, is_right, text in zip(reps, (own != a).tolist(), table.column("text").to_pylist()):
             sides[is_right].append((name, ngram_set(text, n, hashes)))
         for side in sides:
             side.sort(key=lambda x: (len(x[1]), x[0]))
         split = bool(len(a)) and a[0] != b[0]
-        links = tree_links(sides[0], sides[1] if split else None, percent)
+        links = tree_links(sides[0], sides[1] if split else None, percent, {r: c for r, c in zip(reps, components) if r != c})
         return pa.table({"src": pa.array([x for x, _ in links], pa.int64()), "dst": pa.array([x for _, x in links], pa.int64())})
 
     return run
