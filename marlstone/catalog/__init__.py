@@ -1,3 +1,3 @@
 """Queries by family; importing the package registers them."""
 
-from marlstone.catalog import code, documents, graphs, retrieval, scalars, texts, writes  # noqa: F401
+from marlstone.catalog import code, documents, graphs, operations, retrieval, scalars, texts, writes  # noqa: F401

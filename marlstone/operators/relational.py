@@ -107,3 +107,24 @@ def suggested(tags: DataFrame, key: str, tag: str, most: int = 5, spare: int = 6
     listed = first.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col(tag).alias("t")))), lambda x: x["t"]).alias("_first"))  # one row
     out = own.join(F.broadcast(listed))
     return out.select(key, F.slice(F.array_except("_first", "_own"), 1, most).alias("tags"))
+
+
+def jaccard_join(rows: DataFrame, key: str, words: str, percent: int) -> DataFrame:
+    """(a, b, score): pairs of rows whose word sets have a Jaccard similarity of ``percent`` or more; empty sets pair with none.
+
+    Exact, by prefixes: words are ordered by how rare they are; two such sets share one of the first size -
+    ceil(p * size) + 1 words of both, and their sizes are near. Common words come last and tie few.
+    """
+    sets = rows.select(key, F.array_distinct(words).alias("w")).where(F.size("w") > 0)
+    each = sets.select(key, F.size("w").alias("n"), F.explode("w").alias("t"))
+    rare = each.groupBy("t").agg(F.count("*").alias("df"))
+    order = Window.partitionBy(key).orderBy("df", "t")
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    first = each.join(rare, "t").withColumn("_r", F.row_number().over(order)).where((F.col("_r") <= room) & (F.col("df") > 1)).select(key, "n", "t")
+    other = first.select(F.col(key).alias("b"), F.col("n").alias("m"), "t")
+    near = (F.col("a") < F.col("b")) & (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    pairs = first.withColumnRenamed(key, "a").join(other, "t").where(near).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col(key).alias("a"), F.col("w").alias("x")), "a").join(sets.select(F.col(key).alias("b"), F.col("w").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    both = both.withColumn("_s", shared).withColumn("_u", F.size("x") + F.size("y") - F.col("_s"))
+    return both.where(F.col("_s") * 100 >= F.col("_u") * percent).select("a", "b", (F.col("_s") / F.col("_u")).alias("score"))

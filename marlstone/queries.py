@@ -301,16 +301,6 @@ def exact_dups(spark, d):
     return docs(spark, d).groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
-@query(f"with t as (select item_id, list_distinct({TOKENS}) as w from benchmark) select a.item_id as a, b.item_id as b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 4) as score from t a join t b on a.item_id < b.item_id where len(list_intersect(a.w, b.w)) >= 12")
-def jaccard_pairs(spark, d):
-    """Pairs meet on shared tokens, so only items with one in common are compared."""
-    b = read_table(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("w"))
-    hits = b.select(F.col("item_id").alias("a"), F.size("w").alias("na"), F.explode("w").alias("t"))
-    other = hits.withColumnsRenamed({"a": "b", "na": "nb"})
-    both_ = hits.join(other, "t").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n")).where("n >= 12")
-    return both_.select("a", "b", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 4).alias("score"))
-
-
 @query("select o_orderkey as id, case when o_orderkey % 10 = 0 then 'exact_match' when o_orderkey % 10 = 1 then 'hash_match_different_name' when o_orderkey % 10 = 2 then 'name_size_match' else 'new' end as kind from orders")
 def dup_classify(spark, d):
     o = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("f"), "o_orderkey").alias("name"), F.col("o_custkey").alias("size"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("hash"))
@@ -349,16 +339,6 @@ def chunk_fixed_stride(spark, d):
     return chunking.fixed_chunks(docs(spark, d))
 
 
-@query()
-def chunk_sentence(spark, d):
-    return chunking.snapped_chunks(docs(spark, d))
-
-
-@query()
-def chunk_structure(spark, d):
-    return chunking.paragraphs(docs(spark, d))
-
-
 # -- graph: suppliers and parts, parts that follow each other in an order, customers and hubs of orders --
 
 def tree(spark, d):
@@ -475,11 +455,6 @@ def retention(spark, d):
     return S.retained(events(spark, d), "ts", "2024-01-30 00:00:00", 7).select("event_id")
 
 
-@query("select event_type, cast(date_trunc('day', ts) as date) as day, (max(value) - min(value)) / 86400.0 as rate from events group by 1, 2".replace("(max(value) - min(value)) / 86400.0", "round((max(value) - min(value)) / 86.4, 4)"))
-def promql_rate(spark, d):
-    return events(spark, d).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round((F.max("value") - F.min("value")) / 86.4, 4).alias("rate"))
-
-
 @query("select event_type, arg_max(event_id, (ts, event_id)) as event_id from events group by event_type".replace("(ts, event_id)", "row(ts, event_id)"))
 def latest_value(spark, d):
     return events(spark, d).groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
@@ -497,11 +472,6 @@ def rule_findings(spark, d):
     return rules.findings(events(spark, d), [("late_high_value", "critical", late), ("error_event", "warning", F.col("event_type") == "error")], "event_id")
 
 
-@query("select event_type, min(ts) as first_ts from events group by event_type having count(*) filter (event_type = 'error') > 0 or event_type = 'click'")
-def log_summary(spark, d):
-    return events(spark, d).where("event_type in ('error', 'click')").groupBy("event_type").agg(F.min("ts").alias("first_ts"))
-
-
 @query("select event_type, count(*) as n from events group by event_type")
 def stream_counts(spark, d):
     """A file stream driven to its end in complete mode."""

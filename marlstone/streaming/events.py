@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.plans.stash import shared_dir
@@ -51,22 +52,27 @@ def changes(events: DataFrame, key: str, ts: str, order: str, kind: str, state:
     return rows.withColumn("change", change).where(F.col("change").isNotNull()).drop("_k", "_s")
 
 
-def stream_changes(events: DataFrame, key: str, kind: str, state: str) -> DataFrame:
-    """The same on a stream: the last state of a key is kept, and events in order of arrival compared with it."""
+def stream_changes(events: DataFrame, key: str, kind: str, state: str, ts: str | None = None) -> DataFrame:
+    """The same on a stream: the last state of a key is kept and compared with its events.
+
+    Events of one micro-batch are taken in order of ``ts``, those of later ones after them, as they arrive.
+    """
 
     def step(names: tuple, batches: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
         alive, last = kept.get if kept.exists else (False, None)
+        rows = pd.concat(list(batches), ignore_index=True)  # one key's events of one micro-batch
+        if ts is not None:
+            rows = rows.sort_values(ts, kind="stable")
         out = []
-        for pdf in batches:
-            for k, s in zip(pdf[kind], pdf[state]):
-                if k == "DELETED":
-                    change = "deleted" if alive else None
-                    alive = False
-                else:
-                    change = "created" if not alive else "updated" if s != last else None
-                    alive, last = True, s
-                if change:
-                    out.append((names[0], change, s))
+        for k, s in zip(rows[kind], rows[state]):
+            if k == "DELETED":
+                change = "deleted" if alive else None
+                alive = False
+            else:
+                change = "created" if not alive else "updated" if s != last else None
+                alive, last = True, s
+            if change:
+                out.append((names[0], change, s))
         kept.update((alive, last))
         yield pd.DataFrame(out, columns=[key, "change", state])
 
@@ -75,14 +81,54 @@ def stream_changes(events: DataFrame, key: str, kind: str, state: str) -> DataFr
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drive a stream through what there is and return the table that it filled."""
+    """Drive a stream through what there is and return the table that it filled, with its state in the shared folder.
+
+    For small results: the table is in the driver's memory. ``to_files`` is for others.
+    """
     spark = stream.sparkSession
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = query.option("checkpointLocation", f"{shared_dir(spark)}/stream-{name}") if mode != "complete" else query
-    query.start().awaitTermination()
+    # a memory table can't be taken up again, so each run has a checkpoint of its own
+    query.option("checkpointLocation", f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}").start().awaitTermination()
     return spark.table(name)
 
 
+def to_files(stream: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """Append a stream to Parquet, exactly once by its checkpoint; ``every`` such as "300 seconds", or once through what there is."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def reconciled(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
+    """Hand each micro-batch with its number to ``merge``, which has to give the same result when one comes again."""
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def renewed_limit(events: DataFrame, ts: str, key: str, seconds: int, limit: int) -> DataFrame:
+    """Sessions of a key with more than ``limit`` events, where every event puts off the end by so many seconds."""
+    return sessions(events, ts, f"{seconds} seconds", key).where(F.col("n") > limit)
+
+
+def sync_plan(states: DataFrame, now: Column, interval: int, forced: Column | None = None) -> DataFrame:
+    """``states`` (resource_version, updated_at) with ``mode``: incremental within a third of the interval, 300 s at most, of the last sync, else full."""
+    window = min(300.0, interval / 3)
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp"))) / 1e6
+    fresh = F.col("resource_version").isNotNull() & (age < window) & ~(forced if forced is not None else F.lit(False))
+    return states.withColumn("mode", F.when(F.coalesce(fresh, F.lit(False)), "incremental").otherwise("full"))
+
+
+def absent(snapshots: DataFrame, seen: DataFrame, *scope: str, key: str = "uid") -> DataFrame:
+    """Live snapshots (scope, uid, is_deleted) of listed scopes whose uid the listing has not: those to be marked as gone."""
+    listed = seen.select(*scope).distinct()
+    return snapshots.where(~F.col("is_deleted")).join(listed, list(scope), "left_semi").join(seen.select(*scope, key).distinct(), [*scope, key], "left_anti")
+
+
+def field_changes(before: dict[str, Column], after: dict[str, Column]) -> Column:
+    """A map of the fields that differ to their values before and after; two nulls don't differ."""
+    text = lambda c: c.cast("string")
+    entries = [F.when(~before[f].eqNullSafe(after[f]), F.struct(F.lit(f).alias("key"), F.struct(text(before[f]).alias("before"), text(after[f]).alias("after")).alias("value"))) for f in before]
+    return F.map_from_entries(F.array_compact(F.array(*entries)))
+
+
 def retained(rows: DataFrame, ts: str, now: str, days: int) -> DataFrame:
     return rows.where(F.col(ts) >= F.expr(f"timestamp_ntz'{now}' - interval {days} days"))
 
