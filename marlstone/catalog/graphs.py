@@ -107,21 +107,21 @@ _F = "(select src, dst, kind, cast(count(*) as double) as weight from (select l_
 
 
 @query(f"""with recursive e as (select * from {_F} where kind in ('A', 'N')), p(path, node, hops, weight) as (select [src, dst], dst, 1, weight from e where src = 1 and dst <> 1
-union all select list_append(p.path, e.dst), e.dst, hops + 1, p.weight + e.weight from p join e on e.src = p.node where p.node <> 5 and hops < 3 and not list_contains(p.path, e.dst))
-select array_to_string(path, '>') as path, hops, weight from p where node = 5 order by hops, weight desc, p.path limit 10""")
+union all select list_append(p.path, e.dst), e.dst, hops + 1, p.weight + e.weight from p join e on e.src = p.node where p.node <> 43 and hops < 3 and not list_contains(p.path, e.dst))
+select array_to_string(path, '>') as path, hops, weight from p where node = 43 order by hops, weight desc, p.path limit 10""")
 def best_paths(spark, d):
     """The ten first paths of some kinds: shortest, then heaviest."""
-    out = G.best_paths(follows(spark, d), 1, 5, 3, ["A", "N"])
+    out = G.best_paths(follows(spark, d), 1, 43, 3, ["A", "N"])
     return out.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops", "weight")
 
 
 @query(f"""with recursive s as (select p_partkey from part where p_partkey // 3 = 2), e as (select * from {_F} where kind in ('A', 'N')),
-p(path, node, hops, weight) as (select [src, dst], dst, 1, weight from e join s on s.p_partkey = src where dst <> src union all select list_append(p.path, e.dst), e.dst, hops + 1, p.weight + e.weight from p join e on e.src = p.node where p.node <> 9 and hops < 2 and not list_contains(p.path, e.dst)),
-f as (select * from p where node = 9 and path[1] <> 9) select array_to_string(path, '>') as path, hops, weight from f where hops = (select min(hops) from f)""")
+p(path, node, hops, weight) as (select [src, dst], dst, 1, weight from e join s on s.p_partkey = src where dst <> src union all select list_append(p.path, e.dst), e.dst, hops + 1, p.weight + e.weight from p join e on e.src = p.node where p.node <> 10 and hops < 3 and not list_contains(p.path, e.dst)),
+f as (select * from p where node = 10 and path[1] <> 10) select array_to_string(path, '>') as path, hops, weight from f where hops = (select min(hops) from f)""")
 def call_chain(spark, d):
     """Shortest chains from symbols of a file to a symbol by its name."""
     symbols = part(spark, d).select(F.col("p_partkey").alias("id"), F.concat(F.lit("f"), "p_partkey").alias("name"), F.concat(F.lit("src/"), F.floor(F.col("p_partkey") / 3)).alias("file"))
-    out = G.call_chain(follows(spark, d), symbols, "src/2", "f9", 2, ["A", "N"])
+    out = G.call_chain(follows(spark, d), symbols, "src/2", "f10", 3, ["A", "N"])
     return out.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops", "weight")
 
 

@@ -85,7 +85,11 @@ def similarity_ratio(spark, d):
 _NUMBERS = r"list_distinct(list_concat(regexp_extract_all(text, '[0-9]+[.]?[0-9]*'), regexp_extract_all(text, '[0-9]{1,3}(?:,[0-9]{3})*')))"
 
 
-@query(rf"""select doc_id, 'persons' as kind, unnest(list_distinct(list_concat(regexp_extract_all(text, '\b[A-Z][a-z]+ [A-Z][a-z]+\b'), regexp_extract_all(text, '\b(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]+\b')))) as entity from documents where lang = 'en'
+# letters beyond ASCII are no ends of words, which RE2 takes them for
+_PLAIN = r"regexp_replace(text, '[^\x00-\x7F\P{L}]', '_', 'g')"
+
+
+@query(rf"""select doc_id, 'persons' as kind, unnest(list_distinct(list_concat(regexp_extract_all({_PLAIN}, '\b[A-Z][a-z]+ [A-Z][a-z]+\b'), regexp_extract_all({_PLAIN}, '\b(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]+\b')))) as entity from documents where lang = 'en'
 union all select doc_id, 'numbers', unnest({_NUMBERS}) from documents where lang = 'en' union all select doc_id, 'dates', unnest(list_distinct(regexp_extract_all(text, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}'))) from documents where lang = 'en'""")
 def pattern_entities(spark, d):
     """Persons, numbers and dates of English documents."""

@@ -44,7 +44,8 @@ def from_base64(text: Column) -> Column:
 
 
 def fixed(number: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f", number.cast("double"))
+    """With so many digits; halves go to the even digit."""
+    return F.format_string(f"%.{digits}f", F.bround(number.cast("double"), digits))
 
 
 def to_json(row: Column) -> Column:

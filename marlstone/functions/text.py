@@ -192,5 +192,7 @@ def highlight(text: Column, terms: list[str], width: int = 150, most: int = 1) -
 
 
 def file_size(size: Column) -> Column:
+    """Bytes as B, KB, MB or GB with two digits; halves go to the even digit."""
     kb, mb, gb = (F.lit(1024.0**k) for k in (1, 2, 3))
-    return F.when(size < kb, F.format_string("%d B", size)).when(size < mb, F.format_string("%.2f KB", size / kb)).when(size < gb, F.format_string("%.2f MB", size / mb)).otherwise(F.format_string("%.2f GB", size / gb))
+    shown = lambda unit, by: F.format_string(f"%.2f {unit}", F.bround(size / by, 2))
+    return F.when(size < kb, F.format_string("%d B", size)).when(size < mb, shown("KB", kb)).when(size < gb, shown("MB", mb)).otherwise(shown("GB", gb))

@@ -146,20 +146,37 @@ class Packer:
 
 
 def structure_chunks(elements: DataFrame, most: int = 1000, least: int = 500, key: str = "doc_id") -> DataFrame:
-    """(key, chunk_index, content, start, end, section, is_parent) of elements (key, element, category, text), one document at a time."""
+    """(key, chunk_index, content, start, end, section, is_parent) of elements (key, element, category, text).
+
+    Elements are dealt by document and sorted, so that a worker packs one document after the other and
+    holds no more than the one. Elements without a number come first.
+    """
     kind = dict(elements.dtypes)[key]
     schema = f"{key} {kind}, chunk_index int, content string, start long, end long, section int, is_parent boolean"
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        packer = Packer(most, least)
-        frame = frame.sort_values("element", kind="stable")
-        for c, t, e in zip(frame["category"], frame["text"], frame["element"]):
-            packer.add(c, t, None if pd.isna(e) else int(e))
-        out = [{key: frame[key].iloc[0], "chunk_index": i, **c} for i, c in enumerate(packer.chunks())]
-        return pd.DataFrame(out, columns=names)
+    def shaped(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"start": "Int64", "end": "Int64"})
 
-    return elements.select(key, "element", "category", "text").groupBy(key).applyInPandas(run, schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[dict] = []
+        packer, now = None, None
+        for frame in frames:
+            for k, c, t, e in zip(frame[key], frame["category"], frame["text"], frame["element"]):
+                if packer is None or k != now:
+                    if packer is not None:
+                        out += [{key: now, "chunk_index": i, **x} for i, x in enumerate(packer.chunks())]
+                    packer, now = Packer(most, least), k
+                packer.add(c, t, None if pd.isna(e) else int(e))
+                if len(out) >= ROWS_A_TIME:
+                    yield shaped(out)
+                    out = []
+        if packer is not None:
+            out += [{key: now, "chunk_index": i, **x} for i, x in enumerate(packer.chunks())]
+        yield shaped(out)
+
+    rows = elements.where(F.col(key).isNotNull()).select(key, "element", "category", "text")
+    return rows.repartition(key).sortWithinPartitions(key, "element").mapInPandas(run, schema)
 
 
 # Chunks of small and of medium documents at most.

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BLOCKS = "place int, kind string, level int, text string, line_start int, line_end int, path array<string>, cells array<array<string>>, url string"
+#: Rows of blocks that a worker hands on at a time, about.
+ROWS_A_TIME = 2000
 _EMPTY = {"level": None, "text": "", "line_start": None, "line_end": None, "path": [], "cells": None, "url": None}
 
 
@@ -22,13 +24,19 @@ def _rows(docs: DataFrame, key: str, text: str, parse: Callable[[str], list[dict
     kind = dict(docs.dtypes)[key]
     names = [key, *(c.split()[0] for c in _BLOCKS.split(", "))]
 
+    def shaped(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"level": "Int32", "line_start": "Int32", "line_end": "Int32"})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[dict] = []
         for frame in frames:
-            for i in range(len(frame)):  # the blocks of one document at a time
-                found = parse(*[frame[c].iloc[i] or "" for c in (text, *more)])
-                out = [{key: frame[key].iloc[i], "place": k, **_EMPTY, **b} for k, b in enumerate(found)]
-                if out:
-                    yield pd.DataFrame(out, columns=names).astype({"level": "Int32", "line_start": "Int32", "line_end": "Int32"})
+            for k, *given in zip(frame[key], *(frame[c] for c in (text, *more))):
+                found = parse(*[x or "" for x in given])
+                out += [{key: k, "place": n, **_EMPTY, **b} for n, b in enumerate(found)]
+                if len(out) >= ROWS_A_TIME:
+                    yield shaped(out)
+                    out = []
+        yield shaped(out)
 
     return docs.select(key, text, *more).mapInPandas(run, f"{key} {kind}, {_BLOCKS}")
 
