@@ -128,3 +128,19 @@ def jaccard_join(rows: DataFrame, key: str, words: str, percent: int) -> DataFra
     shared = F.size(F.array_intersect("x", "y"))
     both = both.withColumn("_s", shared).withColumn("_u", F.size("x") + F.size("y") - F.col("_s"))
     return both.where(F.col("_s") * 100 >= F.col("_u") * percent).select("a", "b", (F.col("_s") / F.col("_u")).alias("score"))
+
+
+def bases_for(bases: DataFrame, categories: DataFrame, members: DataFrame, documents: DataFrame, user, allowed: list[str] | None = None) -> DataFrame:
+    """(kb_id, name, category, role, documents, members) of the bases (kb_id, name, category_id, owner) that a user owns or is a member of.
+
+    The role is the member's (viewer if it has none), else owner; ``allowed`` keeps bases by role.
+    """
+    from marlstone.functions.classify import role
+
+    mine = members.where(F.col("user_id") == user).groupBy("kb_id").agg(F.max("role").alias("_role")).withColumn("_is", F.lit(True))
+    docs = documents.groupBy("kb_id").agg(F.countDistinct("doc_id").alias("documents"))
+    people = members.groupBy("kb_id").agg(F.countDistinct("user_id").alias("members"))
+    rows = bases.join(categories.select("category_id", "category"), "category_id", "left").join(mine, "kb_id", "left").join(docs, "kb_id", "left").join(people, "kb_id", "left")
+    kind = role(F.col("_role"), F.coalesce("_is", F.lit(False)), F.col("owner") == user)
+    out = rows.select("kb_id", "name", "category", kind.alias("role"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "members")]).where("role is not null")
+    return out if allowed is None else out.where(F.col("role").isin(allowed))

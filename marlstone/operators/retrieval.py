@@ -275,3 +275,21 @@ def sources_of(hits: DataFrame) -> DataFrame:
     """Hits (kind, id, title, content, score, path, line) as citations: what is cited depends on the kind, contents are cut at 200."""
     where = F.when(F.col("kind") == "document", F.col("title")).otherwise(F.concat_ws(":", "path", F.col("line").cast("string")))
     return hits.select("kind", "id", where.alias("source"), F.substring("content", 1, 200).alias("excerpt"), F.round("score", 4).alias("score"))
+
+
+def within_documents(docs: DataFrame, words: str, key: str, order: str, text: str = "text", page: str | None = None, pages: list[int] | None = None, context: int = 200, most: int = 100) -> DataFrame:
+    """(key, order, context) of the chunks of each document that hold the words, the first ``most``, with the text about the first hit."""
+    low = F.lower(text)
+    rows = docs.where(low.contains(words.lower()))
+    if page is not None and pages is not None:
+        rows = rows.where(F.col(page).isin(pages))
+    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    at = F.instr(low, words.lower())
+    about = F.substring(text, F.greatest(at - context // 2, F.lit(1)), F.lit(context))
+    return rows.withColumn("_n", n).where(F.col("_n") <= most).select(key, order, about.alias("context"))
+
+
+def qa_page(records: DataFrame, session, number: int, size: int) -> DataFrame:
+    """A page of the records (id, session, created_at, sources as JSON) of a session, the oldest first, sources parsed."""
+    rows = records.where(F.col("session") == session).orderBy("created_at", "id").offset((max(number, 1) - 1) * size).limit(size)
+    return rows.withColumn("sources", F.coalesce(F.from_json("sources", "array<struct<path:string,line:int>>"), F.array().cast("array<struct<path:string,line:int>>")))

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from marlstone.operators.relational import live
 
 
+def deleted(rows: DataFrame, where: Column) -> DataFrame:
+    """What is left when the rows that ``where`` holds of go; those it is null of stay."""
+    return rows.where(~F.coalesce(where, F.lit(False)))
+
+
 def get(rows: DataFrame, key: str, value, flag: str = "is_deleted") -> DataFrame:
     """The live row of a key, or none."""
     return live(rows, flag).where(F.col(key) == value).limit(1)
@@ -165,6 +170,13 @@ def document_markdown(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return documents.join(text, "doc_id", "left").select("doc_id", F.concat(F.lit("# "), "title", F.lit("\n\n"), body).alias("markdown"))
 
 
+def document_json(documents: DataFrame, chunks: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc_id, json): a document with its chunks (doc_id, chunk_index, content) and images (doc_id, image), each in order."""
+    c = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))).alias("chunks"))
+    i = images.groupBy("doc_id").agg(F.sort_array(F.collect_list("image")).alias("images"))
+    return documents.join(c, "doc_id", "left").join(i, "doc_id", "left").select("doc_id", F.to_json(F.struct("doc_id", "title", "chunks", "images")).alias("json"))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """With a header, nulls as empty cells."""
     plain = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns])

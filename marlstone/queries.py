@@ -145,11 +145,6 @@ def search_facets(spark, d):
     return search.facets(docs(spark, d), ["lang", "source"])
 
 
-@query()
-def search_highlight(spark, d):
-    return docs(spark, d).select("doc_id", T.highlight(F.col("text"), ["license", "token"]).alias("fragment")).where("fragment is not null")
-
-
 _Q = "['how', 'to', 'license', 'the', 'version']"
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions.classify import code_language, is_ignored, is_minified
 
 # Encodings that are tried in this order; the last takes any bytes.
 ENCODINGS = ("utf-8-sig", "gb18030", "latin-1")
@@ -90,3 +91,36 @@ def merged(rows: DataFrame, news: DataFrame, key: str) -> DataFrame:
 
 def page_title(html: Column) -> Column:
     return F.regexp_extract(html, "<title>([^<]*)</title>", 1)
+
+
+def read_code(spark: SparkSession, path: str) -> DataFrame:
+    """(path, language, content) of the code files below a folder, paths relative to it; ignored folders and minified files are left out."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    root = path.split(":", 1)[-1].rstrip("/").lstrip("/")
+    local = F.regexp_replace(F.col("path"), r"^[a-z][a-z0-9+.-]*:/*", "")
+    short = F.when(local.startswith(root + "/"), F.substring(local, len(root) + 2, 2**30)).otherwise(local)
+    rows = rows.select(short.alias("path"), "content").withColumn("language", code_language(F.col("path")))
+    kept = rows.where(F.col("language").isNotNull() & ~is_ignored(F.col("path")) & ~is_minified(F.concat(F.lit("/"), "path")))
+    return kept.select("path", "language", F.pandas_udf(_decoded, "string")("content").alias("content"))
+
+
+OBJECT = "kind string, metadata struct<uid:string,name:string,namespace:string,resourceVersion:string>, spec string, status string"
+
+
+def read_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(uid, name, namespace, resource_version, kind, spec, status) of pages of a listing: JSON files with ``items``."""
+    pages = spark.read.schema(f"items array<struct<{OBJECT.replace(' string', ':string').replace('metadata struct', 'metadata:struct')}>>").json(path, multiLine=True)
+    return pages.select(F.explode("items").alias("o")).select("o.metadata.uid", "o.metadata.name", "o.metadata.namespace", F.col("o.metadata.resourceVersion").alias("resource_version"), "o.kind", "o.spec", "o.status")
+
+
+def watched(lines: DataFrame, text: str = "value") -> DataFrame:
+    """(type, uid, resource_version, object, relist) of watch events, one JSON object a line; the code 410 asks for a new listing."""
+    e = F.from_json(text, "type string, object string")
+    o = F.from_json(e["object"], "metadata struct<uid:string,resourceVersion:string>, code int")
+    rows = lines.select(e.alias("e"), o.alias("o")).where("e.type is not null")
+    return rows.select("e.type", "o.metadata.uid", F.col("o.metadata.resourceVersion").alias("resource_version"), "e.object", ((F.col("e.type") == "ERROR") & (F.col("o.code") == 410)).alias("relist"))
+
+
+def watch_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Watch events of files that come into a folder, as a stream."""
+    return watched(spark.readStream.text(folder))

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,3 +144,51 @@ def window_stats(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFr
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))
     each = rows.select(*keys, pairs.alias("p")).select(*keys, "p.*").where("v is not null and v != 0")
     return each.groupBy(*keys, "column").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.count("*").alias("n"))
+
+
+def _walk(value, path: str, depth: int):
+    kind = {dict: "object", list: "array", str: "string", bool: "boolean", int: "integer", float: "number", type(None): "null"}[type(value)]
+    yield path, kind, None if kind in ("object", "array") else str(value)
+    if depth and isinstance(value, dict):
+        for k, v in value.items():
+            yield from _walk(v, f"{path}.{k}", depth - 1)
+    elif depth and isinstance(value, list) and value:
+        yield from _walk(value[0], f"{path}[]", depth - 1)
+
+
+def _walk_xml(node, path: str, depth: int):
+    yield path, "element" if len(node) else "text", (node.text or "").strip() or None
+    for k, v in node.attrib.items():
+        yield f"{path}@{k}", "attribute", v
+    seen = set()
+    for x in node if depth else ():
+        if x.tag not in seen:
+            seen.add(x.tag)
+            yield from _walk_xml(x, f"{path}/{x.tag}", depth - 1)
+
+
+def previews(rows: DataFrame, key: str, kind: str, text: str, depth: int = 5) -> DataFrame:
+    """(key, path, type, sample) of the structure of JSON, XML and CSV texts, by their kind; of lists the first element, of columns the first cell."""
+
+    def look(what: str, content: str) -> list[tuple]:
+        if what == "json":
+            return list(_walk(json.loads(content), "$", depth))
+        if what == "xml":
+            root = ElementTree.fromstring(content)
+            return list(_walk_xml(root, "/" + root.tag, depth))
+        if what == "csv":
+            lines = [r for _, r in zip(range(2), csv.reader(io.StringIO(content)))]
+            return [(name, "column", lines[1][i] if len(lines) > 1 and i < len(lines[1]) else None) for i, name in enumerate(lines[0] if lines else [])]
+        return []
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for k, what, content in zip(frame[key], frame[kind], frame[text]):
+                try:
+                    out += [(k, n, *x) for n, x in enumerate(look(what, content or ""))]
+                except (ValueError, ElementTree.ParseError):
+                    out.append((k, 0, "$", "invalid", None))
+            yield pd.DataFrame(out, columns=[key, "place", "path", "type", "sample"])
+
+    return rows.select(key, kind, text).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, place int, path string, type string, sample string")
