@@ -328,7 +328,7 @@ def compact(content: Column, most: int = 2000) -> Column:
     """What of a file is embedded: doc strings, up to 20 comments, 30 imports and 50 definitions; with little of these also its first 3000 characters."""
     lines = lambda p, n: F.slice(F.regexp_extract_all(content, F.lit(p), F.lit(0)), 1, n)
     docs = F.regexp_extract_all(content, F.lit(r'(?s)"""(.*?)"""'), F.lit(1))
-    parts = F.concat(docs, lines(r"(?m)^\s*(?:#|//).*$", 20), lines(r"(?m)^\s*(?:import|from|using|use|#include)\b.*$", 30), lines(r"(?m)^\s*(?:async\s+)?(?:def|class|func|function|fn|public|private|interface)\b.*$", 50))
+    parts = F.concat(docs, lines(r"(?m)^[ \t]*(?:#|//).*$", 20), lines(r"(?m)^[ \t]*(?:import|from|using|use|#include)\b.*$", 30), lines(r"(?m)^[ \t]*(?:async\s+)?(?:def|class|func|function|fn|public|private|interface)\b.*$", 50))
     text = F.array_join(F.transform(parts, F.trim), "\n")
     text = F.when(F.length(text) < 200, F.concat_ws("\n", F.when(text != "", text), F.substring(content, 1, 3000))).otherwise(text)
     cut = F.substring(text, 1, most)

@@ -6,7 +6,10 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import code, entities, store
+from marlstone.session import read_table
 from marlstone.sources import files, markup, office, tables
+from marlstone.streaming import events as streams
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 A = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
@@ -121,3 +124,83 @@ def test_html_of_odd_pages(spark):
     for x in markup.html_blocks(spark.createDataFrame(rows, "page_id long, html string, url string")).orderBy("page_id", "place").collect():
         got.setdefault(x.page_id, []).append((x.kind, x.text, x.url))
     assert set(got) == {3, 4} and ("link", "l", "x") in got[3] and ("table", "in", None) in got[4]
+
+
+def test_code_folders(spark, tmp_path):
+    for name, text in (("a/main.py", "x = 1"), ("a/node_modules/b.js", "no"), ("a/lib/c.min.js", "no"), ("a/dist/d.ts", "no"), ("Dockerfile", "FROM x"), ("notes.xyz", "no"), ("b.go", "func f() {}")):
+        file = tmp_path / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(text)
+    got = files.read_code(spark, f"file://{tmp_path}")
+    assert sorted((x.path, x.language, x.content) for x in got.collect()) == [("Dockerfile", "dockerfile", "FROM x"), ("a/main.py", "python", "x = 1"), ("b.go", "go", "func f() {}")]
+
+
+def test_listings_and_watch_events(spark, tmp_path):
+    import json
+
+    page = lambda *names: json.dumps({"items": [{"kind": "Pod", "metadata": {"uid": f"u-{n}", "name": n, "namespace": "ns", "resourceVersion": "7"}, "spec": {"a": 1}, "status": {"phase": "Running"}} for n in names]})
+    (tmp_path / "1.json").write_text(page("a", "b"))
+    (tmp_path / "2.json").write_text(page("c"))
+    rows = {x.uid: x for x in files.read_listing(spark, f"file://{tmp_path}").collect()}
+    assert set(rows) == {"u-a", "u-b", "u-c"} and rows["u-c"].resource_version == "7" and json.loads(rows["u-a"].status) == {"phase": "Running"}
+    event = lambda kind, uid, version: json.dumps({"type": kind, "object": {"metadata": {"uid": uid, "resourceVersion": version}}})
+    lines = [event("ADDED", "x", "1"), event("MODIFIED", "x", "2"), json.dumps({"type": "ERROR", "object": {"code": 410}}), "broken", ""]
+    (tmp_path / "watch").mkdir()
+    (tmp_path / "watch" / "1.txt").write_text("\n".join(lines))
+    table = streams.run_to_end(files.watch_stream(spark, f"file://{tmp_path}/watch"), "test_watch", "append").collect()
+    assert sorted((x.type, x.uid, x.resource_version, x.relist) for x in table if x.type != "ERROR") == [("ADDED", "x", "1", False), ("MODIFIED", "x", "2", False)]
+    assert [x.relist for x in table if x.type == "ERROR"] == [True] and len(table) == 3
+
+
+def test_streams_into_files_and_merges(spark, sf, tmp_path):
+    events = read_table(spark, sf, "events")
+    stream = lambda: streams.as_stream(spark, sf, events.schema, "events.parquet")
+    for _ in range(2):  # the second run finds nothing new
+        streams.to_files(stream(), f"file://{tmp_path}/out", f"file://{tmp_path}/c1").awaitTermination()
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == events.count()
+    seen = {}
+    streams.reconciled(stream(), lambda batch, number: seen.update({number: batch.count()}), f"file://{tmp_path}/c2").awaitTermination()
+    assert sum(seen.values()) == events.count()
+    counts = {tuple(x) for x in streams.run_to_end(streams.tumbling(stream(), "ts", "1 day", "event_type", late="1 hour"), "test_tumbling", "append").select("window_start", "event_type", "n").collect()}
+    want = {tuple(x) for x in streams.tumbling(events, "ts", "1 day", "event_type").select("window_start", "event_type", "n").collect()}
+    assert counts and counts <= want  # the last windows are still open
+
+
+def test_exports_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'say "hi",\nthere', None), (2, None, 2.5)], "id int, text string, value double")
+    store.write_csv(rows, f"file://{tmp_path}/csv")
+    back = spark.read.csv(f"file://{tmp_path}/csv", header=True, multiLine=True, escape='"')
+    assert sorted((x.id, x.text, x.value) for x in back.collect()) == [("1", 'say "hi",\nthere', None), ("2", None, "2.5")]
+    store.write_json(rows, f"file://{tmp_path}/json")
+    assert sorted(spark.read.text(f"file://{tmp_path}/json").collect())[1].value == '{"id":2,"text":null,"value":2.5}'
+    one = store.json_array(rows, [], "id").first().json
+    assert one.startswith('[{"id":1,') and one.endswith('"value":2.5}]')
+
+
+def test_models_are_hooks(spark):
+    def model():
+        def ask(texts):
+            if any("fail" in t for t in texts):
+                raise RuntimeError("lost")
+            return [t.upper() for t in texts]
+
+        return ask
+
+    rows = spark.createDataFrame([(i, f"t{i}" if i != 7 else "fail") for i in range(10)] + [(10, None)], "id int, text string").coalesce(1)
+    got = {x.id: x.answer for x in entities.answers(rows, "id", "text", model, batch=5).collect()}
+    assert got[0] == "T0" and [got[i] for i in range(5, 10)] == [""] * 5 and got[10] == ""
+
+
+def test_code_is_made_compact(spark):
+    long = '"""Doc."""\nimport os\n\n# note\ndef f(a):\n    return a\n' + "x = 1\n" * 1000
+    many = "".join(f"def function_number_{i}(argument, another):\n    pass\n" for i in range(80))
+    got = [x.c for x in spark.createDataFrame([(1, long), (2, many), (3, "")], "i int, t string").orderBy("i").select(code.compact(F.col("t")).alias("c")).collect()]
+    assert got[0].startswith("Doc.\n# note\nimport os\ndef f(a):\n") and len(got[0]) <= 2000
+    assert got[1].count("def ") <= 50 and len(got[1]) <= 2000 and not got[1].endswith("def") and got[2] == ""
+
+
+def test_odd_code_files(spark):
+    rows = [("a.py", "python", "def f(:"), ("b.py", "python", None), ("c.py", "python", "x = (lambda: 1)()"), ("d.xyz", None, "what"), ("e.rb", "ruby", "class A\n  def self.go?\n  end\nend\n")]
+    files_ = spark.createDataFrame(rows, "path string, language string, content string")
+    assert sorted((x.path, x.kind, x.name) for x in code.symbols(files_).collect()) == [("e.rb", "class", "A"), ("e.rb", "function", "go?")]
+    assert code.imports(files_).count() == code.calls(files_).count() == code.inherits(files_).count() == 0
