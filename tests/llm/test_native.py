@@ -307,3 +307,40 @@ def test_likeness_of_short_and_long_edits(spark, sf):
     assert (means.half[means.index >= 30] > 0.3).all() and means.half[12] > 0.2 and (means.half < 0.75).all(), means
     assert (means.other < 0.1).all(), means
     assert (means["size"][means.index >= 1700] < 0.6 * means.index[means.index >= 1700]).all()
+
+
+def test_mixing_of_odd_rows(spark):
+    """Null, repeated and clashing rows, ties and a very long text."""
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(None, "null id one", "a")] * 40 + [(None, "null id other text", "b")] * 40 + [(7, "same row here", "a")] * 50 + [(8, long, "a"), (9, None, "b"), (10, " ", None), (11, "tie one", "b"), (12, "tie two", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("mark", "shard", "to", "key", "copies", "row")})
+    got = mixing.mix_sources(df.repartition(5), rows_a_shard=30).collect()
+    again = mixing.mix_sources(df.coalesce(1), rows_a_shard=30).collect()
+    order = lambda rs: sorted(map(tuple, rs), key=repr)
+    assert len(got) == len(rows) and order(got) == order(again)
+    assert all(0 <= x.taken <= 3 * x.size for x in got) and {x.size for x in got if x.doc_id in (9, 10)} == {0}
+    whole = mixing.mixed_documents(df, rows_a_shard=30).collect()
+    assert order(whole) == order(mixing.mixed_documents(df.repartition(3), rows_a_shard=30).collect())
+    kept = {(x.doc_id, x.text) for x in whole}
+    assert (None, "null id one") in kept and (None, "null id other text") in kept and not {i for i, _ in kept} & {9, 10}
+
+
+def test_chats_of_odd_rows(spark):
+    """Repeated rows, a very long text, an empty table and clashing columns."""
+    long = "</s>[INST]" * 40_000
+    rows = [(1, 0, "user", "same")] * 3 + [(2, 0, "assistant", long), (2, 1, None, None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"block": F.lit(1), "formatted": F.lit("x")})
+    got = {x.conv_id: x for x in chat.format_chats(df).withColumns({"t": chat.read_turns(F.col("formatted")), "loss": chat.masked_text(F.col("formatted"), F.col("loss_mask"))}).collect()}
+    assert [(t.role, t.text) for t in got[1].t] == [("user", "same")] * 3 and got[2].loss == long and len(got) == 3
+
+
+def test_fingerprints_of_odd_rows(spark):
+    """Nulls, repeated rows and a very long text; equal texts have equal fingerprints."""
+    long = "\n".join(f"line {i} of many, with words" for i in range(60_000))
+    rows = [(1, long), (2, long + "!"), (3, None), (3, ""), (4, "same"), (4, "same"), (None, "same")]
+    got = fingerprints.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"next": F.lit(1), "fingerprint": F.lit("x")})).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x.doc_id, []).append(x)
+    assert len(got) == 7 and by[3][0].fingerprint == by[3][1].fingerprint and by[4][0].fingerprint == by[4][1].fingerprint == by[None][0].fingerprint
+    assert 0.9 < by[1][0].near_next < 1 and by[1][0].fingerprint != by[2][0].fingerprint
