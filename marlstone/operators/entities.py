@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,25 +136,3 @@ def parse_answer(text: Column) -> Column:
     lines = F.when((words != "") | (summary != ""), F.struct(listed.alias("keywords"), summary.alias("summary")))
     full = lambda x: F.when(x["keywords"].isNotNull() | x["summary"].isNotNull(), x)
     return F.coalesce(full(whole), full(inner), lines)
-
-
-def answers(docs: DataFrame, key: str, text: str, model: Callable[[], Callable[[list[str]], list[str]]], batch: int = 50) -> DataFrame:
-    """(key, answer) of a text model: ``model()`` is made once a task and called with lists of texts.
-
-    A batch that fails gives empty answers, as one that is lost must not lose the others.
-    """
-    kind = dict(docs.dtypes)[key]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = model()
-        for frame in frames:
-            found: list[str] = []
-            for at in range(0, len(frame), batch):
-                part = frame[text].iloc[at : at + batch].fillna("").tolist()
-                try:
-                    found += ask(part)
-                except Exception:  # noqa: BLE001
-                    found += [""] * len(part)
-            yield pd.DataFrame({key: frame[key], "answer": found})
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, answer string")

@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import code, entities, store
+from marlstone.operators import code, entities, models, store
 from marlstone.session import read_table
 from marlstone.sources import files, markup, office, tables
 from marlstone.streaming import events as streams
@@ -187,8 +187,16 @@ def test_models_are_hooks(spark):
         return ask
 
     rows = spark.createDataFrame([(i, f"t{i}" if i != 7 else "fail") for i in range(10)] + [(10, None)], "id int, text string").coalesce(1)
-    got = {x.id: x.answer for x in entities.answers(rows, "id", "text", model, batch=5).collect()}
+    got = {x.id: x.answer for x in models.answers(rows, "id", "text", model, batch=5).collect()}
     assert got[0] == "T0" and [got[i] for i in range(5, 10)] == [""] * 5 and got[10] == ""
+    vectors = models.embeddings(rows, "id", "text", lambda: lambda texts: [[float(len(t or ""))] * 2 for t in texts], batch=4)
+    assert [list(x.embedding) for x in vectors.orderBy("id").collect()][6:8] == [[2.0, 2.0], [4.0, 4.0]]
+    scored = models.pair_scores(rows.where("text is not null"), "t3", "text", lambda: lambda qs, cs: [float(q == c) for q, c in zip(qs, cs)])
+    assert [x.id for x in scored.where("rerank_score = 1").collect()] == [3]
+    wrong = models.applied(rows, lambda: lambda texts: texts[:-1], ["text"], "string", failed="lost")
+    assert {x.answer for x in wrong.collect()} == {"lost"}
+    told = models.extracted(rows, "id", "text", lambda: lambda ts: [f"关键词：{t}、b\n摘要：about {t}" for t in ts], entities.parse_answer)
+    assert told.where("id = 2").first() == (2, ["t2", "b"], "about t2")
 
 
 def test_code_is_made_compact(spark):
