@@ -296,7 +296,7 @@ def matched_modules(found: DataFrame, names: DataFrame) -> DataFrame:
     """(module, matched): the known module (name, rank) that an import begins with or holds; else that its first part belongs to; the first by rank."""
     plain = F.regexp_replace("module", r"^[./]+", "")
     rows = found.select("module").distinct().withColumn("_p", plain).withColumn("_f", F.split_part(plain, F.lit("/"), F.lit(1)))
-    pairs = rows.join(F.broadcast(names.limit(10_000)))  # modules of two folder levels of one repository
+    pairs = rows.crossJoin(names)  # a part of a name is looked for, so each import meets each module of the repository
     tier = F.when(F.col("_p").contains(F.col("name")), 1).when((F.col("_f") != "") & F.col("name").contains(F.col("_f")), 2)
     best = pairs.withColumn("_t", tier).where("_t is not null").groupBy("module").agg(F.min_by("name", F.struct("_t", "rank")).alias("matched"))
     return rows.select("module").join(best, "module", "left")
@@ -318,10 +318,11 @@ def architecture(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 def references(found: DataFrame, uses: DataFrame, name: str, path: str) -> DataFrame:
     """(path, line) where a symbol is used: calls of its name or qualified name, without its own file's definition line, each once."""
-    own = found.where((F.col("path") == path) & ((F.col("name") == name) | (F.col("qualified") == name))).select("name", "qualified", F.col("path").alias("def_path"), F.col("line").alias("def_line"))
-    hit = (F.col("callee") == F.col("name")) | (F.col("callee") == F.col("qualified")) | F.col("callee").endswith(F.concat(F.lit("."), F.col("name")))
-    rows = uses.join(F.broadcast(own.limit(100)), hit)  # definitions of one name in one file
-    return rows.where((F.col("path") != F.col("def_path")) | (F.col("line") != F.col("def_line"))).select("path", "line").distinct()
+    own = found.where((F.col("path") == path) & ((F.col("name") == name) | (F.col("qualified") == name)))
+    own = own.select(F.col("name").alias("last"), "qualified", F.col("path").alias("def_path"), F.col("line").alias("def_line"))
+    rows = uses.withColumn("last", F.substring_index("callee", ".", -1)).join(own, "last")
+    dotted = (F.col("callee") == F.col("last")) | (F.col("callee") == F.col("qualified")) | F.col("callee").endswith(F.concat(F.lit("."), F.col("last")))
+    return rows.where(dotted & ((F.col("path") != F.col("def_path")) | (F.col("line") != F.col("def_line")))).select("path", "line").distinct()
 
 
 def compact(content: Column, most: int = 2000) -> Column:

@@ -9,22 +9,38 @@ from marlstone.operators.components import connected_components
 from marlstone.plans.stash import Stash
 
 
-def simple_paths(edges: DataFrame, source, target, hops: int, kinds: list[str] | None = None) -> DataFrame:
-    """(path, hops, weight) of all simple directed paths, by one join a hop; frontiers drop cycles early."""
+def paths_between(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int, kinds: list[str] | None = None) -> DataFrame:
+    """(path, hops, weight) of all simple directed paths from a source to a target (id), by one join a hop; frontiers drop cycles early.
+
+    A path ends at the first target; sources that are targets have no path to themselves.
+    """
     e = edges if kinds is None else edges.where(F.col("kind").isin(kinds))
-    e = e.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("weight").alias("_w"))
-    front = e.where(F.col("_s") == source).select(F.array("_s", "_d").alias("path"), F.col("_w").alias("weight"), F.col("_d").alias("at")).where(F.col("at") != source)
-    found = front.where(F.col("at") == target)
+    e = e.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("weight").alias("_w")).where("_s != _d")
+    ends = targets.select(F.col("id").alias("at")).distinct()
+    front = e.join(sources.select(F.col("id").alias("_s")).distinct(), "_s", "left_semi")
+    front = front.select(F.array("_s", "_d").alias("path"), F.col("_w").alias("weight"), F.col("_d").alias("at"))
+    found = front.join(ends, "at", "left_semi")
     for _ in range(hops - 1):
-        front = front.where(F.col("at") != target).join(e, F.col("at") == F.col("_s")).where(~F.array_contains("path", F.col("_d")))
+        front = front.join(ends, "at", "left_anti").join(e, F.col("at") == F.col("_s")).where(~F.array_contains("path", F.col("_d")))
         front = front.select(F.concat("path", F.array("_d")).alias("path"), (F.col("weight") + F.col("_w")).alias("weight"), F.col("_d").alias("at"))
-        found = found.unionByName(front.where(F.col("at") == target))
+        found = found.unionByName(front.join(ends, "at", "left_semi").select(*front.columns))
     return found.select("path", (F.size("path") - 1).alias("hops"), "weight")
 
 
+def simple_paths(edges: DataFrame, source, target, hops: int, kinds: list[str] | None = None) -> DataFrame:
+    """(path, hops, weight) of all simple directed paths between two nodes."""
+    one = edges.sparkSession.range(1)
+    kind = edges.schema["src"].dataType
+    node = lambda x: one.select(F.lit(x).cast(kind).alias("id"))
+    return paths_between(edges, node(source), node(target), hops, kinds)
+
+
+def shortest(paths: DataFrame) -> DataFrame:
+    return paths.join(F.broadcast(paths.agg(F.min("hops").alias("_m"))), F.col("hops") == F.col("_m")).drop("_m")  # one row
+
+
 def shortest_paths(edges: DataFrame, source, target, hops: int) -> DataFrame:
-    paths = simple_paths(edges, source, target, hops)
-    return paths.join(F.broadcast(paths.agg(F.min("hops").alias("_m"))), F.col("hops") == F.col("_m")).drop("_m")
+    return shortest(simple_paths(edges, source, target, hops))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -112,25 +128,14 @@ def best_paths(edges: DataFrame, source, target, hops: int, kinds: list[str] | N
 
 
 def call_chain(edges: DataFrame, symbols: DataFrame, source: str, target: str, hops: int, kinds: list[str]) -> DataFrame:
-    """Shortest paths between two names: symbols (id, name, file) by their name, else files by their path. Bounded by the names' own rows."""
+    """Shortest paths between two names: symbols (id, name, file) by their name, else all of a file by its path."""
 
     def ends(name: str) -> DataFrame:
-        as_symbol = symbols.where(F.col("name") == name).select("id", F.lit(1).alias("tier"))
-        as_file = symbols.where(F.col("file") == name).select("id", F.lit(2).alias("tier"))
-        both = as_symbol.unionByName(as_file)
-        return both.join(F.broadcast(both.agg(F.min("tier").alias("_t"))), F.col("tier") == F.col("_t")).select("id").distinct()
-
-    starts = sorted(x.id for x in ends(source).limit(100).collect())
-    stops = sorted(x.id for x in ends(target).limit(100).collect())
-    found = None
-    for a in starts:
-        for b in stops:
-            if a != b:
-                one = simple_paths(edges, a, b, hops, kinds)
-                found = one if found is None else found.unionByName(one)
-    if found is None:
-        return edges.select(F.array("src").alias("path"), F.lit(0).alias("hops"), F.col("weight")).where("false")
-    return found.join(F.broadcast(found.agg(F.min("hops").alias("_m"))), F.col("hops") == F.col("_m")).drop("_m")
+        tier = F.when(F.col("name") == name, 1).when(F.col("file") == name, 2)
+        both = symbols.select("id", tier.alias("tier")).where("tier is not null")
+        return both.join(F.broadcast(both.agg(F.min("tier").alias("_t"))), F.col("tier") == F.col("_t")).select("id").distinct()  # one row
+
+    return shortest(paths_between(edges, ends(source), ends(target), hops, kinds))
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
