@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import associate as A
-from marlstone.operators import relational
 from marlstone.registry import customer, docs, lineitem, orders, pages, part, query, turns
 from marlstone.sources import markup as M
 from marlstone.sources import tables as T

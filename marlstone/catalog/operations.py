@@ -75,7 +75,6 @@ def _resources(spark, d):
     return events(spark, d).select("event_id", kind.alias("kind"), api.alias("api"), (F.col("value") / 100).alias("cpu"), (F.col("value") * 4e7).alias("memory"), F.when(e % 2 == 0, F.col("value") / 50).alias("restarts"), (e % 5).cast("double").alias("connections"), logs.alias("logs"))
 
 
-_K = "event_id % 4 = {}"
 _FINDINGS = " union all ".join(
     f"select event_id, '{rule}' as rule, '{severity}' as severity from events where event_id % 4 = {k} and {holds}"
     for k, rule, severity, holds in [

@@ -84,10 +84,9 @@ def text_cleaning(spark, d):
     )
 
 
-_SHORT = "case doc_id % 7 when 0 then '  ' when 1 then '-=-=-=' when 2 then 'ab' when 3 then 'Table of Contents' when 4 then 'Intro .... 3' || chr(10) || 'End ..... 12' when 5 then 'see ... 4' else source || ' and more' end"
 
 
-@query(f"select doc_id, doc_id % 7 in (0, 1, 2) as decorative, doc_id % 7 in (3, 4, 5) as contents from documents")
+@query("select doc_id, doc_id % 7 in (0, 1, 2) as decorative, doc_id % 7 in (3, 4, 5) as contents from documents")
 def decorative_and_contents(spark, d):
     k = F.col("doc_id") % 7
     t = F.when(k == 0, "  ").when(k == 1, "-=-=-=").when(k == 2, "ab").when(k == 3, "Table of Contents").when(k == 4, "Intro .... 3\nEnd ..... 12").when(k == 5, "see ... 4").otherwise(F.concat("source", F.lit(" and more")))
@@ -124,7 +123,6 @@ def first_keywords(spark, d):
 
 
 _CASES = ["What is this", "how to run", "please compare both", "tell me", "call path of the call chain architecture", "why and how does it optimize", "什么 是 数据", "如何 优化 模块"]
-_CASE = "case {k} % 8 " + " ".join(f"when {i} then {{{i}}}" for i in range(8)) + " end"
 
 
 def _of(values: list, cast: str = "") -> str:
