@@ -140,11 +140,15 @@ def elements(chunks: DataFrame, images: DataFrame) -> DataFrame:
     return both.select("doc", "type", "id", F.row_number().over(order).alias("position"))
 
 
+# Fixed value: what stands before the texts of images.
+OCR_MARK = "\n\n[图片文字]: "
+
+
 def ocr_enriched(hits: DataFrame, links: DataFrame, images: DataFrame) -> DataFrame:
     """Hits (chunk, content) with the texts of their images behind the content, and how many there are."""
     texts = links.join(images.where(F.trim("ocr_text") != ""), "image").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("image", F.trim("ocr_text").alias("t")))).alias("ts"))
     out = hits.join(texts, "chunk", "left")
     n = F.coalesce(F.size("ts"), F.lit(0))
     n = F.when(F.col("ts").isNull(), 0).otherwise(n)
-    content = F.when(n > 0, F.concat("content", F.lit("\n\n[图片文字]: "), F.array_join("ts.t", " "))).otherwise(F.col("content"))
+    content = F.when(n > 0, F.concat("content", F.lit(OCR_MARK), F.array_join("ts.t", " "))).otherwise(F.col("content"))
     return out.select(*[c for c in hits.columns if c != "content"], content.alias("content"), n.alias("image_ocr_count"))

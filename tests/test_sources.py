@@ -212,3 +212,12 @@ def test_odd_code_files(spark):
     files_ = spark.createDataFrame(rows, "path string, language string, content string")
     assert sorted((x.path, x.kind, x.name) for x in code.symbols(files_).collect()) == [("e.rb", "class", "A"), ("e.rb", "function", "go?")]
     assert code.imports(files_).count() == code.calls(files_).count() == code.inherits(files_).count() == 0
+
+
+def test_wide_tables_keep_dense_and_numeric_columns(spark):
+    wide = [[str(i) if c == 24 else "x" if c < 15 or i % 2 else "" for c in range(25)] for i in range(6)]
+    rows = spark.createDataFrame([("w", i, r) for i, r in enumerate(wide)] + [("n", 0, ["a", ""])], "sheet string, row int, cells array<string>")
+    got = {x.sheet: x.kept for x in tables.kept_columns(tables.column_kinds(rows, "sheet"), "sheet").collect()}
+    assert got["w"] == [*range(10), 24] and got["n"] == [0, 1]
+    table = rows.where("sheet = 'n'").select(tables.markdown_table(F.array(F.lit("p"), F.lit("q")), F.array("cells", F.array(F.lit("y" * 200)))).alias("t")).first().t
+    assert table == "| p | q |\n| --- | --- |\n| a |  |\n| " + "y" * 100 + " |  |"
