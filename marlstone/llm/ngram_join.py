@@ -14,15 +14,18 @@ link when 100 * intersection >= percent * union. Four steps:
    passages come last and tie no one. Classes with a common n-gram in their prefixes are tied
    to the least of them (a star, no pairs) and connected components of these ties are the
    clusters. Linked classes never part.
-3. Each cluster's sets are stored in a prefix tree one after another. Before a set is stored it
+3. Each cluster's sets are parted once more in the same way, now by the exact rarity of all their
+   n-grams, and stored in prefix trees one after another, their n-grams in one order, the most
+   frequent first, so that sets share paths far down. Before a set is stored it
    traverses the tree: the overlap with a path is counted once for all sets below it, subtrees
    are pruned by the lengths that remain, and subtrees already known to be in the set's own
    component are skipped. A cluster of more than ``block_tokens`` n-grams is cut into blocks by
    set size, and within one size by hash, and pairs of blocks whose sizes can link are tasks of
-   their own; so no task is unbounded and no link between components is lost. Each block is first
-   joined with itself and the next one. The components known then are given to the other pairs;
-   of these, blocks that lie whole in one component are not compared, which spares large groups
-   of near copies the square of their number of blocks.
+   their own; so no task is unbounded and no link between components is lost. In clusters of more
+   than NEAR_BLOCKS blocks each block is first joined with itself and the next one. The
+   components known then are given to the other pairs; of these, blocks that lie whole in one
+   component are not compared, which spares large groups of near copies the square of their
+   number of blocks.
 4. Connected components of the links found give the result.
 """
 
@@ -35,12 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from marlstone.llm.texts import WordHashes, map_rows, mixed, shingles, words
+from marlstone.llm.texts import WordHashes, map_rows, shingles, words
 from marlstone.operators.components import connected_components
 from marlstone.plans.stash import Stash
 
 #: n-grams of one block of a cluster that is too large for one task, about.
-BLOCK_TOKENS = 200_000
+BLOCK_TOKENS = 500_000
+#: Clusters of more blocks are compared in two rounds.
+NEAR_BLOCKS = 4
+#: n-grams of the sets that a task takes on, about; clusters are small, and comparing takes longer than their bytes tell.
+TASK_TOKENS = 120_000
 #: One class in so many shows which n-grams are frequent; those above FREQUENT in that sample, or above
 #: its n-grams divided by MOST_FREQUENT, which bounds their number, are dealt out in SALTS parts.
 SAMPLED_CLASSES, FREQUENT, MOST_FREQUENT, SALTS = 32, 12, 50_000, 64
@@ -165,6 +172,43 @@ class PrefixTree:
             node = child
 
 
+def regrouped(sides: tuple[list[tuple], list[tuple]], percent: int) -> list[tuple[list[tuple], list[tuple]]]:
+    """The sets in groups that no link leaves, their n-grams as numbers, the most frequent first.
+
+    Groups are found as clusters are, but with the exact counts of all n-grams of the task: sets that
+    link share one of the rarest n-grams of both, the first size - ceil(p * size / 100) + 1 of each.
+    """
+    every = [tokens for side in sides for _, tokens in side]
+    if not every:
+        return []
+    seen, inverse, counts = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    number = np.empty(len(seen), np.int64)  # 0 for the rarest
+    number[np.lexsort((seen, counts))] = np.arange(len(seen))
+    held = counts[np.argsort(number)] > 1
+    sizes = np.array([len(x) for x in every])
+    ordered = [np.sort(x) for x in np.split(number[inverse], np.cumsum(sizes)[:-1])]
+    parent = list(range(len(every)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    first: dict[int, int] = {}
+    for i, x in enumerate(ordered):
+        rarest = x[: prefix_length(len(x), percent)]
+        for token in rarest[held[rarest]].tolist():
+            a, b = find(first.setdefault(token, i)), find(i)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    groups: dict[int, tuple[list, list]] = {}
+    most = np.uint64(len(seen))
+    names = [(name, k) for k, side in enumerate(sides) for name, _ in side]
+    for i, (name, k) in enumerate(names):
+        groups.setdefault(find(i), ([], []))[k].append((name, (most - ordered[i].astype(np.uint64))[::-1]))
+    return list(groups.values())
+
+
 def tree_links(left: list[tuple], right: list[tuple] | None, percent: int, known: dict | None = None) -> list[tuple]:
     """Links that join components: among ``left`` or, with ``right``, from right to left; ``known`` are components there are already."""
     tree = PrefixTree(percent)
@@ -270,7 +314,11 @@ def ngram_jaccard_components(
     other = block.select("cluster", F.col("block").alias("block2"), F.col("low").alias("low2"))
     # (block, block2): the sets of block2 are no smaller, and a pair may link
     pairs = block.join(other, "cluster").where(f"block2 = block or (block2 > block and 100 * high >= {percent} * low2)")
-    pairs = stash.put(pairs.select("cluster", "block", "block2"))
+    last = block.groupBy("cluster").agg(F.max("block").alias("last"))
+    near = (F.col("block2") - F.col("block") <= 1) | (F.col("last") < NEAR_BLOCKS)
+    pairs = stash.put(pairs.join(last, "cluster").select("cluster", "block", "block2", near.alias("near")))
+    size = placed.agg(F.sum("n").alias("tokens"), F.max("block").alias("last")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size.tokens or 0) // TASK_TOKENS))
     texts = docs.where("doc_id is not null and text is not null")
 
     def compared(some: DataFrame, members: DataFrame) -> DataFrame:
@@ -281,20 +329,24 @@ def ngram_jaccard_components(
         tasks = members.withColumnRenamed("block", "own").join(roles, ["cluster", "own"])
         rows = texts.join(tasks.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
         rows = rows.select("cluster", "a", "b", "own", "rep", "component", "text")
+        rows = rows.repartition(parts, "cluster", "a", "b")  # by number, so that small partitions are not put together by bytes
         return stash.put(rows.groupBy("cluster", "a", "b").applyInArrow(_cluster_links(n, percent), "src long, dst long"))
 
     members = placed.select("rep", "cluster", "block", F.col("rep").alias("component"))
-    links = compared(pairs.where("block2 - block <= 1"), members)
+    links = compared(pairs.where("near"), members)
     joined = connected_components(links, "src", "dst").withColumnsRenamed({"node": "rep"})
-    if (placed.agg(F.max("block")).first()[0] or 0) > 1:
+    if (size.last or 0) >= NEAR_BLOCKS:
         members = stash.put(placed.join(joined, "rep", "left").select("rep", "cluster", "block", F.coalesce("component", "rep").alias("component")))
         whole = members.groupBy("cluster", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         first = whole.select("cluster", "block", F.when(F.col("low") == F.col("high"), F.col("low")).alias("one"))
         second = first.withColumnsRenamed({"block": "block2", "one": "one2"})
-        far = pairs.where("block2 - block > 1").join(first, ["cluster", "block"]).join(second, ["cluster", "block2"])
-        more = compared(far.where("one is null or one2 is null or one != one2").select("cluster", "block", "block2"), members)
-        joined = connected_components(links.unionByName(more), "src", "dst").withColumnsRenamed({"node": "rep"})
-        stash.drop(more)
+        far = pairs.where("not near").join(first, ["cluster", "block"]).join(second, ["cluster", "block2"])
+        far = stash.put(far.where("one is null or one2 is null or one != one2").select("cluster", "block", "block2"))
+        if not far.isEmpty():
+            more = compared(far, members)
+            joined = connected_components(links.unionByName(more), "src", "dst").withColumnsRenamed({"node": "rep"})
+            stash.drop(more)
+        stash.drop(far)
         stash.drop(members)
     stash.drop(links)
     stash.drop(pairs)
@@ -314,8 +366,12 @@ def _cluster_links(n: int, percent: int):
             sides[is_right].append((name, ngram_set(text, n, hashes)))
         for side in sides:
             side.sort(key=lambda x: (len(x[1]), x[0]))
-        split = bool(len(a)) and a[0] != b[0]
-        links = tree_links(sides[0], sides[1] if split else None, percent, {r: c for r, c in zip(reps, components) if r != c})
+        split, links = bool(len(a)) and a[0] != b[0], []
+        component = dict(zip(reps, components))
+        for left, right in regrouped(sides, percent):
+            if right if split else len(left) > 1:
+                known = {name: component[name] for name, _ in (*left, *right) if component[name] != name}
+                links += tree_links(left, right if split else None, percent, known)
         return pa.table({"src": pa.array([x for x, _ in links], pa.int64()), "dst": pa.array([x for _, x in links], pa.int64())})
 
     return run

@@ -139,3 +139,24 @@ def test_very_long_text_and_its_near_copy(spark):
     rows = [(9, " ".join(long)), (4, " ".join(near)), (6, " ".join(long[:70_000])), (7, "short")]
     got = J.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
     assert {x.doc_id: x.component_id for x in got} == {9: 4, 4: 4, 6: 6, 7: 7}
+
+
+def test_groups_of_a_task_part_no_linked_sets():
+    r = random.Random(23)
+    for percent in (60, 90):
+        shared = [r.randrange(1, 2**60) for _ in range(30)]
+        sets = []
+        for i in range(150):
+            base = sets[-1][1].tolist() if i % 3 else [r.randrange(1, 2**60) for _ in range(r.randrange(1, 80))] + shared * (i % 2)
+            x = [t for t in base if r.random() > 0.03] + [r.randrange(1, 2**60) for _ in range(r.randrange(3))]
+            sets.append((i, np.unique(np.array(x or [1], np.uint64))))
+        for left, right in ((sets, []), (sets[::2], sets[1::2])):
+            groups = J.regrouped((left, right), percent)
+            assert sorted(n for g in groups for side in g for n, _ in side) == list(range(150))
+            at = {n: k for k, g in enumerate(groups) for side in g for n, _ in side}
+            numbers = {n: x for g in groups for side in g for n, x in side}
+            for (a, x), (b, y) in itertools.combinations(sets, 2):
+                both = len(np.intersect1d(x, y))
+                assert len(np.intersect1d(numbers[a], numbers[b])) == both
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    assert at[a] == at[b]
