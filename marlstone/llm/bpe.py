@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.texts import map_rows
 
+#: Bytes of text that are encoded at a time: the pair index takes a multiple of them.
+SLICE_BYTES = 2_500_000
 #: Unicode's White_Space, written out because the regex module's \s has more.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -289,7 +291,7 @@ def bpe_encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
         return step
 
-    return map_rows(rows, f"doc_id long, ids {'binary' if packed else 'array<int>'}" + ", decoded_text string" * decoded, make)
+    return map_rows(rows, f"doc_id long, ids {'binary' if packed else 'array<int>'}" + ", decoded_text string" * decoded, make, SLICE_BYTES)
 
 
 def bpe_decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:

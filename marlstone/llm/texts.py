@@ -70,11 +70,11 @@ def filled(column: str) -> Column:
 SLICE_BYTES = 4_000_000
 
 
-def sliced(batches: Iterator) -> Iterator:
-    """Arrow batches or arrays in slices of about SLICE_BYTES, without empty ones."""
+def sliced(batches: Iterator, size: int = SLICE_BYTES) -> Iterator:
+    """Arrow batches or arrays in slices of about so many bytes, without empty ones."""
     for batch in batches:
         n = len(batch)
-        rows = max(1, int(n * SLICE_BYTES / max(1, batch.nbytes)))
+        rows = max(1, int(n * size / max(1, batch.nbytes)))
         for at in range(0, n, rows):
             yield batch.slice(at, rows)
 
@@ -100,8 +100,8 @@ def give_back() -> None:
         pass
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
-    """mapInArrow with per-task state: ``make()`` runs once in a task and its result on each batch."""
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow with per-task state: ``make()`` runs once in a task and its result on each slice of a batch."""
     from pyspark.sql.types import StructType
 
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -110,7 +110,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
         from pyspark.sql.pandas.types import to_arrow_schema
 
         step, arrow = make(), to_arrow_schema(fields)
-        for batch in sliced(batches):
+        for batch in sliced(batches, slice_bytes):
             got = step(batch)
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
         step = got = batch = None
