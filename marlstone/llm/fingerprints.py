@@ -31,7 +31,7 @@ from marlstone.llm.texts import constant, let
 LEVELS = (("f", 0, 300, 1), ("m", 150, 1600, 4), ("c", 800, 2**31 - 1, 12))
 #: Words and, in scripts without spaces, pieces of them.
 _WORDS = r"\S{1,16}\s*|\s+"
-_PIECES = r"(?:[^.|]{11}\.){0,63}[^.|]{11}[.|]"
+_PIECES = r"(?:[^.|]++\.){0,63}[^.|]++[.|]"
 #: A section ends after a paragraph whose hash begins with one of these: one in eight.
 _SECTION_ENDS = "ABCDEFGH"
 #: Buckets of neighbouring documents for each shuffle partition.
@@ -65,7 +65,7 @@ def _paragraph(paragraph: Column, size: Column) -> Column:
             ends = (F.size(words) == 0) | F.lit(_SECTION_ENDS).contains(F.substring(name, 1, 1))
             return F.concat(F.concat_ws(",", name, *[pieces(*x[1:]) for x in LEVELS]), F.when(ends, "|").otherwise(""))
 
-        return let(F.transform(words, _hash64), of_hashes)
+        return let(F.transform(words, lambda w: F.hex(F.xxhash64(w))), of_hashes)
 
     return let(F.regexp_extract_all(paragraph, F.lit(_WORDS), F.lit(0)), of_words)
 

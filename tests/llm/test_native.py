@@ -238,7 +238,7 @@ def plain_tree(text):
     sections, now = [], []
     for p in text.split("\n"):
         words = re.findall(r"[^ \t\x0b\f\r]{1,16}[ \t\x0b\f\r]*|[ \t\x0b\f\r]+", p)
-        hashes = [b64(h64(w)) for w in words]
+        hashes = [f"{h64(w):X}" for w in words]
         by_level = []
         for name, least, most, one_in in fingerprints.LEVELS:
             pieces = []
@@ -246,14 +246,14 @@ def plain_tree(text):
                 if name == "f":
                     pieces = [p[i : i + 4] for i in range(0, len(p), 4)]
                 else:
-                    run = ""
+                    run, n = "", 0
                     for i, h in enumerate(hashes):
                         end = h64(words[i], h64(words[i - 1] if i else "")) % 2**64
                         end = (end - 2**64 if end >= 2**63 else end) % one_in == 0
-                        run += h + ("|" if end else ".")
-                        if end or len(run) == 64 * 12:
+                        run, n = run + h + ("|" if end else "."), n + 1
+                        if end or n == 64:
                             pieces.append(run)
-                            run = ""
+                            run, n = "", 0
                     # the last run has no end mark of its own but the point after its last word
                     pieces += [run] if run else []
             by_level.append([b64(h64(x)) for x in pieces])
