@@ -339,3 +339,12 @@ def jaccard_pairs(spark, d):
     """Pairs of a Jaccard similarity of .12 or more, however short; candidates share one of their rarest words."""
     rows = benchmark(spark, d).select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("w"))
     return relational.jaccard_join(rows, "item_id", "w", 12).withColumn("score", F.round("score", 4))
+
+
+@query(f"""with t as (select min(doc_id) as id, w, len(w) as n from (select doc_id, list_sort({_TOK}) as w from documents) where len(w) > 0 group by w)
+select a.id as a, b.id as b, round(len(list_intersect(a.w, b.w)) / (a.n + b.n - len(list_intersect(a.w, b.w))), 4) as score from t a join t b on a.id < b.id and a.n * 100 >= b.n * 90 and b.n * 100 >= a.n * 90 where len(list_intersect(a.w, b.w)) * 100 >= 90 * (a.n + b.n - len(list_intersect(a.w, b.w)))""")
+def near_dups(spark, d):
+    """Pairs of documents whose sets of words have a similarity of .9 or more; of equal sets the least id stands for all."""
+    rows = docs(spark, d).select("doc_id", F.array_sort(F.array_distinct(T.tokens(F.col("text")))).alias("w")).where(F.size("w") > 0)
+    once = rows.groupBy("w").agg(F.min("doc_id").alias("doc_id"))
+    return relational.jaccard_join(once, "doc_id", "w", 90).withColumn("score", F.round("score", 4))
