@@ -247,7 +247,7 @@ def dedupe_watermark(spark, d):
     stream = S.as_stream(spark, d, schema, "events.parquet")
     twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     once = S.first_seen(twice, "user_id", "event_type", "value", "ts", ts="ts", late="60 days")
-    table = S.run_to_end(once.select("user_id", "event_type"), "marlstone_dedupe", "append")
+    table = S.run_to_table(once.select("user_id", "event_type"), "dedupe")
     return table.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
@@ -260,7 +260,7 @@ def stream_cdc(spark, d):
     stream = S.as_stream(spark, d, events(spark, d).schema, "events.parquet")
     kind = F.when(F.col("event_type") == "error", "DELETED").when(F.col("event_type") == "signup", "ADDED").otherwise("MODIFIED")
     changes = S.stream_changes(stream.select("user_id", kind.alias("kind"), F.col("event_type").alias("state"), "ts"), "user_id", "kind", "state", "ts")
-    table = S.run_to_end(changes, "marlstone_cdc", "append")
+    table = S.run_to_table(changes, "cdc")
     return table.groupBy("user_id", "change").agg(F.count("*").alias("n"))
 
 

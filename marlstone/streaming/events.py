@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.plans.stash import shared_dir
+from marlstone.plans.stash import Stash, shared_dir
 
 
 def as_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_a_batch: int = 1) -> DataFrame:
@@ -83,7 +83,7 @@ def stream_changes(events: DataFrame, key: str, kind: str, state: str, ts: str |
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Drive a stream through what there is and return the table that it filled, with its state in the shared folder.
 
-    For small results: the table is in the driver's memory. ``to_files`` is for others.
+    For small results, such as counts: the table is in the driver's memory. ``run_to_table`` is for others.
     """
     spark = stream.sparkSession
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
@@ -92,6 +92,14 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFram
     return spark.table(name)
 
 
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Drive an appending stream through what there is, into files of the shared folder, and return what they hold; of any size."""
+    spark = stream.sparkSession
+    root = Stash(spark).root
+    to_files(stream, f"{root}/{name}", f"{root}/{name}-checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/{name}")
+
+
 def to_files(stream: DataFrame, path: str, checkpoint: str, every: str | None = None):
     """Append a stream to Parquet, exactly once by its checkpoint; ``every`` such as "300 seconds", or once through what there is."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
