@@ -13,14 +13,14 @@ from marlstone.registry import docs, query, vectors
 @query(f"select doc_id, round(score, 4) as score from {bm25_on('documents', 'doc_id', 'text', TERMS)} order by score desc, doc_id limit 100")
 def kw_search_indexed(spark, d):
     """BM25 from postings, of which only the folders of the query's words are read."""
-    made = I.term_index(docs(spark, d), "documents")
+    made = I.term_index(docs(spark, d))
     return S.top(made.bm25(TERMS).withColumn("score", F.round("score", 4)), 100)
 
 
 @query(f"select doc_id as vec_id, round(score, 6) as score from {knn_sql(25)}")
 def knn_indexed(spark, d):
     """Exact nearest neighbours from the cells in which they can be."""
-    made = I.vector_index(vectors(spark, d), "embeddings", cells=16)
+    made = I.vector_index(vectors(spark, d), cells=16)
     found = seed(spark, d)
     rows = made.knn(list(found), 25) if found else S.knn(vectors(spark, d), None, 25)
     return rows.withColumn("score", F.round("score", 6))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import dot, tokens
 from marlstone.operators.search import top
-from marlstone.plans.stash import shared_dir
+from marlstone.plans.stash import Stash
 
 #: Folders of postings; a query reads those of its words.
 FOLDERS = 64
@@ -46,9 +46,12 @@ class TermIndex:
         return found.join(F.broadcast(df), "token").withColumn("s", one).groupBy(self.key).agg(F.sum("s").alias("score"))
 
 
-def term_index(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text") -> TermIndex:
-    """Postings of every word of every row; map-side counts, dealt by word and sorted, so that a word's rows lie together."""
-    path = f"{shared_dir(docs.sparkSession)}/terms-{name}"
+def term_index(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> TermIndex:
+    """Postings of every word of every row; map-side counts, dealt by word and sorted, so that a word's rows lie together.
+
+    Without a path the index is in the shared folder until the driver ends.
+    """
+    path = path or f"{Stash(docs.sparkSession).root}/terms"
     words = docs.select(key, tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("token"))
     rows = words.groupBy("token", key, "dl").agg(F.count("*").alias("tf"))
     rows = rows.withColumn("folder", F.pmod(F.crc32(F.col("token").cast("binary")), F.lit(FOLDERS)).cast("int"))
@@ -113,10 +116,10 @@ def fit_centres(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 3)
     return centres
 
 
-def vector_index(vectors: DataFrame, name: str, key: str = "vec_id", column: str = "embedding", cells: int = CELLS) -> VectorIndex:
+def vector_index(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", cells: int = CELLS, path: str | None = None) -> VectorIndex:
     """Centres from a bounded sample (the rows of the least hashes), every row in the cell of its nearest centre. Vectors of other sizes are left out."""
     spark = vectors.sparkSession
-    path = f"{shared_dir(spark)}/vectors-{name}"
+    path = path or f"{Stash(spark).root}/vectors"
     some = vectors.where(F.col(column).isNotNull()).orderBy(F.xxhash64(key), key).limit(SAMPLE).select(column).toPandas()[column]  # SAMPLE is the bound
     dims = len(some.iloc[0]) if len(some) else 1
     centres = fit_centres(np.array([x for x in some if len(x) == dims], float).reshape(-1, dims), cells)

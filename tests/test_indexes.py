@@ -13,7 +13,7 @@ def test_postings_give_the_scores_of_the_scan(spark):
     r = random.Random(4)
     rows = [(i, " ".join(r.choice("alpha beta Gamma delta é of the".split()) for _ in range(r.randrange(40)))) for i in range(300)] + [(900, None), (901, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    made = index.term_index(docs, "test")
+    made = index.term_index(docs)
     for words in (["alpha"], ["GAMMA", "the", "é"], ["missing"], []):
         a = {x.doc_id: round(x.score, 9) for x in made.bm25(words).collect()}
         b = {x.doc_id: round(x.score, 9) for x in search.bm25(docs, words).collect()}
@@ -27,7 +27,7 @@ def test_cells_give_the_nearest_exactly(spark):
     centres = rng.normal(size=(20, 16))
     rows = [(i, (centres[i % 20] + 0.25 * rng.normal(size=16)).tolist()) for i in range(2000)] + [(5000, [0.0] * 16), (5001, [1.0, 2.0]), (5002, None)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    made = index.vector_index(vectors, "test", cells=20)
+    made = index.vector_index(vectors, cells=20)
     kept = vectors.where(F.size("embedding") == 16)
     read = []
     plain = made._scored
@@ -38,5 +38,5 @@ def test_cells_give_the_nearest_exactly(spark):
         b = [(x.vec_id, round(x.score, 9)) for x in search.knn(kept, q, 15).collect()]
         assert a == b
     assert max(read) < 20  # not every cell is read
-    empty = index.vector_index(vectors.limit(0), "test-empty")
+    empty = index.vector_index(vectors.limit(0))
     assert empty.knn([1.0, 0.0], 3).count() == 0
