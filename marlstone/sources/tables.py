@@ -140,10 +140,13 @@ def merged_short_texts(items: DataFrame, group: str, longest: int = 60) -> DataF
 
 
 def window_stats(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, column, low, high, mean, n) of numeric columns; zeros and nulls don't count."""
+    """(keys, column, low, high, mean, n) of numeric columns; zeros and nulls don't count.
+
+    The mean divides an exact sum of decimals once, so it doesn't depend on the order of rows.
+    """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))
     each = rows.select(*keys, pairs.alias("p")).select(*keys, "p.*").where("v is not null and v != 0")
-    return each.groupBy(*keys, "column").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.count("*").alias("n"))
+    return each.groupBy(*keys, "column").agg(F.min("v").alias("low"), F.max("v").alias("high"), (F.sum(F.col("v").cast("decimal(28,8)")).cast("double") / F.count("*")).alias("mean"), F.count("*").alias("n"))
 
 
 def _walk(value, path: str, depth: int):
