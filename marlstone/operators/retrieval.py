@@ -134,10 +134,14 @@ def suggestions(docs: DataFrame, prefix: str, k: int = 10, text: str = "text") -
     return words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(k)
 
 
+def edits_allowed(word: str) -> int:
+    """No edit up to two letters, one up to five, two above."""
+    return 0 if len(word) < 3 else 1 if len(word) < 6 else 2
+
+
 def fuzzy(text: Column, word: str) -> Column:
-    """Whether a word is near: no edit up to two letters, one up to five, two above."""
-    edits = 0 if len(word) < 3 else 1 if len(word) < 6 else 2
-    low = word.lower()
+    """Whether a word is near, by the edits that its length allows."""
+    edits, low = edits_allowed(word), word.lower()
     return F.exists(tokens(text), lambda t: F.levenshtein(t, F.lit(low), edits) >= 0 if edits else t == low)
 
 
