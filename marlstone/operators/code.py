@@ -1,6 +1,6 @@
 """Source code: symbols, imports, calls, inheritance and complexity, and what is counted and drawn from them.
 
-Python is parsed with its own grammar, other languages by patterns of their declarations. A file is parsed on
+Python is parsed with its own grammar, languages with braces by ``lexer``, others by patterns of their declarations. A file is parsed on
 its own, in Arrow batches; everything else is relational.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.classify import is_minified
+from marlstone.operators import lexer
 
 SYMBOLS = "kind string, name string, qualified string, line int, end_line int, signature string, doc string, complexity int, methods int"
 IMPORTS = "module string, name string, line int"
@@ -94,19 +95,8 @@ def python_inherits(code: str) -> list[tuple]:
     return [(".".join((*above, x.name)), _name(b), x.lineno) for x, above, _ in _walk(ast.parse(code)) if isinstance(x, ast.ClassDef) for b in x.bases if _name(b)]
 
 
-#: Declarations by language: (kind, pattern with the name in its last group).
-DECLARATIONS = {
-    "java": (("class", r"^\s*(?:(?:public|private|protected|abstract|final|static)\s+)*(?:class|interface|enum|record)\s+(\w+)"), ("method", r"^\s*(?:(?:public|private|protected|static|final|synchronized|abstract)\s+)+[\w<>\[\], ?]+\s+(\w+)\s*\([^;]*$")),
-    "javascript": (("class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>")),
-    "go": (("class", r"^type\s+(\w+)\s+(?:struct|interface)"), ("method", r"^func\s+\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)")),
-    "rust": (("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)"), ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)")),
-    "php": (("class", r"^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+(\w+)"), ("function", r"^\s*(?:(?:public|private|protected|static)\s+)*function\s+&?(\w+)")),
-    "ruby": (("class", r"^\s*(?:class|module)\s+(\w+)"), ("function", r"^\s*def\s+(?:self\.)?(\w+[?!=]?)")),
-    "csharp": (("class", r"^\s*(?:(?:public|private|protected|internal|abstract|sealed|static|partial)\s+)*(?:class|interface|struct|enum|record)\s+(\w+)"), ("method", r"^\s*(?:(?:public|private|protected|internal|static|virtual|override|async|abstract)\s+)+[\w<>\[\], ?]+\s+(\w+)\s*\([^;]*$")),
-    "c": (("class", r"^\s*(?:typedef\s+)?(?:struct|union|enum)\s+(\w+)\s*\{"), ("function", r"^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;]*\)\s*\{")),
-}
-DECLARATIONS["typescript"] = (*DECLARATIONS["javascript"], ("class", r"^\s*(?:export\s+)?(?:interface|type|enum)\s+(\w+)"))
-DECLARATIONS["cpp"] = (("class", r"^\s*(?:class|struct)\s+(\w+)[^;]*\{"), *DECLARATIONS["c"])
+#: Declarations of languages without braces: (kind, pattern with the name in its last group).
+DECLARATIONS = {"ruby": (("class", r"^\s*(?:class|module)\s+(\w+)"), ("function", r"^\s*def\s+(?:self\.)?(\w+[?!=]?)"))}
 _KEYWORDS = set("if for while switch catch return else new sizeof do".split())
 _BRANCH_WORDS = re.compile(r"\b(?:if|for|while|case|catch|elif|elsif|unless|when)\b|&&|\|\||\?(?=[^?.:])")
 
@@ -153,7 +143,14 @@ def parsed(files: DataFrame, schema: str, parse: Callable[[str, str], list[tuple
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    return parsed(files, SYMBOLS, lambda code, language: python_symbols(code) if language == "python" else pattern_symbols(code, language))
+    """Of Python by its grammar, of languages with braces by their tokens and scopes, of others by patterns."""
+
+    def find(code: str, language: str) -> list[tuple]:
+        if language == "python":
+            return python_symbols(code)
+        return lexer.read(code, language).symbols if language in lexer.LANGUAGES else pattern_symbols(code, language)
+
+    return parsed(files, SYMBOLS, find)
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -169,11 +166,15 @@ def imports(files: DataFrame) -> DataFrame:
 
 
 def calls(files: DataFrame) -> DataFrame:
-    return parsed(files.where("language = 'python'"), CALLS, lambda code, _: python_calls(code))
+    """Of Python and of languages with braces; those outside of any function have the caller <module>."""
+    some = files.where(F.col("language").isin("python", *sorted(lexer.LANGUAGES)))
+    return parsed(some, CALLS, lambda code, language: python_calls(code) if language == "python" else lexer.read(code, language).calls)
 
 
 def inherits(files: DataFrame) -> DataFrame:
-    return parsed(files.where("language = 'python'"), INHERITS, lambda code, _: python_inherits(code))
+    """Classes and their bases, of Python and of languages with braces."""
+    some = files.where(F.col("language").isin("python", *sorted(lexer.LANGUAGES)))
+    return parsed(some, INHERITS, lambda code, language: python_inherits(code) if language == "python" else lexer.read(code, language).bases)
 
 
 def statistics(files: DataFrame, found: DataFrame) -> DataFrame:
