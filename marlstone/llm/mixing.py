@@ -2,10 +2,12 @@
 
 Targets are shares of all words by weight, none above ``most`` times its source. Words come in
 blocks of equal size: each goes to the source with the highest quotient target / (2 k + 1), k the
-blocks it has. All but the last few blocks of a source are certain, so only quotients about its
-ideal number are ranked. A source's blocks are shared out among its shards in the same way. A
-shard's documents, in a seeded order, are one run of blocks: it takes whole passes and then a run
-of blocks from a seeded start, so a document is taken floor or ceiling of the shard's passes.
+blocks it has. With m parts, the quotients that are as high as seats - m / 2 of ideal rounding win
+in any case and those below seats + m / 2 lose, so some 4 m of them are ranked, whatever the shares. A
+source's blocks are shared out in the same way among runs of its shards, and a run's among its
+shards, so no group has more than FAN parts. A shard's documents, in a seeded order, are one run
+of blocks: it takes whole passes and then a run of blocks from a seeded start, so a document is taken
+floor or ceiling of the shard's passes.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from marlstone.plans.stash import Stash
 BLOCK_WORDS = 16
 #: Rows of the whole table for each shard of a source.
 ROWS_A_SHARD = 1500
-#: Quotients ranked on either side of the ideal number.
-MARGIN = 3
+#: Parts among which blocks are shared out at a time.
+FAN = 1024
+#: Rows of a written table for each of its files.
+ROWS_A_FILE = 50_000
 WEIGHTS = (5, 2, 1)
 
 
@@ -52,11 +56,14 @@ def apportion(parts: DataFrame, within: list[str], share: str, seats: str, order
     """``parts`` with ``out``: Sainte-Lague seats of each row, of ``seats`` in its group, by ``share``."""
     group = Window.partitionBy(*within)
     total = F.sum(share).over(group)
-    ideal = F.when(total > 0, F.floor(F.col(share) * F.col(seats) / total)).otherwise(0).cast("long")
-    rows = parts.withColumn("_sure", F.greatest(ideal - MARGIN, F.lit(0)))
+    half = F.sum(F.when(F.col(share) > 0, 0.5).otherwise(0.0)).over(group)
+    rounded = lambda n: F.when(total > 0, F.floor(F.col(share) * n / total + 0.5)).otherwise(0).cast("long")
+    rows = parts.withColumns({
+        "_sure": F.greatest(rounded(F.greatest(F.col(seats) - half, F.lit(0.0))) - 1, F.lit(0)),  # one off either way, as doubles are
+        "_most": rounded(F.col(seats) + half) + 1,
+    })
     rows = rows.withColumn("_left", F.col(seats) - F.sum("_sure").over(group))
-    some = F.transform(F.sequence(F.lit(0), F.lit(2 * MARGIN)), lambda i: F.col("_sure") + i)
-    ranked = rows.withColumn("_k", F.explode(some)).withColumn("_q", F.col(share) / (2 * F.col("_k") + 1))
+    ranked = rows.withColumn("_k", F.explode(F.sequence(F.col("_sure"), F.col("_most")))).withColumn("_q", F.col(share) / (2 * F.col("_k") + 1))
     rank = F.row_number().over(group.orderBy(F.col("_q").desc(), *order, "_k"))
     won = (F.col("_q") > 0) & (rank <= F.col("_left"))
     ranked = ranked.withColumn("_won", won.cast("long"))
@@ -64,6 +71,23 @@ def apportion(parts: DataFrame, within: list[str], share: str, seats: str, order
     return ranked.groupBy(*kept, "_sure").agg(F.sum("_won").alias("_more")).withColumn(out, F.col("_sure") + F.col("_more")).select(*kept, out)
 
 
+def shard_blocks(by_shard: DataFrame, goal: DataFrame, shards: int, fan: int | None = None) -> DataFrame:
+    """source, shard, shard_size, source_size, target and blocks: a source's blocks go to runs of shards, a run's to its shards.
+
+    Runs hold a power of ``fan`` shards, so a group of parts has ``fan`` rows at most.
+    """
+    fan = fan or FAN
+    level, above = 0, goal.select("source", "source_size", "target", F.lit(0).cast("long").alias("node"), F.col("source_blocks").alias("blocks"))
+    while fan ** (level + 1) < shards:
+        level += 1
+    for power in range(level, -1, -1):
+        nodes = by_shard.groupBy(F.col("source").alias("_s"), F.expr(f"shard div {fan**power}L").alias("_n")).agg(F.sum("shard_size").alias("size"))
+        nodes = nodes.join(above.drop("size"), F.col("_s").eqNullSafe(F.col("source")) & (F.expr(f"_n div {fan}L" if power < level else "0L") == F.col("node")))
+        nodes = nodes.select("source", "source_size", "target", "node", F.col("_n").alias("part"), "size", F.col("blocks").alias("_seats"))
+        above = apportion(nodes, ["source", "node"], "size", "_seats", ["part"], "blocks").select("source", "source_size", "target", F.col("part").alias("node"), "size", "blocks")
+    return above.select("source", F.col("node").cast("int").alias("shard"), F.col("size").alias("shard_size"), "source_size", "target", "blocks")
+
+
 def mix_sources(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most: int = 3,
     block_words: int = BLOCK_WORDS, seed: int = 17, rows_a_shard: int = ROWS_A_SHARD,
@@ -88,25 +112,23 @@ def _mixed(rows: DataFrame, weights, most: int, block_words: int, seed: int, row
     The mark, a hash of what a row holds, deals out rows whose id is null or repeated.
     """
     stash = Stash(rows.sparkSession)
-    thin = stash.put(rows)
-    n = thin.agg(F.count("*")).first()[0]
-    shards = max(1, -(-n // rows_a_shard))
+    n = rows.agg(F.count("*")).first()[0]
+    files, shards = 1 + n // ROWS_A_FILE, max(1, -(-n // rows_a_shard))
+    thin = stash.put(rows.repartition(files))
     rows = thin.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "mark"), F.lit(shards)).cast("int"))
-    by_shard = stash.put(rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")))
+    by_shard = stash.put(rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")).repartition(files))
     goal = targets(by_shard.groupBy("source").agg(F.sum("shard_size").alias("source_size")), weights, most)
     total = F.sum("source_size").over(Window.partitionBy())
     goal = goal.withColumn("_all", F.round(total / block_words).cast("long")).withColumn("_one", F.lit(1))
     goal = apportion(goal, ["_one"], "target", "_all", ["source_no"], "source_blocks").select("source", "source_size", "target", "source_blocks")
-    same = by_shard.withColumnRenamed("source", "_s")
-    quota = same.join(goal, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
-    quota = apportion(quota, ["source"], "shard_size", "source_blocks", ["shard"], "blocks")
+    quota = shard_blocks(by_shard, goal, shards)
     quota = quota.withColumn("words", F.least(F.col("blocks") * block_words, F.col("shard_size") * most))
     run = F.ceil(F.col("shard_size") / block_words).cast("long")
     quota = quota.withColumns({
         "passes": F.when(F.col("shard_size") > 0, F.expr("words div shard_size")).otherwise(0).cast("long"),
         "rest": F.when(F.col("shard_size") > 0, F.col("words") % F.col("shard_size")).otherwise(0).cast("long"),
         "start": F.when(run > 0, F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), run) * block_words).otherwise(0).cast("long"),
-    }).withColumnsRenamed({"source": "_s", "shard": "_n"}).drop("blocks", "source_blocks", "words")
+    }).withColumnsRenamed({"source": "_s", "shard": "_n"}).drop("blocks", "words")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id", "mark", F.lit("order")), "doc_id", "size", "mark")
     rows = rows.withColumn("to", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.col("to") - F.col("size"))
     rows = rows.join(quota, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_n")))
