@@ -377,20 +377,34 @@ def _cluster_links(n: int, percent: int):
     return run
 
 
-def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+#: Names of rows whose doc_id stands for several texts: from here on, by a hash of the text.
+STAND_INS = 1 << 62
+
+
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component does: its least doc_id.
 
-    All columns are kept. Of rows that repeat that doc_id one stays; rows with a null doc_id,
-    which can't be told apart, all stay.
+    All columns are kept. Rows are judged by their texts: where a doc_id comes with several texts,
+    each of them is a document of its own, which stays unless it is linked with another one (one
+    with a doc_id of its own stays first). Of rows that repeat doc_id and text one stays; rows with a
+    null doc_id, which can't be told apart, all stay.
     """
     stash = Stash(docs.sparkSession)
-    found = ngram_jaccard_components(docs, doc_id=doc_id, **options)
-    stay = stash.put(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
-    kept = whole.join(stay.hint("shuffle_hash"), "doc_id")
-    if not stay.where("n > 1").isEmpty():
+    own, mark = F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("name"), mark.alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
+    several = rows.groupBy("name").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("name is not null and low != high")
+    several = stash.put(several.select(F.col("name").alias("several")))
+    named = rows.where("name is not null")
+    if not several.isEmpty():
+        stand_in = F.lit(STAND_INS) + F.col("mark").bitwiseAND(F.lit(STAND_INS - 1))
+        named = named.join(several, F.col("name") == F.col("several"), "left")
+        named = named.withColumn("name", F.when(F.col("several").isNull(), F.col("name")).otherwise(stand_in)).drop("several")
+    found = ngram_jaccard_components(named.select("name", "text"), doc_id="name", text="text", **options)
+    stay = stash.put(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("name")).agg(F.count("*").alias("n")))
+    kept = named.select("row", "name").join(stay.hint("shuffle_hash"), "name")
+    if not stay.where("n > 1").isEmpty():  # counted first, so that the rows of one name meet in no task
         plain = [F.col("row").getField(c).cast("string") if "map<" in kind else F.col("row").getField(c) for c, kind in docs.dtypes]
-        same = Window.partitionBy("doc_id").orderBy(*plain)
-        kept = kept.withColumn("n", F.row_number().over(same)).where("n = 1")
+        once, again = kept.where("n = 1").select("row"), kept.where("n > 1").withColumn("order", F.struct(F.xxhash64(*plain).alias("a"), F.xxhash64(F.lit(1), *plain).alias("b")))
+        kept = once.unionByName(again.groupBy("name").agg(F.min_by("row", "order").alias("row")).select("row"))
     kept = kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    return kept.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
