@@ -6,15 +6,13 @@ paragraph's own hash says so, so an edit moves no boundary but its own. A sectio
 of its paragraphs, the root those of the sections and the SHA-256 of the text: equal roots mean
 equal texts, and where roots differ, the sections and paragraphs that differ locate the edits.
 
-Words are too many to keep. Below each paragraph stand the hashes of its pieces: runs of words that
-end where the hash of two neighbouring words says so, after 64 words at the latest. How long pieces
-are goes by the length of the text, in three levels: four characters (``f``, texts of up to 300), some 4
-words (``m``, 150 to 1600) and some 12 words (``c``, 800 and more). The ranges overlap, so two texts share
-a level unless one has more than twice the characters of the other, about; where they share none their
-likeness is 0. Likeness goes down from the root and looks only into the branches that differ.
+Words are too many to keep. Below each paragraph stand the hashes of its pieces: runs of some 4 words
+that end where the hash of two neighbouring words says so, after 64 words at the latest (``m``, in every
+fingerprint). Texts of up to 300 code points also have pieces of four characters (``f``), by which two
+such texts are compared. Likeness goes down from the root and looks only into the branches that differ.
 
 A fingerprint is the string root:levels|section|section..., a section hash;paragraph;paragraph..., a
-paragraph hash,pieces,pieces,pieces (by level, joined by dots). Hashes are kept whole: 256 bits for the root
+paragraph hash,pieces,pieces (by level, joined by dots). Hashes are kept whole: 256 bits for the root
 (hex), 128 for sections and paragraphs, 64 for pieces (base64).
 """
 
@@ -28,7 +26,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.texts import constant, let
 
 #: (letter, least and most code points of the texts, neighbouring words that end a piece: one in so many)
-LEVELS = (("f", 0, 300, 1), ("m", 150, 1600, 4), ("c", 800, 2**31 - 1, 12))
+LEVELS = (("f", 0, 300, 1), ("m", 0, 2**31 - 1, 4))
 #: Words and, in scripts without spaces, pieces of them.
 _WORDS = r"\S{1,16}\s*|\s+"
 _PIECES = r"(?:[^.|]++\.){0,63}[^.|]++[.|]"
@@ -48,7 +46,7 @@ def _hash128(x: Column) -> Column:
 
 
 def _paragraph(paragraph: Column, size: Column) -> Column:
-    """hash,pieces,pieces,pieces of a paragraph of a text of ``size`` code points; ends in | if it ends its section."""
+    """hash,pieces,pieces of a paragraph of a text of ``size`` code points; ends in | if it ends its section."""
 
     def of_words(words: Column) -> Column:
         def of_hashes(hashes: Column) -> Column:
@@ -143,7 +141,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     has = lambda x, name: F.substring_index(F.substring(x, 66, len(LEVELS) + 1), "|", 1).contains(name)
     out = F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.lit(1.0))
-    for level in reversed(range(len(LEVELS))):
+    for level in range(len(LEVELS)):
         out = out.when(has(a, LEVELS[level][0]) & has(b, LEVELS[level][0]), at(level))
     return F.when(a.isNotNull() & b.isNotNull(), out.otherwise(0.0))
 
