@@ -5,8 +5,9 @@ Pages are read in time linear in their length, however they are nested or broken
 A page becomes a tree of its block elements. Paragraphs pass points for their length and commas
 to their ancestors, less with each level; a container's points are discounted by the share of its
 text that stands in links. The best container and those of its siblings that look alike are kept, as
-are other articles of the page worth a fifth of the best. Class names such as ``share`` or ``notice``
-make an element go only if it is short, full of links or outside the article; form controls, buttons among them, go.
+are all other articles of the page that aren't full of links. Notices, adverts and comments go by their class
+names, at any length; names such as ``share`` or ``related`` make an element go only if it is short, full of
+links or outside the article; form controls, buttons among them, and what is not shown go.
 """
 
 from __future__ import annotations
@@ -32,12 +33,12 @@ DROPPED = set("nav footer aside form menu dialog head fieldset".split())
 UNWANTED = set(
     "ad ads adv advert adverts advertisement advertising adbox banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb "
     "breadcrumbs sidebar sidebars footer cookie cookies consent gdpr popup modal newsletter subscribe subscription login masthead "
-    "comment comments commentlist disqus respond pagination pager".split()
+    "comment comments commentlist disqus respond pagination pager notice notices notification notifications alert overlay signup "
+    "reply replies discussion discussions".split()
 )
 #: Words that name such things or anything else: what has them goes if it is short, full of links or outside the article.
 DOUBTFUL = set(
-    "aside rail foot notice notices notification alert overlay signup share sharing social related recommended recommendations reply replies "
-    "discussion widget toolbar skip copyright topbar".split()
+    "aside rail foot share sharing social related recommended recommendations widget toolbar skip copyright topbar".split()
 )
 UNWANTED_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: These belong to the article if they stand in it, and to the page if they don't.
@@ -61,11 +62,12 @@ _TAG_NAME = re.compile(r"</?[a-zA-Z][^\s/>]*+")
 _COMMENT_END = re.compile("--!?>")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: A doubtful element goes if it has fewer code points, or as large a share of its text in links.
 SHORT, LINKED = 200, 0.3
-#: An article or section beside the best stays if it is worth this share of it.
+#: A section beside the best stays if it is worth this share of it.
 ALIKE = 0.2
 
 
@@ -147,6 +149,8 @@ def _judged(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
         key, value = key.lower(), a or b or c
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True, ""
+        if key == "style" and _HIDDEN.search(value):
+            return True, ""
         if key == "role" and value.lower() in UNWANTED_ROLES and not (in_article and value.lower() == "banner"):
             return True, ""
         if key in ("class", "id") and tag not in ("main", "body", "html"):
@@ -316,7 +320,7 @@ def main_text(page: str | None) -> str:
     kept = _below(best)
     least = ALIKE * worth(best)
     for other in nodes:  # other parts of the article that the page marks as such
-        if other.tag == "article" and best.tag == "article" and other is not best and worth(other) >= least > 0 and other.linked < LINKED * other.chars:
+        if other.tag == "article" and best.tag == "article" and other is not best and other.linked < LINKED * other.chars:
             kept += _below(other)
     beside = best.parent.children if best.parent is not None and (best.tag not in ("article", "main") or best.parent.in_article) else ()
     for other in beside:
