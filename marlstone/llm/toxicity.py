@@ -1,13 +1,15 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the average of the vectors of its character n-grams (with marks at its ends) and of
-itself, a text the average of its words, each weighted by the square root of its count, so that what
-is said again and again in a long text counts; two linear outputs and a softmax follow. Vectors and
-outputs are trained together, in numpy, in one task, from a sample of labelled rows that is bounded in
-rows and in characters, so the driver holds only the model.
-A misspelled or inflected word shares most n-grams with its source, and so its vector.
-
-As all but the softmax is linear, a text's margin is that average of its words' margins; scoring
+itself, a text the average of its words; two linear outputs and a softmax follow. The share of an n-gram in a
+text is taken in units of its spread over the sample, so rare ones count like frequent ones.
+Vectors and outputs are trained together, in numpy, in one task, from a sample of labelled rows that is
+bounded in rows and in characters, so the driver holds only the model. Training is by
+accelerated proximal gradient steps on the cross-entropy with a penalty on the length of each vector: the
+vectors of n-grams that say nothing are zero, and a few marked words decide a text however much
+else it holds. A misspelled or inflected word shares most n-grams with its source, and so its vector.
+
+As all but the softmax is linear, a text's margin is the average of its words' margins; scoring
 works out each distinct word of a batch once.
 """
 
@@ -17,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.texts import bound_batches, give_back, held_out, sliced
+from marlstone.plans.stash import Stash
 
 
 #: Labelled rows that the model is fitted on, at most; those of the lowest hashes of their ids.
@@ -30,13 +33,14 @@ SAMPLE_CHARS = 40_000_000
 BUCKETS = 1 << 18
 DIMENSIONS = 4
 SHORTEST, LONGEST = 3, 5
-EPOCHS, RATE, BATCH, DECAY = 7, 0.05, 64, 1e-5
-#: Steps of training, at least: with few rows there are more epochs.
-LEAST_STEPS = 700
+#: Steps of training; the penalty on vectors, times the square root of the sample's rows.
+STEPS, PENALTY = 150, 0.45
+#: How often a toxic row counts, as they are few.
+TOXIC_COUNTS = 6.0
 #: Vectors of n-grams in fewer texts of the sample stay zero.
-LEAST_TEXTS = 6
-#: Zero vectors that are averaged with a text's words, so that a few words decide little.
-PADDING = 12
+LEAST_TEXTS = 10
+#: Zero vectors that are averaged with a text's words, so that one word decides less alone.
+PADDING = 1
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -92,17 +96,8 @@ class SubwordModel:
         return np.concatenate(out)
 
 
-def rooted(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers of words and the square roots of their counts."""
-    at, n = np.unique(at, return_counts=True)
-    return at, np.sqrt(n)
-
-
 class Sample:
-    """Labelled texts as numbers of words and weights, added one at a time; no text is kept.
-
-    The weights of a text with many words add up to almost 1.
-    """
+    """Labelled texts as numbers of words and weights, added one at a time; no text is kept."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
@@ -111,8 +106,9 @@ class Sample:
 
     def add(self, text: str | None, label: int) -> None:
         known = self.known
-        at, root = rooted(np.array([known.setdefault(normal_word(w), len(known)) for w in (text or "").split()], np.int64))
-        self.texts.append((at.astype(np.int32), (root / (root.sum() + PADDING)).astype(np.float32)))
+        found = np.array([known.setdefault(normal_word(w), len(known)) for w in (text or "").split()], np.int64)
+        at, n = np.unique(found, return_counts=True)
+        self.texts.append((at.astype(np.int32), (n / (len(found) + PADDING)).astype(np.float32)))
         self.labels.append(int(label))
 
     def buckets(self) -> tuple[np.ndarray, np.ndarray]:
@@ -133,62 +129,107 @@ def spread(at: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.n
     return pick, np.repeat(np.arange(len(at)), n)
 
 
+class Sums:
+    """Sums of values by group, for values that are sorted by group once; groups without values are 0."""
+
+    def __init__(self, group: np.ndarray, n: int):
+        self.order = None if (np.diff(group) >= 0).all() else np.argsort(group, kind="stable")
+        group = group if self.order is None else group[self.order]
+        self.starts = np.flatnonzero(np.diff(group, prepend=-1))
+        self.groups, self.n = group[self.starts], n
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if len(self.starts):
+            out[self.groups] = np.add.reduceat(values if self.order is None else values[self.order], self.starts)
+        return out
+
+
+class Shares:
+    """The linear part of the model: from the margins of n-grams to those of texts, and back."""
+
+    def __init__(self, sample: Sample):
+        buckets, counts = sample.buckets()
+        starts, n = np.cumsum(counts) - counts, len(sample.texts)
+        texts_with, total, squares = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for at, weight in sample.texts:
+            pick, owner = spread(at, starts, counts)
+            share = np.bincount(buckets[pick], (weight / counts[at])[owner])
+            some = np.flatnonzero(share)
+            texts_with[some] += 1
+            total[some] += share[some]
+            squares[some] += share[some] ** 2
+        spread_of = np.sqrt(np.maximum(squares / max(1, n) - (total / max(1, n)) ** 2, 0))
+        common = (texts_with >= LEAST_TEXTS) & (spread_of > 1e-12)
+        kept = common[buckets]
+        word = np.repeat(np.arange(len(counts)), counts)[kept]
+        self.used, column = np.unique(buckets[kept], return_inverse=True)
+        self.column = column.astype(np.int32)
+        self.unit = 1 / spread_of[self.used]
+        self.part = (self.unit[self.column] / counts[word]).astype(np.float32)
+        self.word = word.astype(np.int32)
+        self.at = np.concatenate([at for at, _ in sample.texts])
+        self.weight = np.concatenate([w for _, w in sample.texts])
+        self.text = np.repeat(np.arange(n, dtype=np.int32), [len(at) for at, _ in sample.texts])
+        self.by_word, self.by_text = Sums(self.word, len(counts)), Sums(self.text, n)
+        self.by_column, self.words_back = Sums(self.column, len(self.used)), Sums(self.at, len(counts))
+
+    def margins(self, of_grams: np.ndarray) -> np.ndarray:
+        of_words = self.by_word.of(of_grams[self.column] * self.part)
+        return self.by_text.of(of_words[self.at] * self.weight)
+
+    def back(self, of_texts: np.ndarray) -> np.ndarray:
+        of_words = self.words_back.of(of_texts[self.text] * self.weight)
+        return self.by_column.of(of_words[self.word] * self.part)
+
+
+def shortened(vectors: np.ndarray, by: float) -> np.ndarray:
+    """Vectors made shorter by a length; those that are no longer than it are zero."""
+    length = np.sqrt((vectors**2).sum(1, keepdims=True))
+    return vectors * np.maximum(1 - by / np.maximum(length, 1e-30), 0)
+
+
 def fit_sample(sample: Sample, seed: int = 11) -> SubwordModel:
-    """Train vectors and softmax outputs together by Adam on the cross-entropy."""
+    """Train vectors and softmax outputs together: weighted cross-entropy plus the penalty on the vectors' lengths.
+
+    The two outputs are opposite and their difference is a unit vector, as a longer one could do for
+    longer vectors.
+    """
     y = np.asarray(sample.labels, np.int64)
     if len(set(sample.labels)) < 2:
         share = float(np.mean(y)) if len(y) else 0.0
         share = min(max(share, 1e-3), 1 - 1e-3)
         return SubwordModel(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
-    buckets, counts = sample.buckets()
-    starts = np.cumsum(counts) - counts
-    vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    texts_with = np.zeros(BUCKETS, np.int32)
-    for at, _ in sample.texts:
-        texts_with[np.unique(buckets[spread(at, starts, counts)[0]])] += 1
-    common = texts_with >= LEAST_TEXTS
-    vectors[~common] = 0
-    share = 1 / counts  # of an n-gram in its word
-    live = np.append(0, np.cumsum(common[buckets]))
-    buckets, counts = buckets[common[buckets]], np.diff(live[np.append(starts, live.size - 1)])
-    starts = np.cumsum(counts) - counts
-    outputs = rng.normal(0, 0.1, (DIMENSIONS, 2))
-    bias = np.log(np.bincount(y, minlength=2) / len(y))
-    scale = 30.0  # averages over hundreds of words are small
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, outputs, bias)]
-    t = 0
-    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(y)))
-    for epoch in range(epochs):
-        rate = RATE * (1 - epoch / epochs)
-        order = rng.permutation(len(y))
-        for k in range(0, len(order), BATCH):
-            t += 1
-            batch = order[k : k + BATCH]
-            sizes = np.array([len(sample.texts[i][0]) for i in batch])
-            words, word = np.unique(np.concatenate([sample.texts[i][0] for i in batch]), return_inverse=True)
-            weight = np.concatenate([sample.texts[i][1] for i in batch]) * scale
-            owner = np.repeat(np.arange(len(batch)), sizes)
-            pick, in_word = spread(words, starts, counts)
-            used, bucket = np.unique(buckets[pick], return_inverse=True)
-            part = share[words][in_word]
-            now = vectors[used]
-            of_word = [np.bincount(in_word, now[bucket, d] * part, len(words)) for d in range(DIMENSIONS)]
-            hidden = np.stack([np.bincount(owner, x[word] * weight, len(batch)) for x in of_word], 1)
-            logits = hidden @ outputs + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(batch)), y[batch]] -= 1
-            p /= len(batch)
-            back = p @ outputs.T
-            to_word = [np.bincount(word, back[owner, d] * weight, len(words)) for d in range(DIMENSIONS)]
-            gradient = np.stack([np.bincount(bucket, x[in_word] * part, len(used)) for x in to_word], 1)
-            gradient += DECAY * now
-            for p_, g, (m, v), at in ((vectors, gradient, state[0], used), (outputs, hidden.T @ p, state[1], ...), (bias, p.sum(0), state[2], ...)):
-                m[at] = 0.9 * m[at] + 0.1 * g
-                v[at] = 0.99 * v[at] + 0.01 * g * g
-                p_[at] -= rate * (m[at] / (1 - 0.9**t)) / (np.sqrt(v[at] / (1 - 0.99**t)) + 1e-8)
-    return SubwordModel(vectors @ (outputs[:, 1] - outputs[:, 0]) * scale, float(bias[1] - bias[0]))
+    shares, n = Shares(sample), len(y)
+    penalty = PENALTY / np.sqrt(n)
+    counts = np.where(y == 1, TOXIC_COUNTS, 1.0) / n
+    output = rng.normal(size=DIMENSIONS)
+    output /= np.linalg.norm(output)
+    # how steep the loss can be, by powers of its linear part
+    probe = rng.normal(size=len(shares.used))
+    steep = 1e-12
+    for _ in range(8):
+        probe = shares.back(shares.margins(probe / (np.linalg.norm(probe) or 1.0)) * counts)
+        steep = max(np.linalg.norm(probe) * 1.1 / 4, 1e-12)
+    bias = float(np.log(y.mean() / (1 - y.mean())))
+    vectors = ahead = np.zeros((len(shares.used), DIMENSIONS))
+    pace = 1.0
+    for _ in range(STEPS):
+        margin = shares.margins(ahead @ output) + bias
+        p = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+        wrong = (p - y) * counts
+        gradient = shares.back(wrong)  # of an n-gram's margin; its vector's is this times the outputs' difference
+        before, vectors = vectors, shortened(ahead - gradient[:, None] * output / steep, penalty / steep)
+        turned = output - (ahead.T @ gradient) / steep
+        output = turned / (np.linalg.norm(turned) or 1.0)
+        bias -= 2 * float(wrong.sum())
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead = vectors + (pace - 1) / faster * (vectors - before)
+        pace = faster
+    margins = np.zeros(BUCKETS)
+    margins[shares.used] = (vectors @ output) * shares.unit
+    return SubwordModel(margins, bias)
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 11) -> SubwordModel:
@@ -231,8 +272,8 @@ class WordMargins(dict):
             self.word = np.append(self.word, [self.number.setdefault(w, len(self.number)) for w in words])
             self.values = np.append(self.values, self.model.word_margins(list(self.number)[known:]))
             self.fresh = []
-        places = [rooted(self.word[at]) for at in places]
-        margin = np.array([self.values[at] @ root / (root.sum() + PADDING) for at, root in places]) + self.model.bias
+        of_piece = self.values[self.word]
+        margin = np.array([of_piece[at].sum() / (len(at) + PADDING) for at in places]) + self.model.bias
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
@@ -241,7 +282,8 @@ def fit_on(
 ) -> SubwordModel:
     """A model from ``rows`` labelled rows and ``chars`` characters of text at most, none of them held out.
 
-    The sample is by least hash of the id, the same at every run. Rows without a label, with
+    The sample is by least hash of the id, the same at every run; a text that would go beyond the
+    characters is left out, and those after it that fit are taken. Rows without a label, with
     labels other than 0 and 1 or without a document are left out; an id labelled more than once
     counts with its largest label, one with several documents with the least text.
     """
@@ -250,8 +292,16 @@ def fit_on(
     mark = mark.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     text_of = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     got = text_of.join(F.broadcast(mark), "_id").groupBy("_id").agg(F.first("_y").alias("_y"), F.min("_text").alias("_text"))  # ``rows`` is the proven bound
-    before = F.sum(F.coalesce(F.length("_text"), F.lit(0))).over(Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0))
-    got = got.withColumn("_to", before).where(F.col("_to") <= chars).select("_id", "_y", "_text").sortWithinPartitions("_id")
+    stash = Stash(docs.sparkSession)
+    got = stash.put(got)
+    sizes = got.select("_id", F.xxhash64("_id").alias("h"), F.coalesce(F.length("_text"), F.lit(0)).alias("n")).orderBy("h", "_id").collect()  # ``rows`` numbers
+    left, taken = chars, []
+    for x in sizes:
+        if x.n <= left:
+            left -= x.n
+            taken.append((x._id,))
+    fits = docs.sparkSession.createDataFrame(taken, "_id long")
+    got = got.join(F.broadcast(fits), "_id", "left_semi").repartition(1).sortWithinPartitions("_id")  # ``chars`` is the bound of the one task
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = Sample()
@@ -264,7 +314,8 @@ def fit_on(
         give_back()
 
     bound_batches(docs.sparkSession)
-    found = got.mapInArrow(train, "margins binary, bias double").collect()  # one row of fixed size: the window leaves one partition
+    found = got.mapInArrow(train, "margins binary, bias double").collect()  # one row of fixed size
+    stash.drop(got)
     if not found:
         return fit_sample(Sample())
     return SubwordModel(np.frombuffer(found[0].margins, np.float32), found[0].bias)
