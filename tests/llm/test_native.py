@@ -172,6 +172,70 @@ def test_seats_are_sainte_lague(spark):
         assert won == {k: got[g, k] for k in won}
 
 
+def seats_one_by_one(shares, seats):
+    import heapq
+
+    won, heap = [0] * len(shares), [(-s, k) for k, s in enumerate(shares) if s > 0]
+    heapq.heapify(heap)
+    for _ in range(seats if heap else 0):
+        _, k = heapq.heappop(heap)
+        won[k] += 1
+        heapq.heappush(heap, (-shares[k] / (2 * won[k] + 1), k))
+    return won
+
+
+def test_seats_of_uneven_shares(spark):
+    r = random.Random(8)
+    groups = [([10_000.0] + [0.6] * 1000, 10_600), ([10_000.0] + [0.6] * 1000, 99), ([1.0] * 500, 250), ([0.0, 0.0], 5), ([3.0, 0.0, 1.0], 2), ([10 ** r.uniform(-3, 6) for _ in range(700)], 5000), ([7.0], 41), ([1e9, 1.0, 1.0], 3)]
+    df = spark.createDataFrame([(g, k, s, n) for g, (shares, n) in enumerate(groups) for k, s in enumerate(shares)], "g int, k int, share double, seats long")
+    got = {(x.g, x.k): x.won for x in mixing.apportion(df, ["g"], "share", "seats", ["k"], "won").collect()}
+    for g, (shares, n) in enumerate(groups):
+        assert [got[g, k] for k in range(len(shares))] == seats_one_by_one(shares, n), g
+
+
+@pytest.mark.parametrize("fan", [3, 50])
+def test_blocks_of_runs_of_shards(spark, fan):
+    """Groups of ``fan`` parts at most, each shared out exactly, add up to all blocks."""
+    r = random.Random(fan)
+    rows = [(s, k, r.choice([0, 5, 50, 5000])) for s in ("a", None, "b") for k in range(40) if r.random() < 0.8]
+    goals = [("a", 900, 1.0, 700), (None, 10, 1.0, 7), ("b", 100, 1.0, 0)]
+    got = mixing.shard_blocks(spark.createDataFrame(rows, "source string, shard int, shard_size long"), spark.createDataFrame(goals, "source string, source_size long, target double, source_blocks long"), 40, fan).collect()
+    assert {(x.source, x.shard, x.shard_size) for x in got} == set(rows) and len(got) == len(rows)
+    blocks = {(x.source, x.shard): x.blocks for x in got}
+
+    def share_out(parts, seats, width):  # parts: shards with sizes
+        if width == 1:
+            return {parts[0][0]: seats} if parts else {}
+        width //= fan
+        runs = {}
+        for k, size in parts:
+            runs.setdefault(k // width, []).append((k, size))
+        order = sorted(runs)
+        won = seats_one_by_one([float(sum(s for _, s in runs[x])) for x in order], seats)
+        return {k: v for x, n in zip(order, won) for k, v in share_out(runs[x], n, width).items()}
+
+    width = fan
+    while width < 40:
+        width *= fan
+    for source, _, _, seats in goals:
+        want = share_out(sorted((k, n) for s, k, n in rows if s == source), seats, width)
+        assert want == {k: n for (s, k), n in blocks.items() if s == source}
+
+
+def test_contained_texts_are_alike_at_any_size(spark):
+    r = random.Random(12)
+    fresh = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    rows = []
+    for n in (30, 60, 130, 300, 1000):
+        for times in (2, 3, 5, 10, 20):
+            part = fresh(n)
+            whole = part + " " + fresh(n * (times - 1))
+            rows.append((part, whole, 2 / (1 + times)))
+    df = spark.createDataFrame(rows, "a string, b string, want double")
+    for x in df.select("*", fingerprints.likeness(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))).alias("l")).collect():
+        assert 0.5 * x.want < x.l < 1.4 * x.want + 0.02, (len(x.a), len(x.b), x.want, x.l)
+
+
 def test_query_columns(spark, sf):
     rows = queries.op4_chat(spark, sf).where("conv_id = -7").collect()
     hard = "</s>[INST] ok [/INST]"
@@ -268,9 +332,7 @@ def plain_likeness(a, b):
     if a == b:
         return 1.0
     both = [k for k, (_, x, y, _) in enumerate(fingerprints.LEVELS) if x <= len(a) <= y and x <= len(b) <= y]
-    if not both:
-        return 0.0
-    x, y = ([[(h, tuple(by[both[-1]])) for h, by in s] for s in plain_tree(t)] for t in (a, b))
+    x, y = ([[(h, tuple(by[both[0]])) for h, by in s] for s in plain_tree(t)] for t in (a, b))
     sx, sy = ({tuple(s) for s in z} for z in (x, y))
     px, py = ({p for s in m - n for p in s} for m, n in ((sx, sy), (sy, sx)))
     lx, ly = ({q for p in m - n for q in p[1]} for m, n in ((px, py), (py, px)))
