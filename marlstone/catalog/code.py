@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from marlstone.functions import classify as C
 from marlstone.operators import code as K
 from marlstone.operators import relational
-from marlstone.registry import part, query
+from marlstone.operators import names as N
+from marlstone.registry import customer, nation, part, query, region
 
 _BODY = '''"""Module {p}."""
 import os, kafka.client
@@ -114,9 +115,16 @@ def module_dependencies(spark, d):
     return K.module_edges(a.join(b, "p_partkey"))
 
 
-@query("select 'Kafka' as service, count(*) as files from part")
+_LIBRARIES = ["redis.client", "kafka", "os", "celery.app", "pymongo.mongodb", "k8s.redis"]
+_SERVED = "(values (0, 'Redis'), (1, 'Kafka'), (3, 'Celery'), (4, 'MongoDB'), (5, 'Redis'), (5, 'Kubernetes')) as v(k, service)"
+
+
+@query(f"select service, count(*) as files from part join {_SERVED} on k = p_size % 6 group by 1")
 def outside_services(spark, d):
-    return K.outside_services(K.imports(code_files(spark, d)))
+    """Services by what the files import, which goes by the sizes of parts; some modules name two."""
+    module = F.element_at(F.array(*map(F.lit, _LIBRARIES)), (F.col("p_size") % 6 + 1).cast("int"))
+    files = part(spark, d).select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.concat(F.lit("import "), module, F.lit("\nimport sys\n")).alias("content"))
+    return K.outside_services(K.imports(files))
 
 
 @query("""select 's' || p_partkey || '.sql' as path, unnest(case when p_partkey % 3 = 0 then ['t' || p_partkey] when p_partkey % 3 = 1 then ['Users', 'orders'] else [] end) as "table" from part union all select 'm.py', 'users' from part where p_partkey = 1""")
@@ -137,18 +145,30 @@ def api_endpoints(spark, d):
     return K.endpoints(files)
 
 
-@query("select unnest(['mvc', 'layered', 'microservices', 'service_layer']) as pattern, unnest(['high', 'high', 'medium', 'high']) as confidence")
+_KINDS = ["models", "views", "controllers", "services", "api", "storage"]
+
+
+@query("""with f as (select distinct p_size % 6 as k, 'pkg' || p_partkey % 5 as top from part where p_retailprice >= (select median(p_retailprice) from part)), a as (select bool_or(k = 0) as m, bool_or(k = 1) as v, bool_or(k = 2) as c, bool_or(k = 4) as api, bool_or(k = 3) as s, bool_or(k in (0, 5)) as d, count(*) as n from f)
+select 'mvc' as pattern, 'high' as confidence from a where m and v and c union all select 'layered', 'high' from a where api and s and d union all select 'microservices', 'medium' from a where n > 5 union all select 'service_layer', 'high' from a where s""")
 def architecture_patterns(spark, d):
-    names = F.element_at(F.array(*map(F.lit, "models views controllers services api storage".split())), (F.col("p_partkey") % 6 + 1).cast("int"))
-    files = part(spark, d).select(F.concat(F.lit("pkg"), F.col("p_partkey") % 5, F.lit("/"), names, F.lit("/f"), "p_partkey").alias("path"))
+    """Of the files of dear parts, in folders by their sizes."""
+    names = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("p_size") % 6 + 1).cast("int"))
+    dear = part(spark, d).agg(F.median("p_retailprice").alias("m"))
+    some = part(spark, d).join(F.broadcast(dear), F.col("p_retailprice") >= F.col("m"))  # one row
+    files = some.select(F.concat(F.lit("pkg"), F.col("p_partkey") % 5, F.lit("/"), names, F.lit("/f"), "p_partkey").alias("path"))
     return K.architecture(files, files.where("false").select(F.col("path").alias("src"), F.col("path").alias("dst")))
 
 
-@query("select './lib/core/x' as module, 'lib/core' as matched union all select 'core/thing', 'lib/core' union all select 'web', 'web/app' union all select 'react', null")
+@query("""with n as (select 'lib/' || n_name as name, n_nationkey as rank from nation union all select r_name || '/app', r_regionkey - 100 from region), m as (select distinct './lib/' || n_name || '/' || c_mktsegment as module from customer join nation on n_nationkey = c_nationkey union select r_name from region union select 'none/' || r_name from region),
+p as (select module, regexp_replace(module, '^[./]+', '') as p from m), t as (select module, name, rank, case when contains(p, name) then 1 when split_part(p, '/', 1) <> '' and contains(name, split_part(p, '/', 1)) then 2 end as t from p join n on contains(p, name) or contains(name, split_part(p, '/', 1)))
+select m.module, arg_min(name, t * 1000 + rank) filter (where t is not null) as matched from m left join t using (module) group by 1""")
 def imports_matched(spark, d):
-    found = spark.sql("select explode(array('./lib/core/x', 'core/thing', 'web', 'react', 'web')) as module")
-    names = spark.sql("select * from values ('lib/core', 1), ('web/app', 2), ('lib', 3) as t(name, rank)")
-    return K.matched_modules(found, names)
+    """Imports of folders named after nations and regions, and the modules that they belong to."""
+    n = nation(spark, d)
+    names = n.select(F.concat(F.lit("lib/"), "n_name").alias("name"), F.col("n_nationkey").cast("int").alias("rank")).unionByName(region(spark, d).select(F.concat("r_name", F.lit("/app")).alias("name"), (F.col("r_regionkey") - 100).cast("int").alias("rank")))
+    found = customer(spark, d).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("./lib/"), "n_name", F.lit("/"), "c_mktsegment").alias("module"))
+    tops = region(spark, d).select(F.explode(F.array("r_name", F.concat(F.lit("none/"), "r_name"))).alias("module"))
+    return K.matched_modules(found.unionByName(tops), names)
 
 
 @query("select 'pkg' || p_partkey % 5 || '/' || case when p_partkey % 2 = 0 then 'models' else 'views' end || '/m' || p_partkey || '.py' as path, 11 as line from part")
@@ -159,7 +179,6 @@ def symbol_references(spark, d):
 
 
 
-
 @query("""select 'A' || p_partkey || '.java' as path, 'class' as kind, 'A' || p_partkey as qualified, 3 as line, 1 as complexity from part where p_partkey % 2 = 0 union all select 'A' || p_partkey || '.java', 'method', 'A' || p_partkey || '.f', 4, 3 from part where p_partkey % 2 = 0
 union all select 'A' || p_partkey || '.go', 'function', 'run', 1, 2 from part where p_partkey % 2 = 1""")
 def pattern_symbols(spark, d):
@@ -184,3 +203,77 @@ def symbol_search(spark, d):
     found = K.symbols(code_files(spark, d))
     low = [F.lower(F.coalesce(c, F.lit(""))).contains("un(") for c in ("qualified", "signature", "doc")]
     return found.where((low[0] | low[1] | low[2]) & (F.col("kind") == "method")).orderBy("path").limit(15).select("path", F.col("name").alias("found"))
+
+
+_BRACES = {
+    "java": "package x;\n\npublic class A{p} extends Base{r} implements I{q} {\n  String s = \"} {\"; // {\n  int run(int a) {\n{body}    return go{q}(a);\n  }\n}\n",
+    "javascript": "class A{p} extends Base{r} {\n  run(a) {\n    const re = /[{]/;\n{body}    return go{q}(`}${a}{`);\n  }\n}\n",
+    "go": "type A{p} struct {\n\tBase{r}\n\tn int\n}\n\nfunc (x *A{p}) run(a int) int {\n{body}\treturn go{q}(a)\n}\n",
+    "csharp": "namespace N {\nclass A{p} : Base{r}, I{q} {\n  string v = @\"{\"\"\";\n  int run(int a) {\n{body}    return go{q}(a);\n  }\n}\n}\n",
+    "php": "<?php\n# {\nclass A{p} extends Base{r} {\n  function run($a) {\n{body}    return go{q}(\"}\");\n  }\n}\n",
+}
+#: By language: the line of the class and its bases, that of the method, and how many lines follow the body in method, class and file.
+_LINES = [("java", 3, "['Base' || p_partkey % 3, 'I' || p_partkey % 7]", 5, 1, 2), ("javascript", 1, "['Base' || p_partkey % 3]", 2, 2, 2), ("go", 1, "['Base' || p_partkey % 3]", 6, 1, None), ("csharp", 2, "['Base' || p_partkey % 3, 'I' || p_partkey % 7]", 4, 1, 2), ("php", 3, "['Base' || p_partkey % 3]", 4, 1, 2)]
+
+
+def brace_files(spark, d):
+    """One file of five languages in turn for each part; its method has p_size conditions, each a block of its own line."""
+    p = F.col("p_partkey")
+    names = list(_BRACES)
+    text = F.element_at(F.array(*[F.lit(_BRACES[x]) for x in names]), (p % 5 + 1).cast("int"))
+    for mark, value in (("{p}", p), ("{q}", p % 7), ("{r}", p % 3)):
+        text = F.replace(text, F.lit(mark), value.cast("string"))
+    body = F.expr("repeat('    if (a > 1) { call(a); }\n', p_size)")
+    content = F.replace(text, F.lit("{body}"), body)
+    return part(spark, d).select(F.concat(F.lit("f"), p).alias("path"), F.element_at(F.array(*map(F.lit, names)), (p % 5 + 1).cast("int")).alias("language"), content.alias("content"))
+
+
+_FILES = " union all ".join(f"select *, 'A' || p_partkey as c, {k} as class_line, {b} as bases, {m} as method_line, {a} as after, {e or 'null'} as rest from part where p_partkey % 5 = {i}" for i, (_, k, b, m, a, e) in enumerate(_LINES))
+
+
+@query(f"""with f as ({_FILES}) select 'f' || p_partkey as path, 'class' as kind, c as qualified, class_line as line, case when rest is null then class_line + 3 else method_line + p_size + after + rest end as end_line, 1 as complexity, case when rest is null then 0 else 1 end as methods from f
+union all select 'f' || p_partkey, 'method', c || '.run', method_line, method_line + p_size + after + 1, 1 + p_size, 0 from f""")
+def brace_symbols(spark, d):
+    """Classes and methods of languages with braces, with braces in strings, comments, templates and patterns."""
+    return K.symbols(brace_files(spark, d)).select("path", "kind", "qualified", "line", "end_line", "complexity", "methods")
+
+
+@query(f"with f as ({_FILES}) select 'f' || p_partkey as path, c || '.run' as caller, 'go' || p_partkey % 7 as callee, method_line + p_size + after as line from f union all select 'f' || p_partkey, c || '.run', 'call', method_line + case when p_partkey % 5 = 1 then 1 else 0 end + unnest(generate_series(1, p_size)) from f")
+def brace_calls(spark, d):
+    return K.calls(brace_files(spark, d))
+
+
+@query(f"""with f as ({_FILES}) select 'f' || p_partkey as path, c as class, unnest(bases) as base from f""")
+def brace_inheritance(spark, d):
+    return K.inherits(brace_files(spark, d)).drop("line")
+
+
+def package_files(spark, d):
+    """A file for each part, which takes ``f`` of another part's file through a package that hands it on, under another name; and its own ``f``."""
+    p = part(spark, d).select("p_partkey", (F.col("p_partkey") % 10).alias("k"), (F.floor(F.col("p_partkey") / 2)).alias("q"))
+    text = F.concat(F.lit("from pkg.hub"), F.col("k"), F.lit(" import f"), F.col("q"), F.lit(" as other\nfrom . import m"), F.col("q"), F.lit(" as mod\n\ndef f():\n    other()\n    mod.f()\n    unknown()\n\nf()\n"))
+    files = p.select(F.concat(F.lit("pkg/m"), "p_partkey", F.lit(".py")).alias("path"), text.alias("content"))
+    line = F.concat(F.lit("from .deep"), F.col("k"), F.lit(" import f"), F.col("q"), F.lit("\n"))
+    hubs = p.groupBy("k").agg(F.array_join(F.array_sort(F.collect_set(line)), "").alias("content")).select(F.concat(F.lit("pkg/hub"), "k", F.lit(".py")).alias("path"), "content")
+    line = F.concat(F.lit("from .m"), F.col("q"), F.lit(" import f as f"), F.col("q"), F.lit("\n"))
+    deep = p.groupBy("k").agg(F.array_join(F.array_sort(F.collect_set(line)), "").alias("content")).select(F.concat(F.lit("pkg/deep"), "k", F.lit(".py")).alias("path"), "content")
+    return files.unionByName(hubs).unionByName(deep).select("path", F.lit("python").alias("language"), "content")
+
+
+_RESOLVED = """with p as (select p_partkey as p, p_partkey // 2 as q from part), l as (select *, q in (select p from p) as there from p)
+select 'pkg/m' || p || '.py' as path, '<module>' as caller, 'f' as callee, 9 as line, 'pkg/m' || p || '.py' as def_path, 'f' as qualified, 4 as def_line from l
+union all select 'pkg/m' || p || '.py', 'f', unnest(['other', 'mod.f']), unnest([5, 6]), 'pkg/m' || q || '.py', 'f', 4 from l where there"""
+
+
+@query(_RESOLVED)
+def resolved_calls(spark, d):
+    """Calls led through aliases, modules and two packages that hand names on, to the file that defines them: all of them are called f."""
+    files = package_files(spark, d)
+    return N.resolved_calls(files, K.symbols(files), K.calls(files), K.inherits(files))
+
+
+@query(f"select path, line, caller from ({_RESOLVED}) where def_path = 'pkg/m3.py'")
+def resolved_references(spark, d):
+    """Where one file's f is called, of the many of that name."""
+    files = package_files(spark, d)
+    return N.references_to(N.resolved_calls(files, K.symbols(files), K.calls(files)), "pkg/m3.py", "f")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import associate as A
 from marlstone.registry import customer, docs, lineitem, orders, pages, part, query, turns
+from marlstone.sources import layout, pdf
 from marlstone.sources import markup as M
 from marlstone.sources import tables as T
 
@@ -241,3 +242,42 @@ def ocr_enrichment(spark, d):
     links = lineitem(spark, d).select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("image")).distinct()
     images = part(spark, d).select(F.col("p_partkey").alias("image"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" img"), F.col("p_partkey"), F.lit(" "))).otherwise("  ").alias("ocr_text"))
     return A.ocr_enriched(hits, links, images)
+
+
+_PDF = (
+    "%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Kids[3 0 R]/Count 1>>endobj\n"
+    "3 0 obj<</Type/Page/Parent 2 0 R/MediaBox[0 0 600 800]/Contents 4 0 R/Resources<</Font<</F 5 0 R>>>>>>endobj\n"
+    "5 0 obj<</Type/Font/Subtype/Type1/BaseFont/Courier/Encoding/WinAnsiEncoding>>endobj\n4 0 obj<<>>stream\n{content}endstream endobj\ntrailer<</Root 1 0 R>>\n"
+)
+
+
+def _shown(x: int, y: int, text, size: int = 10):
+    return F.concat(F.lit(f"BT /F {size} Tf {x} {y} Td ("), text, F.lit(") Tj ET\n"))
+
+
+def pdf_files(spark, d):
+    """A page for each customer: a large name, two columns of which the right one is written first, and a ruled table at the foot."""
+    c = customer(spark, d)
+    at = lambda name: F.col(name).cast("string")
+    grid = F.lit("60 300 m 360 300 l S 60 280 m 360 280 l S 60 260 m 360 260 l S 60 260 m 60 300 l S 200 260 m 200 300 l S 360 260 m 360 300 l S\n")
+    content = F.concat(
+        _shown(330, 640, F.concat(F.lit("right "), at("c_nationkey"))), _shown(330, 652, F.concat(F.lit("top "), at("c_mktsegment"))), _shown(60, 652, F.concat(F.lit("left "), at("c_custkey"))),
+        _shown(60, 640, F.lit("and more")), _shown(60, 600, F.lit("a second paragraph")), _shown(60, 720, at("c_name"), 20), grid,
+        _shown(210, 286, at("c_custkey")), _shown(70, 286, F.lit("key")), _shown(70, 266, F.lit("segment")), _shown(210, 266, at("c_mktsegment")),
+    )
+    return c.select(F.concat(F.lit("c"), "c_custkey", F.lit(".pdf")).alias("path"), F.replace(F.lit(_PDF), F.lit("{content}"), content).cast("binary").alias("content"))
+
+
+_SHOWN = [("Title", "c_name"), ("NarrativeText", "'left ' || c_custkey || ' and more'"), ("NarrativeText", "'a second paragraph'"), ("Table", "'key' || chr(9) || c_custkey || chr(10) || 'segment' || chr(9) || c_mktsegment"), ("NarrativeText", "'top ' || c_mktsegment || ' right ' || c_nationkey")]
+
+
+@query(" union all ".join(f"select 'c' || c_custkey || '.pdf' as path, {i} as place, 1 as page, '{k}' as kind, {t} as text from customer" for i, (k, t) in enumerate(_SHOWN)))
+def pdf_layout(spark, d):
+    """Titles, columns and tables of pages from the places of their words and lines."""
+    return layout.pdf_elements(pdf.pdf_items(pdf_files(spark, d))).select("path", "place", "page", "kind", "text")
+
+
+@query("select 'c' || c_custkey || '.pdf' as path, word, count(*) as n, count(*) filter (where word = 'left') as lefts from (select c_custkey, unnest(string_split('left ' || c_custkey || ' and more a second paragraph right ' || c_nationkey || ' top ' || c_mktsegment || ' ' || c_name || ' key segment ' || c_custkey || ' ' || c_mktsegment, ' ')) as word from customer) group by 1, 2")
+def pdf_words(spark, d):
+    words = pdf.pdf_items(pdf_files(spark, d)).where("kind = 'word'")
+    return words.groupBy("path", F.col("text").alias("word")).agg(F.count("*").alias("n"), F.count_if(F.col("text") == "left").alias("lefts"))

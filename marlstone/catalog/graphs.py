@@ -53,6 +53,20 @@ def category_tree(spark, d):
     return G.category_tree(tree, counts).withColumn("children", F.array_join(F.transform("children", lambda x: x.cast("string")), ","))
 
 
+@query("select c_custkey as id, cast(row_number() over (partition by c_nationkey order by c_custkey) as integer) as level from customer")
+def chain_levels(spark, d):
+    """Customers of a nation as one chain, each below the one before: levels as deep as there are customers."""
+    before = F.lag("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    return G.tree_levels(customer(spark, d).select(F.col("c_custkey").alias("id"), before.alias("parent_id")))
+
+
+@query(f"{_UP}, n as (select o_custkey as id, count(*) as n from orders group by 1) select c_custkey as id, cast(coalesce(sum(n), 0) as bigint) as count from customer left join (select ancestor, id from a union all select c_custkey, c_custkey from customer) b on b.ancestor = c_custkey left join n on n.id = b.id where c_custkey > 0 group by 1")
+def subtree_totals(spark, d):
+    """Orders of every customer of a tree and of all below."""
+    counts = orders(spark, d).groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    return G.subtree_totals(heap(spark, d), counts)
+
+
 def named_edges(spark, d):
     """Suppliers and parts of all line items, by return flag."""
     return lineitem(spark, d).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst"), F.col("l_returnflag").alias("kind"), F.lit(1.0).alias("weight")).distinct()
@@ -150,3 +164,16 @@ def nested_records(spark, d):
     one = lambda x: F.concat(x["o_orderkey"].cast("string"), F.lit(":"), F.coalesce(F.array_join(F.transform(x["lines"], lambda y: y["l_linenumber"].cast("string")), ","), F.lit("")))
     rows = customer(spark, d).join(per, "c_custkey").join(nation(spark, d).withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
     return rows.select("c_custkey", "n_name", F.array_join(F.transform("orders", one), ";").alias("nested"))
+
+
+@query(f"""with e as (select distinct src, dst from {_E}), n as (select (select count(*) from supplier) + (select count(*) from part) as v), t as (select src as x from e union select dst from e)
+select v as n_nodes, (select count(*) from e) as n_edges, round((select count(*) from e) / (v * (v - 1.0)), 4) as density, round(2.0 * (select count(*) from e) / (select count(*) from t), 2) as avg_degree from n""")
+def graph_counts(spark, d):
+    return G.graph_counts(named_nodes(spark, d), named_edges(spark, d).select("src", "dst").distinct())
+
+
+@query(f"""with k as (select 'node' as what, 'supplier' as kind from supplier union all select 'node', 'part' from part union all select 'edge', kind from {_E}), n as (select what, kind, count(*) as n from k group by 1, 2)
+select *, n / sum(n) over (partition by what) as share from n""")
+def type_distribution(spark, d):
+    """Kinds of entities and relations with their numbers and shares."""
+    return G.type_distribution(named_nodes(spark, d), named_edges(spark, d))

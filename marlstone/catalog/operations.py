@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import chunking as K
 from marlstone.operators import observe as O
-from marlstone.operators import relational
+from marlstone.operators import relational, series
 from marlstone.plans import rules
 from marlstone.registry import benchmark, customer, docs, events, lineitem, orders, part, query, turns
 from marlstone.streaming import events as S
+from marlstone.streaming import watch
 
 # -- chunks --
 
@@ -348,3 +349,42 @@ def near_dups(spark, d):
     rows = docs(spark, d).select("doc_id", F.array_sort(F.array_distinct(T.tokens(F.col("text")))).alias("w")).where(F.size("w") > 0)
     once = rows.groupBy("w").agg(F.min("doc_id").alias("doc_id"))
     return relational.jaccard_join(once, "doc_id", "w", 90).withColumn("score", F.round("score", 4))
+
+
+# -- series in pieces --
+
+
+@query("select e.event_id, p.event_id as purchase_id from (select * from events where event_type = 'error') e asof left join (select user_id, ts, max(event_id) as event_id from events where event_type = 'purchase' group by 1, 2) p on e.user_id = p.user_id and e.ts >= p.ts")
+def asof_in_pieces(spark, d):
+    """The last purchase before each error of a user; a user's history is as many tasks as it has days."""
+    e = events(spark, d)
+    right = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    left = e.where("event_type = 'error'").select("user_id", "ts", "event_id")
+    return series.asof_join(left, right, "user_id", "ts", "event_id", "purchase_id").select("event_id", "purchase_id")
+
+
+@query("with l as (select event_id, event_type, case when event_type = 'error' then 'DELETED' else 'MODIFIED' end as kind, lag(event_type) over o as s from events window o as (partition by user_id order by ts, event_id)) select event_id, case when kind = 'DELETED' then 'deleted' when s is null or s = 'error' then 'created' else 'updated' end as change from l where case when kind = 'DELETED' then s is not null and s <> 'error' when s is null or s = 'error' then true else event_type <> s end")
+def changes_in_pieces(spark, d):
+    rows = events(spark, d).withColumn("kind", F.when(F.col("event_type") == "error", "DELETED").otherwise("MODIFIED"))
+    return series.changes(rows, "user_id", "ts", "event_id", "kind", "event_type").select("event_id", "change")
+
+
+@query("with g as (select user_id, ts, case when lag(ts) over (partition by user_id order by ts) + interval 30 minute > ts then 0 else 1 end as s from events), h as (select user_id, ts, sum(s) over (partition by user_id order by ts) as k from g) select user_id, min(ts) as session_start, max(ts) as session_end, count(*) as n from h group by user_id, k")
+def sessions_in_pieces(spark, d):
+    return series.sessions(events(spark, d), "ts", 1800, "user_id", seconds=6 * 3600)
+
+
+_ARRIVED = "(select 'r' || user_id as uid, cast(epoch(ts) as bigint) // 3600 as version, case when event_type = 'error' then 'DELETED' when event_type = 'signup' then 'BOOKMARK' else 'MODIFIED' end as kind, event_type as state, event_id as arrived from events)"
+
+
+@query(f"""with a as (select *, max(version) over (partition by uid order by arrived rows between unbounded preceding and 1 preceding) as seen from {_ARRIVED}), k as (select *, lag(kind) over o as k, lag(state) over o as s from a where (seen is null or version > seen) and kind <> 'BOOKMARK' window o as (partition by uid order by arrived)),
+c as (select uid, version, state, case when kind = 'DELETED' then case when k <> 'DELETED' then 'deleted' end when k is null or k = 'DELETED' then 'created' when state <> s then 'updated' end as change from k) select * from c where change is not null""")
+def watch_versions(spark, d):
+    """Changes of resources whose versions come late and again, in batch."""
+    return watch.versions_applied(_arrived(spark, d))
+
+
+def _arrived(spark, d):
+    kind = F.when(F.col("event_type") == "error", "DELETED").when(F.col("event_type") == "signup", "BOOKMARK").otherwise("MODIFIED")
+    hours = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("long")
+    return events(spark, d).select(F.concat(F.lit("r"), "user_id").alias("uid"), hours.alias("version"), kind.alias("kind"), F.col("event_type").alias("state"), F.col("event_id").alias("arrived"), "ts")

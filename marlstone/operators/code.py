@@ -293,13 +293,26 @@ def module_edges(edges: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+def _pieces(text: Column) -> Column:
+    """All runs of one to three characters, each once."""
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: text.substr(i, F.lit(n))) for n in (1, 2, 3)]
+    return F.array_distinct(F.concat(*runs))
+
+
 def matched_modules(found: DataFrame, names: DataFrame) -> DataFrame:
-    """(module, matched): the known module (name, rank) that an import begins with or holds; else that its first part belongs to; the first by rank."""
+    """(module, matched): the known module (name, rank) that an import begins with or holds; else that its first part belongs to; the first by rank.
+
+    What holds a text holds its first three characters, so texts meet by these and are compared then.
+    """
     plain = F.regexp_replace("module", r"^[./]+", "")
     rows = found.select("module").distinct().withColumn("_p", plain).withColumn("_f", F.split_part(plain, F.lit("/"), F.lit(1)))
-    pairs = rows.crossJoin(names)  # a part of a name is looked for, so each import meets each module of the repository
-    tier = F.when(F.col("_p").contains(F.col("name")), 1).when((F.col("_f") != "") & F.col("name").contains(F.col("_f")), 2)
-    best = pairs.withColumn("_t", tier).where("_t is not null").groupBy("module").agg(F.min_by("name", F.struct("_t", "rank")).alias("matched"))
+    start = lambda c: F.substring(c, 1, 3)
+    holds = rows.select("module", "_p", F.explode(_pieces(F.col("_p"))).alias("_g")).join(names.where("name != ''").withColumn("_g", start("name")), "_g")
+    holds = holds.where(F.col("_p").contains(F.col("name"))).select("module", "name", "rank", F.lit(1).alias("_t"))
+    parts = names.select("name", "rank", F.explode(_pieces(F.col("name"))).alias("_g"))
+    within = rows.where("_f != ''").withColumn("_g", start("_f")).join(parts, "_g").where(F.col("name").contains(F.col("_f")))
+    pairs = holds.unionByName(within.select("module", "name", "rank", F.lit(2).alias("_t")))
+    best = pairs.groupBy("module").agg(F.min_by("name", F.struct("_t", "rank")).alias("matched"))
     return rows.select("module").join(best, "module", "left")
 
 

@@ -2,45 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.components import connected_components
 from marlstone.plans.stash import Stash
 
 
-def paths_between(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int, kinds: list[str] | None = None) -> DataFrame:
-    """(path, hops, weight) of all simple directed paths from a source to a target (id), by one join a hop; frontiers drop cycles early.
+def _distances(edges: DataFrame, starts: DataFrame, hops: int, stash: Stash, barred: DataFrame | None = None) -> DataFrame:
+    """(at, far): how many edges (_s, _d) a node is from the starts (at), one row a node, each level written; barred nodes lead on only as starts."""
+    seen = front = stash.put(starts.select("at", F.lit(0).alias("far")))
+    for far in range(1, hops + 1):
+        on = front if barred is None or far == 1 else front.join(barred, "at", "left_anti")
+        found = edges.join(on.select(F.col("at").alias("_s")), "_s", "left_semi").select(F.col("_d").alias("at")).distinct()
+        front = stash.put(found.join(seen, "at", "left_anti").withColumn("far", F.lit(far)))
+        seen = seen.unionByName(front)
+        if front.isEmpty():
+            break
+    return seen
+
+
+def paths_between(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops: int, kinds: list[str] | None = None, only_shortest: bool = False) -> DataFrame:
+    """(path, hops, weight) of all simple directed paths from a source to a target (id), or of the shortest of all.
 
-    A path ends at the first target; sources that are targets have no path to themselves.
+    A path ends at the first target; sources that are targets have no path to themselves. Distances from
+    the sources and to the targets come first, a row for each node; paths are then listed over the edges
+    that lie on a walk of the length that is allowed, so a partial path is one that can end in time.
     """
+    stash = Stash(edges.sparkSession)
     e = edges if kinds is None else edges.where(F.col("kind").isin(kinds))
-    e = e.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("weight").alias("_w")).where("_s != _d")
-    ends = targets.select(F.col("id").alias("at")).distinct()
-    front = e.join(sources.select(F.col("id").alias("_s")).distinct(), "_s", "left_semi")
-    front = front.select(F.array("_s", "_d").alias("path"), F.col("_w").alias("weight"), F.col("_d").alias("at"))
-    found = front.join(ends, "at", "left_semi")
+    e = stash.put(e.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("weight").alias("_w")).where("_s != _d"))
+    begin = stash.put(sources.select(F.col("id").alias("at")).distinct())
+    ends = stash.put(targets.select(F.col("id").alias("at")).distinct())
+    before = _distances(e, begin, hops - 1, stash, ends)
+    after = _distances(e.select(F.col("_d").alias("_s"), F.col("_s").alias("_d")), ends, hops - 1, stash)
+    near = e.join(before.withColumnRenamed("at", "_s"), "_s").withColumnRenamed("far", "_f").join(after.withColumnRenamed("at", "_d"), "_d")
+    near = stash.put(near.withColumn("_l", F.col("_f") + 1 + F.col("far")).where(F.col("_l") <= hops).select("_s", "_d", "_w", "_f", "_l"))
+    if only_shortest and begin.join(ends, "at", "left_semi").isEmpty():  # else the shortest walk may come back to its source
+        near = near.join(F.broadcast(near.agg(F.min("_l").alias("_l"))), "_l")  # one row
+    out = near.join(begin.select(F.col("at").alias("_s")), "_s", "left_semi")
+    front = stash.put(out.select(F.array("_s", "_d").alias("path"), F.col("_w").alias("weight"), F.col("_d").alias("at")))
+    found = front.join(ends, "at", "left_semi").select("path", "weight")
     for _ in range(hops - 1):
-        front = front.join(ends, "at", "left_anti").join(e, F.col("at") == F.col("_s")).where(~F.array_contains("path", F.col("_d")))
-        front = front.select(F.concat("path", F.array("_d")).alias("path"), (F.col("weight") + F.col("_w")).alias("weight"), F.col("_d").alias("at"))
-        found = found.unionByName(front.join(ends, "at", "left_semi").select(*front.columns))
+        if front.isEmpty() or (only_shortest and not found.isEmpty()):
+            break
+        front = front.join(ends, "at", "left_anti").join(near, F.col("at") == F.col("_s")).where(~F.array_contains("path", F.col("_d")))
+        front = stash.put(front.select(F.concat("path", F.array("_d")).alias("path"), (F.col("weight") + F.col("_w")).alias("weight"), F.col("_d").alias("at")))
+        found = found.unionByName(front.join(ends, "at", "left_semi").select("path", "weight"))
     return found.select("path", (F.size("path") - 1).alias("hops"), "weight")
 
 
-def simple_paths(edges: DataFrame, source, target, hops: int, kinds: list[str] | None = None) -> DataFrame:
-    """(path, hops, weight) of all simple directed paths between two nodes."""
+def simple_paths(edges: DataFrame, source, target, hops: int, kinds: list[str] | None = None, only_shortest: bool = False) -> DataFrame:
+    """(path, hops, weight) of all simple directed paths between two nodes, or of the shortest."""
     one = edges.sparkSession.range(1)
     kind = edges.schema["src"].dataType
     node = lambda x: one.select(F.lit(x).cast(kind).alias("id"))
-    return paths_between(edges, node(source), node(target), hops, kinds)
-
-
-def shortest(paths: DataFrame) -> DataFrame:
-    return paths.join(F.broadcast(paths.agg(F.min("hops").alias("_m"))), F.col("hops") == F.col("_m")).drop("_m")  # one row
+    return paths_between(edges, node(source), node(target), hops, kinds, only_shortest)
 
 
 def shortest_paths(edges: DataFrame, source, target, hops: int) -> DataFrame:
-    return shortest(simple_paths(edges, source, target, hops))
+    return simple_paths(edges, source, target, hops, only_shortest=True)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -49,21 +70,30 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.o").alias("fan_out"), F.sum("e.i").alias("fan_in"))
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, density, mean degree of touched nodes, size of the largest component.
-
-    One pass over the edges gives degrees, and from them edges and touched nodes; components need their own.
-    """
+def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, density and mean degree of touched nodes, from one pass over the edges."""
     n = nodes.agg(F.count("*").alias("n_nodes"))
     touched = degrees(edges).agg(F.count("*").alias("touched"), F.coalesce(F.sum("fan_out"), F.lit(0)).alias("n_edges"))
-    largest = connected_components(edges).groupBy("component").agg(F.count("*").alias("size")).agg(F.coalesce(F.max("size"), F.lit(1)).alias("largest_component"))
-    one = n.join(F.broadcast(touched)).join(F.broadcast(largest))  # one row each
+    one = n.join(F.broadcast(touched))  # one row each
     return one.select(
         "n_nodes", "n_edges", F.round(F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)), 4).alias("density"),
-        F.round(2.0 * F.col("n_edges") / F.col("touched"), 2).alias("avg_degree"), "largest_component",
+        F.round(2.0 * F.col("n_edges") / F.col("touched"), 2).alias("avg_degree"),
     )
 
 
+def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``graph_counts`` and the size of the largest component."""
+    largest = connected_components(edges).groupBy("component").agg(F.count("*").alias("size")).agg(F.coalesce(F.max("size"), F.lit(1)).alias("largest_component"))
+    return graph_counts(nodes, edges).join(F.broadcast(largest))  # one row each
+
+
+def type_distribution(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(what, kind, n, share): how many nodes and edges there are of each kind, unnamed ones as unknown, and their share of all."""
+    kinds = [d.select(F.lit(what).alias("what"), F.coalesce("kind", F.lit("unknown")).alias("kind")) for what, d in (("node", nodes), ("edge", edges))]
+    rows = kinds[0].unionByName(kinds[1]).groupBy("what", "kind").agg(F.count("*").alias("n"))
+    return rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("what")))  # a row a kind
+
+
 def _levels(front: DataFrame, step, hops: int | None) -> DataFrame:
     """Rows of ``front`` (id, of, depth) and all that ``step`` reaches, each pair once, at its least depth.
 
@@ -96,20 +126,72 @@ def ancestors(tree: DataFrame, hops: int | None = None) -> DataFrame:
     return _levels(front, step, hops).select(F.col("of").alias("id"), F.col("id").alias("ancestor"), "depth")
 
 
+def _climbed(tree: DataFrame, stash: Stash) -> tuple[list[DataFrame], DataFrame]:
+    """Jumps by pointer doubling, and the ids that lead into a loop or have several parents.
+
+    The k-th jump has (id, up, steps) of every node with a parent: its ancestor 2 ** k levels up, if there is one,
+    and how many levels up to 2 ** k there are above it. Their number is the logarithm of the depth.
+    """
+    above = tree.where("id is not null and parent_id is not null and id != parent_id").select("id", F.col("parent_id").alias("up")).distinct()
+    above = stash.put(above)
+    several = above.groupBy("id").count().where("count > 1")
+    if not several.isEmpty():
+        return [above.where("false").withColumn("steps", F.lit(1).cast("long"))], above.select("id").distinct()
+    size = above.count()
+    jumps = [stash.put(above.withColumn("steps", F.lit(1).cast("long")))]
+    while 2 ** (len(jumps) - 1) <= size:
+        now = jumps[-1]
+        going = now.where("up is not null")
+        if going.isEmpty():
+            break
+        ahead = now.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
+        going = going.join(ahead, "up", "left").select("id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
+        jumps.append(stash.put(going.unionByName(now.where("up is null"))))
+    return jumps, stash.put(jumps[-1].where("up is not null").select("id"))
+
+
 def tree_levels(tree: DataFrame, most: int | None = None) -> DataFrame:
-    """(id, level): 1 for roots, one more for each ancestor, ``most`` at most."""
-    above = ancestors(tree).groupBy("id").agg(F.count("*").alias("n"))
+    """(id, level): 1 for roots, one more for each ancestor, ``most`` at most.
+
+    By pointer doubling; only nodes that lead into a loop or trees with several parents need all pairs.
+    """
+    jumps, odd = _climbed(tree, Stash(tree.sparkSession))
+    above = jumps[-1].join(odd, "id", "left_anti").select("id", F.col("steps").alias("n"))
+    if not odd.isEmpty():
+        above = above.unionByName(ancestors(tree.join(odd, "id", "left_semi")).groupBy("id").agg(F.count("*").alias("n")))
     level = F.coalesce(F.col("n"), F.lit(0)) + 1
     level = F.least(level, F.lit(most)) if most else level
     return tree.select("id").distinct().join(above, "id", "left").select("id", level.cast("int").alias("level"))
 
 
+def subtree_totals(tree: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, count) of the items (id, n) in each node of (id, parent_id) and below it.
+
+    After the k-th jump a node has the sum of all less than 2 ** (k + 1) levels below it: its own and that of
+    the nodes 2 ** k levels below. So a chain takes as many rounds as the logarithm of its length, and
+    no round has more rows than nodes.
+    """
+    stash = Stash(tree.sparkSession)
+    jumps, odd = _climbed(tree, stash)
+    own = tree.select("id").distinct().join(counts.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
+    total = own = stash.put(own)
+    for jump in jumps:
+        up = jump.where("up is not null").join(odd, "id", "left_anti").join(total, "id").groupBy(F.col("up").alias("id")).agg(F.sum("count").alias("below"))
+        before, total = total, stash.put(total.join(up, "id", "left").select("id", (F.col("count") + F.coalesce("below", F.lit(0))).alias("count")))
+        if before is not own:
+            stash.drop(before)
+    if odd.isEmpty():
+        return total
+    some = tree.join(odd, "id", "left_semi")
+    pairs = ancestors(some).select(F.col("ancestor").alias("id"), F.col("id").alias("of")).where("id != of")
+    more = pairs.join(own.select(F.col("id").alias("of"), "count"), "of").groupBy("id").agg(F.sum("count").alias("below"))
+    return total.join(more, "id", "left").select("id", (F.col("count") + F.coalesce("below", F.lit(0))).alias("count"))
+
+
 def category_tree(tree: DataFrame, counts: DataFrame, order: str = "sort_order") -> DataFrame:
     """(id, children, count) of (id, parent_id, order): children in order, with how many items (id, n) are in the node and below it."""
-    below = ancestors(tree).select(F.col("ancestor").alias("id"), F.col("id").alias("of")).unionByName(tree.select("id", F.col("id").alias("of")))
-    total = below.join(counts.select(F.col("id").alias("of"), "n"), "of", "left").groupBy("id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
     kids = tree.where("parent_id is not null and parent_id != id").groupBy(F.col("parent_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(order, "id"))).alias("k"))
-    out = tree.select("id").join(kids, "id", "left").join(total, "id", "left")
+    out = tree.select("id").join(kids, "id", "left").join(subtree_totals(tree, counts), "id", "left")
     return out.select("id", F.coalesce(F.col("k.id"), F.array().cast(f"array<{dict(tree.dtypes)['id']}>")).alias("children"), "count")
 
 
@@ -135,7 +217,7 @@ def call_chain(edges: DataFrame, symbols: DataFrame, source: str, target: str, h
         both = symbols.select("id", tier.alias("tier")).where("tier is not null")
         return both.join(F.broadcast(both.agg(F.min("tier").alias("_t"))), F.col("tier") == F.col("_t")).select("id").distinct()  # one row
 
-    return shortest(paths_between(edges, ends(source), ends(target), hops, kinds))
+    return paths_between(edges, ends(source), ends(target), hops, kinds, only_shortest=True)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

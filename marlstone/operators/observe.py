@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import logs
-from marlstone.operators.relational import asof_join
+from marlstone.operators.series import asof_join
 
 #: How old a sample may be to stand for a later time, in seconds.
 LOOKBACK = 300
@@ -23,7 +23,7 @@ def instant(samples: DataFrame, at: str, *series: str, ts: str = "ts", value: st
 
 
 def query_range(samples: DataFrame, start: str, end: str, step: int, series: str, ts: str = "ts", value: str = "value", lookback: int = LOOKBACK) -> DataFrame:
-    """(series, ts, value) on a grid of times: the last sample at or before each, if it is not too old. One union and one window a series."""
+    """(series, ts, value) on a grid of times: the last sample at or before each, if it is not too old; in pieces of a day, so a long series is many tasks."""
     grid = F.explode(F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"), F.expr(f"interval {step} seconds"))).alias(ts)
     times = samples.select(series).distinct().select(series, grid)
     near = samples.where((F.col(ts) <= F.lit(end).cast("timestamp_ntz")) & (F.col(ts) >= F.lit(start).cast("timestamp_ntz") - F.expr(f"interval {lookback} seconds")))
