@@ -295,8 +295,11 @@ def module_edges(edges: DataFrame) -> DataFrame:
 
 def _pieces(text: Column) -> Column:
     """All runs of one to three characters, each once."""
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: text.substr(i, F.lit(n))) for n in (1, 2, 3)]
-    return F.array_distinct(F.concat(*runs))
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: text.substr(i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*map(runs, (1, 2, 3))))
 
 
 def matched_modules(found: DataFrame, names: DataFrame) -> DataFrame:
