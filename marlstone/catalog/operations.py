@@ -176,10 +176,10 @@ def log_levels(spark, d):
 
 @query("select 'user=' || user_id as labels, epoch_us(ts) as at, event_type as message from events")
 def log_streams(spark, d):
-    """Streams of log lines, by their labels, taken apart into lines."""
+    """Streams of log lines of a day, by their labels, taken apart into lines."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     pair = F.array(F.concat(micros.cast("string"), F.lit("000")), F.col("event_type"))
-    streams = events(spark, d).groupBy(F.concat(F.lit("user="), "user_id").alias("labels")).agg(F.collect_list(pair).alias("values"))
+    streams = events(spark, d).groupBy(F.concat(F.lit("user="), "user_id").alias("labels"), F.to_date("ts")).agg(F.collect_list(pair).alias("values"))
     return O.flattened(streams).select("labels", F.unix_micros("at").alias("at"), "message")
 
 
@@ -351,6 +351,15 @@ def near_dups(spark, d):
     return relational.jaccard_join(once, "doc_id", "w", 90).withColumn("score", F.round("score", 4))
 
 
+@query(f"""with d as (select doc_id, list_sort({_TOK}) as w from documents), t as (select min(doc_id) as class, w, len(w) as n, count(*) as members from d where len(w) > 0 group by w),
+p as (select a.class as class, sum(b.members) as beyond from t a join t b on a.class <> b.class and a.n * 100 >= b.n * 90 and b.n * 100 >= a.n * 90 where len(list_intersect(a.w, b.w)) * 100 >= 90 * (a.n + b.n - len(list_intersect(a.w, b.w))) group by 1)
+select doc_id, coalesce(t.class, doc_id) as class, coalesce(t.members, 1) as members, cast(coalesce(t.members - 1, 0) + coalesce(p.beyond, 0) as bigint) as links from d left join t on t.w = d.w left join p on p.class = t.class""")
+def near_dup_classes(spark, d):
+    """Each document's class of equal word sets, its size, and how many documents are alike; copies are not paired."""
+    rows = docs(spark, d).select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return relational.jaccard_classes(rows, "doc_id", "w", 90)[0]
+
+
 # -- series in pieces --
 
 

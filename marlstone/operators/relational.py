@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.plans.stash import Stash
+
 
 def page(rows: DataFrame, order: list, number: int = 1, size: int = 20, most: int = 100) -> DataFrame:
     """One page; number and size are clamped, and the order should end in a key."""
@@ -71,6 +73,22 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, value: str,
     return both.where("_side = 1").drop("_side")
 
 
+def numbered(rows: DataFrame, *order, name: str = "n") -> DataFrame:
+    """``rows`` with their numbers in an order, from 1, without a task that holds them all.
+
+    Rows are dealt by ranges of the order and written; each range's first number is what the ranges before it
+    hold, one row a range. Rows that are equal in the order are numbered in any way.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = Stash(spark).put(rows.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_p", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return placed.join(F.broadcast(starts), "_p").withColumn(name, (F.col("_start") + own).cast("long")).drop("_p", "_start")
+
+
 def band_join(left: DataFrame, right: DataFrame, key: str, at: str, reach: float) -> DataFrame:
     """Pairs of one key whose ``at`` differ by ``reach`` at most: an equi-join on buckets of that width."""
     a = left.withColumn("_b", F.floor(F.col(at) / reach))
@@ -130,6 +148,26 @@ def jaccard_join(rows: DataFrame, key: str, words: str, percent: int) -> DataFra
     return both.where(F.col("_s") * 100 >= F.col("_u") * percent).select("a", "b", (F.col("_s") / F.col("_u")).alias("score"))
 
 
+def jaccard_classes(rows: DataFrame, key: str, words: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((key, class, members, links), (a, b, score)): rows by their sets of words, and the pairs of classes that are alike.
+
+    Rows of equal sets are one class, named after its least key and joined once, however many there are, so
+    copies make no pairs. A row's links are the other rows of its class and those of the classes that are alike; an
+    empty set is a class of its own for each row and has none.
+    """
+    each = rows.select(F.col(key).alias("_key"), F.array_sort(F.array_distinct(F.coalesce(F.col(words), F.array().cast("array<string>")))).alias("_w"))
+    empty = F.size("_w") == 0
+    each = each.withColumn("_d", F.when(empty, F.concat(F.lit("-"), F.col("_key").cast("string"))).otherwise(F.sha2(F.to_json("_w"), 256)))
+    classes = Stash(rows.sparkSession).put(each.groupBy("_d").agg(F.min("_key").alias("class"), F.count("*").alias("members"), F.first("_w").alias("_w")))
+    pairs = Stash(rows.sparkSession).put(jaccard_join(classes.select("class", "_w"), "class", "_w", percent))
+    size = classes.select(F.col("class").alias("_other"), "members")
+    ends = pairs.select(F.col("a").alias("class"), F.col("b").alias("_other")).unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("_other")))
+    beyond = ends.join(size, "_other").groupBy("class").agg(F.sum("members").alias("_beyond"))
+    own = F.when(F.size("_w") > 0, F.col("members") - 1).otherwise(0)
+    linked = classes.join(beyond, "class", "left").select("_d", "class", "members", (own + F.coalesce("_beyond", F.lit(0))).alias("links"))
+    return each.select("_key", "_d").join(linked, "_d").select(F.col("_key").alias(key), "class", "members", "links"), pairs
+
+
 def bases_for(bases: DataFrame, categories: DataFrame, members: DataFrame, documents: DataFrame, user, allowed: list[str] | None = None) -> DataFrame:
     """(kb_id, name, category, role, documents, members) of the bases (kb_id, name, category_id, owner) that a user owns or is a member of.
 
