@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.catalog.retrieval import TERMS, bm25_on, knn_sql, seed
 from marlstone.operators import index as I
 from marlstone.operators import positions as P
+from marlstone.operators import quantised
 from marlstone.operators import search as S
 from marlstone.registry import TOKENS, docs, query, vectors
 
@@ -71,3 +72,11 @@ def words_near(spark, d):
 def bool_indexed(spark, d):
     """Words, phrases, AND, OR, NOT and parentheses as joins of keys."""
     return P.text_index(docs(spark, d)).boolean(spark, '(license AND NOT apache) OR trash "of the"')
+
+
+@query()
+def knn_quantised(spark, d):
+    """Ten neighbours of every vector whose id is divisible by 100, from quantised codes; tests hold the recall against brute force."""
+    v = vectors(spark, d)
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    return quantised.quantised_index(v).knn(asked, 10).select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
