@@ -22,8 +22,9 @@ def lexical(query: str) -> Scorer:
     return lambda content: match_share(F.lit(query), content)
 
 
-def clamped(limit: int | None, default: int = 10) -> int:
-    return min(max(limit if limit is not None else default, 1), MOST_HITS)
+def clamped(limit: int | None, default: int = 10, most: int | None = None) -> int:
+    """A number of hits from 1 to ``most``, MOST_HITS if nothing else is said."""
+    return min(max(limit if limit is not None else default, 1), MOST_HITS if most is None else most)
 
 
 def rerank(hits: DataFrame, k: int = 5, scorer: Scorer | None = None, key: str = "doc_id", content: str = "content") -> DataFrame:
@@ -49,40 +50,40 @@ def above(hits: DataFrame, least: float | None, fallback: bool = False) -> DataF
     return hits.join(F.broadcast(best)).where((F.col("_best") < bound) | (F.col("score") >= bound)).drop("_best")
 
 
-def with_content(hits: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Few hits with their contents: the hits are what is broadcast, as they are limited."""
-    return docs.select(key, F.col(text).alias("content")).join(F.broadcast(hits), key)
+def with_content(hits: DataFrame, docs: DataFrame, key: str, text: str, few: bool = True) -> DataFrame:
+    """Hits with their contents; up to MOST_HITS are broadcast."""
+    return docs.select(key, F.col(text).alias("content")).join(F.broadcast(hits) if few else hits, key)
 
 
-def vector_search(docs: DataFrame, vectors: DataFrame, vector: list[float] | None, k: int, scorer: Scorer | None = None, least: float | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def vector_search(docs: DataFrame, vectors: DataFrame, vector: list[float] | None, k: int, scorer: Scorer | None = None, least: float | None = None, key: str = "doc_id", text: str = "text", most: int = MOST_HITS) -> DataFrame:
     """Nearest vectors, three times as many as asked for, reranked and cut at a score."""
-    k = clamped(k)
-    hits = S.knn(vectors, vector, min(RECALL * k, MOST_HITS), key=key)
-    return above(rerank(with_content(hits, docs, key, text), k, scorer, key), least)
+    k = clamped(k, most=most)
+    hits = S.knn(vectors, vector, min(RECALL * k, most), key=key)
+    return above(rerank(with_content(hits, docs, key, text, most <= MOST_HITS), k, scorer, key), least)
 
 
-def keyword_search(docs: DataFrame, words: list[str], k: int, scorer: Scorer | None = None, least: float | None = None, filters: dict | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keyword_search(docs: DataFrame, words: list[str], k: int, scorer: Scorer | None = None, least: float | None = None, filters: dict | None = None, key: str = "doc_id", text: str = "text", most: int = MOST_HITS) -> DataFrame:
     """BM25 over all documents, filtered after scoring, three times as many as asked for, reranked and cut at a score."""
-    k = clamped(k)
+    k = clamped(k, most=most)
     hits = S.bm25(docs, words, key, text, keep=tuple(filters or ())).where(S.compile_filters(filters)).select(key, "score")
-    return above(rerank(with_content(S.top(hits, min(RECALL * k, MOST_HITS), key=key), docs, key, text), k, scorer, key), least)
+    return above(rerank(with_content(S.top(hits, min(RECALL * k, most), key=key), docs, key, text, most <= MOST_HITS), k, scorer, key), least)
 
 
 def mixed_search(
     docs: DataFrame, vectors: DataFrame, words: list[str], vector: list[float] | None, k: int, alpha: float = 0.5, scorer: Scorer | None = None,
-    least: float | None = None, key: str = "doc_id", text: str = "text",
+    least: float | None = None, key: str = "doc_id", text: str = "text", most: int = MOST_HITS,
 ) -> DataFrame:
     """Both recalls merged by raw weighted scores, reranked and cut at a score; if none reaches it, uncut."""
-    k = clamped(k)
-    recall = min(RECALL * k, MOST_HITS)
+    k = clamped(k, most=most)
+    recall = min(RECALL * k, most)
     merged = S.fuse(S.knn(vectors, vector, recall, key=key), S.top(S.bm25(docs, words, key, text), recall, key=key), key, alpha=alpha)
-    return above(rerank(with_content(S.top(merged, recall, key=key), docs, key, text), k, scorer, key), least, fallback=True)
+    return above(rerank(with_content(S.top(merged, recall, key=key), docs, key, text, most <= MOST_HITS), k, scorer, key), least, fallback=True)
 
 
-def exact_search(docs: DataFrame, words: str, k: int | None = None, filters: dict | None = None, sort: Column | str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_search(docs: DataFrame, words: str, k: int | None = None, filters: dict | None = None, sort: Column | str | None = None, key: str = "doc_id", text: str = "text", most: int = MOST_HITS) -> DataFrame:
     """Documents with the phrase, in the order of ``sort`` and the key."""
     rows = docs.where(S.phrase(F.col(text), words) & S.compile_filters(filters))
-    return rows.orderBy(*([sort] if sort is not None else []), key).limit(clamped(k))
+    return rows.orderBy(*([sort] if sort is not None else []), key).limit(clamped(k, most=most))
 
 
 def advanced(text: Column, words: str | None = None, boolean: str | None = None, phrase: str | None = None, wildcard: str | None = None, regex: str | None = None, filters: dict | None = None) -> Column:
@@ -108,7 +109,7 @@ def search(docs: DataFrame, vectors: DataFrame, mode: str = "hybrid", **asked) -
     if mode == "exact":
         return exact_search(docs, **asked)
     if mode == "advanced":
-        k, key = clamped(asked.pop("k", None)), asked.pop("key", "doc_id")
+        k, key = clamped(asked.pop("k", None), most=asked.pop("most", MOST_HITS)), asked.pop("key", "doc_id")
         return docs.where(advanced(F.col(asked.pop("text", "text")), **asked)).orderBy(key).limit(k)
     if mode == "hybrid":
         return mixed_search(docs, vectors, **asked)
@@ -122,10 +123,10 @@ def fields_score(docs: DataFrame, words: list[str], boosts: dict[str, float], ke
     return rows.groupBy(key).agg((F.max if how == "best" else F.sum)("score").alias("score"))
 
 
-def similar(vectors: DataFrame, vec_id, k: int = 10, least: float = 0.7, key: str = "vec_id") -> DataFrame:
+def similar(vectors: DataFrame, vec_id, k: int = 10, least: float = 0.7, key: str = "vec_id", most: int = MOST_HITS) -> DataFrame:
     """More like one: the nearest others of a similarity of ``least`` or more."""
     found = vectors.where(F.col(key) == vec_id).first()
-    return S.knn(vectors, found and list(found.embedding), clamped(k), key=key, least=least, without=vec_id)
+    return S.knn(vectors, found and list(found.embedding), clamped(k, most=most), key=key, least=least, without=vec_id)
 
 
 def suggestions(docs: DataFrame, prefix: str, k: int = 10, text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import WORD, dot, tokens
+from marlstone.operators.relational import numbered
 from marlstone.plans.stash import Stash
 
 
@@ -129,15 +130,18 @@ def knn(vectors: DataFrame, query: list[float] | None, k: int, key: str = "vec_i
     return out if least is None else out.where(F.col("score") >= least)
 
 
-def fuse(left: DataFrame, right: DataFrame, key: str, how: str = "linear", alpha: float = 0.5, most: int = 1000) -> DataFrame:
+def fuse(left: DataFrame, right: DataFrame, key: str, how: str = "linear", alpha: float = 0.5, most: int | None = 1000) -> DataFrame:
     """(key, score) of a full outer join: alpha * left + (1 - alpha) * right, raw, scaled to 0..1, or by ranks (rrf).
 
-    Ranks are of the ``most`` best of either side, so the window over all of them is bounded.
+    Ranks are of the ``most`` best of either side, or of all with None: these are numbered by ranges of the scores.
     """
     wa, wb = alpha, 1 - alpha
     if how == "rrf":
-        order = Window.orderBy(F.col("score").desc(), key)
-        ranked = [top(d.select(key, "score"), most, key=key).select(key, (1.0 / (60 + F.row_number().over(order))).alias("score")) for d in (left, right)]
+        order = [F.col("score").desc(), F.col(key)]
+        if most is None:
+            ranked = [numbered(d.select(key, "score"), *order, name="_n").select(key, (1.0 / (60 + F.col("_n"))).alias("score")) for d in (left, right)]
+        else:
+            ranked = [top(d.select(key, "score"), most, key=key).select(key, (1.0 / (60 + F.row_number().over(Window.orderBy(*order)))).alias("score")) for d in (left, right)]
         left, right, wa, wb = *ranked, 1.0, 1.0
     elif how == "minmax":
         scaled = []

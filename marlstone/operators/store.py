@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators.relational import live
+from marlstone.operators.relational import live, numbered
 
 
 def deleted(rows: DataFrame, where: Column) -> DataFrame:
@@ -22,10 +22,9 @@ def get(rows: DataFrame, key: str, value, flag: str = "is_deleted") -> DataFrame
 
 
 def created(rows: DataFrame, news: DataFrame, key: str, *order: str) -> DataFrame:
-    """``rows`` and ``news``, which get the next keys in their order. The keys are dealt from one count, so for bounded ``news``."""
+    """``rows`` and ``news``, which get the next keys in their order."""
     last = rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))  # one row
-    n = F.row_number().over(Window.orderBy(*order))
-    fresh = news.drop(key).withColumn("_n", n).join(F.broadcast(last)).withColumn(key, (F.col("_last") + F.col("_n")).cast(rows.schema[key].dataType))
+    fresh = numbered(news.drop(key), *order, name="_n").join(F.broadcast(last)).withColumn(key, (F.col("_last") + F.col("_n")).cast(rows.schema[key].dataType))
     return rows.unionByName(fresh.drop("_n", "_last"), allowMissingColumns=True)
 
 

@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset, the context's own or a new one.
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, the context's own or, in local mode, a new one.
 
-    The setting can't be changed in a running session, so a new folder is kept in the context: a
-    temporary one in local mode, one below the shared warehouse on a cluster.
+    On a cluster the folder must be named: nothing tells which folders all executors and the driver share.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        local = context.master.startswith("local")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="marlstone-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_marlstone")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        # the setting can't be changed in a running session, so the new folder is kept in the context
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="marlstone-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
 

@@ -1,12 +1,14 @@
 """Office files and PDF from their bytes, with the standard library only, as rows of elements.
 
-DOCX, PPTX and XLSX are ZIP archives of XML; of PDF the text of uncompressed and deflated content streams is
-read, with literal and hexadecimal strings in single-byte fonts. A file that can't be read gives one row of kind ``error``.
+DOCX, PPTX and XLSX are ZIP archives of XML. Of PDF lines of text are read in order of streams; ``pdf`` and
+``layout`` read pages with their layout. A file that can't be read gives one row of kind ``error``.
 """
 
 from __future__ import annotations
 
 import io
+import mimetypes
+import posixpath
 import re
 import zipfile
 import zlib
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +37,27 @@ def _words(node) -> str:
     return "".join(out).strip()
 
 
+def _targets(pack: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """Relationship ids of a part of an archive and the parts that they name."""
+    folder, _, name = part.rpartition("/")
+    rels = f"{folder}/_rels/{name}.rels"
+    if rels not in pack.namelist():
+        return {}
+    found = {x.get("Id"): x.get("Target", "") for x in ElementTree.fromstring(pack.read(rels)) if x.get("TargetMode") != "External"}
+    return {k: posixpath.normpath(v.lstrip("/") if v.startswith("/") else f"{folder}/{v}") for k, v in found.items()}
+
+
+def _pictures(node, targets: dict[str, str]) -> list[dict]:
+    """Images that a node shows, by their parts of the archive."""
+    named = [targets.get(x.get(_R + "embed", "")) for x in node.iter(_A + "blip")]
+    return [{"kind": "Image", "name": x} for x in named if x]
+
+
 def parse_docx(data: bytes) -> list[dict]:
-    """Titles, list items, paragraphs and tables of the body in order; contents fields are left out."""
-    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(_W + "body")
-    out = []
+    """Titles, list items, paragraphs, tables and images of the body in order; contents fields are left out."""
+    pack = zipfile.ZipFile(io.BytesIO(data))
+    body = ElementTree.fromstring(pack.read("word/document.xml")).find(_W + "body")
+    out, targets = [], _targets(pack, "word/document.xml")
     for x in body if body is not None else ():
         if x.tag == _W + "tbl":
             cells = [[_words(c) for c in row.findall(_W + "tc")] for row in x.findall(_W + "tr")]
@@ -52,6 +72,7 @@ def parse_docx(data: bytes) -> list[dict]:
             item = x.find(f"{_W}pPr/{_W}numPr") is not None
             kind = "Title" if re.match(r"(?i)(heading|title)", name) else "ListItem" if item else "NarrativeText"
             out.append({"kind": kind, "text": text, "name": name or None})
+        out += _pictures(x, targets)
     return out
 
 
@@ -60,7 +81,7 @@ def _numbered(names: list[str], pattern: str) -> list[tuple[int, str]]:
 
 
 def parse_pptx(data: bytes) -> list[dict]:
-    """Paragraphs and tables of each slide, then its notes."""
+    """Paragraphs, tables and images of each slide, then its notes."""
     pack = zipfile.ZipFile(io.BytesIO(data))
     out = []
     for number, name in _numbered(pack.namelist(), r"ppt/slides/slide(\d+)\.xml"):
@@ -82,6 +103,7 @@ def parse_pptx(data: bytes) -> list[dict]:
                 text = "".join(t.text or "" for t in x.iter(_A + "t")).strip()
                 if text:
                     out.append({"kind": "NarrativeText", "part": number, "text": text})
+        out += [{**x, "part": number} for x in _pictures(slide, _targets(pack, name))]
         notes = f"ppt/notesSlides/notesSlide{number}.xml"
         if notes in pack.namelist():
             lines = ["".join(t.text or "" for t in p.iter(_A + "t")).strip() for p in ElementTree.fromstring(pack.read(notes)).iter(_A + "p")]
@@ -97,8 +119,8 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def parse_xlsx(data: bytes, most_sheets: int = 20) -> list[dict]:
-    """Rows of each sheet as strings, up to its last filled cell; blank rows go."""
+def parse_xlsx(data: bytes, most_sheets: int | None = 20) -> list[dict]:
+    """Rows of each sheet, of the first ``most_sheets`` or of all, as strings, up to its last filled cell; blank rows go."""
     pack = zipfile.ZipFile(io.BytesIO(data))
     strings = []
     if "xl/sharedStrings.xml" in pack.namelist():
@@ -180,8 +202,11 @@ def parse_pdf(data: bytes) -> list[dict]:
 PARSERS = {"docx": parse_docx, "pptx": parse_pptx, "xlsx": parse_xlsx, "xlsm": parse_xlsx, "pdf": parse_pdf}
 
 
-def parsed_files(files: DataFrame) -> DataFrame:
-    """(path, place, kind, part, name, text, cells) of files (path, content) of known extensions; part is a slide, sheet or stream."""
+def parsed_files(files: DataFrame, most_sheets: int | None = 20) -> DataFrame:
+    """(path, place, kind, part, name, text, cells) of files (path, content) of known extensions; part is a slide, sheet or stream.
+
+    Of a workbook the first ``most_sheets`` are read, or all with None. An image's name is its part of the archive.
+    """
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +216,7 @@ def parsed_files(files: DataFrame) -> DataFrame:
                 if parse is None:
                     continue
                 try:
-                    found = parse(bytes(content or b""))
+                    found = parse(bytes(content or b""), most_sheets) if parse is parse_xlsx else parse(bytes(content or b""))
                 except Exception as e:  # noqa: BLE001
                     found = [{"kind": "error", "text": f"{type(e).__name__}: {e}"}]
                 rows = [{"path": path, "place": k, "part": None, "name": None, "text": None, "cells": None, **x} for k, x in enumerate(found)]
@@ -201,10 +226,29 @@ def parsed_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, _SCHEMA)
 
 
-def read_office(spark: SparkSession, path: str) -> DataFrame:
+def images(files: DataFrame) -> DataFrame:
+    """(path, name, media_type, content) of the images in the archives (path, content) of documents and presentations; their places are those of the elements of that name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = pa.schema([("path", pa.string()), ("name", pa.string()), ("media_type", pa.string()), ("content", pa.binary())])
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                try:
+                    pack = zipfile.ZipFile(io.BytesIO(content.as_py() or b""))
+                except zipfile.BadZipFile:
+                    continue
+                for name in pack.namelist():
+                    if re.match(r"(?:word|ppt|xl)/media/[^/]+$", name):  # one at a time, as they are large
+                        row = {"path": path, "name": name, "media_type": mimetypes.guess_type(name)[0], "content": pack.read(name)}
+                        yield pa.RecordBatch.from_pylist([row], schema=arrow)
+
+    return files.select("path", "content").mapInArrow(run, "path string, name string, media_type string, content binary")
+
+
+def read_office(spark: SparkSession, path: str, most_sheets: int | None = 20) -> DataFrame:
     """Elements of all office files and PDFs below a path, of any depth."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(PARSERS) + "}").load(path)
-    return parsed_files(files.select("path", "content"))
+    return parsed_files(files.select("path", "content"), most_sheets)
 
 
 def catalogued(files: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -53,6 +53,24 @@ def pdf():
     return b"%%PDF-1.4\n1 0 obj\n<</Length %d/Filter/FlateDecode>>\nstream\n%s\nendstream\nendobj\n2 0 obj\n<</Length %d>>\nstream\n%s\nendstream\nendobj\n%%%%EOF" % (len(one), one, len(two), two)
 
 
+def test_images_and_many_sheets(spark):
+    rels = lambda target: f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="{target}"/><Relationship Id="rId2" Target="http://x" TargetMode="External"/></Relationships>'
+    blip = f'<w:drawing {A} {R}><a:blip r:embed="rId1"/></w:drawing>'
+    word = pack({"word/document.xml": f"<w:document {W}><w:body><w:p><w:r><w:t>before</w:t>{blip}</w:r></w:p><w:p><w:r><w:t>after</w:t></w:r></w:p></w:body></w:document>", "word/_rels/document.xml.rels": rels("media/image1.png"), "word/media/image1.png": "PNG"})
+    slides = pack({"ppt/slides/slide1.xml": f'<p {A} {R}><a:p><a:r><a:t>one</a:t></a:r></a:p><a:blip r:embed="rId1"/><a:blip r:embed="rId2"/></p>', "ppt/slides/_rels/slide1.xml.rels": rels("../media/pic.jpeg"), "ppt/media/pic.jpeg": "JPG"})
+    sheet = f'<worksheet {S}><sheetData><row r="1"><c r="A1"><v>1</v></c></row></sheetData></worksheet>'
+    book = "".join(f'<sheet name="s{i}" sheetId="{i}" r:id="rId{i}"/>' for i in range(25))
+    links = "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet.xml"/>' for i in range(25))
+    many = pack({"xl/workbook.xml": f"<workbook {S} {R}><sheets>{book}</sheets></workbook>", "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>', "xl/worksheets/sheet.xml": sheet})
+    rows = spark.createDataFrame([("a.docx", bytearray(word)), ("b.pptx", bytearray(slides)), ("c.xlsx", bytearray(many)), ("d.docx", bytearray(b"no"))], "path string, content binary")
+    found = office.parsed_files(rows).collect()
+    assert [(x.kind, x.name or x.text) for x in found if x.path == "a.docx"] == [("NarrativeText", "before"), ("Image", "word/media/image1.png"), ("NarrativeText", "after")]
+    assert [(x.kind, x.part, x.name or x.text) for x in found if x.path == "b.pptx"] == [("NarrativeText", 1, "one"), ("Image", 1, "ppt/media/pic.jpeg")]
+    sheets = lambda most: office.parsed_files(rows.where("path = 'c.xlsx'"), most).count()
+    assert (sheets(20), sheets(None), sheets(3)) == (20, 25, 3)
+    assert sorted((x.path, x.name, x.media_type, bytes(x.content)) for x in office.images(rows).collect()) == [("a.docx", "word/media/image1.png", "image/png", b"PNG"), ("b.pptx", "ppt/media/pic.jpeg", "image/jpeg", b"JPG")]
+
+
 def test_office_files(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     for name, data in (("a.docx", docx()), ("b.pptx", pptx()), ("deep/c.xlsx", xlsx()), ("d.pdf", pdf()), ("e.pdf", b"broken"), ("f.docx", b"PK"), ("g.txt", b"no")):
