@@ -5,6 +5,10 @@ slice that are not remembered from earlier ones are laid out as one array of sym
 their neighbours. An index maps the rank of each mergeable pair to all its positions in it; the active ranks are applied in ascending order, each at all its positions at once,
 and the lists of the pairs at either side of a merge are updated. A pair that a merge makes can
 only be applied later, so this gives what merging each word on its own by least rank gives.
+
+Which code points are letters and numbers, how they are lowered and which marks are put in order is asked of
+the tokenizers library on the driver, as its Unicode tables are of other versions than those of Python and
+of the regex module; only where they differ, texts are read another way.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import json
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,47 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPLIT = re.compile(f"[{_WHITE}]+")
 
 
+@dataclass(frozen=True)
+class Characters:
+    """What the library knows of code points; ranges are pairs of the first and the last, flat."""
+
+    letters: tuple[int, ...]
+    numbers: tuple[int, ...]
+    lower: dict[int, str]  # of those that Python lowers otherwise
+    marks: str  # that Python puts in order and the library doesn't
+
+
+#: Code points but the line feed, which parts them when the library is asked.
+_EVERY = [c for c in range(0x110000) if c != 10 and not 0xD800 <= c <= 0xDFFF]
+
+
+def _ranges(found: list[int]) -> tuple[int, ...]:
+    """Sorted code points as the first and the last of each run."""
+    at = np.array(found, np.int64)
+    cuts = np.flatnonzero(np.diff(at) != 1)
+    return tuple(np.stack([at[np.append(0, cuts + 1)], at[np.append(cuts, len(at) - 1)]], 1).ravel().tolist()) if len(at) else ()
+
+
+@lru_cache(1)
+def library_characters() -> Characters:
+    """Asks the library about every code point, in some seconds and once a process."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    text, listed = "".join(map(chr, _EVERY)), "\n".join(map(chr, _EVERY))
+
+    def of_class(name: str) -> tuple[int, ...]:
+        pieces = pre_tokenizers.Split(Regex(name + "+"), "removed", invert=True).pre_tokenize_str(text)
+        return _ranges([ord(c) for piece, _ in pieces for c in piece])
+
+    lowered = normalizers.Lowercase().normalize_str(listed).split("\n")
+    lower = {c: x for c, x in zip(_EVERY, lowered) if chr(c).lower() != x}
+    marks = set()
+    for before, after in (("a", "\u0301"), ("", "\u0338"), ("a\u0345", ""), ("a", "\u0334\u0345")):  # marks that go after or before others
+        composed = normalizers.NFC().normalize_str("\n".join(f"{before}{chr(c)}{after}" for c in _EVERY)).split("\n")
+        marks |= {c for c, x in zip(_EVERY, composed) if unicodedata.normalize("NFC", f"{before}{chr(c)}{after}") != x}
+    return Characters(of_class(r"\p{L}"), of_class(r"\p{N}"), lower, "".join(map(chr, sorted(marks))))
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -53,6 +99,7 @@ class Vocabulary:
     inner: np.ndarray  # id of each byte inside a word and at its end
     final: np.ndarray
     words: str  # pattern of a word
+    characters: Characters
     special: dict[str, int] = field(default_factory=dict)
 
     @classmethod
@@ -78,7 +125,7 @@ class Vocabulary:
         letters = byte_alphabet()
         inner, final = (np.array([vocab[c + e] for c in letters], np.int64) for e in ("", end))
         words = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", _WHITE)
-        return cls(tokens, pairs[order], order.astype(np.int64), left, right, made, inner, final, words, special)
+        return cls(tokens, pairs[order], order.astype(np.int64), left, right, made, inner, final, words, library_characters(), special)
 
 
 class Places(dict):
@@ -94,12 +141,41 @@ class Places(dict):
         return value
 
 
+def _pairs(ranges: tuple[int, ...]) -> list[tuple[int, int]]:
+    return list(zip(ranges[::2], ranges[1::2]))
+
+
+def stand_ins(characters: Characters) -> dict[int, int]:
+    """One of the library's kind for each code point that the regex module takes for another kind: a letter, a digit or a mark.
+
+    Words are cut in the text with stand-ins, which is as long, and taken from the text itself.
+    """
+    text = "".join(map(chr, _EVERY))
+    kind = np.zeros(0x110000, np.int8)
+    for number, name in ((1, r"\p{L}+"), (2, r"\p{N}+")):
+        for m in regex.finditer(name, text):
+            kind[ord(m[0][0]) : ord(m[0][-1]) + 1] = number
+    kind[0xD800:0xE000] = 0
+    known = np.zeros(0x110000, np.int8)
+    for number, ranges in ((1, characters.letters), (2, characters.numbers)):
+        for a, b in _pairs(ranges):
+            known[a : b + 1] = number
+    known[0xD800:0xE000] = 0
+    return {int(c): ord("!a0"[known[c]]) for c in np.flatnonzero(kind != known)}
+
+
 class PairIndexEncoder:
     """Encodes words, a partition's at a time, and remembers at most ``most`` of them."""
 
     def __init__(self, vocabulary: Vocabulary, most: int = 60_000):
         self.v, self.most = vocabulary, most
         self._pattern = regex.compile(vocabulary.words + "|\n")
+        self._lower = {c: x for c, x in vocabulary.characters.lower.items()}
+        self._lowered_apart = re.compile(f"[{re.escape(''.join(map(chr, self._lower)))}]") if self._lower else None
+        marks = vocabulary.characters.marks
+        self._marks = re.compile(f"([{re.escape(marks)}])") if marks else None
+        self._stand_in = stand_ins(vocabulary.characters)
+        self._other = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _pairs(_ranges(sorted(self._stand_in)))) + "]") if self._stand_in else None
         self._special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self._reset()
 
@@ -129,9 +205,27 @@ class PairIndexEncoder:
         acts across the line feeds, which no piece has.
         """
         text = "\n".join(pieces) + "\n"
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self._pattern.findall(text.lower())
+        if text.isascii():
+            return self._pattern.findall(text.lower())
+        text = self._lowered(self._composed(text).replace("Σ", "σ"))
+        if self._other is None or not self._other.search(text):
+            return self._pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self._pattern.finditer(text.translate(self._stand_in))]
+
+    def _composed(self, text: str) -> str:
+        """NFC, in which marks that the library doesn't know stay where they are and part what is around them."""
+        if self._marks is None or not self._marks.search(text):
+            return unicodedata.normalize("NFC", text)
+        return "".join(unicodedata.normalize("NFC", part) for part in self._marks.split(text))
+
+    def _lowered(self, text: str) -> str:
+        if self._lowered_apart is None or not self._lowered_apart.search(text):
+            return text.lower()
+        out, at = [], 0
+        for m in self._lowered_apart.finditer(text):
+            out += [text[at : m.start()].lower(), self._lower[ord(m[0])]]
+            at = m.end()
+        return "".join(out) + text[at:].lower()
 
     # -- words to ids --
 
