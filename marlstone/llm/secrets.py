@@ -28,10 +28,11 @@ HEX = "[0-9a-f]{24,}"  # as [0-9a-f]+ of 24 and more
 KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGNED = 6
 
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
-#: Nats a character by which a token must look random rather than ordinary.
-THRESHOLD = 0.35
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-"
+#: What is scored: runs of 20 characters, or of 16 with a digit among the first ones; a dot ends none.
+TOKEN = "(?:(?=[A-Za-z+/_=.-]{0,63}[0-9])[A-Za-z0-9+/_=.-]{15,}|[A-Za-z0-9+/_=.-]{19,})[A-Za-z0-9+/_=-]"
+#: Nats a character by which a token must look random rather than ordinary, and how much more for each character under 20.
+THRESHOLD, SHORT, FOR_SHORT = 0.35, 20, 0.1
 
 # Words that identifiers are made of, for the ordinary samples.
 IDENTIFIER_WORDS = (
@@ -69,7 +70,7 @@ def labelled_samples(spark: SparkSession, rows: int = 3000) -> DataFrame:
     n = spark.range(rows)
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")).cast("binary"), 256)
     sixty_four = F.base64(F.unhex(digest))
-    kinds = F.array(F.upper(F.substring(digest, 5, 40)), F.translate(F.substring(sixty_four, 1, 43), "+/", "-_"), F.lower(F.substring(F.regexp_replace(sixty_four, "[^A-Za-z0-9]", ""), 1, 32)), F.substring(digest, 1, 40), F.substring(sixty_four, 1, 43), F.substring(F.regexp_replace(sixty_four, "[^A-Za-z0-9]", ""), 1, 36), F.concat(F.lit("AKIA"), F.substring(F.upper(F.regexp_replace(sixty_four, "[^A-Za-z0-9]", "")), 1, 16)))
+    kinds = F.array(F.upper(F.substring(digest, 5, 40)), F.translate(F.substring(sixty_four, 1, 43), "+/", "-_"), F.lower(F.substring(F.regexp_replace(sixty_four, "[^A-Za-z0-9]", ""), 1, 32)), F.substring(digest, 1, 40), F.substring(sixty_four, 1, 43), F.substring(F.regexp_replace(sixty_four, "[^A-Za-z0-9]", ""), 1, 36), F.concat(F.lit("AKIA"), F.substring(F.upper(F.regexp_replace(sixty_four, "[^A-Za-z0-9]", "")), 1, 16)), F.concat_ws(".", *[F.substring(F.translate(sixty_four, "+/", "-_"), a, n) for a, n in ((1, 10), (11, 14), (25, 18))]))
     random = n.select(F.explode(kinds).alias("token"), F.lit(True).alias("random"))
     words = constant(IDENTIFIER_WORDS, "string")
     word = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(IDENTIFIER_WORDS))) + 1).cast("int"))
@@ -85,6 +86,9 @@ def labelled_samples(spark: SparkSession, rows: int = 3000) -> DataFrame:
         F.concat(F.lit("/"), F.concat_ws("/", four[0], year, day, F.concat_ws("-", *four[1:]))), F.concat(F.concat_ws("/", *four[:3]), F.lit("_v"), number, F.lit("/")),
         F.concat_ws("-", F.lit("report"), year, day, four[0]), F.concat(F.lit("id="), long_number), long_number, F.concat(four[0], F.repeat(F.lit("="), 24)), F.repeat(F.element_at(F.array(*map(F.lit, "=-_+/axX0")), (F.pmod(F.col("id"), F.lit(9)) + 1).cast("int")), (F.pmod(F.col("id"), F.lit(23)) + 20).cast("int")),
         long_word, F.initcap(long_word), F.upper(long_word),
+        F.concat_ws(".", *four), F.concat(four[0], number, F.lit("."), four[1], F.lit(".example.com")), F.concat(F.concat_ws("_", *four[:3]), F.lit(".py")),
+        F.concat(F.concat_ws("-", *four[:2]), F.lit("-1."), number, F.lit(".0.tar")), F.concat(F.substring(long_number, 1, 9), F.lit("."), F.substring(long_number, 10, 9)),
+        F.concat_ws(".", *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(256)).cast("string") for k in range(8)]), F.concat(long_word, F.lit("."), F.initcap(long_word)),
     )
     return random.unionByName(n.select(F.explode(shapes).alias("token"), F.lit(False).alias("random")))
 
@@ -128,6 +132,11 @@ def randomness(token: Column, model: PairModel) -> Column:
     return let(codes, mean)
 
 
+def least_randomness(token: Column, threshold: float = THRESHOLD) -> Column:
+    """What a token's randomness must be above: more for short ones, whose means vary more."""
+    return F.lit(threshold) + FOR_SHORT * F.greatest(F.lit(SHORT) - F.length(token), F.lit(0))
+
+
 SPAN = "struct<start:int,end:int,kind:string,token:string>"
 
 
@@ -190,7 +199,7 @@ def found_spans(text: Column, model: PairModel, threshold: float = THRESHOLD) ->
 
     def with_added(plain: Column) -> Column:
         rest = replaced(text, plain, lambda start, end, first: F.repeat(F.lit(" "), end - start))
-        added = let(rest, lambda r: F.filter(spans_of(r, TOKEN, "random"), lambda s: randomness(s["token"], model) > threshold))
+        added = let(rest, lambda r: F.filter(spans_of(r, TOKEN, "random"), lambda s: randomness(s["token"], model) > least_randomness(s["token"], threshold)))
         return F.struct(plain.alias("base"), added.alias("added"))
 
     return let(base, with_added)
