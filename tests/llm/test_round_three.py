@@ -9,8 +9,9 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from marlstone.llm import infill, preference, queries, ranking
+from marlstone.llm import bpe, htmltext, infill, preference, queries, ranking, secrets, toxicity
 from marlstone.session import read_table
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -188,3 +189,120 @@ def test_quality_ranking_of_odd_rows(spark):
     again = preference.score_quality(docs, preference.fit_on(docs, labels)).collect()
     assert [x.score for x in again] == [x.score for x in got]
     assert preference.score_quality(docs.limit(0), preference.fit_on(docs, labels.limit(0))).count() == 0
+
+
+def sample_of(texts, labels):
+    sample = toxicity.Sample()
+    for text, label in zip(texts, labels):
+        sample.add(text, label)
+    return sample
+
+
+def test_the_linear_part_of_toxicity_and_its_transpose(monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_TEXTS", 2)
+    texts = ["you nitwit of a gardener", "a gardener of houses", "", None, "houses houses houses a", "nitwits you know"] * 2
+    sample = sample_of(texts, [1, 0, 0, 0, 0, 1] * 2)
+    shares = toxicity.Shares(sample)
+    # plainly: the share of each n-gram in each text, in units of its spread
+    words = [[toxicity.normal_word(w) for w in (t or "").split()] for t in texts]
+    dense = np.zeros((len(texts), toxicity.BUCKETS))
+    for i, found in enumerate(words):
+        for w in found:
+            buckets, _ = toxicity.subwords([w])
+            for b in buckets:
+                dense[i, b] += 1 / len(buckets) / (len(found) + toxicity.PADDING)
+    held = np.flatnonzero(((dense > 0).sum(0) >= 2) & (dense.std(0) > 1e-12))
+    assert shares.used.tolist() == held.tolist()
+    linear = dense[:, held] / dense[:, held].std(0)
+    rng = np.random.default_rng(0)
+    v, u = rng.normal(size=len(held)), rng.normal(size=len(texts))
+    assert np.allclose(shares.margins(v), linear @ v, atol=1e-4) and np.allclose(shares.back(u), linear.T @ u, atol=1e-4)
+
+
+def test_vectors_are_shortened():
+    got = toxicity.shortened(np.array([[3.0, 4.0], [0.3, 0.4], [0.0, 0.0]]), 1.0)
+    assert np.allclose(got, [[2.4, 3.2], [0, 0], [0, 0]])
+
+
+def test_training_lowers_its_loss_and_finds_the_words(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{'abcdefgh'[i % 8]}{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, 40)) + (" rotter" * (k % 2) + " rotten" * (k % 2)) for k in range(400)]
+    model = toxicity.fit(texts, [k % 2 for k in range(400)])
+    scores = toxicity.WordMargins(model).scores([" ".join(words[:40]), " ".join(words[:40]) + " rotters rotter", " ".join(words[5:45]) + " roten rotten"])
+    assert scores[0] < 0.5 < min(scores[1:])
+    assert (model.margins != 0).sum() < 60  # the other words' n-grams say nothing
+
+
+def test_a_long_text_leaves_room_for_others(spark):
+    docs = spark.createDataFrame([(i, ("x" * 1199 + " ") if i == 3 else f"you {'nitwit' if i % 2 else 'gardener'} number") for i in range(1, 41)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    for long_first in (1100, 1000):
+        model = toxicity.fit_on(docs, labels, chars=long_first)
+        assert (model.margins != 0).any(), "the texts that fit are taken"
+
+
+def test_every_code_point_is_encoded_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    encoder = bpe.PairIndexEncoder(bpe.Vocabulary.read(queries.tokenizer_path()))
+    r = random.Random(3)
+    every = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    characters = encoder.v.characters
+    odd = list(encoder._stand_in) + [ord(x) for x in characters.marks] * 100 + list(characters.lower) * 100 + [0x301, 0x338, 0x345, 0x334, 0x1161, 0x11A8, 0x1100, 0xAC00] * 500
+    texts = [f"a{chr(c)}b" for c in every if c < 0x20000 or c % 9 == 0] + [chr(c) for c in every if c < 0x20000 or c % 9 == 1]
+    texts += ["".join(chr(r.choice(odd) if r.random() < 0.4 else r.randrange(0x3000)) for _ in range(r.randrange(1, 12))) for _ in range(20_000)]
+    for k in range(0, len(texts), 20_000):
+        part = texts[k : k + 20_000]
+        for text, got, want in zip(part, encoder.encode_batch(part), library.encode_batch(part, add_special_tokens=False)):
+            assert got.tolist() == want.ids, [hex(ord(c)) for c in text]
+
+
+LONG = "This is a paragraph of the article, with commas, and enough words to count as one of its parts, really. " * 4
+
+
+@pytest.mark.parametrize("name", "notice notices notification alert replies reply discussion comments cookie advert newsletter signup".split())
+@pytest.mark.parametrize("extra", ["short", LONG])
+def test_notices_and_comments_go_at_any_length(name, extra):
+    page = f"<article><h1>T</h1><p>{LONG}</p><div class='{name}'><p>{extra}</p></div><section id='{name}'>{extra}</section><p>End.</p></article>"
+    assert htmltext.main_text(page) == f"T\n{LONG.strip()}\nEnd."
+
+
+def test_short_articles_stay_and_hidden_elements_go():
+    page = f"<article><p>{LONG}</article><article><p>A short one, indeed.</article><article><a href=x>Linked teaser</a></article>"
+    assert htmltext.main_text(page) == f"{LONG.strip()}\nA short one, indeed."
+    page = f"<article><p>{LONG}<p style='color:red; display : none'>gone<div style='visibility:hidden'><p>gone</div><p style='display:block'>here</article>"
+    assert htmltext.main_text(page) == f"{LONG.strip()}\nhere"
+
+
+def test_randomness_is_the_plain_mean(spark):
+    model = secrets.train(secrets.labelled_samples(spark, 300))
+    tokens = ["9fQ2xZp7LmT4vKs8RbW", "a", "", "internationalization", "aa.bb-cc/dd=ee+ff_", "0" * 40]
+    at = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    table = np.array(model.ratios).reshape(len(at), len(at))
+    plain = lambda t: float(np.mean([table[at[a], at[b]] for a, b in zip(t, t[1:])])) if len(t) > 1 else 0.0
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.randomness(F.col("t"), model).alias("r"), secrets.least_randomness(F.col("t")).alias("l")).collect()
+    for x in rows:
+        assert abs(x.r - plain(x.t)) < 1e-9
+        assert abs(x.l - (secrets.THRESHOLD + 0.1 * max(0, 20 - len(x.t)))) < 1e-9
+
+
+def test_short_and_dotted_keys_are_found(spark):
+    import base64
+
+    r = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(r.choice(letters) for _ in range(n)) for n in (17, 18, 19) for _ in range(60)]
+    keys = [k for k in keys if any(c.isdigit() for c in k)]
+    keys += [".".join(base64.urlsafe_b64encode(r.randbytes(n)).decode().rstrip("=") for n in (9, 15, 20)) for _ in range(60)]
+    plain = (
+        "192.168.100.200 user12.mail.example.com version-1.12.30.0 report_final_v2.docx 2024-01-31.backup.tar python3.13-config mean=12345.678901234 "
+        "www.example.org/index2.html abcdefgh.ijklmnop.qrst test_case_12_of_20 block12-section34-part5 1234567890123456 4736962573099581 end.Beginning.of3"
+    ).split()
+    model = secrets.train(secrets.labelled_samples(spark))
+    rows = [(i, f"Es steht {x} da.") for i, x in enumerate(keys + plain)]
+    found = {x.doc_id: [s.token for s in x.added] for x in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    hits = [i for i, k in enumerate(keys) if k in found[i]]
+    wrong = [x for i, x in enumerate(plain, len(keys)) if found[i]]
+    assert len(hits) > 0.9 * len(keys) and len(wrong) <= 1, (len(hits) / len(keys), wrong)
