@@ -2,7 +2,7 @@
 
 A word is the average of the vectors of its character n-grams (with marks at its ends) and of
 itself, a text the average of its words; two linear outputs and a softmax follow. The share of an n-gram in a
-text is taken in units of its spread over the sample, so rare ones count like frequent ones.
+text is taken in units of its root mean square over the sample, so rare ones count like frequent ones.
 Vectors and outputs are trained together, in numpy, in one task, from a sample of labelled rows that is
 bounded in rows and in characters, so the driver holds only the model. Training is by
 accelerated proximal gradient steps on the cross-entropy with a penalty on the length of each vector: the
@@ -153,21 +153,20 @@ class Shares:
     def __init__(self, sample: Sample):
         buckets, counts = sample.buckets()
         starts, n = np.cumsum(counts) - counts, len(sample.texts)
-        texts_with, total, squares = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS), np.zeros(BUCKETS)
+        texts_with, squares = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS)
         for at, weight in sample.texts:
             pick, owner = spread(at, starts, counts)
             share = np.bincount(buckets[pick], (weight / counts[at])[owner])
             some = np.flatnonzero(share)
             texts_with[some] += 1
-            total[some] += share[some]
             squares[some] += share[some] ** 2
-        spread_of = np.sqrt(np.maximum(squares / max(1, n) - (total / max(1, n)) ** 2, 0))
-        common = (texts_with >= LEAST_TEXTS) & (spread_of > 1e-12)
+        usual = np.sqrt(squares / max(1, n))
+        common = texts_with >= LEAST_TEXTS
         kept = common[buckets]
         word = np.repeat(np.arange(len(counts)), counts)[kept]
         self.used, column = np.unique(buckets[kept], return_inverse=True)
         self.column = column.astype(np.int32)
-        self.unit = 1 / spread_of[self.used]
+        self.unit = 1 / usual[self.used]
         self.part = (self.unit[self.column] / counts[word]).astype(np.float32)
         self.word = word.astype(np.int32)
         self.at = np.concatenate([at for at, _ in sample.texts])

@@ -203,7 +203,7 @@ def test_the_linear_part_of_toxicity_and_its_transpose(monkeypatch):
     texts = ["you nitwit of a gardener", "a gardener of houses", "", None, "houses houses houses a", "nitwits you know"] * 2
     sample = sample_of(texts, [1, 0, 0, 0, 0, 1] * 2)
     shares = toxicity.Shares(sample)
-    # plainly: the share of each n-gram in each text, in units of its spread
+    # plainly: the share of each n-gram in each text, in units of its root mean square
     words = [[toxicity.normal_word(w) for w in (t or "").split()] for t in texts]
     dense = np.zeros((len(texts), toxicity.BUCKETS))
     for i, found in enumerate(words):
@@ -211,9 +211,9 @@ def test_the_linear_part_of_toxicity_and_its_transpose(monkeypatch):
             buckets, _ = toxicity.subwords([w])
             for b in buckets:
                 dense[i, b] += 1 / len(buckets) / (len(found) + toxicity.PADDING)
-    held = np.flatnonzero(((dense > 0).sum(0) >= 2) & (dense.std(0) > 1e-12))
+    held = np.flatnonzero((dense > 0).sum(0) >= 2)
     assert shares.used.tolist() == held.tolist()
-    linear = dense[:, held] / dense[:, held].std(0)
+    linear = dense[:, held] / np.sqrt((dense[:, held] ** 2).mean(0))
     rng = np.random.default_rng(0)
     v, u = rng.normal(size=len(held)), rng.normal(size=len(texts))
     assert np.allclose(shares.margins(v), linear @ v, atol=1e-4) and np.allclose(shares.back(u), linear.T @ u, atol=1e-4)
