@@ -28,6 +28,17 @@ def knn_indexed(spark, d):
     return rows.withColumn("score", F.round("score", 6))
 
 
+_INDEXES: dict[tuple[str, str], P.TextIndex] = {}
+
+
+def text_index(spark, d) -> P.TextIndex:
+    """The index of the documents of a folder, written when it is first asked for."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _INDEXES:
+        _INDEXES[at] = P.text_index(docs(spark, d))
+    return _INDEXES[at]
+
+
 _HAS = "contains(' ' || array_to_string(w, ' ') || ' ', ' {} ')"
 _SAID = f"with t as (select doc_id, {TOKENS} as w from documents)"
 
@@ -35,7 +46,7 @@ _SAID = f"with t as (select doc_id, {TOKENS} as w from documents)"
 @query(f"{_SAID} select 'en' as wanted, doc_id from t where {_HAS.format('of the')} union all select 'license', doc_id from t where {_HAS.format('under the apache license version 2 0')}")
 def phrase_indexed(spark, d):
     """Phrases from positions: one of frequent words, one long."""
-    made = P.text_index(docs(spark, d))
+    made = text_index(spark, d)
     found = [made.phrase(spark, words).select(F.lit(name).alias("wanted"), "doc_id") for name, words in (("en", "of the"), ("license", "under the Apache License, Version 2.0"))]
     return found[0].unionByName(found[1])
 
@@ -43,7 +54,7 @@ def phrase_indexed(spark, d):
 @query("select pattern, doc_id from (" + " union all ".join(f"select '{p}' as pattern, doc_id from documents where len(list_filter({TOKENS}, lambda x: regexp_full_match(x, '{r}'))) > 0" for p, r in (("licen*e?", "licen.*e."), ("*tion", ".*tion"), ("?a*", ".a.*"))) + ")")
 def wildcard_indexed(spark, d):
     """Patterns by the trigrams of the vocabulary; the last has none and looks at all words, but at no text."""
-    made = P.text_index(docs(spark, d))
+    made = text_index(spark, d)
     found = [made.wildcard(spark, p).select(F.lit(p).alias("pattern"), "doc_id") for p in ("licen*e?", "*tion", "?a*")]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
@@ -51,27 +62,27 @@ def wildcard_indexed(spark, d):
 @query(f"select doc_id from documents where len(list_filter({TOKENS}, lambda x: regexp_full_match(x, '[0-9]{{4,}}') or regexp_full_match(x, 'pass[a-z]+d'))) > 0")
 def regexp_indexed(spark, d):
     """Regular expressions on whole words."""
-    made = P.text_index(docs(spark, d))
+    made = text_index(spark, d)
     return made.regexp(spark, "[0-9]{4,}").unionByName(made.regexp(spark, "pass[a-z]+d")).distinct()
 
 
 @query(f"select word, doc_id from (" + " union all ".join(f"select '{w}' as word, doc_id from documents where len(list_filter({TOKENS}, lambda t: levenshtein(t, '{w}') <= {n})) > 0" for w, n in (("licence", 2), ("trach", 1), ("as", 0))) + ")")
 def fuzzy_indexed(spark, d):
     """Words within some edits from a deletion neighbourhood of the vocabulary."""
-    made = P.text_index(docs(spark, d))
+    made = text_index(spark, d)
     found = [made.fuzzy(spark, w).select(F.lit(w).alias("word"), "doc_id") for w in ("licence", "trach", "as")]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query(f"select token, levenshtein(token, 'version') as distance from (select distinct unnest({TOKENS}) as token from documents) where levenshtein(token, 'version') <= 2")
 def words_near(spark, d):
-    return P.text_index(docs(spark, d)).near_tokens(spark, "Version")
+    return text_index(spark, d).near_tokens(spark, "Version")
 
 
 @query(f"{_SAID} select doc_id from t where ({_HAS.format('license')} and not {_HAS.format('apache')}) or ({_HAS.format('trash')} and {_HAS.format('of the')})")
 def bool_indexed(spark, d):
     """Words, phrases, AND, OR, NOT and parentheses as joins of keys."""
-    return P.text_index(docs(spark, d)).boolean(spark, '(license AND NOT apache) OR trash "of the"')
+    return text_index(spark, d).boolean(spark, '(license AND NOT apache) OR trash "of the"')
 
 
 @query()

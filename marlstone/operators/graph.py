@@ -10,15 +10,17 @@ from marlstone.plans.stash import Stash
 
 
 def _distances(edges: DataFrame, starts: DataFrame, hops: int, stash: Stash, barred: DataFrame | None = None) -> DataFrame:
-    """(at, far): how many edges (_s, _d) a node is from the starts (at), one row a node, each level written; barred nodes lead on only as starts."""
-    seen = front = stash.put(starts.select("at", F.lit(0).alias("far")))
+    """(at, far): how many edges (_s, _d) a node is from the starts (at), one row a node; barred nodes lead on only as starts.
+
+    Levels that others are made from are written.
+    """
+    seen = front = starts.select("at", F.lit(0).alias("far"))
     for far in range(1, hops + 1):
         on = front if barred is None or far == 1 else front.join(barred, "at", "left_anti")
         found = edges.join(on.select(F.col("at").alias("_s")), "_s", "left_semi").select(F.col("_d").alias("at")).distinct()
-        front = stash.put(found.join(seen, "at", "left_anti").withColumn("far", F.lit(far)))
+        front = found.join(seen, "at", "left_anti").withColumn("far", F.lit(far))
+        front = stash.put(front) if far < hops else front
         seen = seen.unionByName(front)
-        if front.isEmpty():
-            break
     return seen
 
 
@@ -32,24 +34,29 @@ def paths_between(edges: DataFrame, sources: DataFrame, targets: DataFrame, hops
     stash = Stash(edges.sparkSession)
     e = edges if kinds is None else edges.where(F.col("kind").isin(kinds))
     e = stash.put(e.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("weight").alias("_w")).where("_s != _d"))
-    begin = stash.put(sources.select(F.col("id").alias("at")).distinct())
-    ends = stash.put(targets.select(F.col("id").alias("at")).distinct())
+    begin = sources.select(F.col("id").alias("at")).distinct()
+    ends = targets.select(F.col("id").alias("at")).distinct()
     before = _distances(e, begin, hops - 1, stash, ends)
     after = _distances(e.select(F.col("_d").alias("_s"), F.col("_s").alias("_d")), ends, hops - 1, stash)
     near = e.join(before.withColumnRenamed("at", "_s"), "_s").withColumnRenamed("far", "_f").join(after.withColumnRenamed("at", "_d"), "_d")
-    near = stash.put(near.withColumn("_l", F.col("_f") + 1 + F.col("far")).where(F.col("_l") <= hops).select("_s", "_d", "_w", "_f", "_l"))
-    if only_shortest and begin.join(ends, "at", "left_semi").isEmpty():  # else the shortest walk may come back to its source
-        near = near.join(F.broadcast(near.agg(F.min("_l").alias("_l"))), "_l")  # one row
-    out = near.join(begin.select(F.col("at").alias("_s")), "_s", "left_semi")
-    front = stash.put(out.select(F.array("_s", "_d").alias("path"), F.col("_w").alias("weight"), F.col("_d").alias("at")))
+    near = stash.put(near.withColumn("_l", F.col("_f") + 1 + F.col("far")).where(F.col("_l") <= hops).select("_s", "_d", "_w", "_l"))
+    if only_shortest:  # where sources are targets, the shortest walk may come back to its source and be no path
+        both = begin.join(ends, "at", "left_semi").agg(F.count("*").alias("_both"))
+        most = near.agg(F.min("_l").alias("_m")).join(F.broadcast(both)).select(F.when(F.col("_both") > 0, hops).otherwise(F.col("_m")).alias("_most"))
+        near = near.join(F.broadcast(most), F.col("_l") <= F.col("_most")).drop("_most")  # one row
+    front = near.join(begin.select(F.col("at").alias("_s")), "_s", "left_semi")
+    front = front.select(F.array("_s", "_d").alias("path"), F.col("_w").alias("weight"), F.col("_d").alias("at"))
     found = front.join(ends, "at", "left_semi").select("path", "weight")
-    for _ in range(hops - 1):
-        if front.isEmpty() or (only_shortest and not found.isEmpty()):
-            break
+    for n in range(2, hops + 1):
         front = front.join(ends, "at", "left_anti").join(near, F.col("at") == F.col("_s")).where(~F.array_contains("path", F.col("_d")))
-        front = stash.put(front.select(F.concat("path", F.array("_d")).alias("path"), (F.col("weight") + F.col("_w")).alias("weight"), F.col("_d").alias("at")))
+        front = front.select(F.concat("path", F.array("_d")).alias("path"), (F.col("weight") + F.col("_w")).alias("weight"), F.col("_d").alias("at"))
+        front = stash.put(front) if n < hops else front
         found = found.unionByName(front.join(ends, "at", "left_semi").select("path", "weight"))
-    return found.select("path", (F.size("path") - 1).alias("hops"), "weight")
+    found = found.select("path", (F.size("path") - 1).alias("hops"), "weight")
+    if not only_shortest:
+        return found
+    found = stash.put(found)
+    return found.join(F.broadcast(found.agg(F.min("hops").alias("_m"))), F.col("hops") == F.col("_m")).drop("_m")  # one row
 
 
 def simple_paths(edges: DataFrame, source, target, hops: int, kinds: list[str] | None = None, only_shortest: bool = False) -> DataFrame:
@@ -133,12 +140,11 @@ def _climbed(tree: DataFrame, stash: Stash) -> tuple[list[DataFrame], DataFrame]
     and how many levels up to 2 ** k there are above it. Their number is the logarithm of the depth.
     """
     above = tree.where("id is not null and parent_id is not null and id != parent_id").select("id", F.col("parent_id").alias("up")).distinct()
-    above = stash.put(above)
-    several = above.groupBy("id").count().where("count > 1")
-    if not several.isEmpty():
-        return [above.where("false").withColumn("steps", F.lit(1).cast("long"))], above.select("id").distinct()
-    size = above.count()
-    jumps = [stash.put(above.withColumn("steps", F.lit(1).cast("long")))]
+    above = stash.put(above.withColumn("steps", F.lit(1).cast("long")))
+    size, apart = above.agg(F.count("*"), F.count_distinct("id")).first()
+    if size != apart:
+        return [above.where("false")], above.select("id").distinct()
+    jumps = [above]
     while 2 ** (len(jumps) - 1) <= size:
         now = jumps[-1]
         going = now.where("up is not null")
@@ -250,13 +256,24 @@ def entity_detail(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame, hops: int = 3) -> DataFrame:
-    """Directed cycles up to a length, each once, from its least node."""
-    e = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).where("_s != _d").distinct()
-    front = e.where("_s < _d").select(F.array("_s", "_d").alias("path"), F.col("_s").alias("first"), F.col("_d").alias("at"))
+    """Directed cycles up to a length, each once, from its least node.
+
+    They are looked for from the node with the fewest edges (of equals the least): a hub is only reached
+    from smaller nodes, so its edges don't meet each other.
+    """
+    stash = Stash(edges.sparkSession)
+    e = stash.put(edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).where("_s != _d").distinct())
+    n = degrees(e.select(F.col("_s").alias("src"), F.col("_d").alias("dst"))).select("node", F.struct((F.col("fan_out") + F.col("fan_in")).alias("n"), "node").alias("rank"))
+    ranked = e.join(n.withColumnsRenamed({"node": "_s", "rank": "_a"}), "_s").join(n.withColumnsRenamed({"node": "_d", "rank": "_b"}), "_d")
+    ranked = stash.put(ranked.select("_s", "_d", "_a", "_b"))
+    front = ranked.where("_a < _b").select(F.array("_s", "_d").alias("path"), F.col("_a").alias("least"), F.col("_s").alias("first"), F.col("_d").alias("at"))
     out = None
-    for _ in range(hops - 1):
+    for k in range(hops - 1):
         closed = front.join(e, (F.col("at") == F.col("_s")) & (F.col("first") == F.col("_d"))).select("path")
         out = closed if out is None else out.unionByName(closed)
-        front = front.join(e, F.col("at") == F.col("_s")).where((F.col("_d") > F.col("first")) & ~F.array_contains("path", F.col("_d")))
-        front = front.select(F.concat("path", F.array("_d")).alias("path"), "first", F.col("_d").alias("at"))
-    return out.select("path", F.size("path").alias("length"))
+        if k + 2 < hops:
+            front = front.join(ranked, F.col("at") == F.col("_s")).where((F.col("_b") > F.col("least")) & ~F.array_contains("path", F.col("_d")))
+            front = stash.put(front.select(F.concat("path", F.array("_d")).alias("path"), "least", "first", F.col("_d").alias("at")))
+    start = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", start, F.size("path")), F.slice("path", F.lit(1), start - 1))
+    return out.select(turned.alias("path"), F.size("path").alias("length"))
