@@ -37,8 +37,8 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
 
 
 def read_rows(spark: SparkSession, path: str, sep: str = ",", header: bool = True) -> DataFrame:
-    """A delimited file with all values as strings; blank rows go."""
-    rows = spark.read.csv(path, sep=sep, header=header, inferSchema=False, multiLine=False)
+    """A delimited file with all values as strings, quotes in quoted cells doubled; blank rows go."""
+    rows = spark.read.csv(path, sep=sep, header=header, inferSchema=False, multiLine=False, escape='"')
     return rows.na.drop("all")
 
 
