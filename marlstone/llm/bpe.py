@@ -17,6 +17,7 @@ import heapq
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.texts import map_rows
+from marlstone.llm.texts import give_back, map_rows
 
 #: Bytes of text that are encoded at a time: the pair index takes a multiple of them.
 SLICE_BYTES = 2_500_000
@@ -48,8 +49,16 @@ class Characters:
     marks: str  # that Python puts in order and the library doesn't
 
 
-#: Code points but the line feed, which parts them when the library is asked.
-_EVERY = [c for c in range(0x110000) if c != 10 and not 0xD800 <= c <= 0xDFFF]
+#: Code points that the library is asked about at a time, so that little memory is taken.
+_BLOCK = 1 << 13
+
+
+def _blocks() -> Iterator[list[int]]:
+    """All code points but surrogates and the line feed, which parts them when the library is asked."""
+    for a in range(0, 0x110000, _BLOCK):
+        block = [c for c in range(a, a + _BLOCK) if c != 10 and not 0xD800 <= c <= 0xDFFF]
+        if block:
+            yield block
 
 
 def _ranges(found: list[int]) -> tuple[int, ...]:
@@ -64,19 +73,25 @@ def library_characters() -> Characters:
     """Asks the library about every code point, in some seconds and once a process."""
     from tokenizers import Regex, normalizers, pre_tokenizers
 
-    text, listed = "".join(map(chr, _EVERY)), "\n".join(map(chr, _EVERY))
-
-    def of_class(name: str) -> tuple[int, ...]:
-        pieces = pre_tokenizers.Split(Regex(name + "+"), "removed", invert=True).pre_tokenize_str(text)
-        return _ranges([ord(c) for piece, _ in pieces for c in piece])
-
-    lowered = normalizers.Lowercase().normalize_str(listed).split("\n")
-    lower = {c: x for c, x in zip(_EVERY, lowered) if chr(c).lower() != x}
-    marks = set()
-    for before, after in (("a", "\u0301"), ("", "\u0338"), ("a\u0345", ""), ("a", "\u0334\u0345")):  # marks that go after or before others
-        composed = normalizers.NFC().normalize_str("\n".join(f"{before}{chr(c)}{after}" for c in _EVERY)).split("\n")
-        marks |= {c for c, x in zip(_EVERY, composed) if unicodedata.normalize("NFC", f"{before}{chr(c)}{after}") != x}
-    return Characters(of_class(r"\p{L}"), of_class(r"\p{N}"), lower, "".join(map(chr, sorted(marks))))
+    letters, numbers, lower, marks = [], [], {}, []
+    kinds = [(pre_tokenizers.Split(Regex(name), "removed", invert=True), found) for name, found in ((r"\p{L}+", letters), (r"\p{N}+", numbers))]
+    down, composed = normalizers.Lowercase(), normalizers.NFC()
+    contexts = (("a", "\u0301"), ("", "\u0338"), ("a\u0345", ""), ("a", "\u0334\u0345"))  # of marks that go after or before others
+    for block in _blocks():
+        text = "".join(map(chr, block))
+        for split, found in kinds:
+            found += [ord(c) for piece, _ in split.pre_tokenize_str(text) for c in piece]
+        lowered = down.normalize_str("\n".join(text)).split("\n")
+        lower |= {c: x for c, x in zip(block, lowered) if chr(c).lower() != x}
+        odd = set()
+        for before, after in contexts:
+            made = composed.normalize_str("\n".join(f"{before}{c}{after}" for c in text)).split("\n")
+            odd |= {c for c, x in zip(text, made) if unicodedata.normalize("NFC", f"{before}{c}{after}") != x}
+        marks += sorted(odd)
+    out = Characters(_ranges(letters), _ranges(numbers), lower, "".join(marks))
+    del letters, numbers, kinds
+    give_back()
+    return out
 
 
 def byte_alphabet() -> list[str]:
@@ -150,12 +165,12 @@ def stand_ins(characters: Characters) -> dict[int, int]:
 
     Words are cut in the text with stand-ins, which is as long, and taken from the text itself.
     """
-    text = "".join(map(chr, _EVERY))
     kind = np.zeros(0x110000, np.int8)
-    for number, name in ((1, r"\p{L}+"), (2, r"\p{N}+")):
-        for m in regex.finditer(name, text):
-            kind[ord(m[0][0]) : ord(m[0][-1]) + 1] = number
-    kind[0xD800:0xE000] = 0
+    for block in _blocks():
+        text = "".join(map(chr, block))
+        for number, name in ((1, r"\p{L}+"), (2, r"\p{N}+")):
+            for m in regex.finditer(name, text):
+                kind[[ord(c) for c in m[0]]] = number
     known = np.zeros(0x110000, np.int8)
     for number, ranges in ((1, characters.letters), (2, characters.numbers)):
         for a, b in _pairs(ranges):
