@@ -383,7 +383,7 @@ def sessions_in_pieces(spark, d):
     return series.sessions(events(spark, d), "ts", 1800, "user_id", seconds=6 * 3600)
 
 
-_ARRIVED = "(select 'r' || user_id as uid, cast(epoch(ts) as bigint) // 3600 as version, case when event_type = 'error' then 'DELETED' when event_type = 'signup' then 'BOOKMARK' else 'MODIFIED' end as kind, event_type as state, event_id as arrived from events)"
+_ARRIVED = "(select 'r' || user_id as uid, epoch_us(ts) // 3600000000 as version, case when event_type = 'error' then 'DELETED' when event_type = 'signup' then 'BOOKMARK' else 'MODIFIED' end as kind, event_type as state, event_id as arrived from events)"
 
 
 @query(f"""with a as (select *, max(version) over (partition by uid order by arrived rows between unbounded preceding and 1 preceding) as seen from {_ARRIVED}), k as (select *, lag(kind) over o as k, lag(state) over o as s from a where (seen is null or version > seen) and kind <> 'BOOKMARK' window o as (partition by uid order by arrived)),
