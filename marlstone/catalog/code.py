@@ -175,7 +175,8 @@ def imports_matched(spark, d):
 def symbol_references(spark, d):
     """Calls of one file's helper: here of every file, as names are not told apart by import."""
     files = code_files(spark, d)
-    return K.references(K.symbols(files), K.calls(files), "helper", "pkg1/views/m1.py")
+    own = "pkg1/views/m1.py"
+    return K.references(K.symbols(files.where(F.col("path") == own)), K.calls(files), "helper", own)
 
 
 

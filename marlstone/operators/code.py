@@ -11,66 +11,165 @@ import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.classify import is_minified
 from marlstone.operators import lexer
+from marlstone.plans.stash import Stash
 
 SYMBOLS = "kind string, name string, qualified string, line int, end_line int, signature string, doc string, complexity int, methods int"
 IMPORTS = "module string, name string, line int"
 CALLS = "caller string, callee string, line int"
 INHERITS = "class string, base string, line int"
 
-_BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.With, ast.AsyncWith, ast.Assert, ast.comprehension)
+_DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+_ONE = frozenset((ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.With, ast.AsyncWith, ast.Assert, ast.comprehension))
+_LEAVES = frozenset((ast.Name, ast.Constant, ast.Load, ast.Store, ast.Del, ast.Pass, ast.Break, ast.Continue, ast.alias, ast.Import, ast.ImportFrom, ast.Global, ast.Nonlocal))
+#: Fields that hold statements, in the order of the grammar.
+_BLOCKS = ("body", "handlers", "cases", "orelse", "finalbody")
+#: Characters of a file above which it is parsed in pieces.
+PIECE = 1 << 18
+_CUT = re.compile(r"^(?!(?:else|elif|except|finally|case)\b)[^\W\d]|^@", re.M)
 
 
-def complexity(node: ast.AST) -> int:
-    """One and a branch each: conditions, loops, handlers, contexts, further operands of and / or, cases."""
-    n = 1
-    for x in ast.walk(node):
-        n += isinstance(x, _BRANCHES)
-        n += len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0
-        n += len(x.cases) if isinstance(x, ast.Match) else 0
+def pieces(code: str, size: int = PIECE) -> Iterator[tuple[ast.Module, int]]:
+    """The parts of a file of which none has many more characters than ``size``, and the lines before each.
+
+    A part ends before a line that begins a statement; where it can't be parsed alone (a text or a bracket
+    goes on, say), it is taken with as much again of what follows. What can't be parsed to the end raises SyntaxError.
+    """
+    at, line = 0, 0
+    while at < len(code) or not at:
+        room = size
+        while True:
+            cut = _CUT.search(code, at + room) if at + room < len(code) else None
+            end = cut.start() if cut else len(code)
+            try:
+                tree = ast.parse(code[at:end] if at or cut else code)
+                break
+            except SyntaxError:
+                if end == len(code):
+                    raise
+            room *= 2
+        yield tree, line
+        line += code.count("\n", at, end)
+        at = end
+        if not at:
+            return
+
+
+def _children(node: ast.AST) -> Iterator[ast.AST]:
+    """As ``ast.iter_child_nodes``, without names, constants and other nodes that have no children."""
+    for name in node._fields:
+        x = getattr(node, name, None)
+        if isinstance(x, list):
+            for y in x:
+                if isinstance(y, ast.AST) and type(y) not in _LEAVES:
+                    yield y
+        elif isinstance(x, ast.AST) and type(x) not in _LEAVES:
+            yield x
+
+
+def _weight(node: ast.AST) -> int:
+    kind = type(node)
+    if kind in _ONE:
+        return 1
+    if kind is ast.BoolOp:
+        return len(node.values) - 1
+    return len(node.cases) if kind is ast.Match else 0
+
+
+def complexity(node: ast.AST, known: dict[ast.AST, int] | None = None) -> int:
+    """One and a branch each: conditions, loops, handlers, contexts, further operands of and / or, cases.
+
+    ``known`` are the figures of definitions within, so that none is walked twice.
+    """
+    n, todo = 1, [node]
+    while todo:
+        x = todo.pop()
+        if known and x in known:
+            n += known[x] - 1
+            continue
+        n += _weight(x)
+        for name in x._fields:
+            y = getattr(x, name, None)
+            if y.__class__ is list:
+                todo += [z for z in y if isinstance(z, ast.AST) and type(z) not in _LEAVES]
+            elif isinstance(y, ast.AST) and type(y) not in _LEAVES:
+                todo.append(y)
     return n
 
 
+def statements(node: ast.AST) -> Iterator[ast.stmt]:
+    """All statements below a node, but not what stands within definitions: only statements hold statements."""
+    for name in _BLOCKS:
+        for x in getattr(node, name, ()):
+            yield x
+            if not isinstance(x, _DEFINITIONS):
+                yield from statements(x)
+
+
 def _walk(node: ast.AST, above: tuple[str, ...] = (), in_class: bool = False):
-    for x in ast.iter_child_nodes(node):
-        if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+    for x in statements(node):
+        if isinstance(x, _DEFINITIONS):
             yield x, above, in_class
             yield from _walk(x, (*above, x.name), isinstance(x, ast.ClassDef))
-        else:
-            yield from _walk(x, above, in_class)
 
 
 def _name(node: ast.AST) -> str:
+    if isinstance(node, ast.Name):
+        return node.id
     if isinstance(node, ast.Attribute):
         return f"{_name(node.value)}.{node.attr}".lstrip(".")
     if isinstance(node, ast.Subscript):
         return _name(node.value)
-    return node.id if isinstance(node, ast.Name) else ""
+    return ""
 
 
 def python_symbols(code: str) -> list[tuple]:
     out = []
-    for x, above, in_class in _walk(ast.parse(code)):
-        is_class = isinstance(x, ast.ClassDef)
-        methods = sum(isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)) for m in x.body) if is_class else 0
-        signature = f"class {x.name}" if is_class else f"{'async ' * isinstance(x, ast.AsyncFunctionDef)}def {x.name}({ast.unparse(x.args)})"
-        kind = "class" if is_class else "method" if in_class else "function"
-        out.append((kind, x.name, ".".join((*above, x.name)), x.lineno, x.end_lineno, signature, ast.get_docstring(x), complexity(x), methods))
+    for tree, line in pieces(code):
+        found = list(_walk(tree))
+        known: dict[ast.AST, int] = {}
+        for x, _, _ in reversed(found):  # the inner ones first
+            known[x] = complexity(x, known)
+        for x, above, in_class in found:
+            is_class = isinstance(x, ast.ClassDef)
+            methods = sum(isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)) for m in x.body) if is_class else 0
+            signature = f"class {x.name}" if is_class else f"{'async ' * isinstance(x, ast.AsyncFunctionDef)}def {x.name}({_arguments(x.args)})"
+            kind = "class" if is_class else "method" if in_class else "function"
+            out.append((kind, x.name, ".".join((*above, x.name)), x.lineno + line, x.end_lineno + line, signature, ast.get_docstring(x), known[x], methods))
     return out
 
 
+def _arguments(args: ast.arguments) -> str:
+    """As ``ast.unparse``, which is slow, writes them; plain names are joined here."""
+    plain = not (args.posonlyargs or args.vararg or args.kwonlyargs or args.kwarg or args.defaults)
+    if plain and all(a.annotation is None for a in args.args):
+        return ", ".join(a.arg for a in args.args)
+    return ast.unparse(args)
+
+
+def every_statement(code: str) -> Iterator[tuple[ast.stmt, int]]:
+    """Each statement of a file at any depth, with the lines before its piece."""
+    for tree, line in pieces(code):
+        todo = [tree]
+        while todo:
+            for x in statements(todo.pop()):
+                yield x, line
+                if isinstance(x, _DEFINITIONS):
+                    todo.append(x)
+
+
 def python_imports(code: str) -> list[tuple]:
     out = []
-    for x in ast.walk(ast.parse(code)):
+    for x, line in every_statement(code):
         if isinstance(x, ast.Import):
-            out += [(a.name, None, x.lineno) for a in x.names]
+            out += [(a.name, None, x.lineno + line) for a in x.names]
         elif isinstance(x, ast.ImportFrom):
-            out += [("." * x.level + (x.module or ""), a.name, x.lineno) for a in x.names]
+            out += [("." * x.level + (x.module or ""), a.name, x.lineno + line) for a in x.names]
     return sorted(out, key=lambda r: (r[2], r[0], r[1] or ""))
 
 
@@ -78,21 +177,25 @@ def python_calls(code: str) -> list[tuple]:
     """Calls by name from each function; those outside of any have the caller <module>."""
     out = []
 
-    def visit(node: ast.AST, caller: str) -> None:
-        for x in ast.iter_child_nodes(node):
-            if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                visit(x, x.name if caller == "<module>" else f"{caller}.{x.name}")
+    def visit(node: ast.AST, caller: str, line: int) -> None:
+        for x in _children(node):
+            if isinstance(x, _DEFINITIONS):
+                visit(x, x.name if caller == "<module>" else f"{caller}.{x.name}", line)
                 continue
-            if isinstance(x, ast.Call) and _name(x.func):
-                out.append((caller, _name(x.func), x.lineno))
-            visit(x, caller)
+            if isinstance(x, ast.Call) and (name := _name(x.func)):
+                out.append((caller, name, x.lineno + line))
+            visit(x, caller, line)
 
-    visit(ast.parse(code), "<module>")
+    for tree, line in pieces(code):
+        visit(tree, "<module>", line)
     return out
 
 
 def python_inherits(code: str) -> list[tuple]:
-    return [(".".join((*above, x.name)), _name(b), x.lineno) for x, above, _ in _walk(ast.parse(code)) if isinstance(x, ast.ClassDef) for b in x.bases if _name(b)]
+    out = []
+    for tree, line in pieces(code):
+        out += [(".".join((*above, x.name)), _name(b), x.lineno + line) for x, above, _ in _walk(tree) if isinstance(x, ast.ClassDef) for b in x.bases if _name(b)]
+    return out
 
 
 #: Declarations of languages without braces: (kind, pattern with the name in its last group).
@@ -123,23 +226,36 @@ def pattern_symbols(code: str, language: str) -> list[tuple]:
     return out
 
 
+#: Rows of a batch that ``parsed`` hands on.
+ROWS = 50_000
+
+
 def parsed(files: DataFrame, schema: str, parse: Callable[[str, str], list[tuple]]) -> DataFrame:
-    """(path, ...) rows of ``parse(content, language)`` of files (path, language, content); files that can't be parsed give none."""
-    names = ["path", *(c.split()[0] for c in schema.split(", "))]
-    numbers = {c.split()[0]: "Int32" for c in schema.split(", ") if c.endswith(" int")}
+    """(path, ...) rows of ``parse(content, language)`` of files (path, language, content); files that can't be parsed give none.
+
+    Files are dealt out by their paths first, as a small table can hold very many in one partition.
+    """
+    kinds = [("path", pa.string())] + [(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in schema.split(", ")]
+    out_schema = pa.schema(kinds)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], schema=out_schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for path, language, content in zip(frame["path"], frame["language"], frame["content"]):
+            for path, language, content in zip(*(b.column(c).to_pylist() for c in ("path", "language", "content"))):
                 try:
                     out += [(path, *r) for r in parse(content or "", language or "")]
                 except (SyntaxError, ValueError, RecursionError):
                     continue
+                while len(out) >= ROWS:
+                    yield batch(out[:ROWS])
+                    out = out[ROWS:]
             if out:
-                yield pd.DataFrame(out, columns=names).astype(numbers)
+                yield batch(out)
 
-    return files.select("path", "language", "content").mapInPandas(run, f"path string, {schema}")
+    return files.select("path", "language", "content").repartition("path").mapInArrow(run, f"path string, {schema}")
 
 
 def symbols(files: DataFrame) -> DataFrame:
@@ -192,6 +308,7 @@ def statistics(files: DataFrame, found: DataFrame) -> DataFrame:
 
 def smells(found: DataFrame, lines: int = 100, methods: int = 20, complex_: int = 20, very: int = 30) -> DataFrame:
     """(path, smell, severity, symbol, line): long functions, classes with many methods, files of high complexity with their worst symbol."""
+    found = Stash(found.sparkSession).put(found)  # else each of the three reads the files again
     function = F.col("kind").isin("function", "method")
     long = found.where(function & (F.col("end_line") - F.col("line") > lines)).select("path", F.lit("long_function").alias("smell"), F.lit("medium").alias("severity"), F.col("name").alias("symbol"), "line")
     wide = found.where((F.col("kind") == "class") & (F.col("methods") > methods)).select("path", F.lit("complex_class").alias("smell"), F.lit("medium").alias("severity"), F.col("name").alias("symbol"), "line")

@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators.code import _normal, parsed
+from marlstone.operators.code import _normal, every_statement, parsed
 from marlstone.plans.stash import Stash
 
 BINDINGS = "local string, module string, name string"
@@ -30,7 +30,7 @@ _REQUIRE = re.compile(r"\b(?:const|let|var)\s+(\{[^}]*\}|[\w$]+)\s*=\s*require\(
 
 def _python(code: str) -> list[tuple]:
     out = []
-    for x in ast.walk(ast.parse(code)):
+    for x, _ in every_statement(code):
         if isinstance(x, ast.Import):
             out += [(a.asname or a.name, a.name, None) for a in x.names]
         elif isinstance(x, ast.ImportFrom):
@@ -145,6 +145,7 @@ def resolved_calls(files: DataFrame, found: DataFrame, uses: DataFrame, inherite
     Class.f are looked up in the class, then in its bases, the nearest that has it.
     """
     stash = Stash(files.sparkSession)
+    found, uses = stash.put(found), stash.put(uses)  # read many times below
     names, modules = resolved_names(files, found, roots)
     names, modules = stash.put(names), stash.put(modules)
     defs = found.select(F.col("path").alias("def_path"), "qualified", F.col("line").alias("def_line"), "kind")
