@@ -4,6 +4,7 @@ import ast
 
 from pyspark.sql import functions as F
 
+from marlstone.operators import associate as A
 from marlstone.operators import code as K
 
 _FILE = "import os\n\n\nclass A(B):\n    def f(self, a):\n        def g(): return h(a)\n        if a and g():\n            return 1\n\n\ntext = '''\nclass X: pass\n'''\nif text:\n    def k(): pass\nelse:\n    from . import y\ngo()\n"
@@ -27,3 +28,12 @@ def test_pieces_of_a_file_give_what_the_whole_gives(monkeypatch):
         assert len(list(K.pieces(code))) > 1
         assert [f(code) for f in kinds] == whole
     assert len(whole[0]) == 20 and K.complexity(ast.parse(_FILE)) == 4
+
+
+def test_nearest_of_many_equal_places_is_linear(spark):
+    """The window up to the end took the square of a key's rows: 60,000 rows of one key were hours."""
+    left = spark.range(60_000).select("id", F.lit(1).alias("k"), (F.col("id") % 100 * 10).alias("at")).unionByName(spark.sql("select -1l as id, null as k, 5l as at union all select -2l, 1, null"))
+    right = spark.sql("select * from values (1, 0l, 7), (1, 500l, 9), (1, 500l, 8), (null, 4l, 3) as t(k, at, v)")
+    got = {r.id: r.v for r in A.nearest(left, right, "k", "at", "v", "v").collect()}
+    assert len(got) == 60_002 and got[-1] == 3 and got[-2] == 7
+    assert all(got[i] == (7 if i % 100 * 10 <= 250 else 8) for i in range(60_000))
