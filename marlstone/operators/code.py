@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.classify import is_minified
 from marlstone.operators import lexer
+from marlstone.plans.deal import dealt
 from marlstone.plans.stash import Stash
 
 SYMBOLS = "kind string, name string, qualified string, line int, end_line int, signature string, doc string, complexity int, methods int"
@@ -255,7 +256,7 @@ def parsed(files: DataFrame, schema: str, parse: Callable[[str, str], list[tuple
             if out:
                 yield batch(out)
 
-    return files.select("path", "language", "content").repartition("path").mapInArrow(run, f"path string, {schema}")
+    return dealt(files.select("path", "language", "content"), "path").mapInArrow(run, f"path string, {schema}")
 
 
 def symbols(files: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import is_contents, is_decorative
+from marlstone.plans.stash import Stash
 from marlstone.sources.tables import merged_tables
 
 #: Points by which words of a line and ends of lines may differ, and the gap between paragraphs.
@@ -135,6 +136,7 @@ def pdf_elements(items: DataFrame) -> DataFrame:
     Kinds are Title, NarrativeText, Table, Image and error; places are of the file, in reading order: by page, then
     bands from top to bottom, then columns. Boxes are shares of the page. Files without elements give no rows.
     """
+    items = Stash(items.sparkSession).put(items)  # else the files are read again for each kind of item
     sizes = items.where("kind != 'error'").groupBy(*PAGE).agg(F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height"), F.avg(F.when(F.col("kind") == "word", F.col("size"))).alias("usual"))
     tables = page_tables(items)
     cells = table_cells(items, tables).join(sizes.drop("usual"), PAGE)

@@ -6,17 +6,14 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import associate as A
 from marlstone.operators import code as K
+from marlstone.sources import markup, pdf
 
 _FILE = "import os\n\n\nclass A(B):\n    def f(self, a):\n        def g(): return h(a)\n        if a and g():\n            return 1\n\n\ntext = '''\nclass X: pass\n'''\nif text:\n    def k(): pass\nelse:\n    from . import y\ngo()\n"
 
 
 def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
     files = spark.range(64, numPartitions=1).select(F.concat(F.lit("m"), "id", F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.lit(_FILE).alias("content"))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        assert K.calls(files).select(F.spark_partition_id()).distinct().count() > 1
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert K.calls(files).select(F.spark_partition_id()).distinct().count() > 1
 
 
 def test_pieces_of_a_file_give_what_the_whole_gives(monkeypatch):
@@ -37,3 +34,11 @@ def test_nearest_of_many_equal_places_is_linear(spark):
     got = {r.id: r.v for r in A.nearest(left, right, "k", "at", "v", "v").collect()}
     assert len(got) == 60_002 and got[-1] == 3 and got[-2] == 7
     assert all(got[i] == (7 if i % 100 * 10 <= 250 else 8) for i in range(60_000))
+
+
+def test_pdf_and_html_of_one_partition_are_read_by_many_tasks(spark):
+    rows = spark.range(64, numPartitions=1)
+    pdfs = rows.select(F.concat(F.lit("p"), "id").alias("path"), F.lit(b"no pdf").alias("content"))
+    assert pdf.pdf_items(pdfs).select(F.spark_partition_id()).distinct().count() > 1
+    html = rows.select(F.col("id").alias("page_id"), F.lit("<h1>a</h1>").alias("html"), F.lit("").alias("url"))
+    assert markup.html_blocks(html).select(F.spark_partition_id()).distinct().count() > 1
