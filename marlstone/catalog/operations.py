@@ -10,6 +10,7 @@ from marlstone.operators import chunking as K
 from marlstone.operators import observe as O
 from marlstone.operators import relational, series
 from marlstone.plans import rules
+from marlstone.plans.stash import Stash
 from marlstone.registry import benchmark, customer, docs, events, lineitem, orders, part, query, turns
 from marlstone.streaming import events as S
 from marlstone.streaming import watch
@@ -347,7 +348,7 @@ select a.id as a, b.id as b, round(len(list_intersect(a.w, b.w)) / (a.n + b.n -
 def near_dups(spark, d):
     """Pairs of documents whose sets of words have a similarity of .9 or more; of equal sets the least id stands for all."""
     rows = docs(spark, d).select("doc_id", F.array_sort(F.array_distinct(T.tokens(F.col("text")))).alias("w")).where(F.size("w") > 0)
-    once = rows.groupBy("w").agg(F.min("doc_id").alias("doc_id"))
+    once = Stash(spark).put(rows.groupBy("w").agg(F.min("doc_id").alias("doc_id")))  # read many times
     return relational.jaccard_join(once, "doc_id", "w", 90).withColumn("score", F.round("score", 4))
 
 

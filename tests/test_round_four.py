@@ -4,6 +4,7 @@ import ast
 
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as T
 from marlstone.operators import associate as A
 from marlstone.operators import code as K
 from marlstone.sources import markup, pdf
@@ -42,3 +43,23 @@ def test_pdf_and_html_of_one_partition_are_read_by_many_tasks(spark):
     assert pdf.pdf_items(pdfs).select(F.spark_partition_id()).distinct().count() > 1
     html = rows.select(F.col("id").alias("page_id"), F.lit("<h1>a</h1>").alias("html"), F.lit("").alias("url"))
     assert markup.html_blocks(html).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_language_counts_all_characters(spark):
+    rows = spark.createDataFrame([("",), (None,), ("!!!!",), ("ab ........",), ("abc.......",), ("abcd......",), ("12 中文",)], "text string")
+    assert [r[0] for r in rows.select(T.latin_or_mixed(F.col("text"))).collect()] == ["unknown", "mixed", "mixed", "mixed", "mixed", "en", "mixed"]
+
+
+def test_jaccard_join_finds_all_pairs_with_few_frequent_words(spark, monkeypatch):
+    import random
+
+    from marlstone.operators import relational
+
+    rng = random.Random(3)
+    base = [rng.sample(range(60), rng.randint(1, 25)) for _ in range(40)]
+    sets = base + [sorted({*s[: rng.randint(0, len(s))], *rng.sample(range(60), 2)}) for s in base * 3]
+    rows = spark.createDataFrame([(i, [f"w{x}" for x in s]) for i, s in enumerate(sets)], "id long, w array<string>")
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if (x := len({*sets[a]} & {*sets[b]})) * 100 >= 70 * len({*sets[a]} | {*sets[b]}) and x}
+    for most in (0, 5, 100_000):
+        monkeypatch.setattr(relational, "FREQUENT", most)
+        assert {(r.a, r.b) for r in relational.jaccard_join(rows, "id", "w", 70).collect()} == want
