@@ -63,3 +63,15 @@ def test_jaccard_join_finds_all_pairs_with_few_frequent_words(spark, monkeypatch
     for most in (0, 5, 100_000):
         monkeypatch.setattr(relational, "FREQUENT", most)
         assert {(r.a, r.b) for r in relational.jaccard_join(rows, "id", "w", 70).collect()} == want
+
+
+def test_places_make_no_more_pairs_than_there_are_places(spark):
+    """Each link of every row is counted, while pairs are of classes; before, 300 copies on either side were 90,000 rows."""
+    chunks = spark.range(300).selectExpr("1l as doc", "id as chunk", "id % 2 * 40 as start", "id % 2 * 40 + 9 as end", "0l as page")
+    images = spark.range(300).selectExpr("1l as doc", "id as image", "id % 3 * 20 as element", "0l as image_page")
+    out, pairs = A.linked_classes(chunks, images, "chunk", ["doc", "start", "end", "page"], "image", ["doc", "element", "image_page"], A.images_of_chunks)
+    plain = A.images_of_chunks(chunks, images).groupBy("chunk").agg(F.count("*").alias("n"), F.sum("confidence").alias("sure"))
+    got = {r["chunk"]: (r["class"], r["links"], round(r["confidence"], 2)) for r in out.collect()}
+    want = {r.chunk: (r.chunk % 2, r.n, round(r.sure, 2)) for r in plain.collect()}
+    assert got == want and len(got) == 300
+    assert pairs.count() <= 6 and pairs.agg(F.sum(F.expr("rows * others"))).first()[0] == sum(n for _, n, _ in got.values())
