@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.plans.deal import dealt
+
 
 def fixed_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, chunk_index, chunk): windows of a fixed stride, by expressions only."""
@@ -176,7 +178,7 @@ def structure_chunks(elements: DataFrame, most: int = 1000, least: int = 500, ke
         yield shaped(out)
 
     rows = elements.where(F.col(key).isNotNull()).select(key, "element", "category", "text")
-    return rows.repartition(key).sortWithinPartitions(key, "element").mapInPandas(run, schema)
+    return dealt(rows, key).sortWithinPartitions(key, "element").mapInPandas(run, schema)
 
 
 # Chunks of small and of medium documents at most.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import associate as A
+from marlstone.operators import chunking
 from marlstone.operators import code as K
 from marlstone.sources import markup, pdf
 
@@ -75,3 +76,10 @@ def test_places_make_no_more_pairs_than_there_are_places(spark):
     want = {r.chunk: (r.chunk % 2, r.n, round(r.sure, 2)) for r in plain.collect()}
     assert got == want and len(got) == 300
     assert pairs.count() <= 6 and pairs.agg(F.sum(F.expr("rows * others"))).first()[0] == sum(n for _, n, _ in got.values())
+
+
+def test_alike_elements_are_packed_by_many_tasks(spark):
+    """Adaptive execution put elements that compress well into one task."""
+    rows = spark.range(64, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit(1).alias("element"), F.lit("NarrativeText").alias("category"), F.expr("repeat('p', 400)").alias("text"))
+    got = chunking.structure_chunks(rows)
+    assert got.select(F.spark_partition_id()).distinct().count() > 1 and got.count() == 64
