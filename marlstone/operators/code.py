@@ -28,6 +28,10 @@ INHERITS = "class string, base string, line int"
 _DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 _ONE = frozenset((ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.With, ast.AsyncWith, ast.Assert, ast.comprehension))
 _LEAVES = frozenset((ast.Name, ast.Constant, ast.Load, ast.Store, ast.Del, ast.Pass, ast.Break, ast.Continue, ast.alias, ast.Import, ast.ImportFrom, ast.Global, ast.Nonlocal))
+_COMPOUND = frozenset((ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.TryStar, ast.Match, ast.ExceptHandler, ast.match_case))
+#: Values of fields below which there is nothing, and fields that hold only such.
+_ENDS = _LEAVES | {str, int, bool, type(None)}
+_BARE = frozenset("ctx op ops id attr arg type_comment kind names module level is_async simple tag rest kwd_attrs conversion".split())
 #: Fields that hold statements, in the order of the grammar.
 _BLOCKS = ("body", "handlers", "cases", "orelse", "finalbody")
 #: Characters of a file above which it is parsed in pieces.
@@ -61,15 +65,27 @@ def pieces(code: str, size: int = PIECE) -> Iterator[tuple[ast.Module, int]]:
             return
 
 
+class _Fields(dict):
+    """By kind of node, its fields that can hold nodes with children."""
+
+    def __missing__(self, kind: type) -> tuple[str, ...]:
+        self[kind] = tuple(f for f in kind._fields if f not in _BARE)
+        return self[kind]
+
+
+_FIELDS = _Fields()
+
+
 def _children(node: ast.AST) -> Iterator[ast.AST]:
     """As ``ast.iter_child_nodes``, without names, constants and other nodes that have no children."""
-    for name in node._fields:
+    for name in _FIELDS[node.__class__]:
         x = getattr(node, name, None)
-        if isinstance(x, list):
+        kind = x.__class__
+        if kind is list:
             for y in x:
-                if isinstance(y, ast.AST) and type(y) not in _LEAVES:
+                if y.__class__ not in _ENDS:
                     yield y
-        elif isinstance(x, ast.AST) and type(x) not in _LEAVES:
+        elif kind not in _ENDS:
             yield x
 
 
@@ -94,11 +110,14 @@ def complexity(node: ast.AST, known: dict[ast.AST, int] | None = None) -> int:
             n += known[x] - 1
             continue
         n += _weight(x)
-        for name in x._fields:
+        for name in _FIELDS[x.__class__]:
             y = getattr(x, name, None)
-            if y.__class__ is list:
-                todo += [z for z in y if isinstance(z, ast.AST) and type(z) not in _LEAVES]
-            elif isinstance(y, ast.AST) and type(y) not in _LEAVES:
+            kind = y.__class__
+            if kind is list:
+                for z in y:
+                    if z.__class__ not in _ENDS:
+                        todo.append(z)
+            elif kind not in _ENDS:
                 todo.append(y)
     return n
 
@@ -108,7 +127,7 @@ def statements(node: ast.AST) -> Iterator[ast.stmt]:
     for name in _BLOCKS:
         for x in getattr(node, name, ()):
             yield x
-            if not isinstance(x, _DEFINITIONS):
+            if x.__class__ in _COMPOUND:
                 yield from statements(x)
 
 
