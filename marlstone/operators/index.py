@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import dot, tokens
+from marlstone.functions.text import dot, grouped_terms, tokens
 from marlstone.operators.search import top
 from marlstone.plans.stash import Stash
 
@@ -47,13 +47,15 @@ class TermIndex:
 
 
 def term_index(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> TermIndex:
-    """Postings of every word of every row; map-side counts, dealt by word and sorted, so that a word's rows lie together.
+    """Postings of every word of every row; counted within the row, dealt by word and sorted, so that a word's rows lie together.
+
+    Keys are taken to be unique; postings are shuffled once.
 
     Without a path the index is in the shared folder until the driver ends.
     """
     path = path or f"{Stash(docs.sparkSession).root}/terms"
-    words = docs.select(key, tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("token"))
-    rows = words.groupBy("token", key, "dl").agg(F.count("*").alias("tf"))
+    words = docs.select(key, tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), F.explode(grouped_terms(F.col("w"))).alias("g"))
+    rows = words.select("g.term", key, "dl", F.size("g.places").cast("long").alias("tf")).withColumnRenamed("term", "token")
     rows = rows.withColumn("folder", F.pmod(F.crc32(F.col("token").cast("binary")), F.lit(FOLDERS)).cast("int"))
     # a frequent word's postings go to several files, as the key deals them, too
     rows.repartition("folder", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("token", key).write.mode("overwrite").partitionBy("folder").parquet(path)
