@@ -68,7 +68,7 @@ def regexp_indexed(spark, d):
 
 @query(f"select word, doc_id from (" + " union all ".join(f"select '{w}' as word, doc_id from documents where len(list_filter({TOKENS}, lambda t: levenshtein(t, '{w}') <= {n})) > 0" for w, n in (("licence", 2), ("trach", 1), ("as", 0))) + ")")
 def fuzzy_indexed(spark, d):
-    """Words within some edits from a deletion neighbourhood of the vocabulary."""
+    """Words within some edits by the pieces of the vocabulary's words."""
     made = text_index(spark, d)
     found = [made.fuzzy(spark, w).select(F.lit(w).alias("word"), "doc_id") for w in ("licence", "trach", "as")]
     return found[0].unionByName(found[1]).unionByName(found[2])

@@ -1,10 +1,9 @@
 """Phrase, wildcard, regular expression, fuzzy and boolean searches from an index, without a scan of the texts.
 
-The index is four tables, written once: postings with the positions of every token in every row; the
-vocabulary; trigrams of its tokens, which name those that a pattern can match; and deletion
-neighbourhoods, in which a token stands under every string that it becomes when up to two of its
-first characters are left out, so tokens within two edits share one of them. A search names tokens first and then
-reads their postings only. Results are those of the scans in ``search`` and ``retrieval``.
+The index is four tables, each written once: postings with the positions of every token in every row; the
+vocabulary; trigrams of its tokens, which name those that a pattern can match; and the three pieces of each token,
+one of which stands unchanged, at most two places away, in every word within two edits. Trigrams and pieces are written when a
+search first needs them. A search names tokens first and then reads their postings only. Results are those of the scans in ``search`` and ``retrieval``.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import tokens
+from marlstone.functions.text import grouped_terms, tokens
 from marlstone.operators.retrieval import edits_allowed
 from marlstone.plans.stash import Stash
 
@@ -27,6 +26,8 @@ from marlstone.plans.stash import Stash
 FILE_CHARS, FOLDER_TOKENS = 16_000_000, 500_000
 #: Files of a folder at least.
 FILES = 4
+#: Pieces of a token: one more than there may be edits.
+PIECES = 3
 #: Characters from whose deletions neighbours are found, and deletions at most.
 PREFIX, DELETIONS = 7, 2
 
@@ -53,6 +54,24 @@ def deletions(token: Column, most: int = DELETIONS) -> Column:
     return F.array_distinct(F.array(*out))
 
 
+def pieces(token: Column) -> Column:
+    """A token's pieces of about equal length, each with the length of the token and its own number."""
+    n = F.length(token)
+    cut = lambda i: F.floor(n * i / PIECES).cast("int")
+    return F.array(*[F.concat_ws(" ", n, F.lit(i), token.substr(cut(i) + 1, cut(i + 1) - cut(i))) for i in range(PIECES)])
+
+
+def probes(word: str, allowed: int) -> list[str]:
+    """Pieces of which every token has one that a word becomes by so many edits, fewer than PIECES."""
+    out = set()
+    for n in range(max(0, len(word) - allowed), len(word) + allowed + 1):
+        for i in range(PIECES):
+            start, end = n * i // PIECES, n * (i + 1) // PIECES
+            places = range(max(0, start - allowed), min(start + allowed, len(word) - (end - start)) + 1)
+            out |= {f"{n} {i} {word[p : p + end - start]}" for p in places}
+    return sorted(out)
+
+
 def wildcard_pattern(pattern: str) -> str:
     return "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern.lower())
 
@@ -99,6 +118,16 @@ class TextIndex:
     def _table(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
         return spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
+    def _of_words(self, spark: SparkSession, name: str, column: str) -> DataFrame:
+        """A table made of the vocabulary, written when it is first asked for."""
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            values = {"grams": trigrams, "pieces": pieces}[name](F.col("token"))
+            rows = self.vocabulary(spark).select(F.explode(values).alias(column), "token").withColumn("folder", _folder(F.col(column), self.word_folders))
+            rows = rows.repartition(F.col("folder"), F.pmod(F.xxhash64("token"), F.lit(FILES))).sortWithinPartitions("folder", column)
+            rows.write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/{name}")
+        return self._table(spark, name, f"{column} string, token string, folder int")
+
     def postings(self, spark: SparkSession) -> DataFrame:
         return self._table(spark, "postings", f"token string, {self.key} {self.kind}, positions array<int>, folder int")
 
@@ -123,7 +152,7 @@ class TextIndex:
             named = self.vocabulary(spark).select("token")
         else:
             folders = sorted({zlib.crc32(g.encode()) % self.word_folders for g in grams})
-            rows = self._table(spark, "grams", "gram string, token string, folder int").where(F.col("folder").isin(folders) & F.col("gram").isin(grams))
+            rows = self._of_words(spark, "grams", "gram").where(F.col("folder").isin(folders) & F.col("gram").isin(grams))
             named = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("token")
         return named.where(F.col("token").rlike(f"^(?:{regex})$"))
 
@@ -131,8 +160,9 @@ class TextIndex:
         """(token, distance) of the tokens within the edits that a word of its length may have."""
         word = word.lower()
         allowed = edits_allowed(word)
-        asked = spark.range(1).select(F.explode(deletions(F.lit(word), allowed)).alias("variant")).withColumn("folder", _folder(F.col("variant"), self.word_folders))
-        rows = self._table(spark, "deletions", "variant string, token string, folder int").join(F.broadcast(asked), ["folder", "variant"], "left_semi")  # at most 29 variants
+        asked = probes(word, allowed)
+        folders = sorted({zlib.crc32(x.encode()) % self.word_folders for x in asked})
+        rows = self._of_words(spark, "pieces", "piece").where(F.col("folder").isin(folders) & F.col("piece").isin(asked))
         named = rows.select("token").distinct().withColumn("distance", F.levenshtein("token", F.lit(word)))
         return named.where(F.col("distance") <= allowed)
 
@@ -196,8 +226,8 @@ class TextIndex:
 def text_index(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> TextIndex:
     """Write the tables of an index of whole texts; ``TextIndex.open`` reads them again.
 
-    Null texts have no tokens. Keys are taken to be unique: the positions of rows with one key are put
-    together. Postings are dealt by token to folders and by key to the files of a folder, as many of either,
+    Null texts have no tokens. Keys are taken to be unique: rows with one key have postings of their own, which
+    searches read together. Postings are dealt by token to folders and by key to the files of a folder, as many of either,
     so neither all tokens nor one frequent token meets in a task; the number goes by the length of the texts.
     Without a path the index is in the shared folder until the driver ends.
     """
@@ -206,19 +236,15 @@ def text_index(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     folders = max(1, math.isqrt(chars // FILE_CHARS))
     files = max(FILES, chars // FILE_CHARS // folders)
-    found = docs.select(key, F.posexplode(tokens(F.col(text))).alias("at", "token"))
-    found = found.withColumns({"folder": _folder(F.col("token"), folders), "file": F.pmod(F.xxhash64(key), F.lit(files))}).repartition("folder", "file")
-    rows = found.groupBy("folder", "file", "token", key).agg(F.sort_array(F.collect_list("at")).alias("positions")).drop("file")
+    # positions are put together within the row, before anything is shuffled
+    found = docs.select(key, F.explode(grouped_terms(tokens(F.col(text)))).alias("g")).select(F.col("g.term").alias("token"), key, F.col("g.places").alias("positions"))
+    found = found.withColumn("folder", _folder(F.col("token"), folders))
+    rows = found.repartition(F.col("folder"), F.pmod(F.xxhash64(key), F.lit(files)))
     rows.sortWithinPartitions("folder", "token", key).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
     out = TextIndex(path, key, dict(docs.dtypes)[key], folders, 1)
     docs.select(key).write.mode("overwrite").parquet(f"{path}/keys")
     words = out.postings(spark).groupBy("token").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("tf"))
     words.write.mode("overwrite").parquet(f"{path}/words")
-    words = out.vocabulary(spark)
-    out.word_folders = 1 + words.count() // FOLDER_TOKENS
-    for name, column, values in (("grams", "gram", trigrams(F.col("token"))), ("deletions", "variant", deletions(F.col("token")))):
-        rows = words.select(F.explode(values).alias(column), "token").withColumn("folder", _folder(F.col(column), out.word_folders))
-        rows = rows.repartition(F.col("folder"), F.pmod(F.xxhash64("token"), F.lit(FILES))).sortWithinPartitions("folder", column)
-        rows.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/{name}")
+    out.word_folders = 1 + out.vocabulary(spark).count() // FOLDER_TOKENS
     spark.createDataFrame([(json.dumps(asdict(out)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
     return out
