@@ -150,7 +150,8 @@ def _climbed(tree: DataFrame, stash: Stash) -> tuple[list[DataFrame], DataFrame]
         going = now.where("up is not null")
         if going.isEmpty():
             break
-        ahead = now.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
+        # by a merge: written ids compress so well that all of them would be sent through the driver as small, in each round
+        ahead = now.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2")).hint("merge")
         going = going.join(ahead, "up", "left").select("id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
         jumps.append(stash.put(going.unionByName(now.where("up is null"))))
     return jumps, stash.put(jumps[-1].where("up is not null").select("id"))
@@ -162,12 +163,12 @@ def tree_levels(tree: DataFrame, most: int | None = None) -> DataFrame:
     By pointer doubling; only nodes that lead into a loop or trees with several parents need all pairs.
     """
     jumps, odd = _climbed(tree, Stash(tree.sparkSession))
-    above = jumps[-1].join(odd, "id", "left_anti").select("id", F.col("steps").alias("n"))
+    above = jumps[-1].join(odd.hint("merge"), "id", "left_anti").select("id", F.col("steps").alias("n"))
     if not odd.isEmpty():
         above = above.unionByName(ancestors(tree.join(odd, "id", "left_semi")).groupBy("id").agg(F.count("*").alias("n")))
     level = F.coalesce(F.col("n"), F.lit(0)) + 1
     level = F.least(level, F.lit(most)) if most else level
-    return tree.select("id").distinct().join(above, "id", "left").select("id", level.cast("int").alias("level"))
+    return tree.select("id").distinct().join(above.hint("merge"), "id", "left").select("id", level.cast("int").alias("level"))
 
 
 def subtree_totals(tree: DataFrame, counts: DataFrame) -> DataFrame:
@@ -179,11 +180,11 @@ def subtree_totals(tree: DataFrame, counts: DataFrame) -> DataFrame:
     """
     stash = Stash(tree.sparkSession)
     jumps, odd = _climbed(tree, stash)
-    own = tree.select("id").distinct().join(counts.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
+    own = tree.select("id").distinct().join(counts.groupBy("id").agg(F.sum("n").alias("n")).hint("merge"), "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
     total = own = stash.put(own)
     for jump in jumps:
-        up = jump.where("up is not null").join(odd, "id", "left_anti").join(total, "id").groupBy(F.col("up").alias("id")).agg(F.sum("count").alias("below"))
-        before, total = total, stash.put(total.join(up, "id", "left").select("id", (F.col("count") + F.coalesce("below", F.lit(0))).alias("count")))
+        up = jump.where("up is not null").join(odd.hint("merge"), "id", "left_anti").join(total.hint("merge"), "id").groupBy(F.col("up").alias("id")).agg(F.sum("count").alias("below"))
+        before, total = total, stash.put(total.join(up.hint("merge"), "id", "left").select("id", (F.col("count") + F.coalesce("below", F.lit(0))).alias("count")))
         if before is not own:
             stash.drop(before)
     if odd.isEmpty():
@@ -259,21 +260,27 @@ def cycles(edges: DataFrame, hops: int = 3) -> DataFrame:
     """Directed cycles up to a length, each once, from its least node.
 
     They are looked for from the node with the fewest edges (of equals the least): a hub is only reached
-    from smaller nodes, so its edges don't meet each other.
+    from smaller nodes, so its edges don't meet each other. Paths are columns and carry the rank of their first
+    node only as long as they grow; what is read once is not written.
     """
     stash = Stash(edges.sparkSession)
     e = stash.put(edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).where("_s != _d").distinct())
     n = degrees(e.select(F.col("_s").alias("src"), F.col("_d").alias("dst"))).select("node", F.struct((F.col("fan_out") + F.col("fan_in")).alias("n"), "node").alias("rank"))
     ranked = e.join(n.withColumnsRenamed({"node": "_s", "rank": "_a"}), "_s").join(n.withColumnsRenamed({"node": "_d", "rank": "_b"}), "_d")
     ranked = stash.put(ranked.select("_s", "_d", "_a", "_b"))
-    front = ranked.where("_a < _b").select(F.array("_s", "_d").alias("path"), F.col("_a").alias("least"), F.col("_s").alias("first"), F.col("_d").alias("at"))
-    out = None
+    onward = ranked.where("_a < _b").select(F.col("_s").alias("_p0"), F.col("_d").alias("_p1"), F.col("_a").alias("_least"))
+    nodes, out, front = ["_p0", "_p1"], None, onward
+    back = e.select(F.col("_s").alias("_last"), F.col("_d").alias("_p0"))
     for k in range(hops - 1):
-        closed = front.join(e, (F.col("at") == F.col("_s")) & (F.col("first") == F.col("_d"))).select("path")
+        closed = front.select(*nodes, F.col(nodes[-1]).alias("_last")).join(back, ["_last", "_p0"]).select(F.array(*nodes).alias("path"))
         out = closed if out is None else out.unionByName(closed)
         if k + 2 < hops:
-            front = front.join(ranked, F.col("at") == F.col("_s")).where((F.col("_b") > F.col("least")) & ~F.array_contains("path", F.col("_d")))
-            front = stash.put(front.select(F.concat("path", F.array("_d")).alias("path"), "least", "first", F.col("_d").alias("at")))
+            step = ranked.select(F.col("_s").alias(nodes[-1]), F.col("_d").alias(f"_p{k + 2}"), "_b")
+            front = front.join(step, nodes[-1]).where(F.col("_b") > F.col("_least"))
+            for x in nodes[1:]:
+                front = front.where(F.col(x) != F.col(f"_p{k + 2}"))
+            nodes = [*nodes, f"_p{k + 2}"]
+            front = stash.put(front.select(*nodes, "_least")) if k + 3 < hops else front.select(*nodes)
     start = F.array_position("path", F.array_min("path")).cast("int")
     turned = F.concat(F.slice("path", start, F.size("path")), F.slice("path", F.lit(1), start - 1))
     return out.select(turned.alias("path"), F.size("path").alias("length"))
