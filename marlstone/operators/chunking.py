@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,27 +32,48 @@ def snapped(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
         start = len(text) if end >= len(text) else max(end - overlap, start + 1)
 
 
-#: Rows of chunks that a worker hands on at a time.
-ROWS_A_TIME = 2000
+#: Rows of chunks that a worker hands on at a time, and bytes of texts that it holds as strings.
+ROWS_A_TIME, BYTES_A_TIME = 2000, 1 << 20
+
+
+def _few(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about BYTES_A_TIME, of one row at least."""
+    rows = max(1, batch.num_rows * BYTES_A_TIME // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def snapped_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, chunk_index, start_pos, end_pos, chunk) of such windows: sequential, so in Arrow batches; null and empty texts have none."""
+    """(key, chunk_index, start_pos, end_pos, chunk) of such windows: sequential, so in Arrow batches; null and empty texts have none.
+
+    A worker holds a batch as Spark sends it, strings of a small slice of it, and ROWS_A_TIME chunks.
+    """
     kind = dict(docs.dtypes)[key]
     names = [key, "chunk_index", "start_pos", "end_pos", "chunk"]
+    ints = [pa.int32()] * 3
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for frame in frames:
-            for k, t in zip(frame[key], frame[text]):
-                for n, (a, b) in enumerate(snapped(t or "", size, overlap)):
-                    out.append((k, n, a, b, t[a:b]))
-                    if len(out) == ROWS_A_TIME:
-                        yield pd.DataFrame(out, columns=names)
-                        out = []
-        yield pd.DataFrame(out, columns=names)
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, start_pos int, end_pos int, chunk string")
+
+        def taken() -> pa.RecordBatch:
+            columns = [list(c) for c in zip(*out)]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [key_type, *ints, pa.string()])], names=names)
+
+        for batch in batches:
+            key_type = batch.schema.field(0).type
+            for some in _few(batch):
+                for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    for n, (a, b) in enumerate(snapped(t or "", size, overlap)):
+                        out.append((k, n, a, b, t[a:b]))
+                        if len(out) == ROWS_A_TIME:
+                            yield taken()
+            if out:
+                yield taken()
+            batch = some = None
+            pa.default_memory_pool().release_unused()
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, chunk_index int, start_pos int, end_pos int, chunk string")
 
 
 def overlapping(docs: DataFrame, size: int = 8000, ratio: float = 0.2, key: str = "doc_id", text: str = "text") -> DataFrame:
