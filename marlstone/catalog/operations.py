@@ -10,7 +10,6 @@ from marlstone.operators import chunking as K
 from marlstone.operators import observe as O
 from marlstone.operators import relational, series
 from marlstone.plans import rules
-from marlstone.plans.stash import Stash
 from marlstone.registry import benchmark, customer, docs, events, lineitem, orders, part, query, turns
 from marlstone.streaming import events as S
 from marlstone.streaming import watch
@@ -347,9 +346,8 @@ def jaccard_pairs(spark, d):
 select a.id as a, b.id as b, round(len(list_intersect(a.w, b.w)) / (a.n + b.n - len(list_intersect(a.w, b.w))), 4) as score from t a join t b on a.id < b.id and a.n * 100 >= b.n * 90 and b.n * 100 >= a.n * 90 where len(list_intersect(a.w, b.w)) * 100 >= 90 * (a.n + b.n - len(list_intersect(a.w, b.w)))""")
 def near_dups(spark, d):
     """Pairs of documents whose sets of words have a similarity of .9 or more; of equal sets the least id stands for all."""
-    rows = docs(spark, d).select("doc_id", F.array_sort(F.array_distinct(T.tokens(F.col("text")))).alias("w")).where(F.size("w") > 0)
-    once = Stash(spark).put(rows.groupBy("w").agg(F.min("doc_id").alias("doc_id")))  # read many times
-    return relational.jaccard_join(once, "doc_id", "w", 90).withColumn("score", F.round("score", 4))
+    rows = docs(spark, d).select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return relational.jaccard_classes(rows, "doc_id", "w", 90)[1].withColumn("score", F.round("score", 4))
 
 
 @query(f"""with d as (select doc_id, list_sort({_TOK}) as w from documents), t as (select min(doc_id) as class, w, len(w) as n, count(*) as members from d where len(w) > 0 group by w),
